@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Used only on a local master whose session names no checkpoint folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -70,3 +73,14 @@ def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column as Python strings, null as the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``limit`` labelled training rows, chosen by a hash of the id.
+
+    Null labels and ids are left out; of several labels of an id the largest counts. The chosen ids are
+    at most ``limit`` rows, which bounds what is broadcast and what reaches the driver.
+    """
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(train).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
