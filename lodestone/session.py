@@ -30,3 +30,18 @@ def build_session(app: str = "lodestone", master: str | None = None, **conf: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a context, through Spark's own file server."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_lodestone_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lodestone-")
+    context.addPyFile(shutil.make_archive(f"{folder}/lodestone", "zip", here.parent, here.name))
+    context._lodestone_shipped = True
