@@ -50,6 +50,12 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprint_edits
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_shard": op6_shard,
     "op7_pack": op7_pack,
+    "op8_minhash": op8_minhash,
     "op9_fingerprint": op9_fingerprint,
     "op10_language": op10_language,
 }
