@@ -107,9 +107,9 @@ def _square(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, bins: int = 48, depth: int = 2, pair_bins: int = 8, pairs: int = 6, pair_rounds: int = 40) -> AdditiveModel:
-    """Fit the model; with one class or no rows it is that class's constant."""
+    """Fit the model; one class gives its constant, no rows a score of 0.5 for every document."""
     if len(set(y.tolist())) < 2:
-        return AdditiveModel(30.0 if len(y) and y[0] else -30.0)
+        return AdditiveModel(0.0 if not len(y) else 30.0 if y[0] else -30.0)
     model = AdditiveModel(float(np.log(y.mean() / (1 - y.mean()))))
     model.edges = [_edges(x[:, j], bins) for j in range(x.shape[1])]
     model.tables = [np.zeros(len(e) + 1) for e in model.edges]
