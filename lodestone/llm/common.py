@@ -15,8 +15,18 @@ from ..session import ship_package
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows that go to Python at once: texts can be long, and a worker holds a batch several times over.
+BATCH_ROWS = "512"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give the workers this package and keep the batches of texts small."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
