@@ -69,8 +69,10 @@ def ignored(path: Column, patterns: list[str]) -> Column:
 
 
 def parse_lines(spec: str) -> list[tuple[int, int]]:
-    """``L17-L26,L45`` as line ranges; lines start at 1 and a range does not run backwards."""
+    """``L17-L26,L45`` as line ranges; lines start at 1, a range does not run backwards, nothing means all."""
     out = []
+    if not spec:
+        return out
     for part in spec.split(","):
         if not (m := re.fullmatch(r"\s*L(\d+)(?:-L?(\d+))?\s*", part)):
             raise ValueError(f"no line range: {part!r}")
@@ -112,9 +114,14 @@ def truncate(text: Column, length: int) -> Column:
     return F.substring(text, 1, length)
 
 
+def _valid(data: Column) -> Column:
+    """Bytes as text, with a replacement character for what is not UTF-8."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def truncate_bytes(text: Column, limit: int, notice: str) -> Column:
     """At most ``limit`` bytes and a notice; a character that would be cut is left out."""
-    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, limit), "UTF-8")
+    cut = _valid(F.substring(F.encode(text, "UTF-8"), 1, limit))
     clean = F.regexp_replace(cut, "�+$", "")
     return F.when(F.octet_length(text) > limit, F.concat(clean, F.lit(notice))).otherwise(text)
 
@@ -231,12 +238,12 @@ def drop_thinking(text: Column) -> Column:
 def decode_unless_binary(content: Column, probe: int = 8192) -> Column:
     """Text of a file, empty if a NUL is among its first bytes."""
     head = F.substring(content, 1, probe)
-    return F.when(F.position(F.unhex(F.lit("00")), head) > 0, F.lit("")).otherwise(F.decode(content, "UTF-8"))
+    return F.when(F.position(F.unhex(F.lit("00")), head) > 0, F.lit("")).otherwise(_valid(content))
 
 
 def line_of(text: Column, offset: Column) -> Column:
     """The line, from 1, of a byte offset."""
-    prefix = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset.cast("int")), "UTF-8")
+    prefix = _valid(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset.cast("int")))
     return F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit(""))) + 1
 
 

@@ -1,8 +1,8 @@
 """Changes to stored tables.
 
 Plain Parquet has no MERGE, so a change is a new version of the table's folder: it is written
-beside the old one and becomes current by a rename of a small pointer file, after which readers
-see all of it or nothing. Nothing is overwritten while it is read.
+beside the old one and becomes current when a small pointer file is renamed over the old pointer,
+so readers see all of it or nothing. Nothing is overwritten while it is read.
 """
 
 from __future__ import annotations
@@ -62,10 +62,10 @@ class TableStore:
         self._fs, self._path = path.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
     def _current(self, name: str) -> str | None:
-        pointer = self._path(f"{self.folder}/{name}/_current")
+        pointer = self._path(f"{self.folder}/{name}/current.txt")
         if not self._fs.exists(pointer):
             return None
-        return self.spark.read.text(f"{self.folder}/{name}/_current").first()[0]
+        return self.spark.read.text(f"{self.folder}/{name}/current.txt").first()[0]
 
     def exists(self, name: str) -> bool:
         return self._current(name) is not None
@@ -79,13 +79,15 @@ class TableStore:
         """Write a new version and make it current; the version before stays until :meth:`vacuum`."""
         version = f"v-{uuid.uuid4().hex}"
         rows.write.partitionBy(*partition_by).parquet(f"{self.folder}/{name}/{version}")
-        fresh, current = self._path(f"{self.folder}/{name}/_next-{version}"), self._path(f"{self.folder}/{name}/_current")
+        fresh, current = self._path(f"{self.folder}/{name}/next-{version}.txt"), self._path(f"{self.folder}/{name}/current.txt")
         out = self._fs.create(fresh, True)
         out.write(bytearray(f"{version}\n".encode()))
         out.close()
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        self._fs.rename(fresh, current)
+        jvm = self.spark._jvm
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.valueOf("OVERWRITE")
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri()).rename(fresh, current, how)
 
     def transaction(self, changes: dict[str, DataFrame]) -> None:
         """Write all versions first, then switch each; a failed write leaves every table as it was."""

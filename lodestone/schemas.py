@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+_TYPES = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType(), "BINARY": T.BinaryType(), "ARRAY<DOUBLE>": T.ArrayType(T.DoubleType())}
+
+
+def _struct(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
 TABLES: dict[str, T.StructType] = {
-    name: T.StructType.fromDDL(ddl)
+    name: _struct(ddl)
     for name, ddl in {
         "git_repos": "id BIGINT, pipeline_id BIGINT, sanitized_remote_uri STRING, remote_uri STRING, upstream_url STRING, cloned_path STRING, last_scanned_at TIMESTAMP, num_commits INT, num_branches INT, num_tags INT, tracking_type STRING, tracking_name STRING, chunk_size INT, chunk_overlap INT, min_chunk_size INT, created_at TIMESTAMP, updated_at TIMESTAMP",
         "git_commits": "commit_sha STRING, repo_id BIGINT, date TIMESTAMP, message STRING, parent_commit_sha STRING, author STRING, created_at TIMESTAMP, updated_at TIMESTAMP",
