@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(train).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of linked positions; ``label`` holds each position's smallest one."""
+    while len(a):
+        ra, rb = label[a], label[b]
+        apart = ra != rb
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while not np.array_equal(below := label[label], label):
+            label[:] = below
+
+
+def in_tiles(rows: DataFrame, key: str, unit: str, tile: int) -> DataFrame:
+    """``rows`` once for each pair of tiles (i <= j) of its group that its own tile ``t`` is part of.
+
+    Groups of ``key`` are cut into tiles of about ``tile`` rows by a hash of ``unit``, so a group of any
+    size is many tasks of bounded size, and each two of its rows meet in exactly one pair of tiles,
+    or, if they share a tile, in that tile with itself.
+    """
+    counts = rows.groupBy(key).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = rows.join(counts, key).withColumn("t", F.pmod(F.xxhash64(unit), F.col("tiles")).cast("int"))
+    copies = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("t", "o"), "j": F.greatest("t", "o")})
+    return copies.drop("o", "tiles").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def by_group(fn: Callable[[pa.Table], pa.RecordBatch | None], keys: int) -> Callable:
+    """A mapInArrow function over rows sorted by their first ``keys`` columns: ``fn`` gets each group whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+            changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            bounds = [0, *changes.tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                here = tuple(c[a] for c in columns)
+                if held and here != name:
+                    if (out := fn(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                name = here
+                held.append(batch.slice(a, b - a))
+        if held and (out := fn(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return run

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, materialize, merge
+
+#: Links that one task joins by union-find: 16 MB. More are joined by shuffles, with the same result.
+ONE_TASK = 1_000_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """From links (a, b) to (node, component): the smallest id reachable from each linked node.
 
-    Rounds repeat until the links form stars. A round only takes minima by node and joins, so a
-    node with very many links is combined before it is shuffled and its join can be split; the
-    links never leave the cluster.
+    Up to ``one_task`` links, counted first, one executor task joins them. Beyond, rounds of
+    shuffles repeat until the links form stars. A round only takes minima by node and joins, so a
+    node with very many links is combined before it is shuffled and its join can be split. The links
+    never leave the cluster.
     """
-    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     links = materialize(links, "links")
+    if links.count() <= one_task:
+        return links.coalesce(1).mapInArrow(_join_all, "node long, component long")
+    links = links.distinct()
     state = None
     while True:
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -35,3 +46,14 @@ def components(edges: DataFrame) -> DataFrame:
         drop_materialized(previous)
     stars = links.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    nodes, position = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(nodes))
+    merge(label, position[: len(a)], position[len(a) :])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[label], pa.int64())], names=["node", "component"])

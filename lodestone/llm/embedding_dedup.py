@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialize
+from .common import by_batch, materialize, merge
 from .components import components
 
 
@@ -52,17 +52,6 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, rows: int
             yield a[good], b[good]
 
 
-def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the components of linked positions; ``label`` holds each position's smallest one."""
-    while len(a):
-        ra, rb = label[a], label[b]
-        apart = ra != rb
-        a, b = a[apart], b[apart]
-        np.minimum.at(label, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
-        while not np.array_equal(below := label[label], label):
-            label[:] = below
-
-
 def link_embeddings(rows: DataFrame, threshold: float = 0.98, tile: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept for vectors of equal label.
 

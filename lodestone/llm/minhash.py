@@ -7,7 +7,9 @@ differ, which rules out nearly all candidates below the threshold without their
 left is confirmed on the full sets.
 
 Links only matter for what they connect, so members of a bucket are first compared with one of
-them (a star, linear in the bucket), then only across components that are still apart.
+them (a star, linear in the bucket). Where components are still apart, all pairs across them are
+compared in tiles: by sketches to find families, then by full sets inside a family. Only spanning
+forests leave a tile, never pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialize
+from .common import by_batch, by_group, in_tiles, materialize, merge
 from .components import components
 
 BANDS, ROWS, SKETCH_WORDS = 30, 5, 8
@@ -219,14 +221,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         links.append(materialize(_confirm(tested[-1], sets, percent), "minhash-links"))
         labels = materialize(components(_all(links)), "minhash-labels")
 
-    # across components: every pair of a bucket that could still join two
+    # what is still apart: families of documents that sketches hold for similar, then their full sets
     labelled = members.select("bucket", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = labelled.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
     rest = materialize(labelled.join(split, "bucket", "left_semi").join(facts.select("id", "n", "sketch"), "id"), "minhash-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _likely(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), percent)
-    pairs = x.join(y, across).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(_all(tested), ["a", "b"], "left_anti")
-    final = materialize(_confirm(pairs, sets, percent), "minhash-links")
+    families = materialize(components(_hopeful(rest, percent)), "minhash-families")
+    last = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(rest.select("id", "component").distinct(), "id").join(sets, "id")
+    final = materialize(_linked(last, percent), "minhash-links")
     if not final.isEmpty():
         labels = materialize(components(_all([*links, final])), "minhash-labels")
 
@@ -235,6 +236,77 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _forest(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch | None:
+    """Each position that is not the first of its component, with that first one."""
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"]) if len(moved) else None
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    whole = column.combine_chunks()
+    flat = whole.flatten().to_numpy().view(np.uint64)
+    return np.split(flat, np.cumsum(whole.value_lengths().to_numpy())[:-1])
+
+
+def _hopeful(rest: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
+    """A spanning forest (a, b) of the pairs that share a bucket, not a component, and similar sketches.
+
+    Pairs are compared by matrices of bitmaps inside tiles of a bucket; only the forest leaves them.
+    """
+    most = most_bits(percent / 100)
+
+    def compare(table: pa.Table) -> pa.RecordBatch | None:
+        ids, component, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
+        if len(ids) < 2 or (component == component[0]).all():
+            return None
+        sketch, label = np.stack(_lists(table.column("sketch"))), np.arange(len(ids))
+        for at in range(0, len(ids), 256):
+            part = slice(at, at + 256)
+            bits = np.bitwise_count(sketch[part, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
+            sizes = np.minimum(n[part, None], n[None, :]) * 100 >= np.maximum(n[part, None], n[None, :]) * percent
+            x, y = np.nonzero((bits <= most) & sizes & (component[part, None] != component[None, :]))
+            merge(label, x + at, y)
+        return _forest(ids, label)
+
+    rows = in_tiles(rest, "bucket", "id", tile).select("bucket", "i", "j", "id", "component", "n", "sketch")
+    return rows.mapInArrow(by_group(compare, 3), "a long, b long")
+
+
+def _linked(rows: DataFrame, percent: int, tile: int = 256, width: int = 8192) -> DataFrame:
+    """A spanning forest (a, b) of the links between components of a family, from full sets.
+
+    Sizes of all intersections of a pair of tiles are one product of 0/1 matrices, taken over
+    ``width`` shingles at a time, so memory is bounded for sets of any size.
+    """
+
+    def compare(table: pa.Table) -> pa.RecordBatch | None:
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        if len(ids) < 2 or (component == component[0]).all():
+            return None
+        sets = _lists(table.column("members"))
+        n = np.array([len(s) for s in sets])
+        values, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), n)
+        # only shingles of two sets or more can be shared; they are numbered anew
+        number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[code]
+        owner, number = owner[number >= 0], number[number >= 0]
+        order = np.argsort(number, kind="stable")
+        owner, number = owner[order], number[order]
+        shared = np.zeros((len(sets), len(sets)))
+        for at in range(0, int((times > 1).sum()), width):
+            a, b = np.searchsorted(number, [at, at + width])
+            block = np.zeros((len(sets), width), dtype=np.float32)
+            block[owner[a:b], number[a:b] - at] = 1
+            shared += block @ block.T
+        x, y = np.nonzero((shared * 100 >= (n[:, None] + n[None, :] - shared) * percent) & (component[:, None] != component[None, :]))
+        label = np.arange(len(ids))
+        merge(label, x, y)
+        return _forest(ids, label)
+
+    tiled = in_tiles(rows, "family", "id", tile).select("family", "i", "j", "id", "component", "members")
+    return tiled.mapInArrow(by_group(compare, 3), "a long, b long")
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
