@@ -499,16 +499,18 @@ def _bm25_sql(k: int) -> str:
 @query(f"""WITH t AS ({_TERMS}), {_STATS}, h AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM t WHERE term IN ('tion', 'the', 'worthless') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term)
 SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(10)})""")
 def bm25_terms_topk(documents):
-    index = retrieval.postings(documents, "doc_id", "text")
-    return retrieval.bm25_terms(index, ["tion", "the", "worthless"], 10, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    terms = ["tion", "the", "worthless"]
+    index = retrieval.postings(documents, "doc_id", "text", only=terms)
+    return retrieval.bm25_terms(index, terms, 10, "doc_id", retrieval.lengths(documents, "doc_id")).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS i, len(t) AS dl FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents)),
 t AS (SELECT doc_id, dl FROM p), {_STATS}, h AS (SELECT a.doc_id, 'x' AS term, any_value(a.dl) AS dl, count(*) AS tf FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id),
 f AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(10)})""")
 def bm25_phrase_topk(documents):
-    index = retrieval.postings(documents, "doc_id", "text")
-    return retrieval.bm25_phrase(index, ["of", "the"], 10, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    terms = ["of", "the"]
+    index = retrieval.postings(documents, "doc_id", "text", only=terms)
+    return retrieval.bm25_phrase(index, terms, 10, "doc_id", retrieval.lengths(documents, "doc_id")).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -579,9 +581,10 @@ v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id::VARCH
 u AS (SELECT id, sum(1 / (60.0 + r)) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY id ORDER BY score DESC, id::VARCHAR LIMIT 10)
 SELECT d.doc_id, d.lang, d.source, round(u.score, 9) AS score FROM u JOIN documents d ON d.doc_id = u.id""")
 def hybrid_search(documents, embeddings):
-    index = retrieval.postings(documents, "doc_id", "text")
+    terms = ["thing", "tion"]
+    index = retrieval.postings(documents, "doc_id", "text", only=terms)
     near = retrieval.exact_topk(embeddings, _query_vector(embeddings), 20, "vec_id").select(F.col("vec_id").alias("id"), "score")
-    words = retrieval.bm25_terms(index, ["thing", "tion"], 20, "doc_id").select(F.col("doc_id").alias("id"), "score")
+    words = retrieval.bm25_terms(index, terms, 20, "doc_id", retrieval.lengths(documents, "doc_id")).select(F.col("doc_id").alias("id"), "score")
     return retrieval.hybrid([near, words], documents.select("doc_id", "lang", "source"), 10, "id", "doc_id").select("doc_id", "lang", "source", F.round("score", 9).alias("score"))
 
 

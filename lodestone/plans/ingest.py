@@ -41,11 +41,11 @@ def chunk_files(files: DataFrame, config: ChunkConfig = ChunkConfig(), key: str
 
 def window_chunks(files: DataFrame, size: int, overlap: int, key: str = "id", content: str = "content") -> DataFrame:
     """Sliding windows of code points, wholly in Spark; a last window inside the overlap is dropped."""
-    step = size - overlap
-    n = F.length(content)
-    starts = files.where(n > 0).select(key, content, F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))).alias("start"))
-    piece = F.substring(F.col(content), F.col("start") + 1, F.lit(size))
-    return starts.select(key, "start", piece.alias("chunk")).where((F.col("start") == 0) | (F.length("chunk") > overlap))
+    starts = F.sequence(F.lit(0), F.length(content) - 1, F.lit(size - overlap))
+    # windows are cut before they are laid out, so a row carries its window and not the whole text
+    cut = F.transform(starts, lambda at: F.struct(at.alias("start"), F.substring(F.col(content), at + 1, F.lit(size)).alias("chunk")))
+    rows = files.where(F.length(content) > 0).select(key, F.explode(F.filter(cut, lambda w: (w["start"] == 0) | (F.length(w["chunk"]) > overlap))).alias("w"))
+    return rows.select(key, "w.start", "w.chunk")
 
 
 def chunk_tables(found: DataFrame, files: DataFrame, key: str = "id") -> dict[str, DataFrame]:

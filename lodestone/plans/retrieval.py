@@ -33,8 +33,12 @@ def _top(k: int) -> int:
 # --- keywords
 
 
-def postings(docs: DataFrame, key: str = "id", text: str = "text", stemmed: bool = False) -> DataFrame:
-    """(key, term, tf, positions, dl): what each document holds of each term.
+def _split(text: str) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def postings(docs: DataFrame, key: str = "id", text: str = "text", stemmed: bool = False, only: Sequence[str] | None = None) -> DataFrame:
+    """(key, term, tf, positions, dl): what each document holds of each term, or of the terms ``only``.
 
     Without stemming, terms are lower-cased runs of letters and digits and stay in Spark's code;
     with it they go through the Porter stemmer by Arrow batches.
@@ -51,8 +55,12 @@ def postings(docs: DataFrame, key: str = "id", text: str = "text", stemmed: bool
 
         split = docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, terms array<string>")
     else:
-        split = docs.select(key, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "").alias("terms"))
-    rows = split.withColumn("dl", F.size("terms")).select(key, "dl", F.posexplode("terms").alias("position", "term"))
+        split = docs.select(key, _split(text).alias("terms"))
+    placed = F.transform("terms", lambda t, i: F.struct(i.alias("position"), t.alias("term")))
+    if only is not None:
+        wanted = list(only)
+        placed = F.filter(placed, lambda p: p["term"].isin(wanted))
+    rows = split.select(key, F.size("terms").alias("dl"), F.explode(placed).alias("p")).select(key, "dl", "p.position", "p.term")
     return rows.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
@@ -61,15 +69,24 @@ def _bm25(tf: Column, df: Column, n: Column, dl: Column, mean: Column) -> Column
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
-def _corpus(index: DataFrame, key: str) -> DataFrame:
-    return index.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+def lengths(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, dl) of documents that have terms, without laying out a posting."""
+    return docs.select(key, F.size(_split(text)).alias("dl")).where("dl > 0")
+
 
+def _corpus(index: DataFrame, key: str, known: DataFrame | None) -> DataFrame:
+    rows = index.groupBy(key).agg(F.first("dl").alias("dl")) if known is None else known
+    return rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
 
-def bm25_terms(index: DataFrame, terms: Sequence[str], k: int = TOP, key: str = "id") -> DataFrame:
-    """Best documents for a bag of terms: key, score. The filter on terms prunes the postings."""
+
+def bm25_terms(index: DataFrame, terms: Sequence[str], k: int = TOP, key: str = "id", known: DataFrame | None = None) -> DataFrame:
+    """Best documents for a bag of terms: key, score. The filter on terms prunes the postings.
+
+    ``known`` is the table of document lengths; without it, lengths come from the postings.
+    """
     hits = index.where(F.col("term").isin(list(dict.fromkeys(terms))))
     freq = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = _corpus(index, key)
+    stats = _corpus(index, key, known)
     scored = hits.join(freq, "term").crossJoin(F.broadcast(stats))  # one row
     return scored.groupBy(key).agg(F.sum(_bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("mean"))).alias("score")).orderBy(F.desc("score"), key).limit(_top(k))
 
@@ -78,7 +95,7 @@ def _minus(step: int):
     return lambda p: p - step
 
 
-def bm25_phrase(index: DataFrame, terms: Sequence[str], k: int = TOP, key: str = "id") -> DataFrame:
+def bm25_phrase(index: DataFrame, terms: Sequence[str], k: int = TOP, key: str = "id", known: DataFrame | None = None) -> DataFrame:
     """Best documents that hold the terms one after the other, scored as one term of that frequency."""
     if not terms:
         return index.select(key, F.lit(0.0).alias("score")).limit(0)
@@ -89,7 +106,7 @@ def bm25_phrase(index: DataFrame, terms: Sequence[str], k: int = TOP, key: str =
         following = F.coalesce(F.element_at("at", F.lit(term)), F.array().cast("array<int>"))
         starts = F.array_intersect(starts, F.transform(following, _minus(step)))
     found = docs.withColumn("tf", F.size(F.coalesce(starts, F.array().cast("array<int>")))).where("tf > 0").select(key, "dl", "tf")
-    freq, stats = found.agg(F.count("*").alias("df")), _corpus(index, key)
+    freq, stats = found.agg(F.count("*").alias("df")), _corpus(index, key, known)
     scored = found.crossJoin(F.broadcast(freq)).crossJoin(F.broadcast(stats))  # one row each
     return scored.select(key, _bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("mean")).alias("score")).orderBy(F.desc("score"), key).limit(_top(k))
 
