@@ -150,3 +150,11 @@ def assign_priorities(items: DataFrame, keys: Sequence[str], order: Column, base
     i = F.row_number().over(w.orderBy(order)) - 1
     n = F.count("*").over(w)
     return items.withColumn("priority", (base if isinstance(base, Column) else F.lit(base)) + 10 * (n - i))
+
+
+def reduce_union(tables: Sequence[DataFrame]) -> DataFrame:
+    """All rows of the tables, columns by name."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
