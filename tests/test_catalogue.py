@@ -1,6 +1,6 @@
 import pytest
 
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, more  # noqa: F401
 
 from .conftest import SMALL
 from .oracle import connection, same
