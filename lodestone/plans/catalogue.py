@@ -156,10 +156,10 @@ def grep_lines_grouped(documents):
     return found.select(F.col("path").alias("doc_id"), "first_seq", F.size("matches").cast("long").alias("n"), F.array_join(F.transform("matches", lambda m: m["line"].cast("string")), ",").alias("lines"))
 
 
-@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS seq FROM lineitem WHERE l_quantity = 50)
+@query("""WITH o AS (SELECT *, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_quantity = 50)
 SELECT l_suppkey AS path, min(seq) AS first_seq, count(*) AS n FROM o GROUP BY l_suppkey ORDER BY first_seq, path LIMIT 5""")
 def group_collect_capped(lineitem):
-    rows = lineitem.where("l_quantity = 50").select(F.col("l_suppkey").alias("path"), F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber")).alias("seq"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("content"))
+    rows = lineitem.where("l_quantity = 50").select(F.col("l_suppkey").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("content"))
     return R.group_by_file(rows, 5).select("path", "first_seq", F.size("matches").cast("long").alias("n"))
 
 
