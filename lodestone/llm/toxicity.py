@@ -20,20 +20,49 @@ from pyspark.sql import functions as F
 from .common import by_batch, fold, labelled_sample, texts
 
 EDGES = ".,;:!?\"'()[]{}<>|#%&*-_=+/\\~^$@`"
+SHORTEST, LONGEST = 3, 5
 #: Words that a Python worker remembers at most.
-MEMORY = 200_000
+MEMORY = 400_000
+_PLACES = np.random.default_rng(11).integers(0, 1 << 63, LONGEST + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def grams(word: str, low: int = 3, high: int = 5) -> list[str]:
-    """The marked word and its character n-grams."""
-    marked = f"<{word}>"
-    return [marked, *(marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1) if n < len(marked))]
+def _slots(h: np.ndarray, salt: int, buckets: int) -> np.ndarray:
+    h = h + np.uint64(salt * int(_PLACES[LONGEST]) % (1 << 64))
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
-def rows_of(token: str, buckets: int) -> list[int]:
-    """The rows of the embedding table that a token of the text averages."""
-    word = token.strip(EDGES).lower() or token.lower()
-    return [crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams(word[:64])]
+def subword_rows(tokens: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the embedding table for many tokens at once: all rows, and how many each token has.
+
+    A token, lower-cased and without marks at its edges, stands between < and >; its rows are the
+    hashes of the whole and of its character n-grams.
+    """
+    if not tokens:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    marked = [f"<{(t.strip(EDGES) or t).lower()}>" for t in tokens]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    ends = np.cumsum(lengths)
+    token = np.repeat(np.arange(len(marked)), lengths)
+    left = ends[token] - np.arange(len(codes))  # characters from here to the token's end
+    whole = np.fromiter((crc32(m.encode("utf-8", "surrogatepass")) for m in marked), dtype=np.uint64, count=len(marked))
+    rows, owner = [_slots(whole, 0, buckets)], [np.arange(len(marked))]
+    for n in range(SHORTEST, LONGEST + 1):
+        at = np.flatnonzero((left >= n) & (lengths[token] > n))
+        h = np.zeros(len(at), dtype=np.uint64)
+        for k in range(n):
+            h += codes[at + k] * _PLACES[k]
+        rows.append(_slots(h, n, buckets))
+        owner.append(token[at])
+    owner_of = np.concatenate(owner)
+    order = np.argsort(owner_of, kind="stable")
+    return np.concatenate(rows)[order], np.bincount(owner_of, minlength=len(marked))
+
+
+#: What this worker knows of the model it used last: its key and the logits of words.
+_KNOWN: dict[str, dict[str, float]] = {}
 
 
 @dataclass
@@ -50,22 +79,34 @@ class SubwordModel:
     window: int = 128
 
     def __post_init__(self) -> None:
-        self.known: dict[str, float] = {}
-
-    def token_logit(self, token: str) -> float:
-        if (value := self.known.get(token)) is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            found = self.row_logit[rows_of(token, len(self.row_logit))]
-            found = found[~np.isnan(found)]
-            value = self.known[token] = float(found.mean()) if len(found) else 0.0
-        return value
+        self.key = f"{crc32(self.row_logit.tobytes())}:{self.bias}:{self.scale}"
+
+    def known(self, tokens: set[str]) -> dict[str, float]:
+        """Logits of these tokens and of others met before."""
+        if self.key not in _KNOWN:
+            _KNOWN.clear()
+            _KNOWN[self.key] = {}
+        known = _KNOWN[self.key]
+        if len(known) + len(tokens) > MEMORY:
+            known.clear()
+        fresh = [t for t in tokens if t not in known]
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            rows, sizes = subword_rows(some, len(self.row_logit))
+            values = self.row_logit[rows]
+            kept = ~np.isnan(values)
+            first = np.cumsum(sizes) - sizes
+            total = np.add.reduceat(np.where(kept, values, 0).astype(np.float64), first)
+            known.update(zip(some, (total / np.maximum(np.add.reduceat(kept.astype(np.int64), first), 1)).tolist(), strict=True))
+        return known
 
     def scores(self, docs: list[str]) -> np.ndarray:
+        split = [t.split() for t in docs]
+        known = self.known(set().union(*split)) if split else {}
         logits = np.full(len(docs), self.bias)
-        for i, text in enumerate(docs):
-            if tokens := text.split():
-                values = np.fromiter(map(self.token_logit, tokens), dtype=np.float64, count=len(tokens))
+        for i, tokens in enumerate(split):
+            if tokens:
+                values = np.fromiter(map(known.__getitem__, tokens), dtype=np.float64, count=len(tokens))
                 at, length = windows(len(tokens), self.window)
                 sums = np.concatenate([[0.0], np.cumsum(values)])
                 logits[i] += self.scale * (sums[at + length] - sums[at]).max() / (length + self.blank)
@@ -79,7 +120,7 @@ def windows(n: int, window: int) -> tuple[np.ndarray, int]:
     return np.append(np.arange(0, n - window, window // 2), n - window), window
 
 
-def train(docs: list[str], y: np.ndarray, dim: int = 8, buckets: int = 1 << 17, epochs: int = 10, batch: int = 256, rate: float = 0.3, scale: float = 60.0, min_docs: int = 6, blank: int = 32, window: int = 128, whole_epochs: int = 3, shrink: float = 1e-4, seed: int = 7) -> SubwordModel:
+def train(docs: list[str], y: np.ndarray, dim: int = 8, buckets: int = 1 << 17, steps: int = 900, batch: int = 128, rate: float = 0.3, scale: float = 60.0, min_docs: int = 6, blank: int = 32, window: int = 128, whole_epochs: int = 3, shrink: float = 1e-4, seed: int = 7) -> SubwordModel:
     """Fit embeddings and softmax together by Adagrad; one class or no rows give its constant.
 
     ``scale`` multiplies the mean before the softmax, as a temperature. Only rows met in at least
@@ -87,32 +128,41 @@ def train(docs: list[str], y: np.ndarray, dim: int = 8, buckets: int = 1 << 17,
     After ``whole_epochs`` a long document is represented by its most toxic window of ``window``
     words, as in scoring, so a few insults in a long text are not averaged away. ``blank`` zero
     vectors join every mean, so a few words alone decide little; ``shrink`` pulls rows of no use to 0.
+    Training takes about ``steps`` batches, however many documents there are.
     """
     if len(set(y.tolist())) < 2:
         return SubwordModel(np.zeros(1, dtype=np.float32), 30.0 if len(y) and y[0] else -30.0, scale)
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    per_doc, refs = [], []
+    per_doc = []
     for text in docs:
-        ids = []
-        for token in text.split():
-            if (k := index.get(token)) is None:
-                k = index[token] = len(index)
-                refs.append(np.array(rows_of(token, buckets), dtype=np.int32))
-            ids.append(k)
-        per_doc.append(np.array(ids, dtype=np.int32))
+        per_doc.append(np.array([index.setdefault(token, len(index)) for token in text.split()], dtype=np.int32))
+    # tokens are taken in slices, as the n-grams of all at once would not fit the driver
+    words = list(index)
+    slices = [subword_rows(words[at : at + 10_000], buckets) for at in range(0, len(words), 10_000)]
+    flat = np.concatenate([np.zeros(0, dtype=np.int32), *(rows for rows, _ in slices)])
+    sizes = np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in slices)])
+    del slices, words
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    index.clear()
     met = np.zeros(buckets, dtype=np.int32)
     for ids in per_doc:
         if len(ids):
-            met[np.unique(np.concatenate([refs[k] for k in np.unique(ids)]))] += 1
+            met[np.unique(_gather(flat, starts, sizes, np.unique(ids)))] += 1
     # kept rows are renumbered; one spare row, always zero, stands for a token without any
     kept = np.flatnonzero(met >= min_docs)
     number = np.full(buckets, len(kept), dtype=np.int32)
     number[kept] = np.arange(len(kept))
-    refs = [r[r < len(kept)] if (r < len(kept)).any() else r[:1] for r in (number[r] for r in refs)]
-    sizes = np.array([len(r) for r in refs])
+    flat = number[flat]
+    hit = flat < len(kept)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    known = np.bincount(owner[hit], minlength=len(sizes))
+    bare = np.flatnonzero(known == 0).astype(np.int32)
+    order = np.argsort(np.concatenate([owner[hit], bare]), kind="stable")
+    flat = np.concatenate([flat[hit], np.full(len(bare), len(kept), dtype=np.int32)])[order]
+    sizes = np.maximum(known, 1)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.concatenate(refs) if refs else np.zeros(0, dtype=np.int32)
+    del owner, hit, order
     used = len(kept) + 1
     E = rng.uniform(-0.5 / dim, 0.5 / dim, (used, dim)).astype(np.float32)
     E[-1] = 0
@@ -122,18 +172,19 @@ def train(docs: list[str], y: np.ndarray, dim: int = 8, buckets: int = 1 << 17,
     keep = np.array([i for i, ids in enumerate(per_doc) if len(ids)])
     parts = list(per_doc)
     weight = np.where(y == 1, max(1.0, 0.5 * np.mean(y == 0) / np.mean(y == 1)), 1.0).astype(np.float32)
-    for epoch in range(epochs):
+    rounds = max(1, len(keep) // batch)
+    for epoch in range(-(-steps // rounds)):
         if epoch >= whole_epochs:
             value = np.add.reduceat((E @ (W[:, 1] - W[:, 0]))[flat], starts[:-1]) / sizes
             parts = [_best(ids, value, window) for ids in per_doc]
-        for at in np.array_split(rng.permutation(keep), max(1, len(keep) // batch)):
+        for at in np.array_split(rng.permutation(keep), rounds):
             tokens, inverse = np.unique(np.concatenate([parts[i] for i in at]), return_inverse=True)
             lengths = np.array([len(parts[i]) for i in at])
             doc_of = np.repeat(np.arange(len(at)), lengths)
             counts = (1 / (lengths + blank)).astype(np.float32)[doc_of]
             n = sizes[tokens]
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            rows = flat[np.repeat(starts[tokens] - first, n) + np.arange(n.sum())]
+            rows = _gather(flat, starts, sizes, tokens)
             V = np.add.reduceat(E[rows], first, axis=0) / n[:, None]
             D = np.stack([np.bincount(doc_of, counts * V[inverse, k], len(at)) for k in range(dim)], 1)
             z = scale * D @ W + b
@@ -154,12 +205,19 @@ def train(docs: list[str], y: np.ndarray, dim: int = 8, buckets: int = 1 << 17,
             E *= np.maximum(0, 1 - shrink * rate / np.sqrt(gE) / norm)
             E[-1] = 0
             W -= (rate * dW / np.sqrt(gW)).astype(np.float32)
-            b -= (rate * db / np.sqrt(gb)).astype(np.float32)
+            b -= (3 * rate * db / np.sqrt(gb)).astype(np.float32)
     row_logit = np.full(buckets, np.nan, dtype=np.float32)
     row_logit[kept] = E[:-1] @ (W[:, 1] - W[:, 0])
     return SubwordModel(row_logit, float(b[1] - b[0]), scale, blank, window)
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The rows of some tokens, one token after the other."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def _best(ids: np.ndarray, value: np.ndarray, window: int) -> np.ndarray:
     """The window of a document in which the model sees most toxicity."""
     if len(ids) <= window:
