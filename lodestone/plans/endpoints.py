@@ -285,3 +285,40 @@ def numbered(rows: DataFrame, order: Column) -> DataFrame:
 
 #: Endpoints by name, for registries and servers.
 ENDPOINTS: dict[str, Callable] = {f.__name__: f for f in (repositories, find_repository, commits, latest_commit, commit_files, tags, commit_enrichments, repository_enrichments, commit_snippets, delete_enrichments, cleanup_old, search, semantic, keyword, grep, listing, read_lines, document, wiki_page, status, status_summary, pipeline_steps)}
+
+
+# --- whole repositories
+
+
+def rescan(c: Catalog, sha: str) -> dict[str, DataFrame]:
+    """All tables without what is known of a commit, so that it is scanned anew."""
+    left = delete_enrichments(c, _of_commits(c, [sha]).select("id"))
+    left["git_commit_files"] = c["git_commit_files"].where(F.col("commit_sha") != sha)
+    left["git_commits"] = c["git_commits"].where(F.col("commit_sha") != sha)
+    return left
+
+
+def delete_repository(c: Catalog, repo: int) -> dict[str, DataFrame]:
+    """All tables without a repository, its history, what was derived from it and its queued tasks."""
+    c.check(repo)
+    shas = c["git_commits"].where(F.col("repo_id") == repo)
+    left = delete_enrichments(c, _of_commits(c, shas).select("id"))
+    left["git_commit_files"] = delete_keys(c["git_commit_files"], shas, "commit_sha")
+    for name in ("git_commits", "git_branches", "git_tags"):
+        left[name] = c[name].where(F.col("repo_id") != repo)
+    left["git_repos"] = c["git_repos"].where(F.col("id") != repo)
+    left["tasks"] = c["tasks"].where(~F.coalesce(X.payload_number(F.col("payload"), "repository_id") == repo, F.lit(False)))
+    return left
+
+
+def add_repository(c: Catalog, url: str, number: int) -> tuple[DataFrame, bool]:
+    """The repository of an address, and whether it is new; adding one twice changes nothing."""
+    found = find_repository(c, url)
+    if not found.isEmpty():
+        return found, False
+    row = c["git_repos"].sparkSession.createDataFrame([(number, url)], "id long, remote_uri string")
+    fresh = row.withColumn("sanitized_remote_uri", X.sanitize_uri(F.col("remote_uri")))
+    return c["git_repos"].limit(0).unionByName(fresh, allowMissingColumns=True), True
+
+
+ENDPOINTS |= {f.__name__: f for f in (rescan, delete_repository, add_repository)}

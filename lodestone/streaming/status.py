@@ -80,3 +80,34 @@ def throttle(updates: DataFrame, interval_ms: int, key: str = "id", state: str =
 
     rows = updates.select(F.col(key).cast("string").alias("id"), F.col(state).alias("state"), F.col(payload).cast("string").alias("payload"))
     return rows.groupBy("id").transformWithStateInPandas(statefulProcessor=Throttle(), outputStructType="id string, state string, payload string", outputMode="Append", timeMode="ProcessingTime")
+
+
+def replay(events: DataFrame, key: str = "id", order: str = "at", event: str = "event") -> DataFrame:
+    """The state of each task after all its events, in order; a state that has ended stays.
+
+    The first ending event decides; before one, the last event does. Both are aggregates, so no
+    task's events have to meet in memory.
+    """
+    names = F.create_map(*[F.lit(x) for kv in (("start", "started"), ("progress", "in_progress"), ("complete", "completed"), ("fail", "failed"), ("skip", "skipped")) for x in kv])
+    state = F.element_at(names, F.col(event))
+    ended = state.isin(*TERMINAL)
+    first = F.min_by(F.when(ended, state), F.when(ended, F.col(order)))
+    last = F.max_by(F.when(~ended, state), F.when(~ended, F.col(order)))
+    return events.groupBy(key).agg(F.coalesce(first, last, F.lit("started")).alias("state"))
+
+
+def fan_out(updates: DataFrame, reporters: list, checkpoint: str, available_now: bool = True):
+    """Give every micro-batch of a stream to each reporter; one that fails does not stop the others."""
+    failures: list[str] = []
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for report in reporters:
+            try:
+                report(batch, number)
+            except Exception as e:  # noqa: BLE001  reporters are the caller's
+                failures.append(f"{type(e).__name__}: {e}")
+        batch.unpersist()
+
+    writer = updates.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start(), failures
