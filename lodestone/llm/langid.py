@@ -8,10 +8,8 @@ language wins.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
-from zlib import crc32
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,43 +19,47 @@ from pyspark.sql.window import Window
 
 from .common import by_batch, fold, texts
 
-_LETTER = re.compile(r"[^\W\d_]")
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: n-grams are known by a hash of so many values, so a worker's tables never grow.
-SLOTS = 1 << 20
-MEMORY = 100_000
-
-
-def slots_of(word: str, longest: int = 3) -> np.ndarray:
-    """Hashes of the n-grams of one lower-case word."""
-    padded = f" {word} "
-    return np.array([crc32(padded[i : i + n].encode("utf-8", "surrogatepass")) % SLOTS for n in range(1, longest + 1) for i in range(len(padded) - n + 1)], dtype=np.int64)
-
-
-class Grams:
-    """Counts n-grams of texts; remembers the n-grams of words."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, word: str) -> np.ndarray:
-        if (got := self.known.get(word)) is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            got = slots_of(word)
-            if len(word) <= 40:
-                self.known[word] = got
-        return got
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """n-grams (as slots, ascending) and how often each occurs in the text."""
-        words = Counter(_NOT_LETTERS.sub(" ", text.lower()).split())
-        if not words:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        parts = [self.of(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(p) for p in parts])
-        slots, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        return slots, np.bincount(inverse, times, len(slots)).astype(np.int64)
+#: n-grams are known by a hash of so many values, so tables have one size whatever the texts.
+SLOTS, LONGEST = 1 << 16, 3
+_PLACES = np.random.default_rng(5).integers(0, 1 << 63, LONGEST + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def count(text: str) -> np.ndarray:
+    """How often each n-gram (as a slot) occurs in a text's words, each between two blanks."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letter = _letters()[codes]
+    # a run of anything else is one blank
+    kept = letter.copy()
+    kept[0] = True
+    kept[1:] |= letter[:-1]
+    codes, letter = np.where(letter, codes, 32)[kept].astype(np.uint64), letter[kept]
+    total = np.zeros(SLOTS, dtype=np.int64)
+    h = np.zeros(len(codes), dtype=np.uint64)
+    for n in range(1, LONGEST + 1):
+        if len(codes) < n:
+            break
+        h = h[: len(codes) - n + 1] + codes[n - 1 :] * _PLACES[n]
+        # blanks only at the ends, and a letter somewhere
+        if n < 3:
+            good = letter[: len(h)] | letter[n - 1 :]
+        else:
+            good = np.logical_and.reduce([letter[k : len(h) + k] for k in range(1, n - 1)])
+        mixed = h[good]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        total += np.bincount((mixed >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+    return total
+
+
+def top(total: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` most frequent n-grams in order; ties by slot."""
+    slots = np.flatnonzero(total)
+    return ranking(slots, total[slots], length)
 
 
 def ranking(slots: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -80,7 +82,6 @@ class Profiles:
         self.place = np.full((len(self.langs), len(listed) + 1), -1, dtype=np.int64)
         for k, r in enumerate(self.ranked):
             self.place[k, self.column[r]] = np.arange(len(r))
-        self.grams = Grams()
 
     def __getstate__(self) -> dict:
         return {"langs": self.langs, "ranked": self.ranked, "length": self.length}
@@ -91,10 +92,7 @@ class Profiles:
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language and 1 - distance / largest distance; ``und`` and 0 without letters or profiles."""
-        if not self.langs or not _LETTER.search(text):
-            return "und", 0.0
-        slots, counts = self.grams.count(text)
-        mine = ranking(slots, counts, self.length)
+        mine = top(count(text), self.length) if self.langs else ()
         if not len(mine):
             return "und", 0.0
         at = self.place[:, self.column[mine]]
@@ -114,19 +112,17 @@ def fit(docs: DataFrame, folds: int = 3, held: int = 1, per_lang: int = 300, len
     kept = rows.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"], "left_semi")
 
     def run(batches):
-        grams, totals = Grams(), {}
+        totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(texts(batch), batch.column(batch.schema.get_field_index("lang")).to_pylist(), strict=True):
-                slots, counts = grams.count(text)
-                if len(slots):
-                    totals.setdefault(lang, np.zeros(SLOTS, dtype=np.int32))[slots] += counts.astype(np.int32)
+                totals[lang] = totals.get(lang, 0) + count(text)
         for lang, total in totals.items():
             slots = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots), pa.array(total[slots].astype(np.int64))], names=["lang", "slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots), pa.array(total[slots])], names=["lang", "slot", "n"])
 
     counted = kept.select("text", "lang").mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "slot")
-    ranked = counted.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= length).toPandas().sort_values(["lang", "rank"])
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "slot")
+    ranked = counted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= length).toPandas().sort_values(["lang", "rank"])
     langs = sorted(ranked["lang"].unique().tolist())
     return Profiles(langs, [ranked.loc[ranked["lang"] == x, "slot"].to_numpy(dtype=np.int64) for x in langs], length)
 
