@@ -267,3 +267,39 @@ def test_native_plan(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     plan = U.filter_urls(pages)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_url_scores(spark):
+    """Scores against a plain model without hashing: they differ only where two grams share a slot."""
+    import math
+    from collections import Counter
+
+    spec = [(f"http://h{k % 23}.{('com/en', 'net/de', 'info/xx')[k % 3]}/{k * 37 % 101}", k) for k in range(240)]
+    df = spark.createDataFrame(spec, "url string, page_id long")
+    got = {r["page_id"]: r for r in U.filter_urls(df, slots=1 << 20).collect()}
+    counts, order, a0 = {True: Counter(), False: Counter()}, 4, 4.0
+    for url, k in spec:
+        if (verdict := got[k]["rule"]) is not None:
+            text = "^" + url.split("://", 1)[1] + "$"
+            for n in range(1, order + 1):
+                counts[verdict == "net/de/"].update(text[i : i + n] for i in range(len(text) - n + 1))
+    known = {g for g in counts[True] | counts[False] if counts[True][g] + counts[False][g] >= 2}
+    context = {c: Counter() for c in (True, False)}
+    for c in context:
+        for g in known:
+            context[c][g[:-1], len(g)] += counts[c][g]
+
+    def p(c, g):
+        if not g:
+            return 1 / 256
+        return (counts[c][g] + a0 * p(c, g[1:])) / (context[c][g[:-1], len(g)] + a0)
+
+    same = 0
+    for url, k in spec:
+        text = "^" + url.split("://", 1)[1] + "$"
+        total = 0.0
+        for i in range(2, len(text) + 1):
+            gram = next((text[i - n : i] for n in range(min(order, i), 0, -1) if text[i - n : i] in known), "")
+            total += math.log(p(True, gram)) - math.log(p(False, gram)) if gram else 0.0
+        same += abs(total / (len(text) - 1) - got[k]["score"]) < 1e-9
+    assert same >= 0.9 * len(spec)
