@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_batch, fold, texts
+from .common import by_batch, fold, materialize, texts
 
 #: n-grams are known by a hash of so many values, so tables have one size whatever the texts.
 SLOTS, LONGEST = 1 << 16, 3
@@ -102,14 +102,18 @@ class Profiles:
 
 
 def fit(docs: DataFrame, folds: int = 3, held: int = 1, per_lang: int = 300, length: int = 300) -> Profiles:
-    """Profiles from at most ``per_lang`` documents of each language outside the held-out fold.
+    """Profiles from about ``per_lang`` documents of each language outside the held-out fold.
 
-    The documents are those whose ids hash lowest; rows without id, text or language are left out.
+    The documents are those whose ids hash lowest; rows that repeat the last of these ids count too.
+    Rows without id or language are left out; a null text adds nothing.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
+    # each language's cut is the hash of its per_lang-th id: one row a language, written, so that Spark
+    # broadcasts it only if its file is small, and no text is shuffled
     lowest = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct()
-    kept = rows.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"], "left_semi")
+    numbered = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= per_lang)
+    cuts = materialize(numbered.groupBy(F.col("lang").alias("cut_lang")).agg(F.max("h").alias("cut")), "language-cuts")
+    kept = rows.join(cuts, F.col("lang") == F.col("cut_lang")).where(F.xxhash64("doc_id") <= F.col("cut"))
 
     def run(batches):
         totals: dict[str, np.ndarray] = {}
