@@ -110,8 +110,11 @@ def fit(docs: DataFrame, folds: int = 3, held: int = 1, per_lang: int = 300, len
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
     # each language's cut is the hash of its per_lang-th id: one row a language, written, so that Spark
     # broadcasts it only if its file is small, and no text is shuffled
-    lowest = Window.partitionBy("lang").orderBy("h", "doc_id")
-    numbered = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= per_lang)
+    numbered = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("share", F.pmod("h", F.lit(64)))
+    # the lowest of each share of a language first, so the last step sees at most 64 * per_lang rows of one
+    for keys in (("lang", "share"), ("lang",)):
+        lowest = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        numbered = numbered.withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= per_lang).drop("n")
     cuts = materialize(numbered.groupBy(F.col("lang").alias("cut_lang")).agg(F.max("h").alias("cut")), "language-cuts")
     kept = rows.join(cuts, F.col("lang") == F.col("cut_lang")).where(F.xxhash64("doc_id") <= F.col("cut"))
 
