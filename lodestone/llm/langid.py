@@ -104,18 +104,15 @@ class Profiles:
 def fit(docs: DataFrame, folds: int = 3, held: int = 1, per_lang: int = 300, length: int = 300) -> Profiles:
     """Profiles from about ``per_lang`` documents of each language outside the held-out fold.
 
-    The documents are those whose ids hash lowest; rows that repeat the last of these ids count too.
-    Rows without id or language are left out; a null text adds nothing.
+    The documents are those whose ids hash below a cut, all of a language that has no more. Rows
+    without id or language are left out; a null text adds nothing.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
-    # each language's cut is the hash of its per_lang-th id: one row a language, written, so that Spark
-    # broadcasts it only if its file is small, and no text is shuffled
-    numbered = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("share", F.pmod("h", F.lit(64)))
-    # the lowest of each share of a language first, so the last step sees at most 64 * per_lang rows of one
-    for keys in (("lang", "share"), ("lang",)):
-        lowest = Window.partitionBy(*keys).orderBy("h", "doc_id")
-        numbered = numbered.withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= per_lang).drop("n")
-    cuts = materialize(numbered.groupBy(F.col("lang").alias("cut_lang")).agg(F.max("h").alias("cut")), "language-cuts")
+    # a language's cut keeps the share of all hashes that leaves about per_lang ids: one row a language,
+    # from counts alone, and written, so that Spark broadcasts it only if its file is small
+    share = F.least(F.lit(float(per_lang)) / F.col("n"), F.lit(1.0))
+    cut = F.when(F.col("n") <= per_lang, F.lit((1 << 63) - 1)).otherwise((F.lit(-float(1 << 63)) + share * float(1 << 64)).cast("long"))
+    cuts = materialize(rows.groupBy(F.col("lang").alias("cut_lang")).agg(F.count("*").alias("n")).select("cut_lang", cut.alias("cut")), "language-cuts")
     kept = rows.join(cuts, F.col("lang") == F.col("cut_lang")).where(F.xxhash64("doc_id") <= F.col("cut"))
 
     def run(batches):
