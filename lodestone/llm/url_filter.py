@@ -88,16 +88,39 @@ def _ratios(counts: DataFrame, order: int, smoothing: float) -> DataFrame:
     return out
 
 
-def _slot(gram: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(slots)).cast("int")
+def _windows(order: int) -> Column:
+    """For each character of ``u`` after the start mark, it and up to ``order`` - 1 characters before it."""
+    ends = F.sequence(F.lit(2), F.length("u"))
+    return F.transform(ends, lambda i: F.substring(F.col("u"), F.greatest(i - (order - 1), F.lit(1)), F.least(i, F.lit(order))))
 
 
-def _as_array(ratios: DataFrame, slots: int) -> DataFrame:
-    """One row with an array of ``slots`` doubles; grams of one slot share a mean, unused are null."""
-    spark = ratios.sparkSession
-    means = ratios.groupBy(_slot(F.col("gram"), slots).alias("slot")).agg((F.sum(F.col("ratio") * F.col("seen")) / F.sum("seen")).alias("v"))
-    dense = spark.range(slots).select(F.col("id").cast("int").alias("slot")).join(means, "slot", "left")
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda x: x["v"]).alias("model"))
+def _values(windows: DataFrame, ratios: DataFrame, order: int) -> DataFrame:
+    """(gram, n, value) of all windows: the ratio of the longest end of the window that is known, else 0.
+
+    Ends are looked up from the shortest to the longest, so a join key has at most as many rows as
+    there are characters.
+    """
+    below, out = None, None
+    for k in range(1, order + 1):
+        ends = windows.where(F.length("gram") >= k).select(F.substring(F.col("gram"), -k, k).alias("gram")).distinct()
+        here = ends.join(ratios.where(F.length("gram") == k), "gram", "left").withColumn("suffix", F.substring(F.col("gram"), 2, max(k - 1, 0)))
+        if below is not None:
+            here = here.join(below, "suffix", "left").withColumn("ratio", F.coalesce("ratio", "shorter"))
+        below = here.select(F.col("gram").alias("suffix"), F.col("ratio").alias("shorter"))
+        out = here.select("gram", "ratio") if out is None else out.unionByName(here.select("gram", "ratio"))
+    # in steps of 2^-36, so that sums do not depend on the order of their terms
+    value = F.coalesce(F.rint(F.col("ratio") * 2.0**36) / 2.0**36, F.lit(0.0))
+    return windows.join(out, "gram").select("gram", "n", value.alias("value"))
+
+
+def _totals(urls: DataFrame, values: DataFrame, order: int, slots: int) -> DataFrame:
+    """(id, total): the sum of the values of all windows of a URL; windows of value 0 may be left out."""
+    pieces = urls.select("id", F.explode(_windows(order)).alias("gram"))
+    often = F.col("n") * slots > values.agg(F.sum("n")).scalar()
+    hot, rare = values.where(often).select("gram", "value"), values.where(~often).select("gram", "value")
+    found = pieces.join(F.broadcast(hot), "gram").groupBy("id").agg(F.sum("value").alias("total"))
+    others = pieces.join(F.broadcast(hot), "gram", "left_anti").join(rare.where("value <> 0"), "gram").groupBy("id").agg(F.sum("value").alias("total"))
+    return found.unionByName(others).groupBy("id").agg(F.sum("total").alias("total"))
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = 4, smoothing: float = 4.0, min_seen: int = 2, slots: int = 1 << 16, bins: int = 512) -> DataFrame:
@@ -109,29 +132,26 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int =
     allowed, as all URLs are when the rules decide none or only one kind. Repeated rows are
     judged alike and each kept; an empty table gives an empty result; other columns are ignored.
 
-    The model is a table of ``slots`` numbers whatever the input's size: grams are counted by
-    shuffle, and only that fixed table reaches every task, as a scalar subquery. URLs whose rows
-    are many (a hot host) only add to partial counts.
+    The model has every gram seen ``min_seen`` times, under its own text. A URL's grams meet it by
+    join: those that are more than one in ``slots`` of all, at most ``slots`` of them, are broadcast,
+    all others are shuffled, so no key of the shuffle is frequent. ``slots`` does not change results.
     """
     host, path = split_url(F.col("url"))
     text, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rest = F.translate(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"(?s)^.*?://(.*)$", 1), UPPER, LOWER)
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), F.concat(F.lit("^"), rest, F.lit("$")).alias("u")).withColumns({"rule": text, "ruled": verdict})
+    # written once, so that ids stay
+    judged = materialize(judged.withColumn("id", F.monotonically_increasing_id()), "url-rows")
     training = judged.where(F.col("ruled").isNotNull()).select((F.col("ruled") == "allow").alias("accepted"), "u")
     counts = materialize(_gram_counts(training, order).where(F.col("a") + F.col("r") >= min_seen), "url-grams")
-    model = materialize(_as_array(_ratios(counts, order, smoothing), slots), "url-model")
-
-    def at(i: Column) -> Column:
-        longest = []
-        for k in range(order, 0, -1):
-            gram = F.substring(F.col("u"), i - (k - 1), F.lit(k))
-            longest.append(F.when(i >= k, F.element_at(F.col("model"), _slot(gram, slots) + 1)))
-        return F.coalesce(*longest, F.lit(0.0))
-
-    # the sum runs over the characters after the start mark
-    total = F.aggregate(F.sequence(F.lit(2), F.length("u")), F.lit(0.0), lambda acc, i: acc + at(i))
-    known = F.col("u") != F.lit("^$")
-    scored = materialize(judged.withColumn("model", model.select("model").scalar()).withColumn("score", F.when(known, total / (F.length("u") - 1))).select("page_id", "host", "path", "rule", "ruled", "score"), "url-scores")
+    ratios = materialize(_ratios(counts, order, smoothing).select("gram", "ratio"), "url-model")
+    known = judged.where(F.col("u") != F.lit("^$")).select("id", "u")
+    windows = materialize(known.select(F.explode(_windows(order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "url-windows")
+    values = materialize(_values(windows, ratios, order), "url-values")
+
+    score = F.when(F.col("u") != F.lit("^$"), F.coalesce("total", F.lit(0.0)) / (F.length("u") - 1))
+    scored = judged.join(_totals(known, values, order, slots), "id", "left").withColumn("score", score)
+    scored = materialize(scored.select("page_id", "host", "path", "rule", "ruled", "score"), "url-scores")
 
     span = 4.0
     bin_of = F.least(F.greatest(F.floor((F.col("score") + span) / (2 * span) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")

@@ -303,3 +303,41 @@ def test_url_scores(spark):
             total += math.log(p(True, gram)) - math.log(p(False, gram)) if gram else 0.0
         same += abs(total / (len(text) - 1) - got[k]["score"]) < 1e-9
     assert same >= 0.9 * len(spec)
+
+
+@pytest.mark.parametrize("options", [{}, {"slots": 40}])
+def test_url_scores_of_many_grams(spark, options):
+    """With more grams than a table of 65 536 could tell apart, every score is that of a plain model."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    trained = [f"http://{word(9)}.{('com/en', 'net/de')[k % 2]}/{word(900)}" for k in range(240)]
+    urls = trained + [u.replace("/en/", "/xx/").replace("/de/", "/xx/")[: 40 + k % 7] + word(20) for k, u in enumerate(trained)]
+    urls += [f"http://h.info/{word(30)}ÄÖ" for _ in range(40)] + ["http://h.info/" + word(3)] * 20
+    got = {r["page_id"]: r for r in U.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), **options).collect()}
+    counts, order, a0 = {True: Counter(), False: Counter()}, 4, 4.0
+    for k, url in enumerate(urls):
+        if (rule := got[k]["rule"]) is not None:
+            text = "^" + url.split("://", 1)[1] + "$"
+            for n in range(1, order + 1):
+                counts[rule == "net/de/"].update(text[i : i + n] for i in range(len(text) - n + 1))
+    known = {g for g in counts[True] | counts[False] if counts[True][g] + counts[False][g] >= 2}
+    assert len(known) > 40_000
+    context = {c: Counter() for c in (True, False)}
+    for c in context:
+        for g in known:
+            context[c][g[:-1], len(g)] += counts[c][g]
+
+    def p(c, g):
+        return (counts[c][g] + a0 * p(c, g[1:])) / (context[c][g[:-1], len(g)] + a0) if g else 1 / 256
+
+    for k, url in enumerate(urls):
+        text = "^" + url.split("://", 1)[1] + "$"
+        total = 0.0
+        for i in range(2, len(text) + 1):
+            gram = next((text[i - n : i] for n in range(min(order, i), 0, -1) if text[i - n : i] in known), "")
+            total += math.log(p(True, gram)) - math.log(p(False, gram)) if gram else 0.0
+        assert abs(total / (len(text) - 1) - got[k]["score"]) < 1e-9
