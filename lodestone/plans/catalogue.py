@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -409,6 +410,20 @@ def token_budget_batches(documents):
     return documents.where("n_chars < 1500").select("source", "doc_id", "n_chars").groupBy("source").applyInPandas(run, "source string, doc_id long, batch long")
 
 
+@query()
+def token_budget_batches_all(documents):
+    """Every document in order of its id; a null length counts as 0, and one of 4000 or more fills a batch alone."""
+    from ..functions.chunker import batches
+
+    def run(table):
+        table = table.sort_by([("doc_id", "ascending"), ("n_chars", "ascending")])
+        numbers = pa.array(batches(table.column("n_chars").to_pylist(), 4000, 4), pa.int64())
+        return table.select(["source", "doc_id"]).append_column("batch", numbers)
+
+    rows = documents.select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
+    return rows.groupBy("source").applyInArrow(run, "source string, doc_id long, batch long")
+
+
 @query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^[^/]*//[^/]*example\\.net/(?:[^/]*/)*[^/]*1[^/]$')")
 def glob_match_urls(pages):
     return pages.where(X.glob_match(F.col("url"), "*//*example.net/**/*1?")).select("page_id", "url")
