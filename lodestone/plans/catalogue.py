@@ -170,6 +170,13 @@ def group_by_language(documents):
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda d: d.cast("string")), ",").alias("ids"))
 
 
+@query("SELECT lang, doc_id, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang <> ''")
+def group_by_language_all(documents):
+    """Every document with a language, as rows of its group, and the group's size."""
+    rows = documents.where("lang <> ''").select("lang", "doc_id")
+    return rows.join(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang")
+
+
 @query("SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1")
 def primary_language_mode(documents):
     return documents.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1).select("lang")

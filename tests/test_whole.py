@@ -42,3 +42,10 @@ def test_token_budget_batches_all(spark, folder, documents):
             want.add((source, r["doc_id"], batch))
     got = [tuple(r) for r in catalogue.QUERIES["token_budget_batches_all"](spark, folder).select("source", "doc_id", "batch").collect()]
     assert len(got) == len(documents) and set(got) == want
+
+
+def test_group_by_language_all(spark, folder, documents):
+    sizes = Counter(r["lang"] for r in documents if r["lang"])
+    want = sorted((r["lang"], r["doc_id"], sizes[r["lang"]]) for r in documents if r["lang"])
+    got = catalogue.QUERIES["group_by_language_all"](spark, folder).select("lang", "doc_id", "n").collect()
+    assert sorted(tuple(r) for r in got) == want and max(r["n_chars"] or 0 for r in documents) > 400
