@@ -247,6 +247,19 @@ def line_of(text: Column, offset: Column) -> Column:
     return F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit(""))) + 1
 
 
+def lines_at(text: Column, step: int) -> Column:
+    """(offset, line) at 0 and every ``step`` bytes up to the text's end; each byte is read once."""
+
+    def counted(data: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.length(data), F.lit(step))
+        piece = lambda s: F.decode(F.substring(data, s + 1, F.lit(step)), "ISO-8859-1")
+        breaks = F.transform(starts, lambda s: F.length(piece(s)) - F.length(F.replace(piece(s), F.lit("\n"), F.lit(""))))
+        lines = F.aggregate(F.slice(breaks, 1, F.size(breaks) - 1), F.array(F.lit(1)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+        return F.zip_with(starts, lines, lambda s, n: F.struct(s.alias("offset"), n.alias("line")))
+
+    return F.transform(F.array(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), counted)[0]
+
+
 def page_of(boundaries: Column, offset: Column) -> Column:
     """The page of the last boundary (page, byte_offset) at or before the offset."""
     return F.element_at(F.filter(boundaries, lambda b: b["byte_offset"] <= offset), -1)["page"]

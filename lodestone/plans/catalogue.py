@@ -312,6 +312,13 @@ def line_of_offset(documents):
     return rows.select("doc_id", X.line_of(F.col("text"), F.lit(200)).cast("long").alias("line"))
 
 
+@query()
+def line_of_offset_all(documents):
+    """The lines of byte offsets 0, 200, 400 and so on, to the end of every text."""
+    rows = documents.select("doc_id", F.explode(X.lines_at(F.col("text"), 200)).alias("at"))
+    return rows.select("doc_id", F.col("at.offset").cast("long").alias("offset"), F.col("at.line").cast("long").alias("line"))
+
+
 @query("SELECT c.conv_id, c.turn, p.role AS parent_role FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
 def self_join_parent(conversations):
     parent = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("parent_role"))

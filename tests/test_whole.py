@@ -49,3 +49,12 @@ def test_group_by_language_all(spark, folder, documents):
     want = sorted((r["lang"], r["doc_id"], sizes[r["lang"]]) for r in documents if r["lang"])
     got = catalogue.QUERIES["group_by_language_all"](spark, folder).select("lang", "doc_id", "n").collect()
     assert sorted(tuple(r) for r in got) == want and max(r["n_chars"] or 0 for r in documents) > 400
+
+
+def test_line_of_offset_all(spark, folder, documents):
+    want = []
+    for r in documents:
+        data = (r["text"] or "").encode()
+        want += [(r["doc_id"], at, data[:at].count(b"\n") + 1) for at in range(0, len(data) + 1, 200)]
+    got = catalogue.QUERIES["line_of_offset_all"](spark, folder).select("doc_id", "offset", "line").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
