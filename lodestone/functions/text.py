@@ -227,8 +227,15 @@ def merge_json(left: Column, right: Column) -> Column:
     return F.to_json(F.map_concat(kept, b))
 
 
+def strip_space(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\s\x85\p{Z}]+|[\s\x85\p{Z}]+\z", "")
+
+
 def strip_fence(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"(?s)^```[^\n]*\n(.*?)\n?```$", "$1")
+    """The text without its opening fence line and all from the last fence on."""
+    bare = strip_space(text)
+    inner = F.regexp_replace(F.regexp_replace(bare, r"^[^\n]*\n", ""), r"(?s)^(.*)```.*\z", "$1")
+    return F.when(bare.startswith("```") & bare.contains("\n"), strip_space(inner)).otherwise(bare)
 
 
 def drop_thinking(text: Column) -> Column:

@@ -65,6 +65,14 @@ def fence_and_thinking(documents):
     return rows.select("doc_id", X.strip_fence(X.drop_thinking(told)).alias("body"))
 
 
+@query()
+def fence_and_thinking_all(documents):
+    """Every text, whole: in a fence after a think block (even ids), or in a think block before a word."""
+    text = F.coalesce("text", F.lit(""))
+    told = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>hm\n</think>```md\n"), text, F.lit("\n```"))).otherwise(F.concat(F.lit("<think>"), text, F.lit("</think>end")))
+    return documents.select("doc_id", X.strip_fence(X.drop_thinking(told)).alias("body"))
+
+
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS raw, round(1 - (1 - list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[])) / 2, 6) AS scaled FROM embeddings")
 def cosine_scales(embeddings):
     raw = X.cosine(F.col("embedding"), F.reverse("embedding"))

@@ -58,3 +58,25 @@ def test_line_of_offset_all(spark, folder, documents):
         want += [(r["doc_id"], at, data[:at].count(b"\n") + 1) for at in range(0, len(data) + 1, 200)]
     got = catalogue.QUERIES["line_of_offset_all"](spark, folder).select("doc_id", "offset", "line").collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def cleaned(text):
+    """Think blocks from each opening tag to the next closing one, lone tags, then the outer fence."""
+    out, at = [], 0
+    while (start := text.find("<think>", at)) >= 0 and (stop := text.find("</think>", start)) >= 0:
+        out.append(text[at:start])
+        at = stop + len("</think>")
+    text = "".join([*out, text[at:]]).replace("<think>", "").replace("</think>", "").strip()
+    if not text.startswith("```") or "\n" not in text:
+        return text
+    inner = text[text.index("\n") + 1 :]
+    return (inner[: inner.rindex("```")] if "```" in inner else inner).strip()
+
+
+def test_fence_and_thinking_all(spark, folder, documents):
+    want = {}
+    for r in documents:
+        t = r["text"] or ""
+        want[r["doc_id"]] = cleaned(f"<think>hm\n</think>```md\n{t}\n```" if r["doc_id"] % 2 == 0 else f"<think>{t}</think>end")
+    got = catalogue.QUERIES["fence_and_thinking_all"](spark, folder).collect()
+    assert len(got) == len(documents) and {r["doc_id"]: r["body"] for r in got} == want
