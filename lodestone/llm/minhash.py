@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_batch, by_group, in_tiles, materialize, merge
 from .components import components
@@ -189,6 +190,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     A pair of similarity 0.8 shares none of the bands with probability 7e-6. Every pair that
     shares one is linked, or tested, or already in one component; nothing is capped.
     """
+    return _judged(docs, size, percent).drop("set_digest")
+
+
+def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of :func:`near_duplicates` with their set_digest, null where nothing links."""
     signed = materialize(signatures(docs, size), "minhash-signatures")
     usable = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = usable.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -231,9 +237,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if not final.isEmpty():
         labels = materialize(components(_all([*links, final])), "minhash-labels")
 
-    named = classes.select("set_digest", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("set_digest", F.coalesce("component", "id").alias("component"))
+    # a label is that of the text that stands for the id, not of its other texts
+    own = chosen.join(labels.select(F.col("node").alias("id"), "component"), "id")
+    named = classes.select("set_digest", "id").join(own, ["id", "set_digest"], "left").select("set_digest", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_digest")).alias("set_digest")).join(named, "set_digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "set_digest").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _forest(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch | None:
@@ -319,9 +327,37 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _with_digest(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` and the digest of each row's set, as in :func:`signatures`."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        hashes = WordHashes()
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            values = [shingles(t or "", size, hashes) for t in batch.column(at).to_pylist()]
+            return batch.append_column("_digest", pa.array([xxhash.xxh3_128_digest(v.tobytes()) if len(v) else None for v in values], pa.binary()))
+
+        return by_batch(one)(batches)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType())]))
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near copies, all columns kept; rows without id or words all stay."""
-    gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each group of near copies, all columns kept; rows without id or words all stay.
+
+    Where rows repeat an id with other texts, each text is judged alone: only the rows of a text that
+    is a copy go. Texts of one id that are near copies of each other, but not equal sets, all stay.
+    """
     blank = F.col("doc_id").isNull() | (F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0)
-    return left.where(~blank).dropDuplicates(["doc_id"]).unionByName(left.where(blank))
+    judged = materialize(_judged(docs, size, percent).where(F.col("set_digest").isNotNull()).select(F.col("doc_id").alias("_id"), "set_digest", "kept"), "minhash-judged")
+    several = materialize(judged.groupBy("_id").agg(F.min("set_digest").alias("low"), F.max("set_digest").alias("high")).where("low <> high").select("_id"), "minhash-several")
+    gone = judged.where(~F.col("kept")).select("_id", "set_digest").distinct()
+    if several.isEmpty():
+        left = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+        return left.where(~blank).dropDuplicates(["doc_id"]).unionByName(left.where(blank))
+    words = docs.where(~blank)
+    once = words.join(several, F.col("doc_id") == F.col("_id"), "left_anti").join(gone, F.col("doc_id") == F.col("_id"), "left_anti").dropDuplicates(["doc_id"])
+    more = _with_digest(words.join(several, F.col("doc_id") == F.col("_id"), "left_semi"), size)
+    more = more.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("set_digest")), "left_anti").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return once.unionByName(more).unionByName(docs.where(blank))

@@ -141,3 +141,13 @@ def test_quantisation_bound():
     back = q * s[:, None]
     bound = e[:, None] * n[None, :] + (n + e)[:, None] * e[None, :]
     assert (np.abs(u @ u.T - back @ back.T) <= bound + 1e-12).all()
+
+
+def test_keep_one_of_repeated_ids(spark):
+    """Of an id with several texts only the text that is a copy goes."""
+    first, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    rows = [(1, first), (5, first), (5, other), (5, other), (7, other), (8, third), (8, first + " end"), (9, third), (None, first), (5, "")]
+    kept = H.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    need = [(1, first), (5, other), (8, third), (None, first), (5, "")]
+    assert all(got.count(r) == 1 for r in need) and not {(5, first), (7, other), (9, third)} & set(got)
