@@ -207,6 +207,18 @@ def status_rollup(events):
     return R.status_rollup(rows, ["user_id"], events.where("user_id % 5 = 0").select("user_id")).select("user_id", "status", "message")
 
 
+@query(f"""WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type IS NOT DISTINCT FROM 'view' AS queued, {_STATES} AS state, ts AS updated_at, 'event ' || event_id AS error FROM events),
+a AS (SELECT user_id, day, count(*) FILTER (queued OR state IN ('started', 'in_progress')) AS active, count(*) FILTER (NOT queued AND state = 'failed') AS failed, count(*) FILTER (NOT queued AND state IN ('completed', 'skipped')) AS done,
+  arg_max(error, struct_pack(a := updated_at, b := error)) FILTER (NOT queued AND state = 'failed') AS err FROM e GROUP BY user_id, day)
+SELECT user_id, day, CASE WHEN active > 0 THEN 'in_progress' WHEN failed > 0 AND done > failed THEN 'completed_with_errors' WHEN failed > 0 THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN active = 0 AND failed > 0 THEN err END AS message FROM a""")
+def status_rollup_all(events):
+    """Every event, by user and day: a view waits in the queue, any other event is a state."""
+    day, queued = F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").eqNullSafe("view")
+    rows = events.where(~queued).select("user_id", day, F.expr(_STATES).alias("state"), F.col("ts").alias("updated_at"), F.concat(F.lit("event "), "event_id").alias("error"))
+    return R.status_rollup(rows, ["user_id", "day"], events.where(queued).select("user_id", day)).select("user_id", "day", "status", "message")
+
+
 @query("SELECT (props::JSON ->> '$.k')::BIGINT AS k, count(*) AS n FROM events WHERE try_cast(props::JSON ->> '$.k' AS BIGINT) IS NOT NULL GROUP BY 1")
 def pending_by_payload(events):
     return events.select(X.payload_number(F.col("props"), "k").alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))

@@ -80,3 +80,10 @@ def test_fence_and_thinking_all(spark, folder, documents):
         want[r["doc_id"]] = cleaned(f"<think>hm\n</think>```md\n{t}\n```" if r["doc_id"] % 2 == 0 else f"<think>{t}</think>end")
     got = catalogue.QUERIES["fence_and_thinking_all"](spark, folder).collect()
     assert len(got) == len(documents) and {r["doc_id"]: r["body"] for r in got} == want
+
+
+def test_status_rollup_all(spark):
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    got = catalogue.QUERIES["status_rollup_all"](spark, SMALL).collect()
+    assert {(r["user_id"], r["day"]) for r in got} == {(r["user_id"], str(r["ts"].date())) for r in events.collect()}
+    assert {r["status"] for r in got} >= {"in_progress", "failed", "completed"}
