@@ -121,8 +121,9 @@ def _valid(data: Column) -> Column:
 
 def truncate_bytes(text: Column, limit: int, notice: str) -> Column:
     """At most ``limit`` bytes and a notice; a character that would be cut is left out."""
-    cut = _valid(F.substring(F.encode(text, "UTF-8"), 1, limit))
-    clean = F.regexp_replace(cut, "�+$", "")
+    data = F.encode(text, "UTF-8")
+    # the first byte left out starts a character
+    clean = F.coalesce(*[F.when(~F.hex(F.substring(data, limit + 1 - k, 1)).rlike("^[89AB]"), _valid(F.substring(data, 1, limit - k))) for k in range(min(4, limit + 1))], F.lit(""))
     return F.when(F.octet_length(text) > limit, F.concat(clean, F.lit(notice))).otherwise(text)
 
 

@@ -489,6 +489,13 @@ def byte_len_gate(documents):
     return documents.select("doc_id", F.when(F.octet_length("text") > 100_000, "cut").otherwise("whole").alias("kind"), F.when(F.octet_length("text") <= 100_000, F.length(cut)).otherwise(F.length("text")).cast("long").alias("n"))
 
 
+@query()
+def byte_cut_all(documents):
+    """Every text cut to 100 000 bytes: characters, bytes and digest of what is left."""
+    cut = X.truncate_bytes(F.col("text"), 100_000, "")
+    return documents.select("doc_id", F.length(cut).cast("long").alias("n"), F.octet_length(cut).cast("long").alias("bytes"), F.sha2(cut, 256).alias("digest"))
+
+
 @query("SELECT event_id, event_type || ':' || (props::JSON ->> '$.k') AS key FROM events")
 def dedup_key_from_json(events):
     return events.select("event_id", X.dedup_key(F.col("event_type"), F.col("props")).alias("key"))

@@ -87,3 +87,14 @@ def test_status_rollup_all(spark):
     got = catalogue.QUERIES["status_rollup_all"](spark, SMALL).collect()
     assert {(r["user_id"], r["day"]) for r in got} == {(r["user_id"], str(r["ts"].date())) for r in events.collect()}
     assert {r["status"] for r in got} >= {"in_progress", "failed", "completed"}
+
+
+def test_byte_cut_all(spark, tmp_path):
+    import hashlib
+
+    texts = [None, "", "short", "a" * 100_000, "a" * 100_001, "ä" * 60_000, "x" + "ä" * 60_000, *("y" * k + "😀" * 30_000 for k in range(4)), "z" * 99_997 + "\ufffd" + "tail", "中\n" * 40_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n"], r["bytes"], r["digest"]) for r in catalogue.QUERIES["byte_cut_all"](spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        cut = None if text is None else text.encode()[:100_000].decode(errors="ignore")
+        assert got[k] == ((None,) * 3 if cut is None else (len(cut), len(cut.encode()), hashlib.sha256(cut.encode()).hexdigest())), k
