@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,22 @@ from ..session import ship_package
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
-#: Rows that go to Python at once: texts can be long, and a worker holds a batch several times over.
-BATCH_ROWS = "512"
+#: Rows and bytes that go to Python at once: a worker holds a batch of texts several times over.
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
+#: Rows of a narrow table that may be broadcast: some 30 MB. Its rows are counted first; larger ones are shuffled.
+MOST_BROADCAST = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:
     """Give the workers this package and keep the batches of texts small."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * BATCH_BYTES))
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A narrow table for the inner side of a join: broadcast if it has few rows, else left to a shuffle."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,18 +73,52 @@ def drop_materialized(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Writes tables on the way to a result, and deletes them once the result itself is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        self.tables.append(materialize(df, what))
+        return self.tables[-1]
+
+    def finish(self, out: DataFrame, what: str) -> DataFrame:
+        written = materialize(out, what)
+        self.drop()
+        return written
+
+    def drop(self) -> None:
+        for table in self.tables:
+            drop_materialized(table)
+        self.tables.clear()
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def pieces_of(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces whose texts have at most ``most`` bytes together; one longer text is a piece of its own."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(sizes):
+        upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
-    """A mapInArrow function that applies ``fn`` to each batch that has rows."""
+    """A mapInArrow function that applies ``fn`` to each batch that has rows, piece by piece where texts are long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for piece in pieces_of(batch):
+                out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out
 
@@ -108,17 +152,28 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = below
 
 
-def in_tiles(rows: DataFrame, key: str, unit: str, tile: int) -> DataFrame:
+#: Parts into which the rows of a group that is more than one tile are dealt to meet the group's number of tiles.
+SALTS = 64
+
+
+def in_tiles(rows: DataFrame, keys: list[str], unit: str, tile: int) -> DataFrame:
     """``rows`` once for each pair of tiles (i <= j) of its group that its own tile ``t`` is part of.
 
-    Groups of ``key`` are cut into tiles of about ``tile`` rows by a hash of ``unit``, so a group of any
+    Groups of ``keys`` are cut into tiles of about ``tile`` rows by a hash of ``unit``, so a group of any
     size is many tasks of bounded size, and each two of its rows meet in exactly one pair of tiles,
-    or, if they share a tile, in that tile with itself.
+    or, if they share a tile, in that tile with itself. The rows come sorted by keys, i and j.
+
+    Only groups of more than one tile have to be known, and each of these is listed once for each of
+    SALTS parts, so no task gets all rows of a large group, neither to look it up nor to copy them.
     """
-    counts = rows.groupBy(key).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = rows.join(counts, key).withColumn("t", F.pmod(F.xxhash64(unit), F.col("tiles")).cast("int"))
-    copies = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("t", "o"), "j": F.greatest("t", "o")})
-    return copies.drop("o", "tiles").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > tile)
+    large = counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(unit, F.lit("salt")), F.lit(SALTS)).cast("int"))
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_of_{k}") for k in keys]) & (F.col("_salt") == F.col("_part"))
+    tiles = F.coalesce("_tiles", F.lit(1))
+    dealt = salted.join(large, same, "left").withColumns({"_tiles": tiles, "t": F.pmod(F.xxhash64(unit), tiles).cast("int")})
+    copies = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumns({"i": F.least("t", "_o"), "j": F.greatest("t", "_o")})
+    return copies.select(*rows.columns, "t", "i", "j").repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
 
 
 def by_group(fn: Callable[[pa.Table], pa.RecordBatch | None], keys: int) -> Callable:

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize, merge
+from .common import Scratch, drop_materialized, materialize, merge
 
 #: Links that one task joins by union-find: 16 MB. More are joined by shuffles, with the same result.
 ONE_TASK = 1_000_000
 
 
-def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK, scratch: Scratch | None = None) -> DataFrame:
     """From links (a, b) to (node, component): the smallest id reachable from each linked node.
 
     Up to ``one_task`` links, counted first, one executor task joins them. Beyond, rounds of
@@ -24,8 +24,10 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     never leave the cluster.
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    scratch = scratch or Scratch()
     links = materialize(links, "links")
     if links.count() <= one_task:
+        scratch.tables.append(links)
         return links.coalesce(1).mapInArrow(_join_all, "node long, component long")
     links = links.distinct()
     state = None
@@ -44,10 +46,21 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         small = joined.select(F.col("b").alias("x"), "m").union(joined.select(F.col("a").alias("x"), "m")).where("x <> m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct()
         previous, links = links, materialize(small, "links")
         drop_materialized(previous)
+    scratch.tables.append(links)
     stars = links.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def named(edges: DataFrame, nodes: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
+    """(node, *order) of each linked node: the least values of ``order`` among the nodes it is linked with.
+
+    ``nodes`` holds node and the columns of ``order``; edges (a, b) are of nodes.
+    """
+    linked = scratch(components(edges, scratch=scratch).join(nodes.select("node", *order), "node"), "labels")
+    least = linked.groupBy("component").agg(F.min(F.struct(*order)).alias("_least")).select("component", "_least.*")
+    return linked.select("node", "component").join(least, "component").select("node", *order)
+
+
 def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if not held:

@@ -10,14 +10,14 @@ are recomputed in double precision; none at or above it can be missed.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialize, merge
-from .components import components
+from .common import Scratch, by_batch, by_group, in_tiles, merge
+from .components import named
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,54 +57,62 @@ def link_embeddings(rows: DataFrame, threshold: float = 0.98, tile: int = 4096)
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
     label or vec_id, link with nothing: n_links 0, component_id their own id, kept. Vectors of
-    different length never link. Each row is a vector of its own, also where ids repeat; equal
-    vectors are compared once and counted as often as they occur. An empty table gives an empty
-    result; other columns are ignored. vec_id is a number.
+    different length never link. Each row is a vector of its own, also where ids repeat: rows of one
+    id with other vectors are linked each by its own vector. Equal vectors are compared once and
+    counted as often as they occur. An empty table gives an empty result; other columns are ignored.
+    vec_id is a number.
 
     A tile holds about ``tile`` different vectors, so a label with a third of all rows is spread over
     (its vectors / ``tile``)^2 / 2 tasks; a task returns counts and a spanning forest, never all pairs.
     """
 
     def prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, labels = batch.column(0), batch.column(2)
-        data, keys = [], []
-        for vector, label, known in zip(batch.column(1).to_pylist(), labels.to_pylist(), ids.is_valid().to_pylist(), strict=True):
-            v = np.array([np.nan if c is None else c for c in vector or ()], dtype=np.float64)
-            good = known and label is not None and len(v) > 0 and np.isfinite(v).all() and v.any()
-            if good:
-                v = v / np.abs(v).max()
-            data.append(v.tobytes() if good else None)
-            keys.append(xxhash.xxh3_128_digest(v.tobytes() + repr(label).encode()) if good else None)
+        ids, vectors, labels = batch.columns
+        n = len(ids)
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = pc.fill_null(pc.list_flatten(vectors).cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        usable = (ids.is_valid().to_numpy(zero_copy_only=False)) & (labels.is_valid().to_numpy(zero_copy_only=False))
+        data, keys, names = [None] * n, [None] * n, labels.to_pylist()
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero((sizes == size) & usable)
+            v = flat[(ends[at] - size)[:, None] + np.arange(size)]
+            largest = np.abs(v).max(axis=1, initial=0)
+            good = np.isfinite(v).all(axis=1) & (largest > 0)
+            at, v = at[good], v[good] / largest[good, None]
+            for k, row in zip(at.tolist(), v, strict=True):
+                data[k] = row.tobytes()
+                keys[k] = xxhash.xxh3_128_digest(data[k] + repr(names[k]).encode())
         return pa.RecordBatch.from_arrays([ids, labels, pa.array(data, pa.binary()), pa.array(keys, pa.binary())], names=["vec_id", "label", "v", "key"])
 
-    kinds = dict(rows.dtypes)
-    prepared = materialize(rows.select("vec_id", "embedding", "label").mapInArrow(by_batch(prepare), f"vec_id {kinds['vec_id']}, label {kinds['label']}, v binary, key binary"), "embedding-rows")
-    classes = materialize(prepared.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("dim", F.octet_length("v")), "embedding-classes")
-    sizes = materialize(classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "embedding-tiles")
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    pairs = dealt.select("label", "dim", "t", "key", "times", "v", others.alias("o")).select("label", "dim", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "key", "times", "v")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["i"].iat[0] == pdf["j"].iat[0]
-        pdf = pdf.sort_values(["t", "key"], ignore_index=True)
-        x = np.stack([np.frombuffer(v, dtype=np.float64) for v in pdf["v"]])
-        first = len(pdf) if same else int((pdf["t"] == pdf["i"]).sum())
-        times, count, label = pdf["times"].to_numpy(), np.zeros(len(pdf), dtype=np.int64), np.arange(len(pdf))
-        if first and (same or first < len(pdf)):
-            for a, b in tile_links(x[:first], None if same else x[first:], threshold):
-                b = b + (0 if same else first)
-                count += np.bincount(a, times[b], len(pdf)).astype(np.int64) + np.bincount(b, times[a], len(pdf)).astype(np.int64)
+    kinds, scratch = dict(rows.dtypes), Scratch()
+    prepared = scratch(rows.select("vec_id", "embedding", "label").mapInArrow(by_batch(prepare), f"vec_id {kinds['vec_id']}, label {kinds['label']}, v binary, key binary"), "embedding-rows")
+    classes = prepared.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("label").alias("label"), F.first("v").alias("v"))
+    # a class of equal vectors is a node of the link graph, so rows that repeat an id with other vectors stay apart
+    classes = scratch(classes.withColumns({"dim": F.octet_length("v"), "node": F.monotonically_increasing_id()}), "embedding-classes")
+    tiles = in_tiles(classes.select("label", "dim", "node", "times", "v"), ["label", "dim"], "node", tile).select("label", "dim", "i", "j", "t", "node", "times", "v")
+
+    def compare(table: pa.Table) -> pa.RecordBatch | None:
+        table = table.sort_by([("t", "ascending"), ("node", "ascending")])
+        t, node, times = (table.column(c).to_numpy() for c in ("t", "node", "times"))
+        x = np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.float64).reshape(len(node), -1)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        first = len(node) if i == j else int((t == i).sum())
+        count, label = np.zeros(len(node), dtype=np.int64), np.arange(len(node))
+        if first and (i == j or first < len(node)):
+            for a, b in tile_links(x[:first], None if i == j else x[first:], threshold):
+                b = b + (0 if i == j else first)
+                count += np.bincount(a, times[b], len(node)).astype(np.int64) + np.bincount(b, times[a], len(node)).astype(np.int64)
                 merge(label, a, b)
         hit = np.flatnonzero(count)
-        return pd.DataFrame({"key": pdf["key"].to_numpy()[hit], "n": count[hit], "root": pdf["key"].to_numpy()[label[hit]]})
-
-    found = materialize(pairs.groupBy("label", "dim", "i", "j").applyInPandas(compare, "key binary, n long, root binary"), "embedding-found")
-    ids = classes.select("key", "id", "times")
-    counts = found.groupBy("key").agg(F.sum("n").alias("n"))
-    ends = found.where("key <> root").select("key", "root").distinct()
-    edges = ends.join(ids.select("key", F.col("id").alias("a")), "key").join(ids.select(F.col("key").alias("root"), F.col("id").alias("b")), "root").select("a", "b")
-    labels = components(edges)
-    named = ids.join(counts, "key", "left").join(labels, F.col("id") == F.col("node"), "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = prepared.select("vec_id", "key").join(named, "key", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(count[hit]), pa.array(node[label[hit]])], names=["node", "n", "root"]) if len(hit) else None
+
+    found = scratch(tiles.mapInArrow(by_group(compare, 4), "node long, n long, root long"), "embedding-found")
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
+    ids = classes.select("node", "key", "id", "times")
+    least = named(edges, ids, ["id"], scratch).withColumnRenamed("id", "component")
+    linked = ids.join(counts, "node", "left").join(least, "node", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    out = prepared.select("vec_id", "key").join(linked, "key", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    return scratch.finish(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "embedding-links")

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batch, by_group, in_tiles, materialize, merge
-from .components import components
+from .common import Scratch, by_batch, by_group, in_tiles, materialize, merge, small
+from .components import components, named
 
 BANDS, ROWS, SKETCH_WORDS = 30, 5, 8
 SAMPLES, SKETCH_BITS = BANDS * ROWS, 64 * SKETCH_WORDS
@@ -134,40 +134,32 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_digest binary, bands array<long>, sketch array<long>")
 
 
-ID_SLOTS = 1 << 20
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, digest, members) of the documents whose ids are in ``wanted`` (a column ``id``), and a few more.
+    """(node, members): the full shingle sets of the classes in ``wanted`` (node, id, set_digest).
 
-    The ids reach the scan as a bitmap of ID_SLOTS bits, whatever their number, so no text is
-    shuffled; documents that only share a slot with a wanted one do no harm.
+    Texts are chosen by a join on their ids before their shingles are formed. Up to MOST_BROADCAST ids
+    it is a broadcast and no text is shuffled; beyond, the texts of all rows are shuffled by id, once.
     """
-    slot = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(ID_SLOTS)).cast("int")
-    bits = np.zeros(ID_SLOTS, dtype=bool)
-    bits[wanted.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True
-    packed = np.packbits(bits)
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        hashes, want = WordHashes(), np.unpackbits(packed)
+        hashes = WordHashes()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hit = np.flatnonzero(want[batch.column(2).to_numpy()])
-            ids, found = batch.column(0).take(pa.array(hit)), batch.column(1).take(pa.array(hit)).to_pylist()
-            values = [shingles(t or "", size, hashes) for t in found]
-            return pa.RecordBatch.from_arrays([ids, pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in values], pa.binary()), _longs(values)], names=["id", "digest", "members"])
+            values = [shingles(t or "", size, hashes) for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in values], pa.binary()), _longs(values)], names=["id", "set_digest", "members"])
 
         return by_batch(one)(batches)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text").withColumn("slot", slot)
-    return rows.mapInArrow(run, f"id {kind}, digest binary, members array<long>")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(small(wanted.select("id").distinct()), "id", "left_semi")
+    found = rows.mapInArrow(run, f"id {kind}, set_digest binary, members array<long>")
+    return found.join(small(wanted.select("id", "set_digest", "node")), ["id", "set_digest"]).dropDuplicates(["node"]).select("node", "members")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
@@ -182,66 +174,68 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, kept, for shingles of ``size`` words and a similarity of ``percent`` / 100.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows with a null doc_id link
-    with nothing either: their component_id is null and they are kept. doc_id is a number that names a
-    document; where rows repeat an id with other texts, the one with the smallest digest stands for
-    it among near copies, the others still link with equal sets. Repeated rows are one class. An
-    empty table gives an empty result; other columns are ignored.
+    with nothing either: their component_id is null and they are kept. doc_id is a number. Rows of
+    equal sets are one class, also where ids differ or repeat; rows that repeat an id with other
+    texts are other classes, each linked only by its own set. component_id is the least doc_id of
+    the linked classes. An empty table gives an empty result; other columns are ignored.
 
     A pair of similarity 0.8 shares none of the bands with probability 7e-6. Every pair that
     shares one is linked, or tested, or already in one component; nothing is capped.
     """
-    return _judged(docs, size, percent).drop("set_digest")
+    scratch = Scratch()
+    judged = _judged(docs, size, percent, scratch).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return scratch.finish(judged.select("doc_id", "n_shingles", "component_id", "kept"), "minhash-judged")
 
 
-def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The rows of :func:`near_duplicates` with their set_digest, null where nothing links."""
-    signed = materialize(signatures(docs, size), "minhash-signatures")
+def _judged(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles, set_digest, component_id, component_digest of every row.
+
+    The last two are the least (doc_id, set_digest) that the row's set is linked with, itself included;
+    digests are null where nothing links.
+    """
+    signed = scratch(signatures(docs, size), "minhash-signatures")
     usable = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = usable.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "minhash-classes")
-    chosen = classes.groupBy("id").agg(F.min("set_digest").alias("set_digest"))
-    nodes = classes.join(chosen, ["id", "set_digest"]).select("id", "set_digest", "n", "bands", "sketch")
-
-    rows = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    members = materialize(rows.join(shared, "bucket").select("bucket", "id", "low", "high"), "minhash-buckets")
-    likely_nodes = members.select("id").distinct()
-    facts = materialize(nodes.drop("bands").join(likely_nodes, "id", "left_semi"), "minhash-facts")
-    found = _sets(docs, likely_nodes, size)
-    sets = materialize(found.join(facts.select("id", F.col("set_digest").alias("digest")), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "members"), "minhash-sets")
+    # a class is a node of the link graph; its number is written with it and so stays
+    nodes = scratch(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    members = scratch(rows.join(shared, "bucket").select("bucket", "node", "low", "high"), "minhash-buckets")
+    facts = scratch(nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), "minhash-facts")
+    sets = scratch(_sets(docs, facts, size), "minhash-sets")
 
     def with_facts(pairs: DataFrame) -> DataFrame:
-        left = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        left = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        right = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         return pairs.join(left, "a").join(right, "b").where(_likely(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
     links, tested, labels = [], [], None
     for pivot in ("low", "high"):
-        pairs = members.select(F.greatest("id", pivot).alias("a"), F.least("id", pivot).alias("b")).where("a <> b").distinct()
+        pairs = members.select(F.greatest("node", pivot).alias("a"), F.least("node", pivot).alias("b")).where("a <> b").distinct()
         if labels is not None:
             pairs = _apart(pairs, labels).join(_all(tested), ["a", "b"], "left_anti")
         # one partner each: the others are only needed if this one fails
         hopeful = with_facts(pairs)
         one = hopeful.groupBy("a").agg(F.min("b").alias("b")) if pivot == "low" else hopeful.groupBy("b").agg(F.max("a").alias("a")).select("a", "b")
-        tested.append(materialize(one, "minhash-tested"))
-        links.append(materialize(_confirm(tested[-1], sets, percent), "minhash-links"))
-        labels = materialize(components(_all(links)), "minhash-labels")
+        tested.append(scratch(one, "minhash-tested"))
+        links.append(scratch(_confirm(tested[-1], sets, percent), "minhash-links"))
+        labels = scratch(components(_all(links), scratch=scratch), "minhash-labels")
 
     # what is still apart: families of documents that sketches hold for similar, then their full sets
-    labelled = members.select("bucket", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = members.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = labelled.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-    rest = materialize(labelled.join(split, "bucket", "left_semi").join(facts.select("id", "n", "sketch"), "id"), "minhash-rest")
-    families = materialize(components(_hopeful(rest, percent)), "minhash-families")
-    last = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(rest.select("id", "component").distinct(), "id").join(sets, "id")
-    final = materialize(_linked(last, percent), "minhash-links")
-    if not final.isEmpty():
-        labels = materialize(components(_all([*links, final])), "minhash-labels")
+    rest = scratch(labelled.join(split, "bucket", "left_semi").join(facts.select("node", "n", "sketch"), "node"), "minhash-rest")
+    families = scratch(components(_hopeful(rest, percent), scratch=scratch), "minhash-families")
+    last = families.withColumnRenamed("component", "family").join(rest.select("node", "component").distinct(), "node").join(sets, "node")
+    links.append(scratch(_linked(last, percent), "minhash-links"))
 
-    # a label is that of the text that stands for the id, not of its other texts
-    own = chosen.join(labels.select(F.col("node").alias("id"), "component"), "id")
-    named = classes.select("set_digest", "id").join(own, ["id", "set_digest"], "left").select("set_digest", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_digest")).alias("set_digest")).join(named, "set_digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "set_digest").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    least = named(_all(links), nodes, ["id", "set_digest"], scratch).select("node", F.col("id").alias("component_id"), F.col("set_digest").alias("component_digest"))
+    # most classes are linked with no other: only the others are looked up
+    moved = scratch(least.join(nodes.select("node", "id", "set_digest"), "node").where("component_digest <> set_digest").select("set_digest", "component_id", "component_digest"), "minhash-moved")
+    own = nodes.select("set_digest", F.col("id").alias("own_id"))
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_digest")).alias("set_digest")).join(own, "set_digest", "left").join(moved, "set_digest", "left")
+    return out.select("doc_id", "n_shingles", "set_digest", F.coalesce("component_id", "own_id", "doc_id").alias("component_id"), F.coalesce("component_digest", "set_digest").alias("component_digest"))
 
 
 def _forest(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch | None:
@@ -256,7 +250,7 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(whole.value_lengths().to_numpy())[:-1])
 
 
-def _hopeful(rest: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
+def _hopeful(rest: DataFrame, percent: int, tile: int = 512) -> DataFrame:
     """A spanning forest (a, b) of the pairs that share a bucket, not a component, and similar sketches.
 
     Pairs are compared by matrices of bitmaps inside tiles of a bucket; only the forest leaves them.
@@ -264,7 +258,7 @@ def _hopeful(rest: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
     most = most_bits(percent / 100)
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
-        ids, component, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
+        ids, component, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
         if len(ids) < 2 or (component == component[0]).all():
             return None
         sketch, label = np.stack(_lists(table.column("sketch"))), np.arange(len(ids))
@@ -276,7 +270,7 @@ def _hopeful(rest: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
             merge(label, x + at, y)
         return _forest(ids, label)
 
-    rows = in_tiles(rest, "bucket", "id", tile).select("bucket", "i", "j", "id", "component", "n", "sketch")
+    rows = in_tiles(rest, ["bucket"], "node", tile).select("bucket", "i", "j", "node", "component", "n", "sketch")
     return rows.mapInArrow(by_group(compare, 3), "a long, b long")
 
 
@@ -288,7 +282,7 @@ def _linked(rows: DataFrame, percent: int, tile: int = 256, width: int = 8192) -
     """
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
-        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        ids, component = table.column("node").to_numpy(), table.column("component").to_numpy()
         if len(ids) < 2 or (component == component[0]).all():
             return None
         sets = _lists(table.column("members"))
@@ -311,7 +305,7 @@ def _linked(rows: DataFrame, percent: int, tile: int = 256, width: int = 8192) -
         merge(label, x, y)
         return _forest(ids, label)
 
-    tiled = in_tiles(rows, "family", "id", tile).select("family", "i", "j", "id", "component", "members")
+    tiled = in_tiles(rows, ["family"], "node", tile).select("family", "i", "j", "node", "component", "members")
     return tiled.mapInArrow(by_group(compare, 3), "a long, b long")
 
 
@@ -346,18 +340,26 @@ def _with_digest(docs: DataFrame, size: int) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near copies, all columns kept; rows without id or words all stay.
 
-    Where rows repeat an id with other texts, each text is judged alone: only the rows of a text that
-    is a copy go. Texts of one id that are near copies of each other, but not equal sets, all stay.
+    The row that stays has the least doc_id of its group, and of several texts of that id the one with
+    the least set digest. Where rows repeat an id, each text is judged alone, so only the copy goes and
+    an unrelated text of the same id stays.
+
+    What goes is found from ids alone, so texts are only shuffled where more ids go than may be
+    broadcast. Only rows of repeated ids form their shingles again.
     """
-    blank = F.col("doc_id").isNull() | (F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0)
-    judged = materialize(_judged(docs, size, percent).where(F.col("set_digest").isNotNull()).select(F.col("doc_id").alias("_id"), "set_digest", "kept"), "minhash-judged")
-    several = materialize(judged.groupBy("_id").agg(F.min("set_digest").alias("low"), F.max("set_digest").alias("high")).where("low <> high").select("_id"), "minhash-several")
-    gone = judged.where(~F.col("kept")).select("_id", "set_digest").distinct()
-    if several.isEmpty():
-        left = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-        return left.where(~blank).dropDuplicates(["doc_id"]).unionByName(left.where(blank))
-    words = docs.where(~blank)
-    once = words.join(several, F.col("doc_id") == F.col("_id"), "left_anti").join(gone, F.col("doc_id") == F.col("_id"), "left_anti").dropDuplicates(["doc_id"])
-    more = _with_digest(words.join(several, F.col("doc_id") == F.col("_id"), "left_semi"), size)
-    more = more.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("set_digest")), "left_anti").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
-    return once.unionByName(more).unionByName(docs.where(blank))
+    scratch = Scratch()
+    judged = _judged(docs, size, percent, scratch).where(F.col("set_digest").isNotNull())
+    judged = scratch(judged.select("doc_id", "set_digest", ((F.col("doc_id") == F.col("component_id")) & (F.col("set_digest") == F.col("component_digest"))).alias("first")), "minhash-verdicts")
+    ids = judged.groupBy("doc_id").agg(F.count("*").alias("times"), F.bool_or("first").alias("any")).where("times > 1 OR NOT any")
+    gone = materialize(ids.select(F.col("doc_id").alias("_id"), (F.col("times") > 1).alias("_repeated")), "minhash-gone")
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    left = docs.join(small(gone), (F.col("doc_id") == F.col("_id")) & has_words, "left_anti")
+    repeated = gone.where("_repeated").select("_id")
+    if not repeated.isEmpty():
+        stay = judged.where("first").select(F.col("doc_id").alias("_id"), F.col("set_digest").alias("_first")).join(repeated, "_id", "left_semi").distinct()
+        stay = materialize(stay, "minhash-stay")
+        again = _with_digest(docs.where(has_words).join(small(repeated), F.col("doc_id") == F.col("_id"), "left_semi"), size)
+        again = again.join(stay, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_first")), "left_semi")
+        left = left.unionByName(again.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
+    scratch.drop()
+    return left

@@ -129,5 +129,24 @@ c AS (
 SELECT doc_id, size, source_size, target,
        (size * (passes + CASE WHEN upto <= rest OR (upto - inside <= rest AND upto - rest < rest - (upto - inside)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
+""",
+    "op8_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(t) < 2 THEN t ELSE t[i:i + 1] END AS g
+  FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t), 2))) AS i FROM w WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT g, count(*) AS often FROM s GROUP BY g),
+r AS (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY often, s.g) AS place FROM s JOIN f USING (g) JOIN n USING (doc_id)),
+p AS (SELECT doc_id, g, n FROM r WHERE place <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb FROM p x JOIN p y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+l AS (
+  SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+k AS (SELECT a, b FROM e UNION SELECT k.a, e.b FROM k JOIN e ON k.b = e.a),
+m AS (SELECT a, min(b) AS b FROM k GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(m.b, d.doc_id), d.doc_id) AS component_id, coalesce(least(m.b, d.doc_id) = d.doc_id, true) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
 """,
 }

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from lodestone.llm import components as C
 from lodestone.llm import embedding_dedup as E
 from lodestone.llm import minhash as H
+from lodestone.llm.common import in_tiles
 
 from .conftest import rows_of
 
@@ -151,3 +153,100 @@ def test_keep_one_of_repeated_ids(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     need = [(1, first), (5, other), (8, third), (None, first), (5, "")]
     assert all(got.count(r) == 1 for r in need) and not {(5, first), (7, other), (9, third)} & set(got)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that repeat an id with other texts, near and far, are linked each by its own set."""
+    rng = random.Random(23)
+    words = [f"w{k}" for k in range(3000)]
+    bases = [[rng.choice(words) for _ in range(60)] for _ in range(14)]
+    rows = []
+    for k in range(160):
+        copy = list(bases[k % 14])
+        for _ in range(rng.choice([0, 0, 1, 2, 9])):
+            copy[rng.randrange(60)] = rng.choice(words)
+        rows.append((rng.randrange(50), " ".join(copy)))
+    rows += [(1, rows[0][1]), (1, " ".join(bases[3])), (2, " ".join(rng.sample(words, 60))), (2, rows[5][1]), (2, " ".join(rng.sample(words, 60))), (None, rows[0][1]), (7, ""), (7, None)]
+    sets, component = brute([r if r[0] is not None else (None, None) for r in rows], 2, 80)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None and sets[k]:
+            least[component[k]] = min(least.get(component[k], i), i)
+    want = [(i, len(shingle_set(t, 2)), least[component[k]] if i is not None and sets[k] else i) for k, (i, t) in enumerate(rows)]
+    got = H.near_duplicates(rows_of(spark, [(i, t, "en", "a") for i, t in rows]), 2, 80).collect()
+    assert sorted(map(str, [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got])) == sorted(map(str, want))
+    assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
+
+    # of each group one row stays: the least id, then any of its texts; rows without id or words all stay
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        if i is not None and sets[k]:
+            groups.setdefault(component[k], []).append((i, t))
+    kept = [(r["doc_id"], r["text"]) for r in H.keep_one(rows_of(spark, [(i, t, "en", "a") for i, t in rows]), 2, 80).collect()]
+    rest = list(kept)
+    for members in groups.values():
+        first = [m for m in members if m[0] == min(i for i, _ in members)]
+        assert sum(kept.count(m) for m in set(members)) == 1 and any(m in kept for m in first)
+        rest = [r for r in rest if r not in set(members)]
+    assert sorted(map(str, rest)) == sorted(map(str, [(None, rows[0][1]), (7, ""), (7, None)]))
+
+
+def test_keep_one_loses_nothing(spark):
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(30)) for w in "abcd")
+    kept = H.keep_one(spark.createDataFrame([(5, a), (5, b), (3, c), (8, c), (8, d)], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, c), (5, a), (5, b), (8, d)]
+
+
+def test_in_tiles(spark):
+    """Two rows of a group meet in exactly one pair of tiles, also in groups of many tiles."""
+    rows = [(1, k) for k in range(700)] + [(2, k) for k in range(1000, 1030)] + [(3, 5000)]
+    got = in_tiles(spark.createDataFrame(rows, "g long, u long"), ["g"], "u", 50).collect()
+    tasks = {}
+    for r in got:
+        assert r["i"] <= r["j"] and r["t"] in (r["i"], r["j"])
+        tasks.setdefault((r["g"], r["i"], r["j"]), []).append((r["u"], r["t"]))
+    assert max(map(len, tasks.values())) < 200
+    met = {}
+    for (g, i, j), members in tasks.items():
+        for n, (u, t) in enumerate(members):
+            for v, s in members[:n]:
+                if i == j or s != t:
+                    met[g, min(u, v), max(u, v)] = met.get((g, min(u, v), max(u, v)), 0) + 1
+    assert len(met) == 700 * 699 // 2 + 30 * 29 // 2 and set(met.values()) == {1}
+
+
+def test_embeddings_of_repeated_ids(spark):
+    """Rows that repeat an id with other vectors are linked each by its own vector."""
+    rows = [(7, [0.0, 1.0, 0.0]), (9, [0.0, 1.0, 0.01]), (7, [1.0, 0.0, 0.0]), (3, [1.0, 0.001, 0.0]), (7, [0.0, 0.0, 1.0]), (7, [0.0, 0.0, 2.0])]
+    got = E.link_embeddings(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted(map(tuple, got)) == sorted([(7, 1, 7, True), (9, 1, 7, False), (7, 1, 3, False), (3, 1, 3, True), (7, 1, 7, True), (7, 1, 7, True)])
+
+
+def true_links(sets, percent=80):
+    """All pairs of sets that reach the similarity, by an exact prefix filter."""
+    often = Counter(x for s in sets for x in s)
+    index, links = {}, []
+    for k in sorted(range(len(sets)), key=lambda k: len(sets[k])):
+        n = len(sets[k])
+        prefix = sorted(sets[k], key=lambda x: (often[x], x))[: n - -(-percent * n // 100) + 1]
+        near = {j for x in prefix for j in index.get(x, ()) if 100 * len(sets[j]) >= percent * n}
+        links += [(j, k) for j in near if 100 * len(sets[j] & sets[k]) >= percent * len(sets[j] | sets[k])]
+        for x in prefix:
+            index.setdefault(x, []).append(k)
+    return links
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_recall(spark, size, capsys):
+    """Of all true links of the medium table, none is lost; the components are the exact ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    sets = [shingle_set(t, size) for _, t in rows]
+    links = true_links(sets)
+    component = closure(range(len(rows)), links)
+    got = {r["doc_id"]: r["component_id"] for r in H.near_duplicates(docs, size, 80).collect()}
+    kept = sum(got[rows[a][0]] == got[rows[b][0]] for a, b in links)
+    with capsys.disabled():
+        print(f" {size} words: {kept} of {len(links)} true links kept")
+    assert kept == len(links) > 1000
+    assert got == {i: rows[component[k]][0] for k, (i, _) in enumerate(rows)}
