@@ -1,9 +1,9 @@
 """Packing documents into sequences by hierarchical residual best fit.
 
-Documents become token pieces. Full pieces are sequences of their own. The others are packed by
-best fit inside each partition; bins that are nearly full are final, the underfull ones travel on
-as single items whose length is their fill, and groups of partitions merge them by best fit again,
-round by round, until one group is left.
+Documents become token pieces. Full pieces are sequences of their own. The others are dealt into
+groups and packed by best fit inside each; bins that are nearly full are final, the underfull ones
+travel on as single items whose length is their fill, and groups merge them by best fit again, in
+a tree, until one group is left.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialize, texts
+from .common import Scratch, by_batch, by_group, texts
 
 #: Fixed value: how byte-level BPE splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -127,63 +127,88 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
-def _round(items: DataFrame, capacity: int, level: int) -> DataFrame:
-    """Pack (item, length) inside each partition: item, bin, at (offset in the bin), fill.
+#: Pieces in a group that is packed as a whole.
+GROUP_ROWS = 200_000
+_GROUP_BITS, _BIN_BITS = 32, 24
 
-    Bin numbers hold the round, the partition and a counter; a partition packs blocks of rows, so
-    its memory is bounded whatever it holds.
-    """
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        task, made, block = TaskContext.get().partitionId(), 0, []
-
-        def pack():
-            nonlocal made
-            rows = pa.Table.from_batches(block)
-            lengths = rows.column("length").to_numpy()
-            bins, at, fill = best_fit(lengths, capacity)
-            numbers = bins + ((level << 56) + (task << 34) + made)
-            made += len(fill)
-            block.clear()
-            return pa.RecordBatch.from_arrays([rows.column("item").combine_chunks(), pa.array(numbers), pa.array(at), pa.array(fill[bins])], names=["item", "bin", "at", "fill"])
 
-        for batch in batches:
-            if batch.num_rows:
-                block.append(batch)
-                if sum(b.num_rows for b in block) >= 500_000:
-                    yield pack()
-        if block:
-            yield pack()
-
-    return items.mapInArrow(run, "item long, bin long, at long, fill long")
+def _round(items: DataFrame, capacity: int, limit: int, fan_in: int, level: int) -> DataFrame:
+    """Pack the ``length`` of the rows of each ``group``: all columns and bin, at (offset in the bin), fill, travels.
 
+    Bin numbers hold the round, the group and a counter. Bins of equal fill are alike for later rounds,
+    and of two bins of a packed group at most one is half empty, as best fit would have joined them.
+    So a round over ``fan_in`` groups has at most ``fan_in`` items of up to half the capacity, and takes
+    at most as many of the fuller bins of any one fill: of these only ``fan_in`` of each fill travel, all
+    others are final. What travels is bounded by ``fan_in`` * capacity / 2 bins a group, whatever the input.
+    """
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, nearly_full: float = 0.99, fan_in: int = 8) -> DataFrame:
+    def pack(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        lengths, group = rows.column("length").to_numpy(), rows.column("group")[0].as_py()
+        bins, offsets, fill = best_fit(lengths, capacity)
+        order = np.argsort(fill, kind="stable")
+        first = np.searchsorted(fill[order], fill[order])
+        place = np.empty(len(fill), dtype=np.int64)
+        place[order] = np.arange(len(fill)) - first
+        travels = (fill < limit) & ((2 * fill <= capacity) | (place < fan_in))
+        number = (level << (_GROUP_BITS + _BIN_BITS)) + (group << _BIN_BITS) + bins
+        out = [pa.array(number), pa.array(offsets), pa.array(fill[bins]), pa.array(travels[bins])]
+        return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in rows.columns), *out], names=[*rows.column_names, "bin", "at", "fill", "travels"])
+
+    others = [c for c in items.columns if c != "group"]
+    dealt = items.select("group", *others).repartition("group").sortWithinPartitions("group", F.desc("length"), "item")
+    kinds = ", ".join(f"{c} {k}" for c, k in dealt.dtypes)
+    return dealt.mapInArrow(by_group(pack, 1), f"{kinds}, bin long, at long, fill long, travels boolean")
+
+
+def _grouped(short: DataFrame, group_rows: int) -> tuple[DataFrame, int]:
+    """The rows with their group, and how many groups there are.
+
+    Groups follow from the row count and a hash of what a piece is, never from partitions, so the same
+    table is packed alike however it is dealt. Many equal pieces share a hash; a group that holds more
+    than twice the rows it should is cut further by the number of the row.
+    """
+    count = max(1, -(-short.count() // group_rows))
+    rows = short.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(count)))
+    # at most one in two * group_rows rows each, so few
+    crowded = rows.groupBy("group").count().where(F.col("count") > 2 * group_rows).orderBy("group").collect()
+    if not crowded:
+        return rows, count
+    cut = []
+    for r in crowded:
+        parts = -(-r["count"] // group_rows)
+        cut.append((r["group"], parts, count))
+        count += parts - 1
+    extra = F.broadcast(short.sparkSession.createDataFrame(cut, "_g long, _parts long, _from long"))
+    part = F.pmod(F.xxhash64("item"), F.col("_parts"))
+    moved = F.when(F.coalesce(part, F.lit(0)) == 0, F.col("group")).otherwise(F.col("_from") + part - 1)
+    return rows.join(extra, F.col("group") == F.col("_g"), "left").withColumn("group", moved).drop("_g", "_parts", "_from"), count
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, nearly_full: float = 0.99, fan_in: int = 8, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pack whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Equal rows are packed one by one. A null id is kept
     as it is. An empty table gives an empty result; other columns are ignored.
 
-    What is packed are numbers, never texts: the pieces are written once, and only the fills of
-    underfull bins travel between partitions. Each round has 1/``fan_in`` of the groups before it,
-    and a bin that is nearly full leaves, so the last group holds what no group could fill.
+    What is packed are numbers, never texts. A group of about ``group_rows`` pieces is packed by best
+    fit and bins that are nearly full leave; underfull bins travel on as single items whose length is
+    their fill, and ``fan_in`` groups at a time merge them by best fit again, round by round. The
+    number of sequences depends on the pieces alone, not on partitions or cores.
     """
-    numbered = pieces(docs, tokenizer, capacity, end_id).withColumn("item", F.monotonically_increasing_id())
-    cut = materialize(numbered, "pack-pieces")
+    scratch = Scratch()
+    cut = scratch(pieces(docs, tokenizer, capacity, end_id).withColumn("item", F.monotonically_increasing_id()), "pack-pieces")
     short = cut.where(F.col("length") < capacity)
-    placed = materialize(_round(short.select("item", "length"), capacity, 1), "pack-round")
-    limit, groups, level = int(capacity * nearly_full), max(1, placed.rdd.getNumPartitions()), 1
-    moved = placed
+    grouped, groups = _grouped(short, group_rows)
+    limit, level = int(capacity * nearly_full), 1
+    placed = moved = scratch(_round(grouped, capacity, limit, fan_in, level), "pack-round")
     maps = []
-    while True:
-        open_bins = moved.where(F.col("fill") < limit).groupBy("bin").agg(F.first("fill").alias("length")).select(F.col("bin").alias("item"), "length")
+    while groups > 1:
+        # the row at the start of a bin stands for the bin
+        bins = moved.where("at = 0 AND travels").select(F.col("bin").alias("item"), F.col("fill").alias("length"), F.floor(F.col("group") / fan_in).cast("long").alias("group"))
         groups, level = -(-groups // fan_in), level + 1
-        moved = materialize(_round(open_bins.repartition(groups, F.xxhash64("item")), capacity, level), "pack-round")
+        moved = scratch(_round(bins, capacity, limit, fan_in, level), "pack-round")
         maps.append(moved)
-        if groups == 1:
-            break
     # bins of the last round are final; from there back, a bin that moved on takes its new place
     final = None
     for step in reversed(maps):
@@ -192,8 +217,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
             later = final.select(F.col("old").alias("new"), F.col("new").alias("newer"), F.col("shift").alias("further"))
             here = here.join(later, "new", "left").select("old", F.coalesce("newer", "new").alias("new"), (F.col("shift") + F.coalesce("further", F.lit(0))).alias("shift"))
         final = here
-    where = placed.join(final, placed["bin"] == final["old"], "left").select("item", F.coalesce("new", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    filled = short.join(where, "item").select(*columns, "sequence_id", "offset")
+    if final is None:
+        filled = placed.select(*columns, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
+    else:
+        filled = placed.join(final, placed["bin"] == final["old"], "left").select(*columns, F.coalesce("new", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))
     whole = cut.where(F.col("length") >= capacity).select(*columns, (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return filled.unionByName(whole)
+    return scratch.finish(filled.unionByName(whole), "packed")
