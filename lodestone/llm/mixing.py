@@ -114,12 +114,3 @@ def _refine(sized: DataFrame, state: DataFrame, bits: int) -> tuple[DataFrame, i
     # sources without words have no bucket and keep the state in which nothing is taken
     empty = state.where("source_size = 0").select(*[c for c in out.columns if c != "n"], F.lit(0).cast("long").alias("n"))
     return out.unionByName(empty), out.agg(F.max("n")).first()[0] or 0
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as its doc_id's plan says, all columns kept."""
-    plan = plan_mix(docs, weights, max_epochs).select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies")).where("_mix_copies > 0").distinct()
-    size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
-    same = docs["doc_id"].eqNullSafe(plan["_mix_id"]) & docs["source"].eqNullSafe(plan["_mix_source"]) & (size == plan["_mix_size"])
-    out = docs.join(plan, same)
-    return out.withColumn("_mix_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
