@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship_package, written
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order; Spark drops the others before the shuffle."""
@@ -19,18 +22,99 @@ def ranked(df: DataFrame, keys: Sequence[str], *order: Column, name: str = "rank
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + first)
 
 
-def prefix_offsets(df: DataFrame, key: str, size: str, name: str = "first") -> DataFrame:
-    """The sum of the sizes before each row, by ``key``: a sum by range of keys first, then inside.
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` in order, written once: ``_part`` numbers the ranges that Spark cuts by a sample, ``_place`` the rows.
+
+    Rows that are equal in ``order`` keep one order from here on. A frequent key is many ranges if
+    further columns of ``order`` tell its rows apart.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ranges")
+
+
+def prefix_offsets(df: DataFrame, key: str, size: str, name: str = "first", tie: str | None = None) -> DataFrame:
+    """The sum of the sizes before each row, by ``key`` and ``tie``: sums of ranges first, then inside each.
 
-    The ranges are a fixed number of quantiles of the key, so no task holds all rows.
+    There are as many ranges as shuffle partitions, so no task holds all rows; only their sums, one
+    row a range, meet in one task. Null sizes count as 0.
     """
-    ends = sorted(set(df.approxQuantile(key, [k / 64 for k in range(1, 64)], 0.002)))
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < F.col(key))) if ends else F.lit(0)
-    rows = df.withColumn("_part", part)
-    sums = rows.groupBy("_part").agg(F.sum(size).alias("_sum"))
+    rows = in_ranges(df, key, *([tie] if tie else []))
+    sums = rows.groupBy("_part").agg(F.coalesce(F.sum(size), F.lit(0)).alias("_sum"))
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum(size).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_inside", inside).join(before, "_part").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_before")
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_inside", inside).join(before, "_part").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_place", "_inside", "_before")
+
+
+def carried_batches(df: DataFrame, group: str, order: str, weight: str, most_weight: int, most_rows: int) -> DataFrame:
+    """(group, order, batch): the rows of each group in order, in greedy batches numbered from 0.
+
+    A batch closes before a row that would be its ``most_rows`` + 1st or exceed ``most_weight``; a row
+    weighs at most ``most_weight``, a null weight counts as 0. Where a batch ends depends on where it
+    began, so one group is a chain. Rows lie in sorted ranges, a large group in many. A range's
+    first ``most_rows`` rows may belong to a batch that began before; for each number of such rows the
+    range tells how many batches follow and what its last one holds. These few numbers a range are put
+    together in one task, and each range then numbers its rows on its own.
+    """
+    kinds = dict(df.dtypes)
+    clean = df.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.least(F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0)), F.lit(most_weight)).cast("long").alias("_w"))
+    rows = in_ranges(clean, "_g", "_o")
+
+    def batches(weights: list[int], start: int) -> tuple[list[int], int, int, int]:
+        """Where batches begin from ``start`` on, their number, and the rows and weight of the last."""
+        begins, held, total = [], 0, 0
+        for k in range(start, len(weights)):
+            if not begins or held >= most_rows or total + weights[k] > most_weight:
+                begins.append(k)
+                held, total = 0, 0
+            held, total = held + 1, total + weights[k]
+        return begins, len(begins), held, total
+
+    def tell(table: pa.Table) -> pa.RecordBatch:
+        weights = table.column("_w").to_pylist()
+        ends = [batches(weights, k)[1:] for k in range(min(most_rows, len(weights)) + 1)]
+        row = {"_part": table.column("_part")[0].as_py(), "_g": table.column("_g")[0].as_py(), "n": len(weights), "head": weights[:most_rows], "ends": [list(e) for e in ends]}
+        return pa.RecordBatch.from_pylist([row], schema=pa.schema([("_part", pa.int32()), ("_g", table.schema.field("_g").type), ("n", pa.int64()), ("head", pa.list_(pa.int64())), ("ends", pa.list_(pa.list_(pa.int64())))]))
+
+    def carry(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, batch, held, total = object(), 0, 0, 0
+        for table in tables:
+            out = []
+            for r in table.to_pylist():
+                if r["_g"] != name:
+                    name, batch, held, total = r["_g"], 0, 0, 0
+                taken = 0  # rows that still fit the open batch
+                while held and taken < r["n"] and taken < len(r["head"]) and held < most_rows and total + r["head"][taken] <= most_weight:
+                    held, total, taken = held + 1, total + r["head"][taken], taken + 1
+                out.append((r["_part"], r["_g"], taken, batch))
+                if taken < r["n"]:
+                    more, held, total = r["ends"][taken]
+                    batch += more
+            if out:
+                c = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], table.schema.field("_g").type), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())], names=["_part", "_g", "taken", "batch"])
+
+    ship_package(df.sparkSession)
+    told = rows.groupBy("_part", "_g").applyInArrow(lambda t: pa.Table.from_batches([tell(t.sort_by("_place"))]), f"_part int, _g {kinds[group]}, n long, head array<long>, ends array<array<long>>")
+    told = written(told, "batch-ends")
+    # only groups of several ranges are chained: at most one small row a range, and one more a group
+    several = told.groupBy(F.col("_g").alias("_h")).count().where("count > 1")
+    starts = told.join(several, F.col("_g").eqNullSafe(F.col("_h")), "left_semi").coalesce(1).sortWithinPartitions("_part", "_g").mapInArrow(carry, f"_part int, _g {kinds[group]}, taken long, batch long")
+    starts = written(starts, "batches")
+
+    def number(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_place")
+        taken, batch, weights = table.column("taken")[0].as_py(), table.column("batch")[0].as_py(), table.column("_w").to_pylist()
+        begins = set(batches(weights, taken)[0])
+        at, out = batch - 1, []
+        for k in range(len(weights)):
+            at += k in begins
+            out.append(at)
+        return table.select(["_g", "_o"]).append_column("batch", pa.array(out, pa.int64()))
+
+    first = starts.select(F.col("_part").alias("_p"), F.col("_g").alias("_h"), "taken", F.col("batch"))
+    joined = rows.join(first, (F.col("_part") == F.col("_p")) & F.col("_g").eqNullSafe(F.col("_h")), "left").drop("_p", "_h").fillna(0, ["taken", "batch"])
+    numbered = joined.groupBy("_part", "_g").applyInArrow(number, f"_g {kinds[group]}, _o {kinds[order]}, batch long")
+    return numbered.select(F.col("_g").alias(group), F.col("_o").alias(order), "batch")
 
 
 def first_wins(tables: Sequence[DataFrame], key: str) -> DataFrame:
@@ -138,10 +222,35 @@ def repository_summary(repos: DataFrame, key: str, children: dict[str, DataFrame
 
 
 def directory_hash(files: DataFrame, keys: Sequence[str], path: str, content: str) -> DataFrame:
-    """First 40 hex digits of the SHA-256 over all (path, content), by path, of each group."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.coalesce(F.col(content), F.lit("")).alias("c"))))
-    joined = F.array_join(F.transform(ordered, lambda f: F.concat(f["p"], f["c"])), "")
-    return files.groupBy(*keys).agg(F.substring(F.sha2(joined, 256), 1, 40).alias("hash"))
+    """First 40 hex digits of the SHA-256 over all (path, content), by path, of each group.
+
+    Contents are hashed as they pass by, sorted by path, so a folder of any size needs no more memory
+    than one batch of files. A digest over a folder's bytes is one chain, so a folder is one task.
+    """
+    names = [f"_k{n}" for n in range(len(keys))]
+    kinds = dict(files.dtypes)
+    rows = files.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(path).alias("_p"), F.coalesce(F.col(content).cast("binary"), F.lit("").cast("binary")).alias("_c"))
+    dealt = rows.repartition(*names).sortWithinPartitions(*names, "_p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        group, total, kind = None, None, None
+        row = lambda: pa.RecordBatch.from_arrays([*(pa.array([g], t) for g, t in zip(group, kind, strict=True)), pa.array([total.hexdigest()[:40]])], names=[*names, "hash"])
+        for batch in batches:
+            kind = [batch.column(n).type for n in range(len(names))]
+            for *here, name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if total is None or here != group:
+                    if total is not None:
+                        yield row()
+                    group, total = here, hashlib.sha256()
+                total.update((name or "").encode())
+                total.update(data)
+        if total is not None:
+            yield row()
+
+    schema = ", ".join(f"{n} {kinds[k]}" for k, n in zip(keys, names, strict=True))
+    return dealt.mapInArrow(run, f"{schema}, hash string").select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "hash")
 
 
 def assign_priorities(items: DataFrame, keys: Sequence[str], order: Column, base: Column | int) -> DataFrame:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.porter2 import ENDINGS, STOP_WORDS, stem
+from ..functions.registry import document_pages
 from ..operators import mutations as M
 from ..operators import options as O
 from ..operators import relational as R
-from ..session import ship_package
+from ..session import shared_folder, ship_package
 from . import ingest, retrieval
-from .dag import topological
+from .dag import depths
+from .keyword import shared_index
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -164,14 +167,8 @@ def group_collect_capped(lineitem):
     return R.group_by_file(rows, 5).select("path", "first_seq", F.size("matches").cast("long").alias("n"))
 
 
-@query("SELECT lang, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents WHERE lang <> '' AND n_chars < 400 GROUP BY lang")
-def group_by_language(documents):
-    rows = documents.where("lang <> '' AND n_chars < 400")
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda d: d.cast("string")), ",").alias("ids"))
-
-
 @query("SELECT lang, doc_id, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang <> ''")
-def group_by_language_all(documents):
+def group_by_language(documents):
     """Every document with a language, as rows of its group, and the group's size."""
     rows = documents.where("lang <> ''").select("lang", "doc_id")
     return rows.join(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang")
@@ -194,25 +191,12 @@ def repo_summary_counts(customer, orders, lineitem):
 _STATES = "CASE event_type WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'skipped' WHEN 'error' THEN 'failed' WHEN 'signup' THEN CASE WHEN event_id % 7 = 0 THEN 'started' ELSE 'completed' END ELSE 'completed' END"
 
 
-@query(f"""WITH s AS (SELECT user_id, {_STATES} AS state, ts AS updated_at, 'event ' || event_id AS error FROM events WHERE user_id % 3 > 0),
-q AS (SELECT user_id, count(*) AS n FROM events WHERE user_id % 5 = 0 GROUP BY user_id),
-a AS (SELECT user_id, count(*) FILTER (state IN ('started', 'in_progress')) AS active, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state IN ('completed', 'skipped')) AS done,
-  arg_max(error, struct_pack(a := updated_at, b := error)) FILTER (state = 'failed') AS err FROM s GROUP BY user_id)
-SELECT coalesce(a.user_id, q.user_id) AS user_id,
-  CASE WHEN coalesce(active, 0) > 0 OR coalesce(q.n, 0) > 0 THEN 'in_progress' WHEN failed > 0 AND done > failed THEN 'completed_with_errors' WHEN failed > 0 THEN 'failed' WHEN done > 0 THEN 'completed' ELSE 'pending' END AS status,
-  CASE WHEN coalesce(active, 0) = 0 AND coalesce(q.n, 0) = 0 AND failed > 0 THEN err END AS message
-FROM a FULL JOIN q ON a.user_id = q.user_id""")
-def status_rollup(events):
-    rows = events.where("user_id % 3 > 0").select("user_id", F.expr(_STATES).alias("state"), F.col("ts").alias("updated_at"), F.concat(F.lit("event "), "event_id").alias("error"))
-    return R.status_rollup(rows, ["user_id"], events.where("user_id % 5 = 0").select("user_id")).select("user_id", "status", "message")
-
-
 @query(f"""WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type IS NOT DISTINCT FROM 'view' AS queued, {_STATES} AS state, ts AS updated_at, 'event ' || event_id AS error FROM events),
 a AS (SELECT user_id, day, count(*) FILTER (queued OR state IN ('started', 'in_progress')) AS active, count(*) FILTER (NOT queued AND state = 'failed') AS failed, count(*) FILTER (NOT queued AND state IN ('completed', 'skipped')) AS done,
   arg_max(error, struct_pack(a := updated_at, b := error)) FILTER (NOT queued AND state = 'failed') AS err FROM e GROUP BY user_id, day)
 SELECT user_id, day, CASE WHEN active > 0 THEN 'in_progress' WHEN failed > 0 AND done > failed THEN 'completed_with_errors' WHEN failed > 0 THEN 'failed' ELSE 'completed' END AS status,
   CASE WHEN active = 0 AND failed > 0 THEN err END AS message FROM a""")
-def status_rollup_all(events):
+def status_rollup(events):
     """Every event, by user and day: a view waits in the queue, any other event is a state."""
     day, queued = F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").eqNullSafe("view")
     rows = events.where(~queued).select("user_id", day, F.expr(_STATES).alias("state"), F.col("ts").alias("updated_at"), F.concat(F.lit("event "), "event_id").alias("error"))
@@ -318,14 +302,11 @@ def asof_page_lookup(events):
     return R.as_of(events.where("event_type <> 'signup'").select("event_id", "user_id", "ts"), "ts", bounds, "start", "page", ["user_id"]).select("event_id", "page")
 
 
-@query("SELECT doc_id, length(p) - length(replace(p, chr(10), '')) + 1 AS line FROM (SELECT doc_id, substr(text, 1, 200) AS p FROM documents WHERE strlen(substr(text, 1, 200)) = 200)")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
+s AS (SELECT doc_id, line, coalesce(sum(strlen(content) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l),
+o AS (SELECT doc_id, unnest(generate_series(0, strlen(coalesce(text, '')), 200)) AS at FROM documents)
+SELECT o.doc_id, o.at AS "offset", s.line FROM o ASOF JOIN s ON o.doc_id = s.doc_id AND o.at >= s.start""")
 def line_of_offset(documents):
-    rows = documents.where(F.octet_length(F.substring("text", 1, 200)) == 200)
-    return rows.select("doc_id", X.line_of(F.col("text"), F.lit(200)).cast("long").alias("line"))
-
-
-@query()
-def line_of_offset_all(documents):
     """The lines of byte offsets 0, 200, 400 and so on, to the end of every text."""
     rows = documents.select("doc_id", F.explode(X.lines_at(F.col("text"), 200)).alias("at"))
     return rows.select("doc_id", F.col("at.offset").cast("long").alias("offset"), F.col("at.line").cast("long").alias("line"))
@@ -363,7 +344,7 @@ def latest_per_key(orders):
 
 @query("SELECT doc_id, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM documents")
 def prefix_sum_offsets(documents):
-    return R.prefix_offsets(documents.select("doc_id", "n_chars"), "doc_id", "n_chars").select("doc_id", "first")
+    return R.prefix_offsets(documents.select("doc_id", "n_chars"), "doc_id", "n_chars", tie="n_chars").select("doc_id", "first")
 
 
 @query("SELECT user_id, event_id, 2000 + 10 * (count(*) OVER (PARTITION BY user_id) - (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)) AS priority FROM events")
@@ -421,33 +402,14 @@ def text_chunks_full(documents):
     return ingest.chunk_files(documents, key="doc_id", content="text")
 
 
-@query("""WITH RECURSIVE d AS (SELECT source, doc_id, least(n_chars, 4000) AS w, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE n_chars < 1500),
-r AS (SELECT source, doc_id, i, 0::BIGINT AS batch, 1 AS rows, w AS chars FROM d WHERE i = 1
-UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN r.rows >= 4 OR r.chars + d.w > 4000 THEN r.batch + 1 ELSE r.batch END,
-  CASE WHEN r.rows >= 4 OR r.chars + d.w > 4000 THEN 1 ELSE r.rows + 1 END, CASE WHEN r.rows >= 4 OR r.chars + d.w > 4000 THEN d.w ELSE r.chars + d.w END FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1)
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, least(coalesce(n_chars, 0), 4000) AS w, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT source, doc_id, i, 0::BIGINT AS batch, 1 AS held, w AS chars FROM d WHERE i = 1
+UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN r.held >= 4 OR r.chars + d.w > 4000 THEN r.batch + 1 ELSE r.batch END,
+  CASE WHEN r.held >= 4 OR r.chars + d.w > 4000 THEN 1 ELSE r.held + 1 END, CASE WHEN r.held >= 4 OR r.chars + d.w > 4000 THEN d.w ELSE r.chars + d.w END FROM r JOIN d ON d.source IS NOT DISTINCT FROM r.source AND d.i = r.i + 1)
 SELECT source, doc_id, batch FROM r""")
 def token_budget_batches(documents):
-    from ..functions.chunker import batches
-
-    def run(pdf):
-        pdf = pdf.sort_values("doc_id")
-        return pdf.assign(batch=batches(pdf["n_chars"].tolist(), 4000, 4))[["source", "doc_id", "batch"]]
-
-    return documents.where("n_chars < 1500").select("source", "doc_id", "n_chars").groupBy("source").applyInPandas(run, "source string, doc_id long, batch long")
-
-
-@query()
-def token_budget_batches_all(documents):
     """Every document in order of its id; a null length counts as 0, and one of 4000 or more fills a batch alone."""
-    from ..functions.chunker import batches
-
-    def run(table):
-        table = table.sort_by([("doc_id", "ascending"), ("n_chars", "ascending")])
-        numbers = pa.array(batches(table.column("n_chars").to_pylist(), 4000, 4), pa.int64())
-        return table.select(["source", "doc_id"]).append_column("batch", numbers)
-
-    rows = documents.select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
-    return rows.groupBy("source").applyInArrow(run, "source string, doc_id long, batch long")
+    return R.carried_batches(documents, "source", "doc_id", "n_chars", 4000, 4)
 
 
 @query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^[^/]*//[^/]*example\\.net/(?:[^/]*/)*[^/]*1[^/]$')")
@@ -483,17 +445,14 @@ def rune_truncate(documents):
     return documents.select("doc_id", X.truncate(F.col("text"), 40).alias("head"), (F.octet_length("text") > 2000).alias("large"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 100000 THEN 'cut' ELSE 'whole' END AS kind, length(text) AS n FROM documents")
-def byte_len_gate(documents):
-    cut = X.truncate_bytes(F.col("text"), 100_000, "")
-    return documents.select("doc_id", F.when(F.octet_length("text") > 100_000, "cut").otherwise("whole").alias("kind"), F.when(F.octet_length("text") <= 100_000, F.length(cut)).otherwise(F.length("text")).cast("long").alias("n"))
+_CUT = "coalesce(" + ", ".join(f"try(decode(array_slice(encode(text), 1, {{0}} - {k})))" for k in range(4)) + ")"
 
 
-@query()
-def byte_cut_all(documents):
-    """Every text cut to 100 000 bytes: characters, bytes and digest of what is left."""
-    cut = X.truncate_bytes(F.col("text"), 100_000, "")
-    return documents.select("doc_id", F.length(cut).cast("long").alias("n"), F.octet_length(cut).cast("long").alias("bytes"), F.sha2(cut, 256).alias("digest"))
+@query("WITH d AS (SELECT doc_id, text AS whole, CASE WHEN strlen(text) > 1000 THEN " + _CUT.format(1000) + " ELSE text END AS cut, strlen(text) > 1000 AS long FROM documents) SELECT doc_id, length(cut) AS n, strlen(cut) AS bytes, sha256(cut || CASE WHEN long THEN '[cut]' ELSE '' END) AS digest, strlen(whole) > 100000 AS large FROM d")
+def byte_cut(documents):
+    """Every text cut to 1000 bytes, where a character would be split before it: characters, bytes and digest of what is left."""
+    cut, noted = X.truncate_bytes(F.col("text"), 1000, ""), X.truncate_bytes(F.col("text"), 1000, "[cut]")
+    return documents.select("doc_id", F.length(cut).cast("long").alias("n"), F.octet_length(cut).cast("long").alias("bytes"), F.sha2(noted, 256).alias("digest"), (F.octet_length("text") > 100_000).alias("large"))
 
 
 @query("SELECT event_id, event_type || ':' || (props::JSON ->> '$.k') AS key FROM events")
@@ -527,6 +486,18 @@ def csv_profile(part):
     return filled.groupBy("col").agg(F.bool_and(F.col("v").try_cast("double").isNotNull()).alias("numeric"), F.count_distinct(F.trim("v")).alias("n"))
 
 
+@query("""WITH r AS (SELECT user_id, event_type, ts::DATE::VARCHAR AS day, count(*) AS n FROM events GROUP BY ALL),
+v AS (SELECT user_id, string_agg(x, ' ' ORDER BY k, x) AS vs FROM (SELECT DISTINCT user_id, 1 AS k, day AS x FROM r UNION SELECT DISTINCT user_id, 2, event_type FROM r) GROUP BY user_id),
+t AS (SELECT user_id, string_agg(day || ',' || event_type || ',' || n, chr(10) ORDER BY day, event_type) AS top FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day, event_type) <= 5) GROUP BY user_id)
+SELECT user_id, 'Headers: day kind n' || chr(10) || 'Values: ' || vs || chr(10) || 'Top rows:' || chr(10) || top AS summary FROM v JOIN t USING (user_id)""")
+def csv_summaries(events):
+    """A CSV file for each user (a row a day and kind of event), summarised as a file of a repository is."""
+    rows = events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").count()
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("day", "event_type", F.col("count").cast("string").alias("n")))), lambda r: F.concat_ws(",", r["day"], r["event_type"], r["n"]))
+    files = rows.groupBy("user_id").agg(F.encode(F.concat(F.lit("day,kind,n\n"), F.array_join(lines, "\n")), "UTF-8").alias("content"))
+    return document_pages(files.select("user_id", F.lit("csv").alias("extension"), "content"), "user_id").select("user_id", F.col("text").alias("summary"))
+
+
 @query("""WITH t AS (SELECT doc_id, text, string_split(text, chr(10))[1:100] AS l, len(regexp_extract_all(text, 'the ')) + len(regexp_extract_all(text, 'ing ')) AS n FROM documents)
 SELECT doc_id, n::BIGINT AS n, CASE WHEN n >= 3 THEN array_to_string([x for x in l if contains(trim(x), 'the ') OR contains(trim(x), 'ing ')], chr(10)) ELSE '' END AS api FROM t""")
 def api_line_extract(documents):
@@ -541,32 +512,64 @@ _STATS = "s AS (SELECT count(*) AS n, avg(dl) AS mean FROM (SELECT doc_id, any_v
 
 
 def _bm25_sql(k: int) -> str:
-    return f"""SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM h JOIN f USING (term), s GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {k}"""
+    return f"""SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM h JOIN f USING (term), s GROUP BY doc_id ORDER BY score DESC, doc_id::VARCHAR LIMIT {k}"""
+
+
+@query(f"WITH t AS ({_TERMS}), {_STATS} SELECT (SELECT n FROM s) AS documents, round((SELECT mean FROM s), 6) AS mean, count(DISTINCT term) AS terms, count(DISTINCT (doc_id, term)) AS postings FROM t")
+def bm25_build(documents):
+    """The stored index of all documents, built anew: what it holds."""
+    index = shared_index(documents, "doc_id", "text", "words", rebuild=True)
+    rows = index.store.read("postings").agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
+    return index.stats().select(F.col("n").alias("documents"), F.round("mean", 6).alias("mean")).join(rows)
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH t AS ({_TERMS}), {_STATS}, h AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM t WHERE term IN ('tion', 'the', 'worthless') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term)
 SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(10)})""")
 def bm25_terms_topk(documents):
-    terms = ["tion", "the", "worthless"]
-    index = retrieval.postings(documents, "doc_id", "text", only=terms)
-    return retrieval.bm25_terms(index, terms, 10, "doc_id", retrieval.lengths(documents, "doc_id")).select("doc_id", F.round("score", 6).alias("score"))
+    return _found(shared_index(documents, "doc_id", "text", "words").find("tion the worthless", 10, phrase=False))
 
 
 @query(f"""WITH p AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS i, len(t) AS dl FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents)),
 t AS (SELECT doc_id, dl FROM p), {_STATS}, h AS (SELECT a.doc_id, 'x' AS term, any_value(a.dl) AS dl, count(*) AS tf FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id),
 f AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(10)})""")
 def bm25_phrase_topk(documents):
-    terms = ["of", "the"]
-    index = retrieval.postings(documents, "doc_id", "text", only=terms)
-    return retrieval.bm25_phrase(index, terms, 10, "doc_id", retrieval.lengths(documents, "doc_id")).select("doc_id", F.round("score", 6).alias("score"))
+    return _found(shared_index(documents, "doc_id", "text", "words").find("of the", 10))
 
 
-@query()
+def _forms(word: str) -> str:
+    """A SQL list of the words that have this word's stem: the stem and all endings the stemmer takes off, one or two deep."""
+    root, ends = stem(word), ["", *ENDINGS]
+    tried = {base + a + b for base in {root, root[:-1], root + "e", root.rstrip("i") + "y"} for a in ends for b in ends}
+    return ", ".join(f"'{w}'" for w in sorted(tried) if stem(w) == root)
+
+
+_BAG = f"SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda x: NOT list_contains({sorted(w for w in STOP_WORDS if w.isalpha())!r}, x)) AS t FROM documents"
+
+
+@query(f"""WITH d AS ({_BAG}), t AS (SELECT doc_id, unnest(t) AS word, len(t) AS dl FROM d), {_STATS},
+h AS (SELECT doc_id, CASE WHEN word IN ({_forms("disgusting")}) THEN 'a' WHEN word IN ({_forms("thanked")}) THEN 'b' WHEN word IN ({_forms("worthless")}) THEN 'c' END AS term, any_value(dl) AS dl, count(*) AS tf FROM t WHERE term IS NOT NULL GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(20)})""")
 def bm25_stemmed_topk(documents):
-    from ..functions.stemming import stem, tokens
+    """A bag of words without stop words, by stems; the SQL lists the words of each stem."""
+    return _found(shared_index(documents, "doc_id", "text", "bag").find("The disgusting thanked, and worthless", 20, phrase=False))
+
+
+@query("SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE doc_id IN (3, 5, 7, 11) AND trim(text) <> ''")
+def keyword_lookup(documents):
+    """What a search without a query finds: the ids that are indexed."""
+    return _found(shared_index(documents, "doc_id", "text", "words").lookup(["3", "5", "7", "11", "none"]))
 
-    index = retrieval.postings(documents, "doc_id", "text", stemmed=True)
-    return retrieval.bm25_terms(index, [stem(t) for t in tokens("disgusting nations")], 10, "doc_id")
+
+@query(f"""WITH t AS ({_TERMS}), {_STATS}, h AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM t WHERE term IN ('tion', 'the') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM h JOIN f USING (term), s WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0) GROUP BY doc_id ORDER BY score DESC, doc_id::VARCHAR LIMIT 10)""")
+def bm25_filtered_topk(documents, labels):
+    """Filters restrict what is found; frequencies and lengths stay those of the whole index."""
+    allowed = labels.where("toxic = 0").select(F.col("doc_id").cast("string").alias("id"))
+    return _found(shared_index(documents, "doc_id", "text", "words").find("tion the", 10, allowed, phrase=False))
 
 
 def _query_vector(embeddings: DataFrame) -> list[float]:
@@ -607,10 +610,8 @@ def cosine_batch_queries(embeddings):
 
 @query()
 def ivf_topk(embeddings):
-    lists, probes = retrieval.probe_count(embeddings.count())
-    centroids = retrieval.train_centroids(embeddings, min(lists, 256), "vec_id")
-    query = embeddings.where("vec_id = 7").first()["embedding"]
-    return retrieval.ivf_topk(retrieval.assign_lists(embeddings, centroids, "vec_id"), centroids, query, probes, 10, "vec_id")
+    """The stored inverted file, of which a query reads the partitions of its nearest lists."""
+    return retrieval.shared_vectors(embeddings, "vec_id").find(_query_vector(embeddings), 10)
 
 
 @query(f"""WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 20),
@@ -629,10 +630,8 @@ v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id::VARCH
 u AS (SELECT id, sum(1 / (60.0 + r)) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY id ORDER BY score DESC, id::VARCHAR LIMIT 10)
 SELECT d.doc_id, d.lang, d.source, round(u.score, 9) AS score FROM u JOIN documents d ON d.doc_id = u.id""")
 def hybrid_search(documents, embeddings):
-    terms = ["thing", "tion"]
-    index = retrieval.postings(documents, "doc_id", "text", only=terms)
     near = retrieval.exact_topk(embeddings, _query_vector(embeddings), 20, "vec_id").select(F.col("vec_id").alias("id"), "score")
-    words = retrieval.bm25_terms(index, terms, 20, "doc_id", retrieval.lengths(documents, "doc_id")).select(F.col("doc_id").alias("id"), "score")
+    words = shared_index(documents, "doc_id", "text", "words").find("thing tion", 20, phrase=False).select(F.col("id").cast("long").alias("id"), "score")
     return retrieval.hybrid([near, words], documents.select("doc_id", "lang", "source"), 10, "id", "doc_id").select("doc_id", "lang", "source", F.round("score", 9).alias("score"))
 
 
@@ -644,11 +643,18 @@ def ls_latest(pages):
 # --- changes
 
 
-@query()
-def embed_upsert_pipeline(documents):
+@query("SELECT doc_id::VARCHAR AS snippet_id, 16 AS dimension, doc_id NOT IN (SELECT doc_id FROM labels) AS fresh FROM documents WHERE trim(text) <> ''")
+def embed_upsert_pipeline(documents, labels):
+    """Every document that the vector table lacks is embedded and stored; labelled ones are there before."""
     rows = documents.select(F.col("doc_id").cast("string").alias("snippet_id"), "text")
-    known = rows.where("snippet_id < '5'").select("snippet_id")
-    return ingest.index_new(rows, known, ingest.hash_embedder(16)).select("snippet_id", F.size("embedding").alias("dimension"))
+    known = rows.join(labels.select(F.col("doc_id").cast("string").alias("snippet_id")).distinct(), "snippet_id", "left_semi")
+    store = M.TableStore(documents.sparkSession, f"{shared_folder(documents.sparkSession)}/lodestone-vectors-{uuid.uuid4().hex}")
+    model = ingest.hash_embedder(16)
+    ingest.index_vectors(store, "code", known, model)
+    before = store.read("vectors_code").select("snippet_id", F.lit(True).alias("known"))
+    ingest.index_vectors(store, "code", rows, model)
+    stored = store.read("vectors_code").join(before, "snippet_id", "left")
+    return stored.select("snippet_id", F.size("embedding").alias("dimension"), F.col("known").isNull().alias("fresh"))
 
 
 @query("""SELECT 'documents' AS name, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
@@ -681,19 +687,14 @@ def backfill_default(customer):
     return M.backfill(customer.select("c_custkey", "c_nationkey"), "c_nationkey", 99)
 
 
-_EDGES = (("chunks", "scan"), ("bm25", "chunks"), ("code", "bm25"), ("images", "chunks"), ("pages", "images"))
-
-
-@query(f"""WITH RECURSIVE e(step, after) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _EDGES)}), r AS (SELECT 'scan' AS step, 0 AS depth UNION ALL SELECT e.step, r.depth + 1 FROM r JOIN e ON e.after = r.step)
-SELECT step, max(depth)::INT AS depth FROM r GROUP BY step""")
-def topo_sort_dag(region):
-    after: dict[str, list[str]] = {}
-    for step, needs in _EDGES:
-        after.setdefault(step, []).append(needs)
-    depth: dict[str, int] = {}
-    for step in topological(["scan", *dict.fromkeys(a for a, _ in _EDGES)], after):
-        depth[step] = max((depth[n] + 1 for n in after.get(step, ())), default=0)
-    return region.sparkSession.createDataFrame(list(depth.items()), "step string, depth int")
+@query("""WITH RECURSIVE e AS (SELECT conv_id, turn AS step, turn - 1 - turn % 2 AS after FROM conversations WHERE turn > 0 UNION SELECT conv_id, turn, turn - 1 FROM conversations WHERE turn % 3 = 0 AND turn > 0),
+r AS (SELECT conv_id, turn AS step, 0 AS depth FROM conversations UNION SELECT r.conv_id, e.step, r.depth + 1 FROM r JOIN e ON e.conv_id = r.conv_id AND e.after = r.step)
+SELECT conv_id, step, max(depth)::INT AS depth FROM r GROUP BY conv_id, step""")
+def topo_sort_dag(conversations):
+    """Every conversation as a pipeline: a turn waits for the last turn of the pair before it, every third one also for the turn before it."""
+    later = conversations.where("turn > 0")
+    needs = later.select("conv_id", F.col("turn").alias("step"), (F.col("turn") - 1 - F.col("turn") % 2).alias("after")).union(later.where("turn % 3 = 0").select("conv_id", "turn", F.col("turn") - 1)).distinct()
+    return depths(conversations.select("conv_id", F.col("turn").alias("step")), needs, "conv_id").select("conv_id", "step", "depth")
 
 
 # --- streams, as batches

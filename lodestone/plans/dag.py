@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import written
 
 #: Queue priorities, and the steps of the built-in pipelines in order.
 PRIORITIES = {"background": 1000, "normal": 2000, "user": 5000, "critical": 10000}
@@ -39,6 +45,26 @@ def topological(names: Iterable[str], after: Mapping[str, Iterable[str]]) -> lis
     return out
 
 
+def depths(steps: DataFrame, needs: DataFrame, pipeline: str, step: str = "step", after: str = "after", most: int = 1000) -> DataFrame:
+    """(pipeline, step, depth) of the steps of many pipelines: 0 without a known need, else one more than the deepest need.
+
+    ``needs`` holds pipeline, step and the step it comes after; needs that name no step do not count.
+    Each round moves one step on in all pipelines at once, so there are as many rounds as the longest
+    chain has steps; a chain of more than ``most``, as of a cycle, is an error.
+    """
+    known = needs.join(steps.select(pipeline, F.col(step).alias(after)), [pipeline, after], "left_semi").distinct()
+    found = [written(steps.select(pipeline, step).distinct().withColumn("depth", F.lit(0)), "depths")]
+    while True:
+        last = found[-1].select(pipeline, F.col(step).alias(after), "depth")
+        moved = written(known.join(last, [pipeline, after]).groupBy(pipeline, step).agg((F.max("depth") + 1).alias("depth")), "depths")
+        if moved.isEmpty():
+            break
+        if len(found) > most:
+            raise ValueError("cycle")
+        found.append(moved)
+    return reduce(DataFrame.unionByName, found).groupBy(pipeline, step).agg(F.max("depth").alias("depth"))
+
+
 def validate(pipeline: Pipeline) -> None:
     """Names once each, known dependencies, join types any or all, no cycle."""
     names = [s.name for s in pipeline.steps]

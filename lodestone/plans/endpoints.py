@@ -194,12 +194,15 @@ def search(c: Catalog, code: Sequence[float] | None = None, text: Sequence[float
 
 
 def keyword_list(c: Catalog, words: str, allowed: DataFrame, k: int) -> DataFrame:
-    """(id, score) of the phrase among the allowed ids."""
-    from ..functions.stemming import stem, tokens
+    """(id, score) of the phrase among the allowed ids; frequencies are those of the whole index.
 
-    terms = [stem(t) for t in tokens(words)]
-    docs = c["keyword_index"].join(allowed.select("snippet_id"), "snippet_id", "left_semi").select(F.col("snippet_id").alias("id"), F.col("passage").alias("text"))
-    return retrieval.bm25_phrase(retrieval.postings(docs, stemmed=True), terms, k)
+    The catalog's stored index (``extra["keywords"]``) is read if it has one, else the passages.
+    """
+    allowed = allowed.select(F.col("snippet_id").alias("id"))
+    if (index := c.extra.get("keywords")) is not None:
+        return index.find(words, k, allowed)
+    docs = c["keyword_index"].select(F.col("snippet_id").alias("id"), F.col("passage").alias("text"))
+    return retrieval.bm25_phrase(retrieval.postings(docs, analyzer="porter"), retrieval.ANALYZERS["porter"](words), k, allowed=allowed)
 
 
 def semantic(c: Catalog, vector: Sequence[float], filters: O.Filters = O.Filters(), k: int = 10, task: str = "code", least: float | None = None, language: str | None = None) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.chunker import ChunkConfig, batches, chunks
 from ..functions.text import extension
+from ..operators.mutations import TableStore
 from ..operators.relational import new_only
-from ..session import ship_package
+from ..session import ship_package, written
 
 #: Fixed value: share of rows of a batch that may fail.
 TOLERANCE = 0.05
@@ -136,6 +137,30 @@ def index_new(candidates: DataFrame, index: DataFrame, model: Callable[[Sequence
     return embed(new_only(candidates, index, key), model, key, text, **options)
 
 
+def index_vectors(store: TableStore, task: str, candidates: DataFrame, model: Callable[[Sequence[str]], np.ndarray], key: str = "snippet_id", text: str = "text", tolerance: float = TOLERANCE, **options) -> int:
+    """Embed what the task's vector table lacks and add it to the table; how many rows that were.
+
+    Rows that failed are left out and come up again next time; if too large a share failed, nothing is
+    stored. Vectors of another length than those stored replace the whole table, so all candidates
+    are embedded anew.
+    """
+    name = f"vectors_{task}"
+    rows = candidates.dropDuplicates([key])
+    if store.exists(name):
+        size = store.read(name).select(F.size("embedding")).first()
+        probe = model(["dimension"])
+        if size is not None and len(probe) and len(probe[0]) != size[0]:
+            store.write(name, store.read(name).limit(0))
+        rows = new_only(rows, store.read(name), key)
+    fresh = written(embed(rows, model, key, text, **options), "vectors")
+    check_failures(fresh, tolerance)
+    good = fresh.where("error IS NULL").select(key, "embedding")
+    count = good.count()
+    if count or not store.exists(name):
+        store.append(name, good)
+    return count
+
+
 def generate(requests: DataFrame, model: Callable[[str, str], str], key: str = "id", system: str = "system", text: str = "text") -> DataFrame:
     """(key, answer, error) of a text generator over requests; failed ones keep their place without an answer."""
     ship_package(requests.sparkSession)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import relational as R
+from ..session import shared_folder
 from ..streaming import status, windows
 from . import retrieval
 from .catalogue import ORACLES, QUERIES, query
@@ -57,16 +58,11 @@ def file_uris(documents):
     return documents.select("doc_id", X.file_uri(F.col("doc_id"), F.col("lang"), F.concat("source", F.lit(".txt")), start, F.lit(9)).alias("uri"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 30) ELSE '' END AS body FROM documents WHERE NOT contains(substr(text, 1, 30), chr(10)) AND trim(substr(text, 1, 30)) = substr(text, 1, 30)")
-def fence_and_thinking(documents):
-    head = F.substring("text", 1, 30)
-    rows = documents.where(~head.contains("\n") & (F.trim(head) == head))
-    told = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>hm\n</think>```md\n"), head, F.lit("\n```"))).otherwise(F.concat(F.lit("<think>"), head, F.lit("</think>")))
-    return rows.select("doc_id", X.strip_fence(X.drop_thinking(told)).alias("body"))
+_BARE = "regexp_replace(regexp_replace(coalesce(text, ''), '^[\\s\\x{85}\\x0B\\p{Z}]+', ''), '[\\s\\x{85}\\x0B\\p{Z}]+$', '')"
 
 
-@query()
-def fence_and_thinking_all(documents):
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_BARE} ELSE 'end' END AS body FROM documents")
+def fence_and_thinking(documents):
     """Every text, whole: in a fence after a think block (even ids), or in a think block before a word."""
     text = F.coalesce("text", F.lit(""))
     told = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>hm\n</think>```md\n"), text, F.lit("\n```"))).otherwise(F.concat(F.lit("<think>"), text, F.lit("</think>end")))
@@ -79,9 +75,13 @@ def cosine_scales(embeddings):
     return embeddings.select("vec_id", F.round(raw, 6).alias("raw"), F.round(X.distance_similarity(1 - raw), 6).alias("scaled"))
 
 
-@query("SELECT vec_id, len(embedding) AS dimension FROM embeddings")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::VARCHAR::DOUBLE) AS e FROM embeddings)
+SELECT vec_id, len(e) AS dimension, round(e[1], 9) AS first, round(e[64], 9) AS last, round(list_sum(list_transform(e, lambda x, i: x * i)), 6) AS weighted FROM v""")
 def vector_literals(embeddings):
-    return embeddings.select("vec_id", F.size(X.parse_vector(X.vector_literal(F.col("embedding")))).cast("long").alias("dimension"))
+    """Vectors written as text and read back."""
+    back = X.parse_vector(X.vector_literal(F.col("embedding")))
+    weighted = F.aggregate(F.transform(back, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return embeddings.select("vec_id", F.size(back).cast("long").alias("dimension"), F.round(F.element_at(back, 1), 9).alias("first"), F.round(F.element_at(back, 64), 9).alias("last"), F.round(weighted, 6).alias("weighted"))
 
 
 @query("SELECT page_id, url LIKE '%/en/%' OR url LIKE '%.html' AS ignored FROM pages")
@@ -104,15 +104,19 @@ def semantic_hydrated(embeddings, labels):
 
 
 def _stream(name: str, sql: str, plan, mode: str) -> None:
-    """Register a plan that a stream runs over ``events`` to its end, into a memory table."""
+    """Register a plan that a stream runs over ``events`` to its end, into Parquet in the shared folder."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path, table = f"{sf_dir}/events.parquet", f"stream_{uuid.uuid4().hex}"
+        path, folder = f"{sf_dir}/events.parquet", f"{shared_folder(spark)}/lodestone-stream-{uuid.uuid4().hex}"
         # as a pattern, so that the table may be one file
-        rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")
-        started = plan(rows).writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start()
-        started.awaitTermination()
-        return spark.table(table)
+        rows = plan(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+        def keep(batch: DataFrame, number: int) -> None:
+            # in complete mode a batch replaces the one before it; a repeated batch replaces itself
+            batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else number}")
+
+        rows.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(rows.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out").select(*rows.columns)
 
     QUERIES[name], ORACLES[name] = run, sql
 
@@ -129,9 +133,21 @@ _stream(
     lambda e: e.select(X.dedup_key(F.col("event_type"), F.col("props")).alias("key")).dropDuplicates(["key"]),
     "append",
 )
-_stream(
-    "stream_latest_status",
-    "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id",
-    lambda e: e.groupBy("user_id").agg(F.max("event_id").alias("event_id")),
-    "complete",
-)
+_EVENT = {"view": "start", "click": "progress", "purchase": "complete", "error": "fail", "signup": "skip"}
+_STATE_SQL = """WITH e AS (SELECT {0}, ts, event_id, CASE event_type WHEN 'view' THEN 'started' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' END AS state FROM events)
+SELECT {0}, coalesce(arg_min(state, (ts, event_id)) FILTER (state IN ('completed', 'failed', 'skipped')), arg_max(state, (ts, event_id)) FILTER (state IN ('started', 'in_progress')), 'started') AS state FROM e GROUP BY {0}"""
+
+
+def _states(events: DataFrame, *key: str) -> DataFrame:
+    named = F.create_map(*[F.lit(x) for kv in _EVENT.items() for x in kv])
+    rows = events.select(F.struct(*key).alias("id"), F.struct("ts", "event_id").alias("at"), F.element_at(named, F.col("event_type")).alias("event"))
+    return status.replay(rows).select(*[F.col(f"id.{k}").alias(k) for k in key], "state")
+
+
+@query(_STATE_SQL.format("user_id, props"))
+def status_replay(events):
+    """The state machine over all events of each user and payload: an ended state stays, else the last event decides."""
+    return _states(events, "user_id", "props")
+
+
+_stream("stream_latest_status", _STATE_SQL.format("user_id"), lambda e: _states(e, "user_id"), "complete")

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import cosine, glob_match
+from ..operators.mutations import TableStore
 from ..operators.relational import group_by_file
-from ..session import ship_package
+from ..session import shared_path, ship_package
 
 #: Results by default, how many times more each list of a fusion gets, and the constant of ranks.
 TOP, PER_LIST, RANK_CONSTANT = 10, 2, 60
@@ -33,61 +35,82 @@ def _top(k: int) -> int:
 # --- keywords
 
 
+def _plain_terms(text: str) -> list[str]:
+    return [t for t in re.split("[^a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if t]
+
+
+def _porter_terms(text: str) -> list[str]:
+    from ..functions.stemming import stem, tokens
+
+    return [stem(t) for t in tokens(text)]
+
+
+def _bag_terms(text: str) -> list[str]:
+    from ..functions.porter2 import terms
+
+    return terms(text)
+
+
+#: How a text becomes terms: words are lower-cased runs of ASCII letters and digits; porter stems these for
+#: phrases; bag leaves stop words out and stems by Porter 2, for bags of words.
+ANALYZERS: dict[str, Callable[[str], list[str]]] = {"words": _plain_terms, "porter": _porter_terms, "bag": _bag_terms}
+
+
 def _split(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, key: str = "id", text: str = "text", stemmed: bool = False, only: Sequence[str] | None = None) -> DataFrame:
-    """(key, term, tf, positions, dl): what each document holds of each term, or of the terms ``only``.
+def _terms(docs: DataFrame, key: str, text: str, analyzer: str) -> DataFrame:
+    """(key, terms): words stay in Spark's code, the others go through Arrow batches."""
+    if analyzer == "words":
+        return docs.select(key, _split(text).alias("terms"))
+    ship_package(docs.sparkSession)
 
-    Without stemming, terms are lower-cased runs of letters and digits and stay in Spark's code;
-    with it they go through the Porter stemmer by Arrow batches.
-    """
-    if stemmed:
-        ship_package(docs.sparkSession)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analyze = ANALYZERS[analyzer]
+        for batch in batches:
+            rows = [analyze(x or "") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], names=[key, "terms"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from ..functions.stemming import stem, tokens
+    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, terms array<string>")
 
-            for batch in batches:
-                rows = [[stem(t) for t in tokens(x or "")] for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], names=[key, "terms"])
 
-        split = docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, terms array<string>")
-    else:
-        split = docs.select(key, _split(text).alias("terms"))
+def postings(docs: DataFrame, key: str = "id", text: str = "text", analyzer: str = "words") -> DataFrame:
+    """(key, term, dl, tf, positions): what each document holds of each term."""
     placed = F.transform("terms", lambda t, i: F.struct(i.alias("position"), t.alias("term")))
-    if only is not None:
-        wanted = list(only)
-        placed = F.filter(placed, lambda p: p["term"].isin(wanted))
-    rows = split.select(key, F.size("terms").alias("dl"), F.explode(placed).alias("p")).select(key, "dl", "p.position", "p.term")
+    rows = _terms(docs, key, text, analyzer).select(key, F.size("terms").alias("dl"), F.explode(placed).alias("p")).select(key, "dl", "p.position", "p.term")
     return rows.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
+def lengths(docs: DataFrame, key: str = "id", text: str = "text", analyzer: str = "words", empty: bool = False) -> DataFrame:
+    """(key, dl) of documents that have terms, or of all, without laying out a posting."""
+    rows = _terms(docs, key, text, analyzer).select(key, F.size("terms").alias("dl"))
+    return rows if empty else rows.where("dl > 0")
+
+
 def _bm25(tf: Column, df: Column, n: Column, dl: Column, mean: Column) -> Column:
     idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
-def lengths(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, dl) of documents that have terms, without laying out a posting."""
-    return docs.select(key, F.size(_split(text)).alias("dl")).where("dl > 0")
+def _corpus(index: DataFrame, key: str) -> DataFrame:
+    return index.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
 
 
-def _corpus(index: DataFrame, key: str, known: DataFrame | None) -> DataFrame:
-    rows = index.groupBy(key).agg(F.first("dl").alias("dl")) if known is None else known
-    return rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+def _allowed(rows: DataFrame, key: str, allowed: DataFrame | None) -> DataFrame:
+    return rows if allowed is None else rows.join(allowed.select(F.col(key).cast("string").alias("_k")).distinct(), F.col(key).cast("string") == F.col("_k"), "left_semi")
 
 
-def bm25_terms(index: DataFrame, terms: Sequence[str], k: int = TOP, key: str = "id", known: DataFrame | None = None) -> DataFrame:
+def bm25_terms(index: DataFrame, terms: Sequence[str], k: int = TOP, key: str = "id", stats: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """Best documents for a bag of terms: key, score. The filter on terms prunes the postings.
 
-    ``known`` is the table of document lengths; without it, lengths come from the postings.
+    ``stats`` is one row of n documents and their mean length; without it, they come from the postings.
+    ``allowed`` restricts what is found, not what the frequencies count.
     """
     hits = index.where(F.col("term").isin(list(dict.fromkeys(terms))))
     freq = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = _corpus(index, key, known)
-    scored = hits.join(freq, "term").crossJoin(F.broadcast(stats))  # one row
+    scored = _allowed(hits, key, allowed).join(F.broadcast(freq), "term")  # one row a term of the query
+    scored = scored.crossJoin(F.broadcast(_corpus(index, key) if stats is None else stats))  # one row
     return scored.groupBy(key).agg(F.sum(_bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("mean"))).alias("score")).orderBy(F.desc("score"), key).limit(_top(k))
 
 
@@ -95,7 +118,7 @@ def _minus(step: int):
     return lambda p: p - step
 
 
-def bm25_phrase(index: DataFrame, terms: Sequence[str], k: int = TOP, key: str = "id", known: DataFrame | None = None) -> DataFrame:
+def bm25_phrase(index: DataFrame, terms: Sequence[str], k: int = TOP, key: str = "id", stats: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """Best documents that hold the terms one after the other, scored as one term of that frequency."""
     if not terms:
         return index.select(key, F.lit(0.0).alias("score")).limit(0)
@@ -106,8 +129,8 @@ def bm25_phrase(index: DataFrame, terms: Sequence[str], k: int = TOP, key: str =
         following = F.coalesce(F.element_at("at", F.lit(term)), F.array().cast("array<int>"))
         starts = F.array_intersect(starts, F.transform(following, _minus(step)))
     found = docs.withColumn("tf", F.size(F.coalesce(starts, F.array().cast("array<int>")))).where("tf > 0").select(key, "dl", "tf")
-    freq, stats = found.agg(F.count("*").alias("df")), _corpus(index, key, known)
-    scored = found.crossJoin(F.broadcast(freq)).crossJoin(F.broadcast(stats))  # one row each
+    freq, known = found.agg(F.count("*").alias("df")), _corpus(index, key) if stats is None else stats
+    scored = _allowed(found, key, allowed).crossJoin(F.broadcast(freq)).crossJoin(F.broadcast(known))  # one row each
     return scored.select(key, _bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("mean")).alias("score")).orderBy(F.desc("score"), key).limit(_top(k))
 
 
@@ -129,15 +152,31 @@ def exact_topk(vectors: DataFrame, query: Sequence[float] | Column, k: int = TOP
     return (ordered.offset(skip) if skip else ordered).limit(k)
 
 
-def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP, key: str = "id", query_key: str = "query_id", embedding: str = "embedding", block: int = 4096) -> DataFrame:
+#: Queries that go to the scan as one matrix.
+MOST_QUERIES = 4096
+
+
+def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP, key: str = "id", query_key: str = "query_id", embedding: str = "embedding", most: int = MOST_QUERIES) -> DataFrame:
     """The k most similar vectors of each query: query_key, key, score, rank from 0.
 
-    ``queries`` is a stated set that fits the driver; it goes to the scan as one matrix, a block
-    of vectors at a time is multiplied with it, and only the k best of each block leave a task.
+    Up to ``most`` queries go to the scan as one matrix, a batch of vectors at a time is multiplied with
+    it, and only the k best of each batch leave a task. More queries are taken in such blocks, one scan
+    each, so neither the driver nor a task ever holds more of them.
     """
-    held = queries.select(query_key, embedding).toPandas()
-    matrix = np.array(held[embedding].tolist(), dtype=np.float64).reshape(len(held), -1)
-    names = held[query_key].tolist()
+    blocks, held, k = [], [], _top(k)
+    for row in queries.select(query_key, embedding).toLocalIterator():
+        held.append((row[0], row[1]))
+        if len(held) == most:
+            blocks.append(_block_topk(vectors, held, queries, k, key, query_key, embedding))
+            held = []
+    if held or not blocks:
+        blocks.append(_block_topk(vectors, held, queries, k, key, query_key, embedding))
+    return reduce(DataFrame.unionByName, blocks)
+
+
+def _block_topk(vectors: DataFrame, held: list, queries: DataFrame, k: int, key: str, query_key: str, embedding: str) -> DataFrame:
+    names = [name for name, _ in held]
+    matrix = np.array([v for _, v in held], dtype=np.float64).reshape(len(held), -1 if held else 0)
     norms = np.linalg.norm(matrix, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +204,20 @@ def probe_count(rows: int) -> tuple[int, int]:
     return lists, max(math.isqrt(lists), 10)
 
 
-def train_centroids(vectors: DataFrame, lists: int, key: str = "id", embedding: str = "embedding", most_rows: int = 20_000, rounds: int = 10, seed: int = 1) -> np.ndarray:
-    """Unit centroids by k-means on at most ``most_rows`` vectors, chosen by a hash of the id."""
+#: Vectors that centroids are trained on, and how many of them a centroid stands for at least.
+TRAINING_ROWS, ROWS_A_LIST = 20_000, 4
+
+
+def train_centroids(vectors: DataFrame, lists: int, key: str = "id", embedding: str = "embedding", most_rows: int = TRAINING_ROWS, rounds: int = 10, seed: int = 1) -> np.ndarray:
+    """Unit centroids by k-means on at most ``most_rows`` vectors, chosen by a hash of the id.
+
+    The sample bounds the lists as well: a centroid stands for ROWS_A_LIST of its vectors at least.
+    """
     got = vectors.select(key, embedding).orderBy(F.xxhash64(key)).limit(most_rows).toPandas()
     x = np.array(got[embedding].tolist(), dtype=np.float64)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), size=min(lists, len(x)), replace=False)]
+    centres = x[rng.choice(len(x), size=max(1, min(lists, len(x) // ROWS_A_LIST)), replace=False)]
     for _ in range(rounds):
         nearest = (x @ centres.T).argmax(1)
         sums = np.zeros_like(centres)
@@ -182,7 +228,7 @@ def train_centroids(vectors: DataFrame, lists: int, key: str = "id", embedding:
 
 
 def assign_lists(vectors: DataFrame, centroids: np.ndarray, key: str = "id", embedding: str = "embedding") -> DataFrame:
-    """Every vector with the number of its list; write it partitioned by ``list_id`` for pruning."""
+    """Every vector with the number of its list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,9 +240,50 @@ def assign_lists(vectors: DataFrame, centroids: np.ndarray, key: str = "id", emb
     return vectors.select(key, embedding).mapInArrow(run, f"{key} {kinds[key]}, {embedding} {kinds[embedding]}, list_id int")
 
 
+class VectorIndex:
+    """An inverted file: vectors stored by list, and the centroids of the lists."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = "id", embedding: str = "embedding") -> None:
+        self.store, self.key, self.embedding = TableStore(spark, folder), key, embedding
+
+    @property
+    def exists(self) -> bool:
+        return self.store.exists("lists")
+
+    def build(self, vectors: DataFrame) -> VectorIndex:
+        """Replace the index; a change of the vectors' length is such a rebuild too."""
+        lists, _ = probe_count(vectors.count())
+        centroids = train_centroids(vectors, lists, self.key, self.embedding)
+        listed = assign_lists(vectors, centroids, self.key, self.embedding).hint("rebalance", "list_id").sortWithinPartitions("list_id")
+        table = vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "list_id int, centroid array<double>")
+        self.store.transaction({"lists": listed, "centroids": table}, {"lists": ["list_id"]})
+        return self
+
+    def add(self, vectors: DataFrame) -> None:
+        """Add vectors to the lists that are there."""
+        listed = assign_lists(vectors, self.centroids(), self.key, self.embedding)
+        self.store.append("lists", listed.hint("rebalance", "list_id").sortWithinPartitions("list_id"), ["list_id"])
+
+    def centroids(self) -> np.ndarray:
+        rows = self.store.read("centroids", "list_id int, centroid array<double>").orderBy("list_id").collect()
+        return np.array([r["centroid"] for r in rows], dtype=np.float64)
+
+    def find(self, query: Sequence[float], k: int = TOP, probes: int | None = None) -> DataFrame:
+        """The k most similar vectors of the nearest lists; the other partitions are not read."""
+        centroids = self.centroids()
+        probes = probes or max(math.isqrt(len(centroids)), 10)
+        return ivf_topk(self.store.read("lists"), centroids, query, probes, _top(k), self.key, self.embedding)
+
+
+def shared_vectors(vectors: DataFrame, key: str, embedding: str = "embedding") -> VectorIndex:
+    """The inverted file of a table that is stored in files, in the shared folder; built once for the files as they are."""
+    index = VectorIndex(vectors.sparkSession, shared_path(vectors, f"vectors 1 {key} {embedding}"), key, embedding)
+    return index if index.exists else index.build(vectors)
+
+
 def ivf_topk(lists: DataFrame, centroids: np.ndarray, query: Sequence[float], probes: int, k: int = TOP, key: str = "id", embedding: str = "embedding") -> DataFrame:
     """The k most similar vectors of the ``probes`` nearest lists; the others are pruned."""
-    near = np.argsort(-(centroids @ np.asarray(query, dtype=np.float64)))[:probes]
+    near = np.argsort(-(centroids @ np.asarray(query, dtype=np.float64)), kind="stable")[:probes]
     return exact_topk(lists.where(F.col("list_id").isin([int(n) for n in near])), query, k, key, embedding)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,6 +34,37 @@ def build_session(app: str = "lodestone", master: str | None = None, **conf: str
     return spark
 
 
+#: Used only on a local master whose session names no checkpoint folder, as in tests.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return LOCAL_FOLDER
+
+
+def shared_path(table: DataFrame, purpose: str) -> str:
+    """A folder in the shared one for what is derived from a table of files, named by the files as they are."""
+    spark, known = table.sparkSession, hashlib.sha256(purpose.encode())
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in sorted(table.inputFiles()):
+        file = path(name)
+        status = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file)
+        known.update(f" {name} {status.getLen()} {status.getModificationTime()}".encode())
+    return f"{shared_folder(spark)}/lodestone-{known.hexdigest()[:24]}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, and a lost executor costs only its own tasks."""
+    path = f"{shared_folder(df.sparkSession)}/lodestone-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the Python workers this package, once a context, through Spark's own file server."""
     import shutil

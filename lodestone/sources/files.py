@@ -34,8 +34,8 @@ def _escaped(base: str) -> str:
 
 
 def directory_branch(files: DataFrame) -> DataFrame:
-    """A folder without history as one branch, headed by a hash of its files."""
-    head = directory_hash(files.select(F.lit(1).alias("one"), "path", F.col("blob_sha").alias("content")), ["one"], "path", "content")
+    """A folder without history as one branch, headed by a hash of its files' paths and bytes."""
+    head = directory_hash(files.select(F.lit(1).alias("one"), "path", "content"), ["one"], "path", "content")
     return head.select(F.lit("main").alias("name"), F.col("hash").alias("head_commit_sha"), F.lit(True).alias("is_default"))
 
 

@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from lodestone.operators import mutations as M
 from lodestone.operators import options as O
 from lodestone.operators import relational as R
 from lodestone.plans import dag, ingest, retrieval
+from lodestone.plans.keyword import KeywordIndex
 from lodestone.schemas import TABLES, validate_schema
 
 
@@ -39,29 +42,87 @@ def test_probes():
     assert [retrieval.probe_count(n)[1] for n in (0, 1, 10, 100, 1000, 10_000, 100_000, 1_000_000)] == [10, 10, 10, 10, 10, 31, 100, 316]
 
 
-def test_ivf_recall(spark):
+def test_ivf_recall(spark, tmp_path):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 16))
     x = centres[rng.integers(0, 20, 1000)] + 0.2 * rng.normal(size=(1000, 16))
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
-    c = retrieval.train_centroids(v, 20)
-    indexed = retrieval.assign_lists(v, c).cache()
+    index = retrieval.VectorIndex(spark, f"file://{tmp_path}/index")
+    assert not index.exists
+    index.build(v.where("id < 900")).add(v.where("id >= 900"))
+    assert len(index.centroids()) == 90 and index.store.read("lists").count() == 1000
     hits = 0
     for q in range(5):
         want = {r["id"] for r in retrieval.exact_topk(v, x[q].tolist(), 10).collect()}
-        hits += len(want & {r["id"] for r in retrieval.ivf_topk(indexed, c, x[q].tolist(), 5).collect()})
+        hits += len(want & {r["id"] for r in index.find(x[q].tolist(), 0).collect()})
     assert hits >= 45
+    plan = index.find(x[0].tolist(), 3, probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "list_id" in plan.split("PartitionFilters", 1)[1][:200]
+
+
+def test_batch_topk_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(120)], "id long, embedding array<double>")
+    queries = v.where("id < 23").withColumnRenamed("id", "query_id")
+    rows = lambda most: sorted((r["query_id"], r["rank"], r["id"]) for r in retrieval.batch_topk(v, queries, 4, most=most).collect())
+    assert rows(4096) == rows(5) and len(rows(5)) == 92 and retrieval.batch_topk(v, queries.limit(0), 4).count() == 0
+    assert retrieval.batch_topk(v, queries.limit(1), 0).count() == 10
 
 
 def test_keywords(spark):
     docs = spark.createDataFrame([(1, "the running dogs run"), (2, "a dog runs home"), (3, "nothing here"), (4, None)], "id long, text string")
-    index = retrieval.postings(docs, stemmed=True)
+    index = retrieval.postings(docs, analyzer="porter")
     assert {r["id"] for r in retrieval.bm25_terms(index, ["dog"]).collect()} == {1, 2}
-    assert [r["id"] for r in retrieval.bm25_phrase(index, ["dog", "run"]).collect()] == [2, 1] or {r["id"] for r in retrieval.bm25_phrase(index, ["dog", "run"]).collect()} == {1, 2}
+    # both hold the phrase once and are of equal length, so the id decides
+    assert [r["id"] for r in retrieval.bm25_phrase(index, ["dog", "run"]).collect()] == [1, 2]
     assert [r["id"] for r in retrieval.bm25_phrase(index, ["run", "dog", "run"]).collect()] == [1]
     assert retrieval.bm25_phrase(index, []).count() == 0
 
 
+def bm25_plain(docs, terms, analyze, k1=1.2, b=0.75):
+    """Robertson and Zaragoza's score, from the texts alone."""
+    lists = {i: analyze(t or "") for i, t in docs.items()}
+    lists = {i: ts for i, ts in lists.items() if ts}
+    n, mean = len(lists), sum(map(len, lists.values())) / len(lists)
+    out = {}
+    for term in set(terms):
+        df = sum(term in ts for ts in lists.values())
+        for i, ts in lists.items():
+            if tf := ts.count(term):
+                out[i] = out.get(i, 0) + math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ts) / mean))
+    return out
+
+
+@pytest.mark.parametrize("analyzer", ["words", "porter", "bag"])
+def test_keyword_index(spark, tmp_path, analyzer):
+    """A stored index finds what a plain one does, skips what it knows, and forgets what is removed."""
+    rng = random.Random(4)
+    words = ["running", "runs", "dogs", "dog", "nation", "nations", "the", "of", "Café", "x1", "worthless"]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for i in range(60)} | {60: " ", 61: None}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    index = KeywordIndex(spark, f"file://{tmp_path}/k", analyzer, slots=5)
+    assert not index.exists and index.add(df.where("id < 40")) == 40 and index.add(df) == 20 and index.add(df) == 0
+    analyze = retrieval.ANALYZERS[analyzer]
+
+    def check(known, allowed=None):
+        want = bm25_plain({i: texts[i] for i in known}, analyze("dogs of nations"), analyze)
+        best = sorted(want.items(), key=lambda x: (-x[1], str(x[0])))
+        got = [(int(r["id"]), r["score"]) for r in index.find("dogs of nations", 7, allowed, phrase=False).collect()]
+        best = [x for x in best if allowed is None or x[0] % 2 == 0][:7]
+        assert [i for i, _ in got] == [i for i, _ in best] and [s for _, s in got] == pytest.approx([s for _, s in best])
+
+    check(range(60))
+    check(range(60), df.where("id % 2 = 0").select("id"))
+    assert index.find("dogs", allowed=df.limit(0).select("id")).count() == 0
+    assert sorted(r["id"] for r in index.lookup(["3", "60", "77"]).collect()) == ["3"] and index.lookup(["3"]).first()["score"] == 0.0
+    index.remove(df.where("id < 10").select("id"))
+    check(range(10, 60))
+    again = KeywordIndex(spark, f"file://{tmp_path}/k", analyzer, slots=99)
+    assert again.slots == 5 and again.lookup(["3"]).count() == 0 and again.add(df) == 10
+    plan = index.postings(["dog"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "PushedFilters" in plan and "EqualTo(term,dog)" in plan
+
+
 def test_grep(spark):
     files = spark.createDataFrame([("a.go", "func a()\nx"), ("b.go", "y\nfunc b()"), ("c.py", "def c()")], "path string, content string")
     assert retrieval.matching_lines(files, "func").count() == 2
