@@ -139,12 +139,13 @@ def train(docs: list[str], y: np.ndarray, dim: int = 8, buckets: int = 1 << 17,
         per_doc.append(np.array([index.setdefault(token, len(index)) for token in text.split()], dtype=np.int32))
     # tokens are taken in slices, as the n-grams of all at once would not fit the driver
     words = list(index)
+    index.clear()
     slices = [subword_rows(words[at : at + 10_000], buckets) for at in range(0, len(words), 10_000)]
+    del words
     flat = np.concatenate([np.zeros(0, dtype=np.int32), *(rows for rows, _ in slices)])
     sizes = np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in slices)])
-    del slices, words
+    del slices
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    index.clear()
     met = np.zeros(buckets, dtype=np.int32)
     for ids in per_doc:
         if len(ids):
@@ -153,16 +154,19 @@ def train(docs: list[str], y: np.ndarray, dim: int = 8, buckets: int = 1 << 17,
     kept = np.flatnonzero(met >= min_docs)
     number = np.full(buckets, len(kept), dtype=np.int32)
     number[kept] = np.arange(len(kept))
-    flat = number[flat]
-    hit = flat < len(kept)
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    known = np.bincount(owner[hit], minlength=len(sizes))
-    bare = np.flatnonzero(known == 0).astype(np.int32)
-    order = np.argsort(np.concatenate([owner[hit], bare]), kind="stable")
-    flat = np.concatenate([flat[hit], np.full(len(bare), len(kept), dtype=np.int32)])[order]
-    sizes = np.maximum(known, 1)
+    parts, known = [np.zeros(0, dtype=np.int32)], np.ones(len(sizes), dtype=np.int64)
+    for at in range(0, len(sizes), 10_000):
+        some = slice(at, min(at + 10_000, len(sizes)))
+        rows = number[flat[starts[at] : starts[some.stop]]]
+        hit = rows < len(kept)
+        here = np.add.reduceat(hit.astype(np.int64), starts[some] - starts[at])
+        # a token without any row keeps its first one, which is the spare row
+        hit[(starts[some] - starts[at])[here == 0]] = True
+        parts.append(rows[hit])
+        known[some] = np.maximum(here, 1)
+    flat, sizes = np.concatenate(parts), known
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    del owner, hit, order
+    del parts
     used = len(kept) + 1
     E = rng.uniform(-0.5 / dim, 0.5 / dim, (used, dim)).astype(np.float32)
     E[-1] = 0
@@ -173,8 +177,18 @@ def train(docs: list[str], y: np.ndarray, dim: int = 8, buckets: int = 1 << 17,
     parts = list(per_doc)
     weight = np.where(y == 1, max(1.0, 0.5 * np.mean(y == 0) / np.mean(y == 1)), 1.0).astype(np.float32)
     rounds = max(1, len(keep) // batch)
+    step, last = 0, np.zeros(used, dtype=np.int64)
+
+    def catch_up(hit: np.ndarray) -> None:
+        """Shrink rows for the steps in which they were not met; ``step`` will do its own."""
+        E[hit] = _shrunk(E[hit], (step - 1 - last[hit])[:, None] * (shrink * rate) / np.sqrt(gE[hit]))
+        last[hit] = step
+
     for epoch in range(-(-steps // rounds)):
         if epoch >= whole_epochs:
+            step += 1
+            catch_up(np.arange(used))
+            step, last[:] = step - 1, step - 1
             value = np.add.reduceat((E @ (W[:, 1] - W[:, 0]))[flat], starts[:-1]) / sizes
             parts = [_best(ids, value, window) for ids in per_doc]
         for at in np.array_split(rng.permutation(keep), rounds):
@@ -185,6 +199,9 @@ def train(docs: list[str], y: np.ndarray, dim: int = 8, buckets: int = 1 << 17,
             n = sizes[tokens]
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
             rows = _gather(flat, starts, sizes, tokens)
+            # only rows of this batch change; what the others' norms shrink by adds up until they are met
+            hit, step = np.flatnonzero(np.bincount(rows, minlength=used)), step + 1
+            catch_up(hit)
             V = np.add.reduceat(E[rows], first, axis=0) / n[:, None]
             D = np.stack([np.bincount(doc_of, counts * V[inverse, k], len(at)) for k in range(dim)], 1)
             z = scale * D @ W + b
@@ -196,21 +213,27 @@ def train(docs: list[str], y: np.ndarray, dim: int = 8, buckets: int = 1 << 17,
             dW, db, dD = scale * D.T @ p, p.sum(0), scale * p @ W.T
             gW += dW**2
             gb += db**2
-            dV = np.stack([np.bincount(inverse, counts * dD[doc_of, k], len(tokens)) for k in range(dim)], 1) / n[:, None]
-            spread = np.repeat(dV, n, axis=0)
-            dE = np.stack([np.bincount(rows, spread[:, k], used) for k in range(dim)], 1).astype(np.float32)
-            gE += (dE**2).mean(1, keepdims=True)
-            E -= rate * dE / np.sqrt(gE)
-            norm = np.sqrt((E**2).sum(1, keepdims=True)) + 1e-12
-            E *= np.maximum(0, 1 - shrink * rate / np.sqrt(gE) / norm)
+            dV = np.stack([np.bincount(inverse, counts * dD[doc_of, k], len(tokens)) for k in range(dim)]) / n
+            dE = np.stack([np.bincount(rows, np.repeat(d, n), used)[hit] for d in dV], 1).astype(np.float32)
+            gE[hit] += (dE**2).mean(1, keepdims=True)
+            size = np.sqrt(gE[hit])
+            E[hit] = _shrunk(E[hit] - rate * dE / size, shrink * rate / size)
             E[-1] = 0
             W -= (rate * dW / np.sqrt(gW)).astype(np.float32)
             b -= (3 * rate * db / np.sqrt(gb)).astype(np.float32)
+    step += 1
+    catch_up(np.arange(used))
     row_logit = np.full(buckets, np.nan, dtype=np.float32)
     row_logit[kept] = E[:-1] @ (W[:, 1] - W[:, 0])
     return SubwordModel(row_logit, float(b[1] - b[0]), scale, blank, window)
 
 
+def _shrunk(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Rows whose norm is smaller by so much, down to 0."""
+    norm = np.sqrt((rows**2).sum(1, keepdims=True)) + 1e-12
+    return (rows * np.maximum(0, 1 - by / norm)).astype(np.float32)
+
+
 def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The rows of some tokens, one token after the other."""
     n = sizes[which]
