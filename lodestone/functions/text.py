@@ -100,6 +100,48 @@ def pick_lines(text: Column, ranges: list[tuple[int, int]], numbered: bool = Fal
     return F.array_join(F.concat(*parts), "\n") if parts else F.array_join(shown, "\n")
 
 
+def pick_lines_by(text: Column, spec: Column, numbered: Column | bool = False) -> Column:
+    """As :func:`pick_lines`, with a spec of line ranges in each row; null for a spec that is none."""
+    flag = numbered if isinstance(numbered, Column) else F.lit(numbered)
+    bare = F.coalesce(spec, F.lit(""))
+
+    def range_of(part: Column) -> Column:
+        first = F.regexp_extract(part, r"^\s*L(\d+)", 1).cast("int")
+        return F.struct(first.alias("first"), F.coalesce(F.nullif(F.regexp_extract(part, r"-L?(\d+)\s*$", 1), F.lit("")).cast("int"), first).alias("last"))
+
+    def shown(lines: Column) -> Column:
+        rows = F.when(flag, number_lines(lines)).otherwise(lines)
+
+        def add(done: Column, r: Column) -> Column:
+            gap = F.when((done["end"] > 0) & (r["first"] > done["end"] + 1), F.array(F.lit("..."))).otherwise(F.array().cast("array<string>"))
+            more = F.when(F.size(lines) >= r["first"], F.concat(gap, F.slice(rows, r["first"], r["last"] - r["first"] + 1))).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.concat(done["out"], more).alias("out"), r["last"].alias("end"))
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("end"))
+        picked = F.aggregate(F.transform(F.split(bare, ","), range_of), start, add)["out"]
+        return F.array_join(F.when(bare == "", rows).otherwise(picked), "\n")
+
+    ranges = F.transform(F.split(bare, ","), range_of)
+    good = (bare == "") | (bare.rlike(r"^\s*L\d+(-L?\d+)?\s*(,\s*L\d+(-L?\d+)?\s*)*$") & F.forall(ranges, lambda r: (r["first"] >= 1) & (r["last"] >= r["first"])))
+    return F.when(good & text.isNotNull(), F.transform(F.array(F.split(text, "\n", -1)), shown)[0])
+
+
+def parse_file_uri(uri: Column) -> dict[str, Column]:
+    """repo, ref, path, lines, page and line_numbers of a ``file://repo/ref/path?…`` address; null parts where it is none."""
+    head = r"^file://(\d+)/([^/?]+)/([^?]*)"
+    part = lambda n: F.nullif(F.regexp_extract(uri, head, n), F.lit(""))
+    value = lambda name: F.nullif(F.regexp_extract(uri, rf"[?&]{name}=([^&]*)", 1), F.lit(""))
+    return {"repo": part(1).cast("long"), "ref": part(2), "path": part(3), "lines": value("lines"), "page": value("page").try_cast("int"), "line_numbers": F.coalesce(value("line_numbers") == "true", F.lit(False))}
+
+
+def is_repository_operation(operation: Column) -> Column:
+    return operation.startswith("repository.")
+
+
+def is_commit_operation(operation: Column) -> Column:
+    return operation.startswith("commit.")
+
+
 def lines_kept(text: Column) -> Column:
     """Lines with their line feed."""
     return F.regexp_extract_all(text, F.lit("[^\n]*\n|[^\n]+$"), 0)

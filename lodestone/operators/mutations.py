@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,3 +126,37 @@ class TableStore:
                 found = status.getPath().getName()
                 if found.startswith("version=") and found.removeprefix("version=") not in manifest.get(name, []):
                     self._fs.delete(status.getPath(), True)
+
+
+def migrate(store: TableStore, steps: Sequence[tuple[str, Callable[[TableStore], None]]]) -> list[str]:
+    """Run the steps (name, change) that the store has not seen, in order; the names of those run.
+
+    What is done is a table of the store, so a step that fails is run again next time, and none twice.
+    """
+    spark = store.spark
+    done = {r[0] for r in store.read("migrations", "name string").collect()} if store.exists("migrations") else set()
+    ran = []
+    for name, change in steps:
+        if name not in done:
+            change(store)
+            store.append("migrations", spark.createDataFrame([(name,)], "name string"))
+            ran.append(name)
+    return ran
+
+
+def open_store(spark: SparkSession, url: str, **options: str) -> TableStore | Callable[[str], DataFrame]:
+    """What an address names: a folder of tables (a path, file:, hdfs: and the like), or a reader of a database's tables by JDBC.
+
+    Databases are given as jdbc:, sqlite:/// or postgres(ql):// addresses; their drivers are the session's.
+    """
+    scheme, _, rest = url.partition("://")
+    known = {"sqlite": lambda: f"jdbc:sqlite:{rest}", "postgres": lambda: f"jdbc:postgresql://{rest}", "postgresql": lambda: f"jdbc:postgresql://{rest}"}
+    address = url if url.startswith("jdbc:") else known[scheme]() if scheme in known else None
+    if address is None:
+        return TableStore(spark, url)
+
+    def read(table: str) -> DataFrame:
+        return spark.read.format("jdbc").options(url=address, dbtable=table, **options).load()
+
+    read.address = address
+    return read

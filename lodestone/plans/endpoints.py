@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import documents as D
+from ..functions.chunker import ChunkConfig
 from ..functions import text as X
 from ..operators import options as O
 from ..operators import relational as R
@@ -103,6 +104,40 @@ def repository_enrichments(c: Catalog, repo: int, most_commits: int = 100, page:
     return O.build(O.with_pagination(size, (page - 1) * size)).apply(_of_commits(c, shas), key="id")
 
 
+def enrichments(c: Catalog, kind: str | None = None, subtype: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
+    """All enrichments of a kind with their lines, a page in order of their ids."""
+    options = [o for o in (kind and O.with_type(kind), subtype and O.with_subtype(subtype)) if o]
+    return with_lines(c, O.build(*options, O.with_pagination(size, (page - 1) * size)).apply(c["enrichments_v2"], key="id"))
+
+
+def enrichment(c: Catalog, number: int) -> DataFrame:
+    return with_lines(c, c["enrichments_v2"].where(F.col("id") == number))
+
+
+def patch_enrichment(c: Catalog, number: int, content: str) -> DataFrame:
+    """The enrichments with another content of one of them; an unknown id changes nothing."""
+    return c["enrichments_v2"].withColumn("content", F.when(F.col("id") == number, content).otherwise(F.col("content")))
+
+
+def repository_ids(c: Catalog) -> DataFrame:
+    """(id, repo_id) of enrichments that belong to a repository; of several the last association counts."""
+    edges = c["enrichment_associations"].where("entity_type = 'git_repos'").select(F.col("enrichment_id").alias("id"), F.col("id").alias("edge"), F.col("entity_id").try_cast("long").alias("repo_id"))
+    return edges.where("repo_id IS NOT NULL").groupBy("id").agg(F.max_by("repo_id", "edge").alias("repo_id"))
+
+
+def page_image_jobs(c: Catalog, sha: str | None = None, subtype: str = "page_image") -> DataFrame:
+    """(id, page, file_id, path, commit_sha) of page images: those with a location and a file, of one commit or of all."""
+    rows = c["enrichments_v2"].where(F.col("subtype") == subtype) if sha is None else _of_commits(c, [sha]).where(F.col("subtype") == subtype)
+    where = c["source_locations"].select(F.col("enrichment_id").alias("id"), "page")
+    first = R.latest_per_key(_files(c), ["id"], F.col("edge")).drop("edge")
+    return rows.select("id").join(where, "id").join(first, "id")
+
+
+def source_files(c: Catalog) -> DataFrame:
+    """(id, file_id, path, commit_sha) of every enrichment and each file it stands in; ids that are no numbers are skipped."""
+    return _files(c).drop("edge")
+
+
 def with_lines(c: Catalog, rows: DataFrame) -> DataFrame:
     where = c["source_locations"].select(F.col("enrichment_id").alias("id"), *[F.nullif(n, F.lit(0)).alias(n) for n in ("page", "start_line", "end_line")])
     return rows.join(where, "id", "left")
@@ -213,9 +248,23 @@ def semantic(c: Catalog, vector: Sequence[float], filters: O.Filters = O.Filters
     return out if language is None else out.where(X.strip_dot(F.col("language")) == language.removeprefix("."))
 
 
+def visual(c: Catalog, vector: Sequence[float], filters: O.Filters = O.Filters(), k: int = 10, least: float | None = None) -> DataFrame:
+    """Page images by the vector of a text or picture; each with its page's raster link."""
+    found = semantic(c, vector, filters, k, task="vision", least=least)
+    raster = F.when(F.col("path").isNotNull() & F.col("repo_id").isNotNull(), F.concat(X.file_uri(F.col("repo_id"), F.col("commit_sha"), F.col("path"), page=F.coalesce("page", F.lit(0))), F.when(F.coalesce("page", F.lit(0)) > 0, "&mode=raster").otherwise("?mode=raster")))
+    return found.withColumn("uri", raster)
+
+
+def in_repository(rows: DataFrame, repo: int | None, k: int = 0) -> DataFrame:
+    """Hydrated results of one repository: a filter after the search's limit, so fewer than k may be left."""
+    kept = rows if repo is None else rows.where(F.col("repo_id") == repo)
+    return kept.limit(k) if k > 0 else kept
+
+
 def keyword(c: Catalog, words: str, filters: O.Filters = O.Filters(), k: int = 10, language: str | None = None) -> DataFrame:
-    out = hydrate(c, keyword_list(c, words, candidates(c, filters), k if k > 0 else retrieval.TOP))
-    return out if language is None else out.where(X.strip_dot(F.col("language")) == language.removeprefix("."))
+    k = k if k > 0 else retrieval.TOP
+    out = hydrate(c, keyword_list(c, words, candidates(c, filters), k))
+    return (out if language is None else out.where(X.strip_dot(F.col("language")) == language.removeprefix("."))).limit(k)
 
 
 def grep(c: Catalog, contents: DataFrame, repo: int, pattern: str, pathspec: str | None = None, most_files: int = 10) -> DataFrame:
@@ -240,6 +289,46 @@ def read_lines(contents: DataFrame, path: str, spec: str = "", numbered: bool =
     return contents.where(F.col("path") == path).select("path", X.pick_lines(F.col("content"), X.parse_lines(spec), numbered).alias("content"))
 
 
+def resolve(c: Catalog, wanted: DataFrame) -> DataFrame:
+    """(repo, ref) with commit_sha: a commit of that very name, else a tag's, else a branch's; else null."""
+    known = (c["git_commits"].select("repo_id", F.col("commit_sha").alias("name"), "commit_sha"), c["git_tags"].select("repo_id", "name", F.col("target_commit_sha").alias("commit_sha")), c["git_branches"].select("repo_id", "name", F.col("head_commit_sha").alias("commit_sha")))
+    out, shas = wanted, []
+    for n, table in enumerate(known):
+        one = table.groupBy(F.col("repo_id").alias("repo"), F.col("name").alias("ref")).agg(F.min("commit_sha").alias(f"_sha{n}"))
+        out, shas = out.join(one, ["repo", "ref"], "left"), [*shas, f"_sha{n}"]
+    return out.withColumn("commit_sha", F.coalesce(*shas)).drop(*shas)
+
+
+def read_uris(c: Catalog, contents: DataFrame, uris: DataFrame) -> DataFrame:
+    """(uri, commit_sha, path, content) of file addresses: reference, content and lines in one plan.
+
+    ``contents`` holds commit_sha, path and content. An address whose reference, file or lines are
+    not there has no content.
+    """
+    parts = X.parse_file_uri(F.col("uri"))
+    asked = uris.select("uri", *[v.alias(n) for n, v in parts.items()])
+    if c.scope is not None:
+        asked = asked.where(F.col("repo").isin(sorted(c.scope)) if c.scope else F.lit(False))
+    found = resolve(c, asked).join(contents.select("commit_sha", "path", F.col("content").alias("_text")), ["commit_sha", "path"], "left")
+    return found.select("uri", "commit_sha", "path", X.pick_lines_by(F.col("_text"), F.col("lines"), F.col("line_numbers")).alias("content"))
+
+
+def read_page(pages: DataFrame, page: int | None = None, lines: str = "", numbered: bool = False) -> DataFrame:
+    """A page's text of documents (path, page, text), or without a page how many each has."""
+    if page is None:
+        return pages.groupBy("path").agg(F.max("page").alias("page_count"))
+    if page < 1:
+        raise ValueError("pages start at 1")
+    return pages.where(F.col("page") == page).select("path", "page", X.pick_lines(F.col("text"), X.parse_lines(lines), numbered).alias("content"))
+
+
+def read_raster(pictures: DataFrame, page: int) -> DataFrame:
+    """A page's picture of documents (path, page, image) as base64."""
+    if page < 1:
+        raise ValueError("pages start at 1")
+    return pictures.where(F.col("page") == page).select("path", "page", F.base64("image").alias("image"))
+
+
 # --- documents for readers
 
 
@@ -290,6 +379,42 @@ def numbered(rows: DataFrame, order: Column) -> DataFrame:
 ENDPOINTS: dict[str, Callable] = {f.__name__: f for f in (repositories, find_repository, commits, latest_commit, commit_files, tags, commit_enrichments, repository_enrichments, commit_snippets, delete_enrichments, cleanup_old, search, semantic, keyword, grep, listing, read_lines, document, wiki_page, status, status_summary, pipeline_steps)}
 
 
+# --- settings of repositories
+
+
+SETTINGS = {"tracking": ("tracking_type", "tracking_name"), "chunking": ("chunk_size", "chunk_overlap", "min_chunk_size"), "pipeline": ("pipeline_id",)}
+#: What a repository without settings of its own uses.
+DEFAULTS = {"chunk_size": 1500, "chunk_overlap": 200, "min_chunk_size": 50}
+
+
+def settings(c: Catalog, kind: str, repo: int | None = None) -> DataFrame:
+    """One kind of settings of a repository, or of all that the scope sees, defaults filled in."""
+    if repo is not None:
+        c.check(repo)
+    rows = c.repos() if repo is None else c.repos().where(F.col("id") == repo)
+    return rows.select("id", *[F.coalesce(F.nullif(F.col(n), F.lit(0)), F.lit(DEFAULTS[n])).alias(n) if n in DEFAULTS else F.col(n) for n in SETTINGS[kind]])
+
+
+def change_settings(c: Catalog, kind: str, repo: int, **values: object) -> DataFrame:
+    """The repositories with new settings of one; chunk sizes must fit each other."""
+    c.check(repo)
+    if unknown := set(values) - set(SETTINGS[kind]):
+        raise ValueError(f"no {kind} settings: {sorted(unknown)}")
+    if kind == "chunking":
+        size, overlap, least = (values.get(n, DEFAULTS[n]) for n in SETTINGS[kind])
+        ChunkConfig(size, overlap, least)
+    rows = c["git_repos"]
+    return rows.withColumns({n: F.when(F.col("id") == repo, F.lit(v).cast(rows.schema[n].dataType)).otherwise(F.col(n)) for n, v in values.items()})
+
+
+def rescan_all(c: Catalog) -> DataFrame:
+    """Tasks that scan each repository's newest commit anew, in one scan of the tables."""
+    newest = R.latest_per_key(c["git_commits"], ["repo_id"], F.desc("date"), F.col("commit_sha"))
+    rows = newest.join(c.repos().select(F.col("id").alias("repo_id")), "repo_id", "left_semi")
+    payload = F.to_json(F.struct(F.col("repo_id").alias("repository_id"), "commit_sha"))
+    return rows.select(X.dedup_key(F.lit("commit.rescan"), payload).alias("dedup_key"), F.lit("commit.rescan").alias("type"), payload.alias("payload"))
+
+
 # --- whole repositories
 
 
@@ -324,4 +449,4 @@ def add_repository(c: Catalog, url: str, number: int) -> tuple[DataFrame, bool]:
     return c["git_repos"].limit(0).unionByName(fresh, allowMissingColumns=True), True
 
 
-ENDPOINTS |= {f.__name__: f for f in (rescan, delete_repository, add_repository)}
+ENDPOINTS |= {f.__name__: f for f in (rescan, delete_repository, add_repository, enrichments, enrichment, patch_enrichment, repository_ids, page_image_jobs, source_files, visual, resolve, read_uris, read_page, read_raster, settings, change_settings, rescan_all)}

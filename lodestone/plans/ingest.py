@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -92,40 +94,64 @@ def hash_embedder(dimension: int = 64) -> Callable[[Sequence[str]], np.ndarray]:
     return embed
 
 
-def embed(rows: DataFrame, model: Callable[[Sequence[str]], np.ndarray], key: str = "snippet_id", text: str = "text", most_chars: int = 16_000, most_rows: int = 64, attempts: int = 3) -> DataFrame:
-    """(key, embedding, error): the model over batches within a budget of characters.
-
-    A batch that fails is tried again and then marked, so one bad batch does not fail the job; a
-    model that returns another number of vectors counts as failed.
+def _attempted(model: Callable, items: list, attempts: int, pause: float) -> tuple[list | None, str | None]:
+    """The model's vectors for a batch, or why there are none; pauses between attempts double."""
+    error = None
+    for attempt in range(attempts):
+        try:
+            got = model(items)
+            if len(got) != len(items):
+                raise ValueError(f"{len(got)} vectors for {len(items)} items")
+            return [[float(x) for x in v] for v in got], None
+        except Exception as e:  # noqa: BLE001  the model is the caller's
+            error = f"{type(e).__name__}: {e}"
+            if not getattr(e, "retryable", True):
+                break
+            if attempt + 1 < attempts and pause:
+                time.sleep(pause * 2**attempt)
+    return None, error
+
+
+def embed(rows: DataFrame, model: Callable[[Sequence[str]], np.ndarray], key: str = "snippet_id", text: str = "text", most_chars: int = 16_000, most_rows: int = 64, attempts: int = 3, parallel: int = 1, pause: float = 0.0) -> DataFrame:
+    """(key, embedding, error): the model over batches within a budget of characters, ``parallel`` of them at once.
+
+    A batch that fails is tried again after a pause and then marked, so one bad batch does not fail the
+    job; a model that returns another number of vectors counts as failed, and an error that says it is
+    not ``retryable`` is not tried again. ``most_chars`` is also the most that the model gets of one text.
     """
     ship_package(rows.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            items = [(t or "")[:most_chars] for t in part.column(1).to_pylist()]
-            numbers = np.array(batches([len(t) for t in items], most_chars, most_rows))
-            vectors, errors = [None] * len(items), [None] * len(items)
-            for b in np.unique(numbers):
-                at = np.flatnonzero(numbers == b).tolist()
-                for attempt in range(attempts):
-                    try:
-                        got = model([items[i] for i in at])
-                        if len(got) != len(at):
-                            raise ValueError(f"{len(got)} vectors for {len(at)} texts")
-                        for i, v in zip(at, got, strict=True):
-                            vectors[i], errors[i] = [float(x) for x in v], None
-                        break
-                    except Exception as e:  # noqa: BLE001  the model is the caller's
-                        for i in at:
-                            errors[i] = f"{type(e).__name__}: {e}"
-                        if attempt + 1 == attempts:
-                            break
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float64())), pa.array(errors, pa.string())], names=[key, "embedding", "error"])
+        with ThreadPoolExecutor(parallel) as pool:
+            for part in parts:
+                items = [(t or "")[:most_chars] for t in part.column(1).to_pylist()]
+                numbers = np.array(batches([len(t) for t in items], most_chars, most_rows), dtype=np.int64)
+                groups = [np.flatnonzero(numbers == b).tolist() for b in np.unique(numbers)]
+                vectors, errors = [None] * len(items), [None] * len(items)
+                done = pool.map(lambda at: _attempted(model, [items[i] for i in at], attempts, pause), groups)
+                for at, (got, error) in zip(groups, done, strict=True):
+                    for k, i in enumerate(at):
+                        vectors[i], errors[i] = None if got is None else got[k], error
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float64())), pa.array(errors, pa.string())], names=[key, "embedding", "error"])
 
     usable = rows.where((F.trim(F.col(text)) != "") & (F.col(key).cast("string") != ""))
     return usable.select(key, text).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<double>, error string")
 
 
+def embed_items(rows: DataFrame, model: Callable[[Sequence[bytes]], np.ndarray], key: str, item: str, batch: int = 8, attempts: int = 3, pause: float = 0.0) -> DataFrame:
+    """(key, embedding, error): the model over pictures, ``batch`` at a time; a last batch that is not full counts too."""
+    ship_package(rows.sparkSession)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, batch):
+                some = part.slice(at, batch)
+                got, error = _attempted(model, some.column(1).to_pylist(), attempts, pause)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(got or [None] * some.num_rows, pa.list_(pa.float64())), pa.array([error] * some.num_rows, pa.string())], names=[key, "embedding", "error"])
+
+    return rows.where(F.col(item).isNotNull()).select(key, item).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<double>, error string")
+
+
 def check_failures(embedded: DataFrame, tolerance: float = TOLERANCE) -> None:
     share = embedded.agg(F.avg(F.col("error").isNotNull().cast("double"))).first()[0] or 0.0
     if share > tolerance:
@@ -152,7 +178,12 @@ def index_vectors(store: TableStore, task: str, candidates: DataFrame, model: Ca
         if size is not None and len(probe) and len(probe[0]) != size[0]:
             store.write(name, store.read(name).limit(0))
         rows = new_only(rows, store.read(name), key)
-    fresh = written(embed(rows, model, key, text, **options), "vectors")
+    return store_vectors(store, task, embed(rows, model, key, text, **options), key, tolerance)
+
+
+def store_vectors(store: TableStore, task: str, embedded: DataFrame, key: str = "snippet_id", tolerance: float = TOLERANCE) -> int:
+    """Add embedded rows to a task's vector table, unless too large a share of them failed; how many."""
+    fresh, name = written(embedded, "vectors"), f"vectors_{task}"
     check_failures(fresh, tolerance)
     good = fresh.where("error IS NULL").select(key, "embedding")
     count = good.count()
@@ -161,20 +192,23 @@ def index_vectors(store: TableStore, task: str, candidates: DataFrame, model: Ca
     return count
 
 
-def generate(requests: DataFrame, model: Callable[[str, str], str], key: str = "id", system: str = "system", text: str = "text") -> DataFrame:
-    """(key, answer, error) of a text generator over requests; failed ones keep their place without an answer."""
+def generate(requests: DataFrame, model: Callable[[str, str], str], key: str = "id", system: str = "system", text: str = "text", parallel: int = 1) -> DataFrame:
+    """(key, answer, error) of a text generator over requests, ``parallel`` of a task at once.
+
+    Answers keep the order of the requests; failed ones keep their place without an answer.
+    """
     ship_package(requests.sparkSession)
 
+    def ask(request: tuple[str, str]) -> tuple[str | None, str | None]:
+        try:
+            return model(request[0] or "", request[1] or ""), None
+        except Exception as e:  # noqa: BLE001  the model is the caller's
+            return None, f"{type(e).__name__}: {e}"
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            answers, errors = [], []
-            for s, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                try:
-                    answers.append(model(s or "", t or ""))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  the model is the caller's
-                    answers.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[key, "answer", "error"])
+        with ThreadPoolExecutor(parallel) as pool:
+            for part in parts:
+                answers = list(pool.map(ask, zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in answers], pa.string()), pa.array([e for _, e in answers], pa.string())], names=[key, "answer", "error"])
 
     return requests.select(key, system, text).mapInArrow(run, f"{key} {dict(requests.dtypes)[key]}, answer string, error string")

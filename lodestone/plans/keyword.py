@@ -75,6 +75,12 @@ class KeywordIndex:
         stats = docs.agg(F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
         self.store.transaction({"docs": docs, "postings": postings.select("term", "id", "dl", "tf", "positions", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "term", "id"), "stats": stats}, {"postings": ["slot"]})
 
+    def count(self) -> int:
+        return self.store.read("docs", "id string, dl int").count() if self.exists else 0
+
+    def has(self, key: str) -> bool:
+        return self.exists and not self.lookup([key]).isEmpty()
+
     def postings(self, terms: Sequence[str]) -> DataFrame:
         """(term, id, dl, tf, positions) of the terms: a filter on partitions and on terms."""
         wanted = list(dict.fromkeys(terms))

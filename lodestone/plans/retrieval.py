@@ -264,6 +264,17 @@ class VectorIndex:
         listed = assign_lists(vectors, self.centroids(), self.key, self.embedding)
         self.store.append("lists", listed.hint("rebalance", "list_id").sortWithinPartitions("list_id"), ["list_id"])
 
+    def count(self) -> int:
+        return self.store.read("lists").count() if self.exists else 0
+
+    def has(self, key: object) -> bool:
+        return self.exists and not self.store.read("lists").where(F.col(self.key) == key).isEmpty()
+
+    def remove(self, keys: DataFrame) -> None:
+        """Rewrite the lists without these keys."""
+        left = self.store.read("lists").join(keys.select(self.key).distinct(), self.key, "left_anti")
+        self.store.write("lists", left.select(self.key, self.embedding, "list_id").hint("rebalance", "list_id").sortWithinPartitions("list_id"), ["list_id"])
+
     def centroids(self) -> np.ndarray:
         rows = self.store.read("centroids", "list_id int, centroid array<double>").orderBy("list_id").collect()
         return np.array([r["centroid"] for r in rows], dtype=np.float64)

@@ -133,23 +133,60 @@ def latest_version(tagged: DataFrame) -> DataFrame:
     return tagged.where("is_version").groupBy("repo_id").agg(F.max_by("name", F.struct("tagged_at", "name")).alias("name"))
 
 
-def ensure_clone(uri: str, path: str) -> str:
-    """Clone, or fetch what is there; a local source is not fetched, and a failed clone is cleaned up."""
+def branch_heads(branched: DataFrame) -> DataFrame:
+    """(repo_id, heads, shas): each repository's branch heads by name, and the distinct ones in order."""
+    entries = F.array_sort(F.collect_list(F.struct("name", "head_commit_sha")))
+    return branched.groupBy("repo_id").agg(F.map_from_entries(entries).alias("heads"), F.array_sort(F.collect_set("head_commit_sha")).alias("shas"))
+
+
+def latest_shas(branched: DataFrame) -> DataFrame:
+    """(repo_id, commit_sha): the default branch's head, else that of main, master or the first branch."""
+    order = F.when(F.col("is_default"), 0).when(F.col("name") == "main", 1).when(F.col("name") == "master", 2).otherwise(3)
+    return branched.groupBy("repo_id").agg(F.min_by("head_commit_sha", F.struct(order, "name")).alias("commit_sha"))
+
+
+def is_clone(path: str) -> bool:
+    """A folder that git takes for a repository."""
+    return (Path(path) / ".git").exists() and subprocess.run(["git", "-C", path, "rev-parse", "--git-dir"], capture_output=True).returncode == 0
+
+
+def ensure_clone(uri: str, path: str, reference: str | None = None) -> str:
+    """Clone, or fetch what is there, and check the reference out; a local source is not fetched.
+
+    A folder that is no clone is replaced, and a clone that fails leaves nothing behind.
+    """
     target = Path(path)
-    if (target / ".git").exists():
+    if is_clone(path):
         if not uri.startswith("file://"):
-            git(path, "fetch", "--all", "--prune")
-        return path
-    if target.exists():
-        shutil.rmtree(target)
-    try:
-        subprocess.run(["git", "clone", "--quiet", uri, path], check=True, capture_output=True)
-    except subprocess.CalledProcessError:
+            git(path, "fetch", "--all", "--prune", "--tags")
+    else:
         shutil.rmtree(target, ignore_errors=True)
-        raise
+        try:
+            subprocess.run(["git", "clone", "--quiet", uri, path], check=True, capture_output=True)
+        except subprocess.CalledProcessError:
+            shutil.rmtree(target, ignore_errors=True)
+            raise
+    if reference:
+        checkout(path, reference)
     return path
 
 
+def checkout(path: str, reference: str) -> None:
+    git(path, "checkout", "--quiet", reference)
+
+
+def pull(path: str) -> bool:
+    """Bring the branch that is checked out up to its remote one; False where it has none."""
+    if subprocess.run(["git", "-C", path, "rev-parse", "--abbrev-ref", "@{upstream}"], capture_output=True).returncode:
+        return False
+    git(path, "pull", "--quiet", "--ff-only")
+    return True
+
+
+def remove_clone(path: str) -> None:
+    shutil.rmtree(path, ignore_errors=True)
+
+
 def repositories(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(paths, 1)), "repo_id long, path string").repartition(max(1, len(paths)))
 
