@@ -60,3 +60,9 @@ def run_worker(tasks: DataFrame, handlers: dict[str, Callable[[dict], None]], re
 
     writer = tasks.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
+
+
+def periodic(queue: DataFrame, repos: DataFrame, now: datetime, interval: timedelta = timedelta(seconds=1800)) -> DataFrame:
+    """The repositories that a periodic check enqueues: those due, none as long as anything is queued."""
+    waiting = queue.limit(1).agg(F.count("*").alias("_waiting"))
+    return due(repos, now, interval).crossJoin(F.broadcast(waiting)).where("_waiting = 0").drop("_waiting")  # one row

@@ -1,6 +1,6 @@
 import pytest
 
-from lodestone.plans import catalogue, mapped, more  # noqa: F401
+from lodestone.plans import catalogue, mapped, more, scalar  # noqa: F401
 
 from .conftest import SMALL
 from .oracle import connection, same
