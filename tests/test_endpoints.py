@@ -69,9 +69,11 @@ def test_search(catalog):
     assert ids(N.semantic(catalog.scoped([2]), [1.0, 0.0], Filters(source_repos=(1,)))) == []
     assert ids(N.semantic(catalog, [1.0, 0.0], Filters(file_paths=("**/*.py",)))) == [2, 4] and ids(N.semantic(catalog, [1.0, 0.0], Filters(authors=("bob",)))) == [2, 3]
     assert ids(N.semantic(catalog, [0.0, 1.0], language=".go")) == [3]
-    assert set(ids(N.keyword(catalog, "dog run"))) == {2, 4} and ids(N.keyword(catalog, "run dog")) == []
+    assert ids(N.keyword(catalog, "dog run")) == [4, 2] and ids(N.keyword(catalog, "run dog")) == []
     mixed = N.search(catalog, code=[1.0, 0.0], keywords=["dog", "cat"], k=3)
-    assert set(ids(mixed)) == {2, 3, 4} or len(ids(mixed)) == 3
+    # code ranks 1, 2, 4, 3; "dog" ranks 4 before 2, which is longer; "cat" finds 3
+    scores = {1: 1 / 60, 2: 1 / 61 + 1 / 61, 4: 1 / 62 + 1 / 60, 3: 1 / 63 + 1 / 60}
+    assert ids(mixed) == sorted(scores, key=scores.get, reverse=True)[:3] and [r["score"] for r in mixed.collect()] == pytest.approx(sorted(scores.values(), reverse=True)[:3])
     assert N.search(catalog).count() == 0
 
 
