@@ -63,10 +63,16 @@ def _by_number(names: list[str]) -> list[str]:
     return sorted(names, key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)])
 
 
-def pages(data: bytes, extension: str) -> list[str]:
-    """Text of each page: sheets, slides with notes, or the whole of a document without pages."""
+def of_size(data: bytes) -> bytes:
+    """The document, unless it is too large to be read."""
     if len(data) > MOST_BYTES:
         raise ValueError("document too large")
+    return data
+
+
+def pages(data: bytes, extension: str) -> list[str]:
+    """Text of each page: sheets, slides with notes, or the whole of a document without pages."""
+    of_size(data)
     kind = extension.lower().lstrip(".")
     if kind not in ("docx", "odt", "xlsx", "pptx", "epub"):
         return [data.decode("utf-8", "replace")]
@@ -307,6 +313,33 @@ def protocol_of(port: int) -> str:
     return known.get(port, "TCP")
 
 
+def compose_services(text: str) -> dict[str, dict]:
+    """The services of a compose file; none where it is not one, or without a YAML parser."""
+    try:
+        import yaml
+    except ImportError:
+        return {}
+    try:
+        found = (yaml.safe_load(text) or {}).get("services")
+    except (yaml.YAMLError, AttributeError):
+        return {}
+    return {name: spec or {} for name, spec in found.items()} if isinstance(found, dict) else {}
+
+
+def architecture_text(text: str) -> str:
+    """What a compose file tells about services, their ports and protocols, and who calls whom; empty if nothing."""
+    services = compose_services(text)
+    if not services:
+        return ""
+    shown = []
+    for name, spec in sorted(services.items()):
+        ports = ", ".join(f"{p} ({protocol_of(p)})" for p in service_ports(spec))
+        made = spec.get("image") or ("built here" if spec.get("build") else "")
+        shown.append(f"- {name}" + (f": {made}" if made else "") + (f", ports {ports}" if ports else ""))
+    edges = [f"- {a} -> {b} ({why})" for a, b, why in compose_edges(services)]
+    return "\n".join(["Services", *shown, *(["Connections", *edges] if edges else [])])
+
+
 def schema_text(files: list[tuple[str, str]], per_file: int = 2000, most: int = 10_000) -> str:
     """Files that look like schemas, each cut, up to so many bytes in all."""
     hit = re.compile(r"(^|/)(migrations?|schemas?|models?|db)/|\.(sql|prisma|graphql|proto)$|schema", re.I)

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 
 from ..session import ship_package
 from . import documents
+from .pdf import pdf_pages
 
 #: Text extractors by extension; others are plain text unless they look binary.
 EXTRACTORS: dict[str, Callable[[bytes], list[str]]] = {
     "csv": lambda data: [documents.csv_summary(data.decode("utf-8", "replace"))],
     **{kind: (lambda data, kind=kind: documents.pages(data, kind)) for kind in ("docx", "odt", "xlsx", "pptx", "epub")},
+    "pdf": lambda data: pdf_pages(documents.of_size(data)),
 }
 #: Operation handlers by name, to be filled by the caller.
 HANDLERS: dict[str, Callable] = {}

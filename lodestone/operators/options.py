@@ -149,6 +149,19 @@ def with_param(name: str, value: object) -> Option:
     return lambda q: replace(q, params=q.params | {name: value})
 
 
+def with_query(text: str) -> Option:
+    return with_param("query", text)
+
+
+def with_embedding(vector: Sequence[float]) -> Option:
+    return with_param("embedding", tuple(vector))
+
+
+def with_allowed(ids: DataFrame) -> Option:
+    """Only these ids (column id) may be found; an empty list allows none."""
+    return with_param("allowed", ids)
+
+
 def with_join(other: DataFrame, on: Column | Sequence[str] | str, how: str = "inner") -> Option:
     return lambda q: replace(q, joins=(*q.joins, lambda d: d.join(other, on, how)))
 

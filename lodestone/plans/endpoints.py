@@ -228,6 +228,11 @@ def search(c: Catalog, code: Sequence[float] | None = None, text: Sequence[float
     return hydrate(c, retrieval.fuse(R.reduce_union(ranked), "id", k).select("id", "score"))
 
 
+def simple_search(c: Catalog, vector: Sequence[float], filters: O.Filters = O.Filters(), k: int = 10) -> DataFrame:
+    """One vector for code and text, no keywords."""
+    return search(c, code=vector, text=vector, filters=filters, k=k)
+
+
 def keyword_list(c: Catalog, words: str, allowed: DataFrame, k: int) -> DataFrame:
     """(id, score) of the phrase among the allowed ids; frequencies are those of the whole index.
 
@@ -449,4 +454,4 @@ def add_repository(c: Catalog, url: str, number: int) -> tuple[DataFrame, bool]:
     return c["git_repos"].limit(0).unionByName(fresh, allowMissingColumns=True), True
 
 
-ENDPOINTS |= {f.__name__: f for f in (rescan, delete_repository, add_repository, enrichments, enrichment, patch_enrichment, repository_ids, page_image_jobs, source_files, visual, resolve, read_uris, read_page, read_raster, settings, change_settings, rescan_all)}
+ENDPOINTS |= {f.__name__: f for f in (rescan, delete_repository, add_repository, simple_search, enrichments, enrichment, patch_enrichment, repository_ids, page_image_jobs, source_files, visual, resolve, read_uris, read_page, read_raster, settings, change_settings, rescan_all)}

@@ -107,6 +107,28 @@ def write_documents(c: Catalog, contexts: DataFrame, document: str, model: Calla
     return document_rows(told.where("error IS NULL"), document), told.where("error IS NOT NULL").select("commit_sha", "error")
 
 
+def architecture_contexts(files: DataFrame, keys: tuple[str, ...] = ("commit_sha",)) -> DataFrame:
+    """(keys, context): what the compose files of each commit tell about its services, by path."""
+    ship_package(files.sparkSession)
+    rows = files.where(F.regexp_extract(F.lower("path"), "[^/]*$", 0).rlike(r"^(docker-)?compose.*\.ya?ml$")).select(*keys, "path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [documents.architecture_text(t or "") for t in batch.column(len(keys) + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.string())], names=[*keys, "path", "told"])
+
+    kinds = dict(files.dtypes)
+    told = rows.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "path string, told string"])).where("told <> ''")
+    return told.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "told"))), lambda r: F.concat(r["path"], F.lit("\n"), r["told"])), "\n\n").alias("context"))
+
+
+def with_digests(contexts: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("repo_id",), most: int = 2000) -> DataFrame:
+    """Contexts followed by earlier documents (keys, name, content), each cut to ``most`` bytes."""
+    part = F.concat(F.col("name"), F.lit("\n"), X.truncate_bytes(F.col("content"), most, ""))
+    digests = texts.where("content <> ''").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", part.alias("part")))), lambda r: r["part"]), "\n\n").alias("_digests"))
+    return contexts.join(digests, list(keys), "left").withColumn("context", F.concat_ws("\n\n", "context", "_digests")).drop("_digests")
+
+
 def schema_contexts(files: DataFrame, keys: tuple[str, ...] = ("commit_sha",), per_file: int = 2000, most: int = 10_000) -> DataFrame:
     """(keys, context): what looks like a schema in each commit's files, each file and all of them cut by bytes."""
     path = F.lower("path")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import options as O
 from ..operators.mutations import TableStore
 from ..operators.relational import new_only
 from ..session import shared_path
@@ -111,6 +112,24 @@ class KeywordIndex:
         return rows.where(F.col("id").isin([str(i) for i in ids])).select("id", F.lit(0.0).alias("score"))
 
 
+def find(index: KeywordIndex, q: O.Query) -> DataFrame:
+    """(id, score) of what a query's options ask an index: its text and allow-list, else the ids of its conditions with score 0."""
+    if not q.params.get("query"):
+        rows = q.apply_conditions(index.store.read("docs", "id string, dl int").withColumn("snippet_id", F.col("id")))
+        rows = rows if "allowed" not in q.params else rows.join(q.params["allowed"].select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
+        return rows.select("id", F.lit(0.0).alias("score"))
+    found = index.find(q.params["query"], retrieval._top(q.count) + q.skip, q.params.get("allowed"), phrase=q.params.get("phrase", True))
+    return found.orderBy(F.desc("score"), "id").offset(q.skip) if q.skip else found
+
+
+def find_vectors(vectors: DataFrame, q: O.Query, key: str = "id") -> DataFrame:
+    """(key, score) of what a query's options ask a vector table: its embedding under its conditions and allow-list."""
+    rows = q.apply_conditions(vectors)
+    if "embedding" not in q.params:
+        return rows.select(key, F.lit(0.0).alias("score"))
+    return retrieval.exact_topk(rows, q.params["embedding"], retrieval._top(q.count), key, allowed=q.params.get("allowed"), least=q.params.get("least"), skip=q.skip)
+
+
 def shared_index(documents: DataFrame, key: str, text: str, analyzer: str, slots: int = 64, rebuild: bool = False) -> KeywordIndex:
     """The index of a table that is stored in files, in the shared folder; built once for the files as they are."""
     where = shared_path(documents, f"keywords {LAYOUT} {key} {text} {analyzer} {slots}")

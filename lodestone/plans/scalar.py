@@ -298,3 +298,32 @@ def new_of_two_indexes(documents, labels, embeddings):
     """Documents that neither of two indexes knows."""
     known = labels.select("doc_id").union(embeddings.where("vec_id % 2 = 0").select(F.col("vec_id").alias("doc_id")))
     return R.new_only(documents, known, "doc_id").select("doc_id")
+
+
+@query("""WITH v AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS s FROM embeddings), a AS (SELECT vec_id, s, row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS r FROM v QUALIFY r < 15),
+b AS (SELECT vec_id, embedding[1]::DOUBLE AS s, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 15)
+SELECT coalesce(a.vec_id, b.vec_id)::VARCHAR AS id, round(coalesce(1 / (60.0 + a.r), 0) + coalesce(1 / (60.0 + b.r), 0), 9) AS score, round(coalesce(a.s, 0), 6) AS first, round(coalesce(b.s, 0), 6) AS second FROM a FULL JOIN b ON a.vec_id = b.vec_id""")
+def fused_score_vectors(embeddings):
+    """Fused lists whole, each id with its score in every list, 0 where it is missing."""
+    target = embeddings.where("vec_id = 7").first()["embedding"]
+    near = retrieval.exact_topk(embeddings, target, 15, "vec_id")
+    first = embeddings.select("vec_id", F.element_at("embedding", 1).cast("double").alias("score")).orderBy(F.desc("score"), "vec_id").limit(15)
+    rows = retrieval.fuse(retrieval.with_rank(near, 0, "vec_id").unionByName(retrieval.with_rank(first, 1, "vec_id")), "vec_id", slots=2)
+    return rows.select("id", F.round("score", 9).alias("score"), F.round(F.get("original_scores", 0), 6).alias("first"), F.round(F.get("original_scores", 1), 6).alias("second"))
+
+
+@query("""WITH a AS (SELECT doc_id FROM labels WHERE quality = 1), b AS (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT vec_id FROM embeddings WHERE label = 1)
+SELECT 'union' AS name, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'both', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only first', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def solved_sets(labels, embeddings):
+    """What two runs solved: together, both, and only the first."""
+    a = labels.where("quality = 1").select("doc_id")
+    b = labels.where("toxic = 1").select("doc_id").union(embeddings.where("label = 1").select("vec_id"))
+    parts = {"union": a.union(b).distinct(), "both": a.intersect(b), "only first": a.subtract(b)}
+    return R.reduce_union([d.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, d in parts.items()])
+
+
+@query("SELECT conv_id, turn, role = 'user' AS from_user, role IN ('assistant') AS answer, strftime(TIMESTAMP '2024-01-01' + INTERVAL (turn) HOUR, '%Y-%m-%d %H') AS day FROM conversations")
+def kinds_and_dates(conversations):
+    """Type predicates as columns, and dates read, moved and written."""
+    at = F.to_timestamp(F.lit("2024-01-01T00:00:00Z")) + F.make_dt_interval(hours=F.col("turn").cast("int"))
+    return conversations.select("conv_id", "turn", (F.col("role") == "user").alias("from_user"), F.col("role").isin("assistant").alias("answer"), F.date_format(at, "yyyy-MM-dd HH").alias("day"))

@@ -51,6 +51,15 @@ def clone(repos: DataFrame, folder: str) -> DataFrame:
     return git._per_repository(rows, run, "repo_id long, cloned_path string, error string")
 
 
+def remove_repository(c: endpoints.Catalog, repo: int) -> dict[str, DataFrame]:
+    """All tables without a repository; its working copy, below the shared folder, is deleted."""
+    left = endpoints.delete_repository(c, repo)
+    for row in c["git_repos"].where(F.col("id") == repo).select("cloned_path").collect():
+        if row["cloned_path"]:
+            git.remove_clone(row["cloned_path"])
+    return left
+
+
 def chosen_commits(repos: DataFrame, branches: DataFrame) -> DataFrame:
     """(repo_id, commit_sha): the tracked branch's head, else the tracked commit, else the default branch's head, else the first one's.
 

@@ -4,6 +4,7 @@ import io
 import json
 import subprocess
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from lodestone.functions import providers as P
 from lodestone.functions import registry
 from lodestone.functions import text as X
+from lodestone.functions.pdf import pdf_pages
 from lodestone.operators import mutations as M
+from lodestone.operators import options as O
 from lodestone.plans import endpoints as N
-from lodestone.plans import enrich, ingest, sync
+from lodestone.plans import enrich, ingest, keyword, sync
 from lodestone.plans.keyword import KeywordIndex
 from lodestone.schemas import TABLES
 from lodestone.sources import git
@@ -345,3 +348,69 @@ def test_settings(spark):
             N.change_settings(c, kind, 1, **values)
     with pytest.raises(PermissionError):
         N.settings(c.scoped([2]), "chunking", 1)
+
+
+def pdf(contents, packed):
+    """A small file: a page for each content, fonts of one and two bytes, objects plain or in an object stream."""
+    table = b"1 beginbfchar <0003> <0041> endbfchar 1 beginbfrange <0010> <0012> <0062> endbfrange"
+    pages = [6 + 2 * k for k in range(len(contents))]
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Kids [%s] >>" % b" ".join(b"%d 0 R" % p for p in pages), 3: b"<< /Type /Font /Subtype /Type1 >>", 4: b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>"}
+    streams = {5: table}
+    for p, c in zip(pages, contents):
+        objects[p], streams[p + 1] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (p + 1), c
+    out = b"%PDF-1.5\n"
+    if packed:
+        bodies, at, numbers = [], 0, []
+        for n, o in objects.items():
+            numbers.append(b"%d %d" % (n, at))
+            bodies.append(o + b" ")
+            at += len(o) + 1
+        head = b" ".join(numbers) + b" "
+        whole = zlib.compress(head + b"".join(bodies))
+        out += b"90 0 obj << /Type /ObjStm /N %d /First %d /Filter /FlateDecode >> stream\n" % (len(objects), len(head)) + whole + b"\nendstream endobj\n"
+    else:
+        out += b"".join(b"%d 0 obj %s endobj\n" % x for x in objects.items())
+    for n, c in streams.items():
+        out += b"%d 0 obj << /Filter /FlateDecode >> stream\n" % n + zlib.compress(c) + b"\nendstream endobj\n"
+    return out
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf(spark, packed):
+    data = pdf([b"BT /F1 12 Tf (Hello \\(a\\) ) Tj [(wor) -20 (ld) -300 (\\344\\351)] TJ 0 -14 Td (next) Tj ET", b"BT /F2 9 Tf <000300100012> Tj T* [<0011> -400 <0003>] TJ ET", b""], packed)
+    assert pdf_pages(data) == ["Hello (a) world äé\nnext", "Abd\nc A", ""]
+    files = spark.createDataFrame([("a.pdf", "pdf", data), ("b.pdf", "pdf", b"no"), ("c.pdf", "pdf", b"%PDF /Encrypt 3 0 R")], "path string, extension string, content binary")
+    got = {(r["path"], r["page"]): (r["text"], r["error"]) for r in registry.document_pages(files).collect()}
+    assert got["a.pdf", 2] == ("Abd\nc A", None) and got["b.pdf", 0][1] and got["c.pdf", 0][1] and len(got) == 5
+
+
+def test_architecture(spark):
+    text = "services:\n  web:\n    image: nginx\n    ports: ['8080:80']\n    depends_on: [db]\n    environment:\n      URL: redis://cache:6379/0\n  db:\n    build: .\n  cache:\n"
+    pytest.importorskip("yaml")
+    files = spark.createDataFrame([("c", "docker-compose.yml", text), ("c", "a/compose.yaml", ": no ["), ("d", "x.yml", text)], "commit_sha string, path string, content string")
+    got = {r["commit_sha"]: r["context"] for r in enrich.architecture_contexts(files).collect()}
+    assert got == {"c": "docker-compose.yml\nServices\n- cache\n- db: built here\n- web: nginx, ports 80 (HTTP)\nConnections\n- web -> db (depends_on)\n- web -> cache (url)"}
+    contexts = spark.createDataFrame([(1, "x"), (2, "y")], "repo_id long, context string")
+    texts = spark.createDataFrame([(1, "b", "second"), (1, "a", "f" * 30), (2, "a", "")], "repo_id long, name string, content string")
+    assert {r["repo_id"]: r["context"] for r in enrich.with_digests(contexts, texts, most=5).collect()} == {1: "x\n\na\nfffff\n\nb\nsecon", 2: "y"}
+
+
+def test_options_of_searches(spark, tmp_path):
+    docs = spark.createDataFrame([(str(k), f"fox {'dog ' * (k % 3)}") for k in range(9)], "id string, text string")
+    index = KeywordIndex(spark, f"file://{tmp_path}", "words", 2).build(docs)
+    few = docs.where("id IN ('1', '2')").select("id")
+    ids = lambda df: [r[0] for r in df.collect()]
+    assert ids(keyword.find(index, O.build(O.with_query("fox"), O.with_limit(2)))) == ["0", "3"] and ids(keyword.find(index, O.build(O.with_query("fox"), O.with_pagination(2, 1)))) == ["3", "6"]
+    assert ids(keyword.find(index, O.build(O.with_query("fox"), O.with_allowed(few)))) == ["1", "2"] and ids(keyword.find(index, O.build(O.with_query("fox"), O.with_allowed(few.limit(0))))) == []
+    assert sorted(ids(keyword.find(index, O.build(O.with_snippet_id_in(["3", "99"]))))) == ["3"]
+    vectors = spark.createDataFrame([(k, [1.0, float(k)], "a" if k % 2 else "b") for k in range(6)], "id long, embedding array<double>, task string")
+    assert ids(keyword.find_vectors(vectors, O.build(O.with_embedding([1.0, 0.0]), O.with_condition("task", "a"), O.with_limit(2)))) == [1, 3]
+    assert sorted(ids(keyword.find_vectors(vectors, O.build(O.with_condition("task", "b"))))) == [0, 2, 4]
+
+
+def test_remove_repository(spark, tmp_path):
+    folder = tmp_path / "clone"
+    folder.mkdir()
+    names = ("git_repos", "git_commits", "git_branches", "git_tags", "git_commit_files", "enrichments_v2", "enrichment_associations", "source_locations", "tasks")
+    c = N.Catalog({n: table(spark, n, dict(id=1, cloned_path=str(folder)), dict(id=2)) if n == "git_repos" else table(spark, n) for n in names})
+    assert [r["id"] for r in sync.remove_repository(c, 1)["git_repos"].collect()] == [2] and not folder.exists()
