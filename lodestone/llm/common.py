@@ -21,7 +21,7 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Rows and bytes that go to Python at once: a worker holds a batch of texts several times over.
 BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
 #: Rows of a narrow table that may be broadcast: some 30 MB. Its rows are counted first; larger ones are shuffled.
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 250_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -156,13 +156,32 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 SALTS = 64
 
 
-def in_tiles(rows: DataFrame, keys: list[str], unit: str, tile: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, unit: str, many: int = 1000) -> DataFrame:
+    """``rows`` with the columns of their group: ``groups`` has one row for each ``key`` and its size ``_n``.
+
+    Groups of more than ``many`` rows are listed once for each of SALTS parts and met first, by key and
+    part, so no task gets all rows of a large group; the other rows then meet their groups by key.
+    ``groups`` is read several times and should be a written table.
+    """
+    large, values = groups.where(F.col("_n") > many), [c for c in groups.columns if c not in (key, "_n")]
+    if large.isEmpty():
+        return rows.join(groups.drop("_n"), key).select(*rows.columns, *values)
+    spread = large.select(F.col(key).alias("_key"), *values, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(unit, F.lit("salt")), F.lit(SALTS)).cast("int"))
+    met = salted.join(spread, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part")), "left")
+    rest = met.where("_key IS NULL").select(*rows.columns).join(groups.where(F.col("_n") <= many).drop("_n"), key)
+    return met.where("_key IS NOT NULL").select(*rows.columns, *values).unionByName(rest.select(*rows.columns, *values))
+
+
+def in_tiles(rows: DataFrame, keys: list[str], unit: str, tile: int, pairs: str = "every") -> DataFrame:
     """``rows`` once for each pair of tiles (i <= j) of its group that its own tile ``t`` is part of.
 
     Groups of ``keys`` are cut into tiles of about ``tile`` rows by a hash of ``unit``, so a group of any
     size is many tasks of bounded size, and each two of its rows meet in exactly one pair of tiles,
     or, if they share a tile, in that tile with itself. The rows come sorted by keys, i and j.
 
+    ``pairs`` chooses pairs: every one, each tile's ``own`` with itself, or those of the ``first`` tile with each other one.
+
     Only groups of more than one tile have to be known, and each of these is listed once for each of
     SALTS parts, so no task gets all rows of a large group, neither to look it up nor to copy them.
     """
@@ -170,9 +189,15 @@ def in_tiles(rows: DataFrame, keys: list[str], unit: str, tile: int) -> DataFram
     large = counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(unit, F.lit("salt")), F.lit(SALTS)).cast("int"))
     same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_of_{k}") for k in keys]) & (F.col("_salt") == F.col("_part"))
-    tiles = F.coalesce("_tiles", F.lit(1))
+    tiles, t = F.coalesce("_tiles", F.lit(1)), F.col("t")
     dealt = salted.join(large, same, "left").withColumns({"_tiles": tiles, "t": F.pmod(F.xxhash64(unit), tiles).cast("int")})
-    copies = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumns({"i": F.least("t", "_o"), "j": F.greatest("t", "_o")})
+    last = F.col("_tiles") - 1
+    others = {
+        "every": F.sequence(F.lit(0), last),
+        "own": F.array(t),
+        "first": F.when(t > 0, F.array(F.lit(0))).when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))),
+    }
+    copies = dealt.withColumn("_o", F.explode(others[pairs])).withColumns({"i": F.least("t", "_o"), "j": F.greatest("t", "_o")})
     return copies.select(*rows.columns, "t", "i", "j").repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop_materialized, materialize, merge
+from .common import Scratch, drop_materialized, join_groups, materialize, merge
 
 #: Links that one task joins by union-find: 16 MB. More are joined by shuffles, with the same result.
 ONE_TASK = 1_000_000
@@ -57,8 +57,8 @@ def named(edges: DataFrame, nodes: DataFrame, order: list[str], scratch: Scratch
     ``nodes`` holds node and the columns of ``order``; edges (a, b) are of nodes.
     """
     linked = scratch(components(edges, scratch=scratch).join(nodes.select("node", *order), "node"), "labels")
-    least = linked.groupBy("component").agg(F.min(F.struct(*order)).alias("_least")).select("component", "_least.*")
-    return linked.select("node", "component").join(least, "component").select("node", *order)
+    least = linked.groupBy("component").agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_least")).select("component", "_n", "_least.*")
+    return join_groups(linked.select("node", "component"), scratch(least, "least"), "component", "node").select("node", *order)
 
 
 def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pytest
 from lodestone.llm import components as C
 from lodestone.llm import embedding_dedup as E
 from lodestone.llm import minhash as H
-from lodestone.llm.common import in_tiles
+from lodestone.llm.common import in_tiles, join_groups
 
 from .conftest import rows_of
 
@@ -197,22 +197,26 @@ def test_keep_one_loses_nothing(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, c), (5, a), (5, b), (8, d)]
 
 
-def test_in_tiles(spark):
-    """Two rows of a group meet in exactly one pair of tiles, also in groups of many tiles."""
+@pytest.mark.parametrize("pairs", ["every", "own", "first"])
+def test_in_tiles(spark, pairs):
+    """Two rows of a group meet in exactly one pair of tiles, also in groups of many tiles, and some in one of the chosen pairs."""
     rows = [(1, k) for k in range(700)] + [(2, k) for k in range(1000, 1030)] + [(3, 5000)]
-    got = in_tiles(spark.createDataFrame(rows, "g long, u long"), ["g"], "u", 50).collect()
-    tasks = {}
-    for r in got:
+    tasks, met, tile = {}, {}, {}
+    for r in in_tiles(spark.createDataFrame(rows, "g long, u long"), ["g"], "u", 50, pairs).collect():
         assert r["i"] <= r["j"] and r["t"] in (r["i"], r["j"])
+        assert {"every": True, "own": r["i"] == r["j"], "first": r["i"] == 0 < r["j"]}[pairs]
+        assert tile.setdefault(r["u"], r["t"]) == r["t"]
         tasks.setdefault((r["g"], r["i"], r["j"]), []).append((r["u"], r["t"]))
     assert max(map(len, tasks.values())) < 200
-    met = {}
     for (g, i, j), members in tasks.items():
         for n, (u, t) in enumerate(members):
             for v, s in members[:n]:
                 if i == j or s != t:
                     met[g, min(u, v), max(u, v)] = met.get((g, min(u, v), max(u, v)), 0) + 1
-    assert len(met) == 700 * 699 // 2 + 30 * 29 // 2 and set(met.values()) == {1}
+    want = {"every": lambda a, b: True, "own": lambda a, b: a == b, "first": lambda a, b: min(a, b) == 0 < max(a, b)}[pairs]
+    assert set(met.values()) == {1}
+    assert set(met) == {(g, u, v) for g, u in rows for h, v in rows if g == h and u < v and u in tile and v in tile and want(tile[u], tile[v])}
+    assert pairs == "first" or len(tile) == len(rows)
 
 
 def test_embeddings_of_repeated_ids(spark):
@@ -250,3 +254,13 @@ def test_recall(spark, size, capsys):
         print(f" {size} words: {kept} of {len(links)} true links kept")
     assert kept == len(links) > 1000
     assert got == {i: rows[component[k]][0] for k, (i, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("many", [10, 10_000])
+def test_join_groups(spark, many):
+    """The join of each row with its group, whether large groups are spread or not; rows without one go."""
+    rows = [(g, u) for u in range(400) for g in ([1, 2] if u % 4 else [3])] + [(9, 1)]
+    sizes = {g: sum(x == g for x, _ in rows) for g in (1, 2, 3)}
+    groups = spark.createDataFrame([(g, n, f"g{g}") for g, n in sizes.items() if g != 2] + [(8, 500, "none")], "g long, _n long, name string")
+    got = join_groups(spark.createDataFrame(rows, "g long, u long"), groups, "g", "u", many).collect()
+    assert sorted(map(tuple, got)) == sorted((g, u, f"g{g}") for g, u in rows if g in (1, 3))
