@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import documents
 from ..functions import text as X
-from ..operators.relational import new_only
+from ..operators.relational import new_only, ranked
 from ..session import ship_package, written
 from .endpoints import Catalog
 from .ingest import generate
@@ -64,8 +64,10 @@ def repository_context(files: DataFrame, keys: tuple[str, ...] = ("repo_id",), r
     parts = files.groupBy(*keys).agg(
         F.min(F.when(base.startswith("readme"), F.struct("path", F.substring("content", 1, readme).alias("t"))))["t"].alias("readme"),
         F.array_sort(F.collect_list(F.when(base.isin(*manifests), F.struct("path", F.substring("content", 1, manifest).alias("t"))))).alias("manifests"),
-        F.slice(F.array_sort(F.collect_list("path")), 1, paths).alias("tree"),
     )
+    # only the first paths of a repository are gathered, however many it has
+    first = ranked(files.select(*keys, "path"), keys, F.col("path")).where(F.col("rank") < paths)
+    parts = parts.join(first.groupBy(*keys).agg(F.array_sort(F.collect_list("path")).alias("tree")), list(keys))
     shown = F.transform("manifests", lambda m: F.concat(m["path"], F.lit("\n"), m["t"]))
     return parts.select(*keys, F.concat_ws("\n\n", F.concat(F.lit("README\n"), "readme"), F.nullif(F.array_join(shown, "\n\n"), F.lit("")), F.concat(F.lit("Files\n"), F.array_join("tree", "\n"))).alias("context"))
 
