@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -154,16 +154,17 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int =
     rest = F.translate(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"(?s)^.*?://(.*)$", 1), UPPER, LOWER)
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), F.concat(F.lit("^"), rest, F.lit("$")).alias("u")).withColumns({"rule": text, "ruled": verdict})
     judged = judged.withColumn("kept_out", F.pmod(F.xxhash64("u"), F.lit(folds)) == 0)
+    scratch = Scratch()
     # written once, so that ids stay
-    judged = materialize(judged.withColumn("id", F.monotonically_increasing_id()), "url-rows")
+    judged = scratch(judged.withColumn("id", F.monotonically_increasing_id()), "url-rows")
     training = judged.where(F.col("ruled").isNotNull() & ~F.col("kept_out")).select((F.col("ruled") == "allow").alias("accepted"), "u")
-    counts = materialize(_gram_counts(training, order), "url-grams")
+    counts = scratch(_gram_counts(training, order), "url-grams")
     known = judged.where(F.col("u") != F.lit("^$")).select("id", "u")
-    windows = materialize(known.select(F.explode(_windows(order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "url-windows")
-    values = materialize(_values(windows, counts, order, smoothing), "url-values")
+    windows = scratch(known.select(F.explode(_windows(order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "url-windows")
+    values = scratch(_values(windows, counts, order, smoothing), "url-values")
 
     score = F.when(F.col("u") != F.lit("^$"), F.coalesce("total", F.lit(0.0)) / (F.length("u") - 1))
     scored = judged.join(_totals(known, values, order, slots), "id", "left").withColumn("score", score)
-    scored = materialize(scored.select("page_id", "host", "path", "rule", "ruled", "kept_out", "score"), "url-scores")
+    scored = scratch.finish(scored.select("page_id", "host", "path", "rule", "ruled", "kept_out", "score"), "url-scores")
     learned = F.when(F.col("score") < F.col("cut"), "block").otherwise("allow")
     return scored.withColumn("cut", _cut(scored, bins, 4.0)).select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "score")
