@@ -250,12 +250,12 @@ def ep_semantic(c):
     return N.semantic(c, _vector(c, "7"), O.Filters(languages=("en", "de")), k=12).select("id", F.round("score", 6).alias("score"), "path")
 
 
-@endpoint(f"WITH r AS (SELECT snippet_id AS id, {_NEAR} AS score FROM vector_index WHERE task = 'vision' ORDER BY 2 DESC, 1 LIMIT 10), {_HYDRATED} SELECT id, round(score, 6) AS score, base || CASE WHEN coalesce(page, 0) > 0 THEN '?page=' || page || '&mode=raster' ELSE '?mode=raster' END AS uri FROM h")
+@endpoint(f"WITH r AS (SELECT snippet_id AS id, {_NEAR} AS score FROM vector_index WHERE task = 'vision' AND try_cast(snippet_id AS BIGINT) IN (SELECT id FROM enrichments_v2) ORDER BY 2 DESC, 1 LIMIT 10), {_HYDRATED} SELECT id, round(score, 6) AS score, base || CASE WHEN coalesce(page, 0) > 0 THEN '?page=' || page || '&mode=raster' ELSE '?mode=raster' END AS uri FROM h")
 def ep_visual(c):
     return N.visual(c, _vector(c, "7"), k=10).select("id", F.round("score", 6).alias("score"), "uri")
 
 
-@endpoint(f"WITH r AS (SELECT snippet_id AS id, {_NEAR} AS score FROM vector_index WHERE task = 'code' ORDER BY 2 DESC, 1 LIMIT 30), {_HYDRATED} SELECT id FROM h WHERE repo_id % 3 = 0 ORDER BY score DESC, id LIMIT 5")
+@endpoint(f"WITH r AS (SELECT snippet_id AS id, {_NEAR} AS score FROM vector_index WHERE task = 'code' AND try_cast(snippet_id AS BIGINT) IN (SELECT id FROM enrichments_v2) ORDER BY 2 DESC, 1 LIMIT 30), {_HYDRATED} SELECT id FROM h WHERE repo_id % 3 = 0 ORDER BY score DESC, id LIMIT 5")
 def ep_post_filter(c):
     """A filter on the repository after the search's limit, then the cap of the request."""
     found = N.semantic(c, _vector(c, "7"), k=30).where("repo_id % 3 = 0")
