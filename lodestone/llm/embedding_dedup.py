@@ -66,6 +66,9 @@ def link_embeddings(rows: DataFrame, threshold: float = 0.98, tile: int = 4096)
     (its vectors / ``tile``)^2 / 2 tasks; a task returns counts and a spanning forest, never all pairs.
     """
 
+    # single precision is kept as it is, half the bytes of what is compared; other vectors go in double precision
+    single = rows.schema["embedding"].dataType.elementType.typeName() == "float"
+
     def prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, vectors, labels = batch.columns
         n = len(ids)
@@ -79,10 +82,10 @@ def link_embeddings(rows: DataFrame, threshold: float = 0.98, tile: int = 4096)
             v = flat[(ends[at] - size)[:, None] + np.arange(size)]
             largest = np.abs(v).max(axis=1, initial=0)
             good = np.isfinite(v).all(axis=1) & (largest > 0)
-            at, v = at[good], v[good] / largest[good, None]
-            for k, row in zip(at.tolist(), v, strict=True):
-                data[k] = row.tobytes()
-                keys[k] = xxhash.xxh3_128_digest(data[k] + repr(names[k]).encode())
+            at, own, v = at[good], v[good], v[good] / largest[good, None]
+            for k, mine, row in zip(at.tolist(), own.astype(np.float32) if single else v, v, strict=True):
+                data[k] = mine.tobytes()
+                keys[k] = xxhash.xxh3_128_digest(row.tobytes() + repr(names[k]).encode())
         return pa.RecordBatch.from_arrays([ids, labels, pa.array(data, pa.binary()), pa.array(keys, pa.binary())], names=["vec_id", "label", "v", "key"])
 
     kinds, scratch = dict(rows.dtypes), Scratch()
@@ -95,7 +98,7 @@ def link_embeddings(rows: DataFrame, threshold: float = 0.98, tile: int = 4096)
     def compare(table: pa.Table) -> pa.RecordBatch | None:
         table = table.sort_by([("t", "ascending"), ("node", "ascending")])
         t, node, times = (table.column(c).to_numpy() for c in ("t", "node", "times"))
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.float64).reshape(len(node), -1)
+        x = np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.float32 if single else np.float64).reshape(len(node), -1).astype(np.float64)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         first = len(node) if i == j else int((t == i).sum())
         count, label = np.zeros(len(node), dtype=np.int64), np.arange(len(node))

@@ -115,8 +115,9 @@ def cosine_brute(rows, threshold):
     return links
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
 @pytest.mark.parametrize("tile", [16, 4096])
-def test_embeddings(spark, tile):
+def test_embeddings(spark, tile, kind):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 24))
     rows = []
@@ -125,7 +126,7 @@ def test_embeddings(spark, tile):
         rows.append((n, [float(np.float32(c)) for c in v * rng.choice([1e-3, 1.0, 50.0])], int(n % 3)))
     rows += [(300 + k, rows[7][1], rows[7][2]) for k in range(30)]
     rows += [(400, None, 1), (401, [], 1), (402, [0.0] * 24, 1), (403, [float("nan")] * 24, 1), (404, [None] + [1.0] * 23, 1), (405, rows[0][1], None), (406, [1.0, 2.0], 0), (407, [float("inf")] * 24, 0)]
-    df = spark.createDataFrame([(*r, 5, "k") for r in rows], "vec_id long, embedding array<float>, label int, n long, key string")
+    df = spark.createDataFrame([(*r, 5, "k") for r in rows], f"vec_id long, embedding array<{kind}>, label int, n long, key string")
     links = cosine_brute([(i, None if v is None else np.array([np.nan if c is None else c for c in v], dtype=np.float32).astype(np.float64), label) for i, v, label in rows], 0.98)
     comp, count = closure(range(len(rows)), links), {}
     for a, b in links:
