@@ -20,6 +20,7 @@ from ..operators import mutations as M
 from ..operators import options as O
 from ..operators import relational as R
 from ..session import ship_package
+from ..sources import git
 from ..sources.files import jsonapi_rows
 from ..streaming import queue
 from . import endpoints as N
@@ -231,6 +232,20 @@ def ep_hydrate(c):
     return rows.select("id", F.round("score", 6).alias("score"), "path", "repo_id", F.col("sanitized_remote_uri").alias("remote"), "start_line", "uri")
 
 
+@endpoint("SELECT e.id FROM enrichments_v2 e JOIN vector_index v ON try_cast(v.snippet_id AS BIGINT) = e.id ORDER BY CASE WHEN e.id % 3 = 0 THEN NULL ELSE round(v.embedding[1]::DOUBLE, 2) END DESC NULLS LAST, e.id LIMIT 9")
+def ep_hydrate_order(c):
+    """Results come by score, those without one last, equal ones by id."""
+    score = F.when(F.col("snippet_id").cast("long") % 3 > 0, F.round(F.element_at("embedding", 1).cast("double"), 2))
+    return N.hydrate(c, c["vector_index"].select(F.col("snippet_id").alias("id"), score.alias("score"))).limit(9).select("id")
+
+
+@endpoint("SELECT repo_id, max(name) AS name FROM git_tags WHERE regexp_matches(name, '^(v[0-9]|[0-9])') GROUP BY repo_id")
+def ep_latest_versions(c):
+    """The last version tag of each repository; without dates, by name."""
+    tags = c["git_tags"].select("repo_id", "name", X.is_version_tag(F.col("name")).alias("is_version"), F.lit(None).cast("timestamp").alias("tagged_at"))
+    return git.latest_version(tags)
+
+
 @endpoint(f"WITH r AS (SELECT snippet_id AS id, embedding[1]::DOUBLE AS score FROM vector_index), {_HYDRATED} SELECT id, path FROM h WHERE path IS NOT NULL AND repo_id % 2 = 0")
 def ep_hydrate_files(c):
     """Only results that stand in a file, and of these the ones of even repositories."""

@@ -17,7 +17,7 @@ from ..operators import options as O
 from ..operators import relational as R
 from ..schemas import check_dimension
 from ..session import shared_folder, ship_package
-from ..sources import files
+from ..sources import files, git
 from ..streaming import queue
 from . import ingest, retrieval
 from .catalogue import query
@@ -225,6 +225,19 @@ def periodic_sync(customer, events):
 # --- formats
 
 
+@query("""SELECT o_custkey, o_orderkey::VARCHAR AS commit_sha, CASE WHEN o_orderkey % 3 > 0 THEN 'p' || o_orderkey END AS parent_commit_sha, o_orderpriority || ' <' || o_orderkey || '@x>' AS author, strftime(o_orderdate, '%Y-%m-%d %H') AS day, 'status ' || o_orderstatus || chr(10) || 'more' AS message FROM orders WHERE o_orderkey % 11 > 0""")
+def commit_logs(orders):
+    """Log texts, one a customer, parsed into commits; records with too few fields go, and of parents only the first counts."""
+    sha = F.col("o_orderkey").cast("string")
+    parents = F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("p"), sha)).otherwise(F.concat(F.lit("p"), sha, F.lit(" q")))
+    at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    fields = [sha, parents, F.col("o_orderpriority"), F.concat(sha, F.lit("@x")), at, F.lit("c"), F.lit("c@x"), at, F.concat(F.lit("status "), "o_orderstatus", F.lit("\nmore\n"))]
+    record = F.when(F.col("o_orderkey") % 11 > 0, F.concat_ws("\0", *fields)).otherwise(F.concat_ws("\0", sha, F.lit("broken")))
+    logs = orders.groupBy("o_custkey").agg(F.array_join(F.collect_list(F.concat(F.lit("\1"), record)), "").alias("log"))
+    rows = git.parse_log(logs)
+    return rows.select("o_custkey", "commit_sha", "parent_commit_sha", "author", F.date_format("date", "yyyy-MM-dd HH").alias("day"), "message")
+
+
 @query("SELECT doc_id::VARCHAR AS instance_id, 'm' || doc_id % 3 AS model_name_or_path, text AS model_patch FROM documents")
 def predictions_round_trip(documents):
     """Predictions written as JSON lines and read back; blank lines do not count."""
