@@ -15,7 +15,6 @@ forests leave a tile, never pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
 from functools import reduce
 
 import numpy as np
@@ -224,21 +223,13 @@ def _judged(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataF
         labels = scratch(components(_all(links), scratch=scratch), "minhash-labels")
 
     # what is still apart: families of documents that sketches hold for similar, then their full sets
-    labelled = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("apart"))
-    labelled = scratch(labelled.withColumn("label", F.col("apart")), "minhash-labelled")
-    rest = scratch(_still_apart(labelled, "bucket", scratch), "minhash-rest")
-    ends = scratch(rest.groupBy("bucket").agg(F.count("*").alias("_n"), F.array(F.min("node"), F.max("node")).alias("ends")), "minhash-ends")
-    ends = join_groups(rest, ends, "bucket", "node").select("node", F.explode("ends").alias("end"))
-    stars = with_facts(ends.where("node <> end").select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct())
-    near = scratch(components(stars, scratch=scratch).select("node", F.col("component").alias("near")), "minhash-near")
-    rows = scratch(rest.drop("label").join(small(near), "node", "left").withColumn("label", F.coalesce("near", "node")).drop("near"), "minhash-rows")
-    joined = _rounds(rows, facts.select("node", "n", "sketch"), "bucket", _similar_sketches(percent), scratch, 256)
-    families = rows.select("node", "apart", "label").distinct()
-    if joined:
-        further = components(_all(joined), scratch=scratch).select(F.col("node").alias("label"), F.col("component").alias("_further"))
-        families = families.join(further, "label", "left").withColumn("label", F.coalesce("_further", "label"))
-    families = scratch(families.select(F.col("label").alias("family"), "node", F.col("node").alias("apart"), F.col("apart").alias("label")), "minhash-families")
-    links += _rounds(families, sets, "family", _similar_sets(percent), scratch, 128)
+    labelled = members.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = scratch(labelled.select("bucket", "node", "component"), "minhash-labelled")
+    split = scratch(labelled.groupBy("bucket").agg(F.count("*").alias("_n"), (F.min("component") != F.max("component")).alias("apart")).where("apart OR _n > 1000"), "minhash-split")
+    rest = scratch(join_groups(labelled, split, "bucket", "node").where("apart").drop("apart").join(facts.select("node", "n", "sketch"), "node"), "minhash-rest")
+    families = scratch(components(_hopeful(rest, percent), scratch=scratch), "minhash-families")
+    last = families.withColumnRenamed("component", "family").join(rest.select("node", "component").distinct(), "node").join(sets, "node")
+    links.append(scratch(_linked(last, percent), "minhash-links"))
 
     least = named(_all(links), nodes, ["id", "set_digest"], scratch).select("node", F.col("id").alias("component_id"), F.col("set_digest").alias("component_digest"))
     # most classes are linked with no other: only the others are looked up
@@ -248,53 +239,10 @@ def _judged(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataF
     return out.select("doc_id", "n_shingles", "set_digest", F.coalesce("component_id", "own_id", "doc_id").alias("component_id"), F.coalesce("component_digest", "set_digest").alias("component_digest"))
 
 
-def _still_apart(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """The rows of groups of ``key`` that hold more than one label."""
-    groups = scratch(rows.groupBy(key).agg(F.count("*").alias("_n"), (F.min("label") != F.max("label")).alias("_open")).where("_open OR _n > 1000"), "minhash-groups")
-    return join_groups(rows, groups, key, "node").where("_open").drop("_open")
-
-
-def _rounds(rows: DataFrame, payload: DataFrame, key: str, compare: Callable, scratch: Scratch, tile: int, small_tile: int = 128) -> list[DataFrame]:
-    """Links (a, b) of labels of rows (key, node, apart, label) that ``compare`` finds similar inside their groups of ``key``.
-
-    Pairs of equal ``apart`` or equal label need no comparison. Small tiles of a group are first compared
-    with themselves, then all with the first one; after each of these rounds labels that were joined
-    are one, and groups of one label are done. So a group that holds together takes time in proportion
-    to its rows; only what stays apart is compared in all pairs of tiles. Only spanning forests leave a tile.
-    """
-    links = []
-    for pairs, size in (("own", small_tile), ("first", small_tile), ("every", tile)):
-        rows = scratch(_still_apart(rows, key, scratch), "minhash-apart")
-        if rows.isEmpty():
-            break
-        tiled = in_tiles(rows.join(payload, "node"), [key], "node", size, pairs)
-        tiled = tiled.select(key, "i", "j", "node", "apart", "label", *[c for c in payload.columns if c != "node"])
-        found = scratch(tiled.mapInArrow(by_group(compare, 3), "a long, b long"), "minhash-links")
-        if found.isEmpty():
-            continue
-        links.append(found)
-        if pairs != "every":
-            joined = scratch(components(found, scratch=scratch), "minhash-joined").select(F.col("node").alias("_label"), F.col("component").alias("_joined"))
-            rows = rows.join(small(joined), F.col("label") == F.col("_label"), "left").select(key, "node", "apart", F.coalesce("_joined", "label").alias("label"))
-    return links
-
-
-def _joins(table: pa.Table, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
-    """A spanning forest (a, b) of the labels of the paired rows."""
-    values, first, place = np.unique(table.column("label").to_numpy(), return_index=True, return_inverse=True)
-    label = np.arange(len(values))
-    for x, y in pairs:
-        merge(label, place[x], place[y])
+def _forest(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch | None:
+    """Each position that is not the first of its component, with that first one."""
     moved = np.flatnonzero(label != np.arange(len(label)))
-    return pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(values[label[moved]])], names=["a", "b"]) if len(moved) else None
-
-
-def _open_pairs(table: pa.Table) -> np.ndarray | None:
-    """Which pairs of rows are worth a comparison; None if none is."""
-    apart, label = table.column("apart").to_numpy(), table.column("label").to_numpy()
-    if len(label) < 2 or (label == label[0]).all():
-        return None
-    return (apart[:, None] != apart[None, :]) & (label[:, None] != label[None, :])
+    return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"]) if len(moved) else None
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -303,37 +251,40 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(whole.value_lengths().to_numpy())[:-1])
 
 
-def _similar_sketches(percent: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
-    """Compares two tiles by matrices of bitmaps: sizes and odd sketches allow the similarity."""
+def _hopeful(rest: DataFrame, percent: int, tile: int = 512) -> DataFrame:
+    """A spanning forest (a, b) of the pairs that share a bucket, not a component, and similar sketches.
+
+    Pairs are compared by matrices of bitmaps inside tiles of a bucket; only the forest leaves them.
+    """
     most = most_bits(percent / 100)
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
-        if (wanted := _open_pairs(table)) is None:
+        ids, component, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
+        if len(ids) < 2 or (component == component[0]).all():
             return None
-        n, sketch = table.column("n").to_numpy(), np.stack(_lists(table.column("sketch")))
-
-        def pairs():
-            for at in range(0, len(n), 256):
-                part = slice(at, at + 256)
-                bits = np.bitwise_count(sketch[part, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
-                sizes = np.minimum(n[part, None], n[None, :]) * 100 >= np.maximum(n[part, None], n[None, :]) * percent
-                x, y = np.nonzero((bits <= most) & sizes & wanted[part])
-                yield x + at, y
-
-        return _joins(table, pairs())
+        sketch, label = np.stack(_lists(table.column("sketch"))), np.arange(len(ids))
+        for at in range(0, len(ids), 256):
+            part = slice(at, at + 256)
+            bits = np.bitwise_count(sketch[part, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
+            sizes = np.minimum(n[part, None], n[None, :]) * 100 >= np.maximum(n[part, None], n[None, :]) * percent
+            x, y = np.nonzero((bits <= most) & sizes & (component[part, None] != component[None, :]))
+            merge(label, x + at, y)
+        return _forest(ids, label)
 
-    return compare
+    rows = in_tiles(rest, ["bucket"], "node", tile).select("bucket", "i", "j", "node", "component", "n", "sketch")
+    return rows.mapInArrow(by_group(compare, 3), "a long, b long")
 
 
-def _similar_sets(percent: int, width: int = 8192) -> Callable[[pa.Table], pa.RecordBatch | None]:
-    """Compares two tiles by their full sets.
+def _linked(rows: DataFrame, percent: int, tile: int = 256, width: int = 8192) -> DataFrame:
+    """A spanning forest (a, b) of the links between components of a family, from full sets.
 
-    Sizes of all intersections are one product of 0/1 matrices, taken over ``width`` shingles at a
-    time, so memory is bounded for sets of any size.
+    Sizes of all intersections of a pair of tiles are one product of 0/1 matrices, taken over
+    ``width`` shingles at a time, so memory is bounded for sets of any size.
     """
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
-        if (wanted := _open_pairs(table)) is None:
+        ids, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        if len(ids) < 2 or (component == component[0]).all():
             return None
         sets = _lists(table.column("members"))
         n = np.array([len(s) for s in sets])
@@ -350,9 +301,13 @@ def _similar_sets(percent: int, width: int = 8192) -> Callable[[pa.Table], pa.Re
             block = np.zeros((len(sets), width), dtype=np.float32)
             block[owner[a:b], number[a:b] - at] = 1
             shared += block @ block.T
-        return _joins(table, [np.nonzero((shared * 100 >= (n[:, None] + n[None, :] - shared) * percent) & wanted)])
+        x, y = np.nonzero((shared * 100 >= (n[:, None] + n[None, :] - shared) * percent) & (component[:, None] != component[None, :]))
+        label = np.arange(len(ids))
+        merge(label, x, y)
+        return _forest(ids, label)
 
-    return compare
+    tiled = in_tiles(rows, ["family"], "node", tile).select("family", "i", "j", "node", "component", "members")
+    return tiled.mapInArrow(by_group(compare, 3), "a long, b long")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
