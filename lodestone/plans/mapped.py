@@ -24,7 +24,7 @@ from ..sources import git
 from ..sources.files import jsonapi_rows
 from ..streaming import queue
 from . import endpoints as N
-from . import retrieval, sync
+from . import sync
 from .catalogue import ORACLES, QUERIES
 
 _STATE = "CASE event_type WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'skipped' WHEN 'error' THEN 'failed' WHEN 'signup' THEN CASE WHEN event_id % 7 = 0 THEN 'started' ELSE 'completed' END ELSE 'completed' END"
