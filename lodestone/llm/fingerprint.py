@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, by_batch, materialize, pieces_of, small, texts
+from .common import Scratch, by_batch, pieces_of, small, texts
 
 #: Hex digits of the hash.
 DIGITS = 32
