@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -74,6 +75,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return mine_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_contaminated
+
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
@@ -85,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_fingerprint": op9_fingerprint,
     "op10_language": op10_language,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
@@ -147,5 +171,75 @@ k AS (SELECT a, b FROM e UNION SELECT k.a, e.b FROM k JOIN e ON k.b = e.a),
 m AS (SELECT a, min(b) AS b FROM k GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(m.b, d.doc_id), d.doc_id) AS component_id, coalesce(least(m.b, d.doc_id) = d.doc_id, true) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e, row_number() OVER () AS k
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.k AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.k <> b.k AND len(a.e) = len(b.e)),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""",
+    "op12_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e,
+         coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+  FROM d LEFT JOIN (SELECT doc_id AS i, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id) l ON l.i = d.doc_id),
+s AS (
+  SELECT part, a::INTEGER + 2 * b::INTEGER + 4 * c::INTEGER + 8 * d::INTEGER + 16 * e::INTEGER AS s,
+         count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+k(f, v) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT p.f || q.f || r.f || y.f || z.f AS filter_order, [p.v, q.v, r.v, y.v, z.v] AS v
+  FROM k p, k q, k r, k y, k z WHERE p.v + q.v + r.v + y.v + z.v = 31 AND len(list_distinct([p.v, q.v, r.v, y.v, z.v])) = 5),
+i AS (SELECT filter_order, step, v[step] AS own, coalesce(list_sum(v[1:step - 1]), 0)::INTEGER AS before FROM o, range(1, 6) t(step)),
+c AS (
+  SELECT part, filter_order, step::INTEGER AS step, own,
+         coalesce(sum(n) FILTER (s & (before | own) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (s & own <> 0 AND s & before = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (s & own <> 0 AND s & before <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (s = own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(g) FILTER (s & own <> 0 AND s & before = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(x) FILTER (s & own <> 0 AND s & before = 0), 0)::BIGINT AS toxic_lost
+  FROM s, i GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM c
+""",
+    "op13_decontaminate": r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS k,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+g AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, w[p:p + least(len(w), 10) - 1] AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+h AS (
+  SELECT k, p, o.n, item_id FROM (
+    SELECT k, z.n, p, w[p:p + z.n - 1] AS x
+    FROM t, (SELECT DISTINCT n FROM g) z, unnest(range(1, len(w) - z.n + 2)) u(p)) o JOIN g ON g.n = o.n AND g.g = o.x),
+c AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS q FROM h) GROUP BY k),
+m AS (SELECT k, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS i FROM h WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM t LEFT JOIN c ON c.k = t.k LEFT JOIN m ON m.k = t.k
 """,
 }
