@@ -1,18 +1,14 @@
-"""Changes to stored tables.
-
-Plain Parquet has no MERGE, so a change is a new version of the table's folder, written beside the
-old one. Nothing is overwritten while it is read.
-"""
+"""Changes to tables, as DataFrames and, over a :class:`TableStore`, as commits."""
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import Conflict, TableStore, Transaction  # noqa: F401  part of this module's interface
+
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``changes`` replace those of equal key; with ``update`` only those columns change."""
@@ -53,81 +49,6 @@ def backfill(rows: DataFrame, column: str, default: object) -> DataFrame:
     return rows.withColumn(column, F.coalesce(F.nullif(F.col(column), F.lit(0)), F.lit(default)))
 
 
-class TableStore:
-    """Versioned Parquet tables in one folder of any file system that Spark reaches.
-
-    One small manifest names the versions that make up each table. A change writes new versions and
-    then replaces the manifest by one rename, so a reader sees all of a change, over all tables, or
-    nothing of it. Of two writers at once the later one decides, so give a folder one writer.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self._fs, self._path = path.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
-
-    def manifest(self) -> dict[str, list[str]]:
-        """The versions of each table, oldest first."""
-        if not self._fs.exists(self._path(f"{self.folder}/manifest.json")):
-            return {}
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.folder}/manifest.json").first()[0])
-
-    def exists(self, name: str) -> bool:
-        return name in self.manifest()
-
-    def read(self, name: str, schema: str | None = None) -> DataFrame:
-        """All versions of a table as one; ``schema`` saves reading it from the files."""
-        if not (versions := self.manifest().get(name)):
-            raise FileNotFoundError(name)
-        reader = self.spark.read.option("basePath", f"{self.folder}/{name}")
-        if schema:
-            reader = reader.schema(f"{schema}, version string")
-        return reader.parquet(*[f"{self.folder}/{name}/version={v}" for v in versions]).drop("version")
-
-    def _add(self, name: str, rows: DataFrame, partition_by: Sequence[str]) -> str:
-        version = f"v{uuid.uuid4().hex}"
-        rows.write.partitionBy(*partition_by).parquet(f"{self.folder}/{name}/version={version}")
-        return version
-
-    def _publish(self, manifest: dict[str, list[str]]) -> None:
-        fresh, current = self._path(f"{self.folder}/manifest-{uuid.uuid4().hex}.json"), self._path(f"{self.folder}/manifest.json")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        rename = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.valueOf("OVERWRITE")
-        self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri()).rename(fresh, current, how)
-
-    def write(self, name: str, rows: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        """Replace a table; its versions before stay until :meth:`vacuum`."""
-        self.transaction({name: rows}, {name: partition_by})
-
-    def append(self, name: str, rows: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        """Add rows to a table without reading it."""
-        self.transaction({}, {name: partition_by}, {name: rows})
-
-    def transaction(self, changes: dict[str, DataFrame], partition_by: dict[str, Sequence[str]] | None = None, additions: dict[str, DataFrame] | None = None) -> None:
-        """Replace and extend tables at once: a failed write leaves every table as it was."""
-        parts = partition_by or {}
-        replaced = {name: [self._add(name, rows, parts.get(name, ()))] for name, rows in changes.items()}
-        added = {name: self._add(name, rows, parts.get(name, ())) for name, rows in (additions or {}).items()}
-        manifest = self.manifest() | replaced
-        self._publish(manifest | {name: [*manifest.get(name, []), version] for name, version in added.items()})
-
-    def rename_column(self, name: str, old: str, new: str) -> None:
-        self.write(name, self.read(name).withColumnRenamed(old, new))
-
-    def vacuum(self, names: Iterable[str]) -> None:
-        """Delete what the manifest does not name."""
-        manifest = self.manifest()
-        for name in names:
-            for status in self._fs.listStatus(self._path(f"{self.folder}/{name}")):
-                found = status.getPath().getName()
-                if found.startswith("version=") and found.removeprefix("version=") not in manifest.get(name, []):
-                    self._fs.delete(status.getPath(), True)
-
-
 def migrate(store: TableStore, steps: Sequence[tuple[str, Callable[[TableStore], None]]]) -> list[str]:
     """Run the steps (name, change) that the store has not seen, in order; the names of those run.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..operators import relational as R
 from ..session import shared_folder, ship_package
 from . import ingest, retrieval
 from .dag import depths
+from .grep_index import shared_grep
 from .keyword import shared_index
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +162,20 @@ def grep_lines_grouped(documents):
     return found.select(F.col("path").alias("doc_id"), "first_seq", F.size("matches").cast("long").alias("n"), F.array_join(F.transform("matches", lambda m: m["line"].cast("string")), ",").alias("lines"))
 
 
+#: Patterns with literals, alternatives, classes, repeats, anchors and none of these.
+PATTERNS = ("heed", "(?i)THE (that|thnt|thing)", "^[A-Z][a-z]+ de ", "estion?.*able$", "[0-9]{4}-[0-9]{2}", "a.b|ññ", "(lyn|ndr)e+a", " tion[ ,.]", "x*y", r"ing\.")
+
+
+@query(" UNION ALL ".join(f"SELECT {n} AS pattern, doc_id, line::INT AS line, content FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE regexp_matches(content, '{p}')" for n, p in enumerate(PATTERNS)))
+def grep_indexed(documents):
+    """All matching lines of ten patterns, by the trigram index of the table."""
+    files = documents.select("doc_id", "text")
+    index = shared_grep(documents, "doc_id", "text")
+    found = [index.matching_lines(files, p, path="doc_id", content="text").select(F.lit(n).alias("pattern"), "doc_id", "line", "content") for n, p in enumerate(PATTERNS)]
+    return R.reduce_union(found)
+
+
+
 @query("""WITH o AS (SELECT *, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_quantity = 50)
 SELECT l_suppkey AS path, min(seq) AS first_seq, count(*) AS n FROM o GROUP BY l_suppkey ORDER BY first_seq, path LIMIT 5""")
 def group_collect_capped(lineitem):
@@ -682,6 +698,46 @@ def upsert_merge(customer):
     return M.upsert(customer.select("c_custkey", "c_name"), changes, ["c_custkey"])
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 8 < 4 THEN 'writer ' || c_custkey % 8 ELSE c_name END AS c_name FROM customer WHERE c_custkey % 8 < 7 UNION ALL SELECT -c_custkey, 'added by ' || c_custkey % 8 FROM customer WHERE c_custkey % 8 < 4")
+def concurrent_commits(customer):
+    """Four writers upsert their own customers while a fifth one deletes others and a sixth one compacts: every change is there."""
+    spark = customer.sparkSession
+    folder = f"{shared_folder(spark)}/lodestone-commits-{uuid.uuid4().hex}"
+    M.TableStore(spark, folder).write("customer", customer.select("c_custkey", "c_name"))
+    mine = lambda w: customer.where(F.col("c_custkey") % 8 == w)
+
+    def upsert(w):
+        rows = mine(w).select("c_custkey", F.lit(f"writer {w}").alias("c_name")).union(mine(w).select(-F.col("c_custkey"), F.lit(f"added by {w}")))
+        M.TableStore(spark, folder).upsert("customer", rows, ["c_custkey"])
+
+    def compact():
+        try:
+            M.TableStore(spark, folder).compact("customer")
+        except M.Conflict:
+            pass
+
+    with ThreadPoolExecutor(6) as pool:
+        done = [pool.submit(upsert, w) for w in range(4)]
+        done += [pool.submit(M.TableStore(spark, folder).delete, "customer", mine(7).select("c_custkey")), pool.submit(compact)]
+        for d in done:
+            d.result()
+    store = M.TableStore(spark, folder)
+    store.compact("customer")
+    return store.read("customer")
+
+
+@query("""WITH gone AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT 'documents' AS name, doc_id AS id FROM documents WHERE doc_id NOT IN (FROM gone)
+UNION ALL SELECT 'labels', doc_id FROM labels WHERE doc_id NOT IN (FROM gone) UNION ALL SELECT 'embeddings', vec_id FROM embeddings WHERE vec_id NOT IN (FROM gone)""")
+def delete_sets(documents, labels, embeddings):
+    """A cascade that writes keys alone, met on reading, over three tables in one commit."""
+    spark = documents.sparkSession
+    store = M.TableStore(spark, f"{shared_folder(spark)}/lodestone-deletes-{uuid.uuid4().hex}")
+    store.transaction({"documents": documents.select("doc_id", "source"), "labels": labels, "embeddings": embeddings.select("vec_id", "label")})
+    store.delete_from({"documents": "doc_id", "labels": "doc_id", "embeddings": "vec_id"}, labels.where("toxic = 1"), "doc_id")
+    parts = [store.read(n).select(F.lit(n).alias("name"), F.col(k).alias("id")) for n, k in (("documents", "doc_id"), ("labels", "doc_id"), ("embeddings", "vec_id"))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("SELECT c_custkey, coalesce(nullif(c_nationkey, 0), 99) AS c_nationkey FROM customer")
 def backfill_default(customer):
     return M.backfill(customer.select("c_custkey", "c_nationkey"), "c_nationkey", 99)

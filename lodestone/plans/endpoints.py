@@ -18,7 +18,7 @@ from ..functions.chunker import ChunkConfig
 from ..functions import text as X
 from ..operators import options as O
 from ..operators import relational as R
-from ..operators.mutations import cascade_delete, delete_keys
+from ..operators.tables import TableStore, Transaction
 from . import retrieval
 
 
@@ -155,14 +155,30 @@ def with_related(c: Catalog, rows: DataFrame) -> DataFrame:
     return rows.join(grouped, "id", "left")
 
 
+def enrichment_keys(c: Catalog, ids: DataFrame) -> dict[str, DataFrame]:
+    """Of every table that knows an enrichment: the keys of the given ones."""
+    text, number = ids.select(F.col("id").cast("string").alias("snippet_id")), ids.select(F.col("id").alias("enrichment_id"))
+    return {n: text for n in ("keyword_index", "vector_index") if n in c.tables} | {"enrichments_v2": ids.select("id"), "enrichment_associations": number, "source_locations": number}
+
+
+def without(c: Catalog, keys: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables without the rows of these keys."""
+    return {name: c[name].join(gone.distinct(), gone.columns, "left_anti") for name, gone in keys.items()}
+
+
+def erase(store: TableStore, keys: dict[str, DataFrame]) -> None:
+    """Delete the rows of these keys from stored tables, in one commit that writes the keys alone."""
+
+    def change(tx: Transaction) -> None:
+        for name, gone in keys.items():
+            tx.delete(name, gone)
+
+    store.update(change)
+
+
 def delete_enrichments(c: Catalog, ids: DataFrame) -> dict[str, DataFrame]:
     """Every table that knows an enrichment, without the given ones."""
-    gone = ids.select(F.col("id").cast("string").alias("snippet_id"))
-    left = cascade_delete({n: (c[n], "snippet_id") for n in ("keyword_index", "vector_index") if n in c.tables}, gone, "snippet_id")
-    left["enrichments_v2"] = delete_keys(c["enrichments_v2"], ids, "id")
-    for name in ("enrichment_associations", "source_locations"):
-        left[name] = delete_keys(c[name], ids, "enrichment_id", "id")
-    return left
+    return without(c, enrichment_keys(c, ids))
 
 
 def cleanup_old(c: Catalog, repo: int, sha: str, kind: str, subtype: str) -> dict[str, DataFrame]:
@@ -423,25 +439,30 @@ def rescan_all(c: Catalog) -> DataFrame:
 # --- whole repositories
 
 
+def commit_keys(c: Catalog, sha: str) -> dict[str, DataFrame]:
+    """Of every table: the keys of what is known of a commit."""
+    own = c["git_commits"].where(F.col("commit_sha") == sha).select("commit_sha")
+    return enrichment_keys(c, _of_commits(c, [sha]).select("id")) | {"git_commit_files": own, "git_commits": own}
+
+
 def rescan(c: Catalog, sha: str) -> dict[str, DataFrame]:
     """All tables without what is known of a commit, so that it is scanned anew."""
-    left = delete_enrichments(c, _of_commits(c, [sha]).select("id"))
-    left["git_commit_files"] = c["git_commit_files"].where(F.col("commit_sha") != sha)
-    left["git_commits"] = c["git_commits"].where(F.col("commit_sha") != sha)
-    return left
+    return without(c, commit_keys(c, sha))
+
+
+def repository_keys(c: Catalog, repo: int) -> dict[str, DataFrame]:
+    """Of every table: the keys of a repository, its history, what was derived from it and its queued tasks."""
+    c.check(repo)
+    commits = c["git_commits"].where(F.col("repo_id") == repo)
+    own = c["git_repos"].where(F.col("id") == repo).select("id")
+    tasks = c["tasks"].where(X.payload_number(F.col("payload"), "repository_id") == repo).select("id")
+    history = {name: own.select(F.col("id").alias("repo_id")) for name in ("git_commits", "git_branches", "git_tags")}
+    return enrichment_keys(c, _of_commits(c, commits).select("id")) | {"git_commit_files": commits.select("commit_sha"), **history, "git_repos": own, "tasks": tasks}
 
 
 def delete_repository(c: Catalog, repo: int) -> dict[str, DataFrame]:
     """All tables without a repository, its history, what was derived from it and its queued tasks."""
-    c.check(repo)
-    shas = c["git_commits"].where(F.col("repo_id") == repo)
-    left = delete_enrichments(c, _of_commits(c, shas).select("id"))
-    left["git_commit_files"] = delete_keys(c["git_commit_files"], shas, "commit_sha")
-    for name in ("git_commits", "git_branches", "git_tags"):
-        left[name] = c[name].where(F.col("repo_id") != repo)
-    left["git_repos"] = c["git_repos"].where(F.col("id") != repo)
-    left["tasks"] = c["tasks"].where(~F.coalesce(X.payload_number(F.col("payload"), "repository_id") == repo, F.lit(False)))
-    return left
+    return without(c, repository_keys(c, repo))
 
 
 def add_repository(c: Catalog, url: str, number: int) -> tuple[DataFrame, bool]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunker import ChunkConfig, batches, chunks
 from ..functions.text import extension
-from ..operators.mutations import TableStore
+from ..operators.tables import TableStore, Transaction
 from ..operators.relational import new_only
 from ..session import ship_package, written
 
@@ -182,14 +182,23 @@ def index_vectors(store: TableStore, task: str, candidates: DataFrame, model: Ca
 
 
 def store_vectors(store: TableStore, task: str, embedded: DataFrame, key: str = "snippet_id", tolerance: float = TOLERANCE) -> int:
-    """Add embedded rows to a task's vector table, unless too large a share of them failed; how many."""
+    """Add embedded rows to a task's vector table, unless too large a share of them failed; how many.
+
+    Of writers at once each adds what the others have not, so no row is lost and none is there twice.
+    """
     fresh, name = written(embedded, "vectors"), f"vectors_{task}"
     check_failures(fresh, tolerance)
     good = fresh.where("error IS NULL").select(key, "embedding")
-    count = good.count()
-    if count or not store.exists(name):
-        store.append(name, good)
-    return count
+
+    def change(tx: Transaction) -> int:
+        there = tx.exists(name)
+        rows = new_only(good, tx.read(name), key) if there else good
+        count = rows.count()
+        if count or not there:
+            tx.append(name, rows)
+        return count
+
+    return store.update(change)
 
 
 def generate(requests: DataFrame, model: Callable[[str, str], str], key: str = "id", system: str = "system", text: str = "text", parallel: int = 1) -> DataFrame:

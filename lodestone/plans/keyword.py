@@ -13,14 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import options as O
-from ..operators.mutations import TableStore
+from ..operators.tables import TableStore, Transaction
 from ..operators.relational import new_only
-from ..session import shared_path
+from ..session import shared_path, source_digest
 from . import retrieval
 
-#: Part of the folder's name of a shared index; it changes with the layout of the tables.
-LAYOUT = 1
-
 _POSTINGS = "term string, id string, dl int, tf long, positions array<int>, slot int"
 
 
@@ -58,23 +55,40 @@ class KeywordIndex:
         return self
 
     def add(self, docs: DataFrame) -> int:
-        """Index the rows (id, text) that are new; how many there were."""
+        """Index the rows (id, text) that are new; how many there were. Of writers at once each adds what the others have not."""
         if not self.exists:
             self.build(docs)
             return self.store.read("docs").count()
-        fresh = new_only(self.usable(docs), self.store.read("docs", "id string, dl int"), "id").persist()
-        count = fresh.count()
-        if count:
-            self.store.transaction({}, {"postings": ["slot"]}, self._tables(fresh))
-        fresh.unpersist()
-        return count
+        rows = self.usable(docs)
+
+        def change(tx: Transaction) -> int:
+            fresh = new_only(rows, tx.read("docs", "id string, dl int"), "id").persist()
+            count = fresh.count()
+            for name, table in self._tables(fresh).items() if count else ():
+                tx.append(name, table, ["slot"] if name == "postings" else ())
+            fresh.unpersist()
+            return count
+
+        return self.store.update(change)
 
     def remove(self, ids: DataFrame) -> None:
-        """Rewrite the index without these ids."""
+        """Delete these ids: their keys are written, and postings stay until :meth:`compact`."""
         gone = ids.select(F.col("id").cast("string").alias("id")).distinct()
-        docs, postings = (self.store.read(t).join(gone, "id", "left_anti") for t in ("docs", "postings"))
-        stats = docs.agg(F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
-        self.store.transaction({"docs": docs, "postings": postings.select("term", "id", "dl", "tf", "positions", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "term", "id"), "stats": stats}, {"postings": ["slot"]})
+
+        def change(tx: Transaction) -> None:
+            known = tx.read("docs", "id string, dl int").join(gone, "id", "left_semi")
+            less = known.agg((-F.count_if(F.col("dl") > 0)).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("total"))
+            tx.append("stats", less)
+            tx.delete("docs", gone)
+            tx.delete("postings", gone)
+
+        self.store.update(change)
+
+    def compact(self) -> int:
+        """Rewrite the files that hold postings of deleted ids; how many these were."""
+        laid = lambda rows: rows.select("term", "id", "dl", "tf", "positions", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "term", "id")
+        self.store.compact("docs")
+        return self.store.compact("postings", laid)
 
     def count(self) -> int:
         return self.store.read("docs", "id string, dl int").count() if self.exists else 0
@@ -132,7 +146,8 @@ def find_vectors(vectors: DataFrame, q: O.Query, key: str = "id") -> DataFrame:
 
 def shared_index(documents: DataFrame, key: str, text: str, analyzer: str, slots: int = 64, rebuild: bool = False) -> KeywordIndex:
     """The index of a table that is stored in files, in the shared folder; built once for the files as they are."""
-    where = shared_path(documents, f"keywords {LAYOUT} {key} {text} {analyzer} {slots}")
+    made_by = source_digest(__name__, *(f"lodestone.{m}" for m in ("plans.retrieval", "functions.stemming", "functions.porter2")))
+    where = shared_path(documents, f"keywords {made_by} {key} {text} {analyzer} {slots}")
     index = KeywordIndex(documents.sparkSession, where, analyzer, slots)
     if rebuild or not index.exists:
         index.build(documents.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from ..functions.stemming import stem
 from ..operators import mutations as M
 from ..operators import options as O
 from ..operators import relational as R
-from ..session import ship_package
+from ..session import shared_folder, ship_package
 from ..sources import git
 from ..sources.files import jsonapi_rows
 from ..streaming import queue
@@ -482,6 +483,25 @@ def ep_delete_repository(c):
     return _sizes(N.delete_repository(c, 7))
 
 
+def _erased(c, keys):
+    """The sizes of stored tables after a delete that writes keys alone."""
+    spark = c["git_repos"].sparkSession
+    store = M.TableStore(spark, f"{shared_folder(spark)}/lodestone-catalog-{uuid.uuid4().hex}")
+    store.transaction({name: c[name] for name in keys})
+    N.erase(store, keys)
+    return _sizes({name: store.read(name) for name in keys})
+
+
+@endpoint(_left("SELECT id FROM enrichments_v2 WHERE type = 'usage'"))
+def ep_erase_enrichments(c):
+    return _erased(c, N.enrichment_keys(c, c["enrichments_v2"].where("type = 'usage'").select("id")))
+
+
+@endpoint(_left(_OF_REPO) + " UNION ALL SELECT 'git_commit_files', count(*) FROM git_commit_files WHERE commit_sha NOT IN (SELECT commit_sha FROM git_commits WHERE repo_id = 7) UNION ALL SELECT 'git_commits', count(*) FROM git_commits WHERE repo_id <> 7 UNION ALL SELECT 'git_branches', count(*) FROM git_branches WHERE repo_id <> 7 UNION ALL SELECT 'git_tags', count(*) FROM git_tags WHERE repo_id <> 7 UNION ALL SELECT 'git_repos', count(*) FROM git_repos WHERE id <> 7 UNION ALL SELECT 'tasks', count(*) FROM tasks WHERE (payload::JSON ->> '$.repository_id')::BIGINT <> 7")
+def ep_erase_repository(c):
+    return _erased(c, N.repository_keys(c, 7))
+
+
 @endpoint(_left(f"SELECT id FROM enrichments_v2 WHERE subtype = 'chunk' AND id IN ({_OF_COMMIT} IN (SELECT commit_sha FROM git_commits WHERE repo_id = 7 AND commit_sha <> (SELECT max(commit_sha) FROM git_commits WHERE repo_id = 7))) AND id NOT IN ({_OF_COMMIT} = (SELECT max(commit_sha) FROM git_commits WHERE repo_id = 7))"))
 def ep_cleanup_old(c):
     """What older commits left of a kind, once the newest is processed."""

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import cosine, glob_match
-from ..operators.mutations import TableStore
+from ..operators.tables import TableStore
 from ..operators.relational import group_by_file
-from ..session import shared_path, ship_package
+from ..session import shared_path, ship_package, source_digest
 
 #: Results by default, how many times more each list of a fusion gets, and the constant of ranks.
 TOP, PER_LIST, RANK_CONSTANT = 10, 2, 60
@@ -271,9 +271,8 @@ class VectorIndex:
         return self.exists and not self.store.read("lists").where(F.col(self.key) == key).isEmpty()
 
     def remove(self, keys: DataFrame) -> None:
-        """Rewrite the lists without these keys."""
-        left = self.store.read("lists").join(keys.select(self.key).distinct(), self.key, "left_anti")
-        self.store.write("lists", left.select(self.key, self.embedding, "list_id").hint("rebalance", "list_id").sortWithinPartitions("list_id"), ["list_id"])
+        """Delete these keys; the vectors stay in their files until the store is compacted."""
+        self.store.delete("lists", keys.select(self.key))
 
     def centroids(self) -> np.ndarray:
         rows = self.store.read("centroids", "list_id int, centroid array<double>").orderBy("list_id").collect()
@@ -288,7 +287,7 @@ class VectorIndex:
 
 def shared_vectors(vectors: DataFrame, key: str, embedding: str = "embedding") -> VectorIndex:
     """The inverted file of a table that is stored in files, in the shared folder; built once for the files as they are."""
-    index = VectorIndex(vectors.sparkSession, shared_path(vectors, f"vectors 1 {key} {embedding}"), key, embedding)
+    index = VectorIndex(vectors.sparkSession, shared_path(vectors, f"vectors {source_digest(__name__)} {key} {embedding}"), key, embedding)
     return index if index.exists else index.build(vectors)
 
 
@@ -349,25 +348,45 @@ def check_pattern(pattern: str, pathspec: str | None = None) -> None:
         raise ValueError("a path pattern must stay inside the repository")
 
 
+#: What a line alone decides: the text's ends, look-around, inline flags but case, possessive and atomic parts.
+_LINE_ONLY = re.compile(r"\\[AZzG]|\(\?(?!:)|[*+?}]\+")
+
+
+def whole_text_filter(pattern: str) -> str | None:
+    """A pattern that every text with a matching line matches as a whole; None if only its lines can tell."""
+    flags, body = ("(?mi)", pattern[4:]) if pattern.startswith("(?i)") else ("(?m)", pattern)
+    return None if _LINE_ONLY.search(body) else flags + body
+
+
 def matching_lines(files: DataFrame, pattern: str, pathspec: str | None = None, path: str = "path", content: str = "content") -> DataFrame:
     """(path, line, content) of the lines that match, lines from 1.
 
-    Texts without a match are dropped before their lines are laid out.
+    Texts without a match are dropped before their lines are laid out, where the pattern means the same
+    in a text as in its lines.
     """
     check_pattern(pattern, pathspec)
-    rows = files.where(F.col(content).rlike(f"(?m){pattern}"))
+    rows = files
+    if (whole := whole_text_filter(pattern)) is not None:
+        # a text's last line may be empty, and ^ only finds it if a line end follows
+        text = F.concat(F.col(content), F.lit("\n")) if "^" in pattern else F.col(content)
+        rows = rows.where(text.rlike(whole))
     if pathspec:
         rows = rows.where(glob_match(F.col(path), pathspec))
     lines = rows.select(path, F.posexplode(F.split(content, "\n", -1)).alias("position", "content"))
     return lines.where(F.col("content").rlike(pattern)).select(path, (F.col("position") + 1).alias("line"), "content")
 
 
-def grep(files: DataFrame, pattern: str, pathspec: str | None = None, most_files: int = 10, most_matches: int = 1000, path: str = "path", content: str = "content") -> DataFrame:
-    """Matches by file: path, first_seq, matches; at most 1000 matches and 200 files."""
-    found = matching_lines(files, pattern, pathspec, path, content).orderBy(path, "line").limit(most_matches)
+def grouped_matches(matches: DataFrame, most_files: int = 10, most_matches: int = 1000, path: str = "path") -> DataFrame:
+    """Matches (path, line, content) by file: path, first_seq, matches; at most 1000 matches and 200 files."""
+    found = matches.orderBy(path, "line").limit(most_matches)
     numbered = found.withColumn("seq", F.row_number().over(Window.orderBy(path, "line")))  # at most most_matches rows
     return group_by_file(numbered, min(most_files, 200), path=path)
 
 
+def grep(files: DataFrame, pattern: str, pathspec: str | None = None, most_files: int = 10, most_matches: int = 1000, path: str = "path", content: str = "content") -> DataFrame:
+    """Matches by file: path, first_seq, matches; at most 1000 matches and 200 files."""
+    return grouped_matches(matching_lines(files, pattern, pathspec, path, content), most_files, most_matches, path)
+
+
 def listing(files: DataFrame, pattern: str, page: int = 1, size: int = 20, path: str = "path") -> DataFrame:
     return files.where(glob_match(F.col(path), pattern)).orderBy(path).offset((max(page, 1) - 1) * size).limit(size)

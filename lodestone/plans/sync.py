@@ -16,7 +16,7 @@ from ..functions import text as X
 from ..functions.chunker import ChunkConfig
 from ..functions.registry import RASTERIZERS
 from ..operators import relational as R
-from ..operators.mutations import TableStore
+from ..operators.tables import TableStore
 from ..session import ship_package
 from ..sources import git
 from . import endpoints, ingest

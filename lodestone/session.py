@@ -58,6 +58,14 @@ def shared_path(table: DataFrame, purpose: str) -> str:
     return f"{shared_folder(spark)}/lodestone-{known.hexdigest()[:24]}"
 
 
+def source_digest(*modules: str) -> str:
+    """A digest of modules' sources: part of the name of what they derive, so that other code derives it anew."""
+    import importlib
+    import inspect
+
+    return hashlib.sha256("".join(inspect.getsource(importlib.import_module(m)) for m in modules).encode()).hexdigest()[:16]
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and a lost executor costs only its own tasks."""
     path = f"{shared_folder(df.sparkSession)}/lodestone-{what}-{uuid.uuid4().hex}"
