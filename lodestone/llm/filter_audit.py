@@ -22,16 +22,16 @@ BLANKS, SIGNS = r"[\x20\x09-\x0D]+", r"[#$%&*|]"
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, n_distinct of each different (doc_id, text).
+    """doc_id, text_hash, n_words, n_distinct of each different (doc_id, text) that has words.
 
-    Each text's words are exploded behind one null, which stands for the row itself: it keeps texts without
-    words, and its count tells how often the row is repeated.
+    Repeated rows are combined before anything is shuffled. What is shuffled are whole texts, by (doc_id, hash),
+    which takes less room than their words; these are then exploded and aggregated where they are, as
+    (document, word) and document both lie inside that partitioning.
     """
-    text = F.coalesce("text", F.lit(""))
-    words = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.split(text, BLANKS))).alias("word")).where("word IS NULL OR word <> ''")
+    texts = docs.where("text <> ''").groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
+    words = texts.select("doc_id", "text_hash", F.explode(F.split("text", BLANKS)).alias("word")).where("word <> ''")
     counted = words.groupBy("doc_id", "text_hash", "word").agg(F.count("*").alias("n"))
-    totals = counted.groupBy("doc_id", "text_hash").agg(F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("rows"), F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("n"), F.count("word").alias("n_distinct"))
-    return totals.select("doc_id", "text_hash", F.coalesce((F.col("n") / F.col("rows")).cast("long"), F.lit(0)).alias("n_words"), "n_distinct")
+    return counted.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
 
 
 def failures(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
@@ -55,8 +55,8 @@ def failures(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     return whole.select(
         "part",
         "n",
-        (F.col("n_words") < 200).alias("A"),
-        (F.col("n_distinct") * 100 < F.col("n_words") * 50).alias("B"),
+        (F.coalesce("n_words", F.lit(0)) < 200).alias("A"),
+        F.coalesce(F.col("n_distinct") * 100 < F.col("n_words") * 50, F.lit(False)).alias("B"),
         "C",
         "D",
         F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)).alias("E"),
@@ -81,7 +81,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows count one by one, and each text of a repeated id is judged alone. An id is good or
     toxic if any of its label rows says 1. Empty ``docs`` give an empty result; other columns are ignored.
 
-    The texts are scanned twice and never shuffled; what is shuffled are distinct words of a document, then
+    The texts are scanned twice, and each different (doc_id, text) is shuffled once; what else is shuffled are
     narrow rows. A group of copies of any size meets its least id in parts, and counts are combined before
     they are shuffled.
     """
