@@ -301,7 +301,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, width: int = 10, longest: in
     what stands between their words; rows more than ``most_share`` of whose words are in windows go. Other
     rows stay as they are, null and wordless texts among them.
     """
-    at = docs.columns.index("text")
+    at, width_of_row = docs.columns.index("text"), len(docs.columns)
     scratch = Scratch()
     found = matches(docs, items, width, most_words).where(F.size("ranges") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_words").alias("_n"), F.col("ranges").alias("_ranges"))
     found = scratch(found.dropDuplicates(["_id", "_hash"]), "spans")
@@ -313,7 +313,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, width: int = 10, longest: in
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(at).to_pylist()
-        for k, ranges in enumerate(batch.column(len(docs.columns)).to_pylist()):
+        for k, ranges in enumerate(batch.column(width_of_row).to_pylist()):
             if ranges:
                 texts[k] = without(texts[k], [(a, b) for a, b in ranges if b - a >= longest])
         columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : -1]]

@@ -16,6 +16,9 @@ COLUMNS = {
     "op8_minhash": {"doc_id", "n_shingles", "component_id", "kept"},
     "op9_fingerprint": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op10_language": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
+    "op12_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
+    "op13_decontaminate": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
 }
 
 
