@@ -132,27 +132,40 @@ GROUP_ROWS = 200_000
 _GROUP_BITS, _BIN_BITS = 32, 24
 
 
-def _round(items: DataFrame, capacity: int, limit: int, fan_in: int, level: int) -> DataFrame:
+def travels(fill: np.ndarray, capacity: int, limit: int, most: int) -> np.ndarray:
+    """Which bins of a packed group go on to later rounds: all up to half full, and ``most`` of each other fill below ``limit``."""
+    order = np.argsort(fill, kind="stable")
+    place = np.empty(len(fill), dtype=np.int64)
+    place[order] = np.arange(len(fill)) - np.searchsorted(fill[order], fill[order])
+    return (fill < limit) & ((2 * fill <= capacity) | (place < most))
+
+
+def rounds_after(groups: int, fan_in: int) -> int:
+    """Rounds of merging ``fan_in`` groups at a time until one is left."""
+    n = 0
+    while groups > 1:
+        groups, n = -(-groups // fan_in), n + 1
+    return n
+
+
+def _round(items: DataFrame, capacity: int, limit: int, most: int, level: int) -> DataFrame:
     """Pack the ``length`` of the rows of each ``group``: all columns and bin, at (offset in the bin), fill, travels.
 
     Bin numbers hold the round, the group and a counter. Bins of equal fill are alike for later rounds,
     and of two bins of a packed group at most one is half empty, as best fit would have joined them.
     So a round over ``fan_in`` groups has at most ``fan_in`` items of up to half the capacity, and takes
-    at most as many of the fuller bins of any one fill: of these only ``fan_in`` of each fill travel, all
-    others are final. What travels is bounded by ``fan_in`` * capacity / 2 bins a group, whatever the input.
+    at most as many of the fuller bins of any one fill. All rounds still to come take ``most``, which is
+    ``fan_in`` for each of them, at most, so only ``most`` of each fill travel and all others are final.
+    What travels is bounded by ``most`` * capacity / 2 bins a group, whatever the input.
     """
 
     def pack(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         lengths, group = rows.column("length").to_numpy(), rows.column("group")[0].as_py()
         bins, offsets, fill = best_fit(lengths, capacity)
-        order = np.argsort(fill, kind="stable")
-        first = np.searchsorted(fill[order], fill[order])
-        place = np.empty(len(fill), dtype=np.int64)
-        place[order] = np.arange(len(fill)) - first
-        travels = (fill < limit) & ((2 * fill <= capacity) | (place < fan_in))
+        goes_on = travels(fill, capacity, limit, most)
         number = (level << (_GROUP_BITS + _BIN_BITS)) + (group << _BIN_BITS) + bins
-        out = [pa.array(number), pa.array(offsets), pa.array(fill[bins]), pa.array(travels[bins])]
+        out = [pa.array(number), pa.array(offsets), pa.array(fill[bins]), pa.array(goes_on[bins])]
         return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in rows.columns), *out], names=[*rows.column_names, "bin", "at", "fill", "travels"])
 
     others = [c for c in items.columns if c != "group"]
@@ -200,14 +213,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     cut = scratch(pieces(docs, tokenizer, capacity, end_id).withColumn("item", F.monotonically_increasing_id()), "pack-pieces")
     short = cut.where(F.col("length") < capacity)
     grouped, groups = _grouped(short, group_rows)
-    limit, level = int(capacity * nearly_full), 1
-    placed = moved = scratch(_round(grouped, capacity, limit, fan_in, level), "pack-round")
+    limit, level, left = int(capacity * nearly_full), 1, rounds_after(groups, fan_in)
+    placed = moved = scratch(_round(grouped, capacity, limit, fan_in * left, level), "pack-round")
     maps = []
     while groups > 1:
         # the row at the start of a bin stands for the bin
         bins = moved.where("at = 0 AND travels").select(F.col("bin").alias("item"), F.col("fill").alias("length"), F.floor(F.col("group") / fan_in).cast("long").alias("group"))
-        groups, level = -(-groups // fan_in), level + 1
-        moved = scratch(_round(bins, capacity, limit, fan_in, level), "pack-round")
+        groups, level, left = -(-groups // fan_in), level + 1, left - 1
+        moved = scratch(_round(bins, capacity, limit, fan_in * left, level), "pack-round")
         maps.append(moved)
     # bins of the last round are final; from there back, a bin that moved on takes its new place
     final = None
