@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Scratch, small
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -78,12 +80,14 @@ def shard_documents(docs: DataFrame, leaves: tuple[Leaf, ...] = balanced(8), row
     without gaps; they follow a hash chunk, then doc_id and text_crc32; equal rows get
     neighbouring slots. An empty table gives an empty result; other columns are ignored.
 
-    Only narrow rows are shuffled, dealt by (shard, chunk) with about ``rows_per_chunk`` rows
-    or the square root of the row count in each, so no shard is one task; the offsets of the
-    chunks come from counts, not from rows.
+    The texts are read once, and only narrow rows are shuffled, dealt by (shard, chunk) with about
+    ``rows_per_chunk`` rows or the square root of the row count in each, so no shard is one task. Equal
+    rows share a chunk; one with more than twice the rows it should have is dealt further by row number.
+    The offsets of the chunks come from counts, not from rows.
     """
     n = docs.count()
-    chunks = max(1, n // max(rows_per_chunk, int(n**0.5)))
+    target = max(rows_per_chunk, int(n**0.5))
+    chunks, scratch = max(1, n // target), Scratch()
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
@@ -93,10 +97,17 @@ def shard_documents(docs: DataFrame, leaves: tuple[Leaf, ...] = balanced(8), row
         F.lit("key").alias("law"),
         descend(key, leaves).cast("int").alias("shard"),
         descend(key, grown(leaves)).cast("int").alias("grown_shard"),
-    ).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(chunks)))
-    counts = rows.groupBy("shard", "chunk").count()
-    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32")
-    numbered = rows.withColumn("place", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), "grown_shard")
+        F.monotonically_increasing_id().alias("row"),
+    )
+    rows = scratch(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(chunks))), "shard-rows")
+    crowded = rows.groupBy(F.col("shard").alias("_shard"), F.col("chunk").alias("_chunk")).count().where(F.col("count") > 2 * target)
+    crowded = scratch(crowded.select("_shard", "_chunk", F.ceil(F.col("count") / target).alias("_parts")), "shard-crowded")
+    dealt = rows.join(small(crowded), (F.col("shard") == F.col("_shard")) & (F.col("chunk") == F.col("_chunk")), "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("_parts")), F.lit(0))).drop("_shard", "_chunk", "_parts")
+    counts = dealt.groupBy("shard", "chunk", "part").count()
+    before = Window.partitionBy("shard").orderBy("chunk", "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = scratch(counts.select("shard", "chunk", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")), "shard-offsets")
+    inside = Window.partitionBy("shard", "chunk", "part").orderBy("doc_id", "text_crc32", "row")
+    numbered = dealt.withColumn("place", F.row_number().over(inside) - 1)
+    out = numbered.join(small(offsets), ["shard", "chunk", "part"]).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), "grown_shard")
+    return scratch.finish(out, "sharded")
