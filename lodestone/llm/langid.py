@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_batch, fold, materialize, texts
+from .common import by_batch, drop_materialized, fold, materialize, texts
 
-#: n-grams are known by a hash of so many values, so tables have one size whatever the texts.
-SLOTS, LONGEST = 1 << 16, 3
-_PLACES = np.random.default_rng(5).integers(0, 1 << 63, LONGEST + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LONGEST = 3
+#: An n-gram is known by its code points, 21 bits each, the first one highest and none as 0: the order of the
+#: numbers is the order of the n-grams by code point.
+_BITS = 21
 
 
 @lru_cache(1)
@@ -30,41 +31,52 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def count(text: str) -> np.ndarray:
-    """How often each n-gram (as a slot) occurs in a text's words, each between two blanks."""
+def count(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a text's words, each between two blanks, in order, and how often each occurs."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letter = _letters()[codes]
     # a run of anything else is one blank
     kept = letter.copy()
     kept[0] = True
     kept[1:] |= letter[:-1]
-    codes, letter = np.where(letter, codes, 32)[kept].astype(np.uint64), letter[kept]
-    total = np.zeros(SLOTS, dtype=np.int64)
-    h = np.zeros(len(codes), dtype=np.uint64)
-    for n in range(1, LONGEST + 1):
-        if len(codes) < n:
-            break
-        h = h[: len(codes) - n + 1] + codes[n - 1 :] * _PLACES[n]
+    codes, letter = np.where(letter, codes, 32)[kept].astype(np.int64), letter[kept]
+    # code points as ranks among those of the text, from 1, so that three of them fit a short table
+    used = np.flatnonzero(np.bincount(codes))
+    rank = np.zeros(used[-1] + 1, dtype=np.int64)
+    rank[used] = np.arange(1, len(used) + 1)
+    rank, base = rank[codes], len(used) + 1
+    grams = []
+    for n in range(1, min(LONGEST, len(codes)) + 1):
+        span = len(codes) - n + 1
         # blanks only at the ends, and a letter somewhere
-        if n < 3:
-            good = letter[: len(h)] | letter[n - 1 :]
-        else:
-            good = np.logical_and.reduce([letter[k : len(h) + k] for k in range(1, n - 1)])
-        mixed = h[good]
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        total += np.bincount((mixed >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
-    return total
-
-
-def top(total: np.ndarray, length: int) -> np.ndarray:
-    """The ``length`` most frequent n-grams in order; ties by slot."""
-    slots = np.flatnonzero(total)
-    return ranking(slots, total[slots], length)
-
-
-def ranking(slots: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
-    """The ``length`` most frequent n-grams in order; ties by slot."""
-    return slots[np.argsort(-counts, kind="stable")[:length]]
+        good = letter[:span] | letter[n - 1 :] if n < 3 else np.logical_and.reduce([letter[k : span + k] for k in range(1, n - 1)])
+        gram = np.zeros(span, dtype=np.int64)
+        for k in range(LONGEST):
+            gram = gram * base + (rank[k : span + k] if k < n else 0)
+        grams.append(gram[good])
+    flat = np.concatenate(grams)
+    if base**LONGEST <= max(1 << 12, 4 * len(flat)):
+        table = np.bincount(flat, minlength=1)
+        short = np.flatnonzero(table)
+        times = table[short]
+    else:
+        short, times = np.unique(flat, return_counts=True)
+    points = np.concatenate([[0], used])
+    whole = np.zeros(len(short), dtype=np.int64)
+    for k in range(LONGEST):
+        whole = (whole << _BITS) | points[short // base ** (LONGEST - 1 - k) % base]
+    return whole, times
+
+
+def summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several texts as those of one."""
+    grams, where = np.unique(np.concatenate([g for g, _ in counts]), return_inverse=True)
+    return grams, np.bincount(where, np.concatenate([n for _, n in counts]), len(grams)).astype(np.int64)
+
+
+def ranking(grams: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` most frequent n-grams in order; ties by code point."""
+    return grams[np.argsort(-counts, kind="stable")[:length]]
 
 
 @dataclass
@@ -76,12 +88,11 @@ class Profiles:
     length: int
 
     def __post_init__(self) -> None:
-        listed = np.unique(np.concatenate(self.ranked)) if self.ranked else np.zeros(0, dtype=np.int64)
-        self.column = np.full(SLOTS, len(listed), dtype=np.int32)
-        self.column[listed] = np.arange(len(listed))
-        self.place = np.full((len(self.langs), len(listed) + 1), -1, dtype=np.int64)
+        self.listed = np.unique(np.concatenate(self.ranked)) if self.ranked else np.zeros(0, dtype=np.int64)
+        # one place more than is listed stands for all other n-grams
+        self.place = np.full((len(self.langs), len(self.listed) + 1), -1, dtype=np.int64)
         for k, r in enumerate(self.ranked):
-            self.place[k, self.column[r]] = np.arange(len(r))
+            self.place[k, np.searchsorted(self.listed, r)] = np.arange(len(r))
 
     def __getstate__(self) -> dict:
         return {"langs": self.langs, "ranked": self.ranked, "length": self.length}
@@ -92,10 +103,12 @@ class Profiles:
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language and 1 - distance / largest distance; ``und`` and 0 without letters or profiles."""
-        mine = top(count(text), self.length) if self.langs else ()
+        mine = ranking(*count(text), self.length) if self.langs else ()
         if not len(mine):
             return "und", 0.0
-        at = self.place[:, self.column[mine]]
+        at = np.searchsorted(self.listed, mine)
+        at[self.listed[np.minimum(at, len(self.listed) - 1)] != mine] = len(self.listed)
+        at = self.place[:, at]
         far = np.where(at < 0, self.length, np.abs(at - np.arange(len(mine)))).sum(1)
         best = int(far.argmin())
         return self.langs[best], float(max(0.0, 1 - far[best] / (self.length * len(mine))))
@@ -115,20 +128,23 @@ def fit(docs: DataFrame, folds: int = 3, held: int = 1, per_lang: int = 300, len
     cuts = materialize(rows.groupBy(F.col("lang").alias("cut_lang")).agg(F.count("*").alias("n")).select("cut_lang", cut.alias("cut")), "language-cuts")
     kept = rows.join(cuts, F.col("lang") == F.col("cut_lang")).where(F.xxhash64("doc_id") <= F.col("cut"))
 
-    def run(batches):
-        totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for text, lang in zip(texts(batch), batch.column(batch.schema.get_field_index("lang")).to_pylist(), strict=True):
-                totals[lang] = totals.get(lang, 0) + count(text)
-        for lang, total in totals.items():
-            slots = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots), pa.array(total[slots])], names=["lang", "slot", "n"])
-
-    counted = kept.select("text", "lang").mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "slot")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found: dict[str, list] = {}
+        for text, lang in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
+            if len((counted := count(text))[0]):
+                found.setdefault(lang, []).append(counted)
+        out = [(lang, *summed(counts)) for lang, counts in found.items()]
+        if not out:
+            return None
+        columns = [np.repeat([lang for lang, _, _ in out], [len(g) for _, g, _ in out]), np.concatenate([g for _, g, _ in out]), np.concatenate([n for _, _, n in out])]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *map(pa.array, columns[1:])], names=["lang", "gram", "n"])
+
+    counted = kept.select("text", "lang").mapInArrow(by_batch(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     ranked = counted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= length).toPandas().sort_values(["lang", "rank"])
+    drop_materialized(cuts)
     langs = sorted(ranked["lang"].unique().tolist())
-    return Profiles(langs, [ranked.loc[ranked["lang"] == x, "slot"].to_numpy(dtype=np.int64) for x in langs], length)
+    return Profiles(langs, [ranked.loc[ranked["lang"] == x, "gram"].to_numpy(dtype=np.int64) for x in langs], length)
 
 
 def identify(docs: DataFrame, profiles: Profiles, folds: int = 3, held: int = 1) -> DataFrame:

@@ -173,20 +173,20 @@ def test_shards(spark, tables, odd):
 
 def plain_ngrams(text):
     """n-grams of 1 to 3 characters of the words (runs of letters), each between two blanks, but the blank alone."""
-    places, found = [int(p) for p in langid._PLACES], Counter()
+    found = Counter()
     for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
         padded = f" {word} "
-        for n in (1, 2, 3):
-            for i in range(len(padded) - n + 1):
-                gram = padded[i : i + n]
-                if gram.strip():
-                    h = sum(ord(c) * places[k + 1] for k, c in enumerate(gram)) & MASK
-                    found[((h ^ (h >> 32)) * 0xD6E8FEB86659FD93 & MASK) >> 48] += 1
+        found.update(gram for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (gram := padded[i : i + n]).strip())
     return found
 
 
 def plain_ranking(found, length):
-    return [slot for slot, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:length]]
+    return [gram for gram, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:length]]
+
+
+def spelled(gram):
+    """The n-gram that a number of the operator stands for."""
+    return "".join(chr(c) for c in (gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF) if c)
 
 
 def plain_language(text, profiles, length):
@@ -196,8 +196,8 @@ def plain_language(text, profiles, length):
         return "und", 0.0
     far = {}
     for lang in sorted(profiles):
-        place = {slot: k for k, slot in enumerate(profiles[lang])}
-        far[lang] = sum(abs(place[slot] - k) if slot in place else length for k, slot in enumerate(mine))
+        place = {gram: k for k, gram in enumerate(profiles[lang])}
+        far[lang] = sum(abs(place[gram] - k) if gram in place else length for k, gram in enumerate(mine))
     best = min(far, key=lambda x: (far[x], x))
     return best, max(0.0, 1 - far[best] / (length * len(mine)))
 
@@ -210,7 +210,7 @@ def test_languages(spark, tables):
             found.setdefault(lang, Counter()).update(plain_ngrams(text or ""))
     profiles = {lang: plain_ranking(c, 300) for lang, c in found.items()}
     fitted = langid.fit(docs)
-    assert fitted.langs == sorted(profiles) and [r.tolist() for r in fitted.ranked] == [profiles[x] for x in fitted.langs]
+    assert fitted.langs == sorted(profiles) and [[spelled(g) for g in r.tolist()] for r in fitted.ranked] == [profiles[x] for x in fitted.langs]
     got = {r["doc_id"]: r for r in queries.op10_language(spark, SMALL).collect()}
     assert len(got) == len(rows)
     for i, text, _ in rows:
