@@ -133,12 +133,27 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int) -> DataFrame:
     """(doc_id, text, y) of at most ``limit`` labelled training rows, chosen by a hash of the id.
 
-    Null labels and ids are left out; of several labels of an id the largest counts. The chosen ids are
-    at most ``limit`` rows, which bounds what is broadcast and what reaches the driver.
+    Null labels and ids are left out; of several labels of an id the largest counts, of several texts
+    that whose hash is least. So there is one row an id, and at most ``limit`` rows, which bounds what is
+    broadcast and what reaches the driver.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(train).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"), F.first("y").alias("y"))
+    return one.select("doc_id", "least.text", "y")
+
+
+def within_bytes(sample: DataFrame, most: int) -> DataFrame:
+    """Rows (doc_id, text, y) in the order of a hash of the id, as long as their texts have at most ``most`` bytes together.
+
+    The first row always stays. ``sample`` should be a written table of few rows.
+    """
+    sizes = sample.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    if int(sizes["n"].sum()) <= most:
+        return sample
+    upto = max(1, int((sizes["n"].cumsum() <= most).sum()))
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame([(i,) for i in sizes["doc_id"][:upto].tolist()], sample.select("doc_id").schema)), "doc_id")
 
 
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -152,22 +167,34 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = below
 
 
-#: Parts into which the rows of a group that is more than one tile are dealt to meet the group's number of tiles.
-SALTS = 64
+#: Groups that are listed once for each part at most; smaller groups have less than this share of all rows.
+LISTED = 1024
+
+
+def _parts(sizes: DataFrame, many: int) -> tuple[int, int]:
+    """How many rows make a group large, and into how many parts the rows of large groups are dealt.
+
+    A part of the largest group has about ``many`` rows, or a LISTED-th of all rows where that is more: so
+    there are at most LISTED large groups and LISTED parts, whatever the sizes are.
+    """
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    large = max(many, -(-(total or 0) // LISTED))
+    return large, max(1, -(-(most or 0) // large))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, unit: str, many: int = 1000) -> DataFrame:
     """``rows`` with the columns of their group: ``groups`` has one row for each ``key`` and its size ``_n``.
 
-    Groups of more than ``many`` rows are listed once for each of SALTS parts and met first, by key and
-    part, so no task gets all rows of a large group; the other rows then meet their groups by key.
+    Large groups are listed once for each of several parts, as many as their sizes ask for, and met first, by
+    key and part, so no task gets all rows of a large group; the other rows then meet their groups by key.
     ``groups`` is read several times and should be a written table.
     """
+    many, parts = _parts(groups, many)
     large, values = groups.where(F.col("_n") > many), [c for c in groups.columns if c not in (key, "_n")]
     if large.isEmpty():
         return rows.join(groups.drop("_n"), key).select(*rows.columns, *values)
-    spread = large.select(F.col(key).alias("_key"), *values, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(unit, F.lit("salt")), F.lit(SALTS)).cast("int"))
+    spread = large.select(F.col(key).alias("_key"), *values, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(unit, F.lit("salt")), F.lit(parts)).cast("int"))
     met = salted.join(spread, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part")), "left")
     rest = met.where("_key IS NULL").select(*rows.columns).join(groups.where(F.col("_n") <= many).drop("_n"), key)
     return met.where("_key IS NOT NULL").select(*rows.columns, *values).unionByName(rest.select(*rows.columns, *values))
@@ -181,11 +208,13 @@ def in_tiles(rows: DataFrame, keys: list[str], unit: str, tile: int) -> DataFram
     or, if they share a tile, in that tile with itself. The rows come sorted by keys, i and j.
 
     Only groups of more than one tile have to be known, and each of these is listed once for each of
-    SALTS parts, so no task gets all rows of a large group, neither to look it up nor to copy them.
+    several parts, as many as their sizes ask for, so no task gets all rows of a large group, neither to
+    look it up nor to copy them. ``rows`` are counted first and should be a written table.
     """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > tile)
-    large = counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(unit, F.lit("salt")), F.lit(SALTS)).cast("int"))
+    _, parts = _parts(counts, tile)
+    large = counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(unit, F.lit("salt")), F.lit(parts)).cast("int"))
     same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_of_{k}") for k in keys]) & (F.col("_salt") == F.col("_part"))
     tiles = F.coalesce("_tiles", F.lit(1))
     dealt = salted.join(large, same, "left").withColumns({"_tiles": tiles, "t": F.pmod(F.xxhash64(unit), tiles).cast("int")})

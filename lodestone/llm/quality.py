@@ -142,7 +142,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, b
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_train: int = 20_000) -> AdditiveModel:
-    """Train on the features of at most ``max_train`` labelled documents outside the held-out fold."""
+    """Train on the features of at most ``max_train`` labelled documents outside the held-out fold, one text an id."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(matrix(texts(batch))), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])

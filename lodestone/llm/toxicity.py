@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_batch, fold, labelled_sample, texts
+from .common import by_batch, drop_materialized, fold, labelled_sample, materialize, texts, within_bytes
 
 EDGES = ".,;:!?\"'()[]{}<>|#%&*-_=+/\\~^$@`"
 SHORTEST, LONGEST = 3, 5
@@ -250,10 +250,12 @@ def _best(ids: np.ndarray, value: np.ndarray, window: int) -> np.ndarray:
     return ids[best : best + length]
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_train: int = 6000) -> SubwordModel:
-    """Train on at most ``max_train`` labelled documents outside the held-out fold."""
-    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", folds) != held, max_train).toPandas().sort_values("doc_id")
-    return train([t or "" for t in sample["text"]], sample["y"].to_numpy(dtype=np.int64))
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_train: int = 6000, max_bytes: int = 1 << 26) -> SubwordModel:
+    """Train on at most ``max_train`` labelled documents outside the held-out fold, of ``max_bytes`` together, one text an id."""
+    sample = materialize(labelled_sample(docs, labels, "toxic", fold("doc_id", folds) != held, max_train), "toxicity-sample")
+    rows = within_bytes(sample, max_bytes).toPandas().sort_values("doc_id")
+    drop_materialized(sample)
+    return train([t or "" for t in rows["text"]], rows["y"].to_numpy(dtype=np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: SubwordModel, folds: int = 5, held: int = 0) -> DataFrame:
