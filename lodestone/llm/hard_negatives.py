@@ -24,16 +24,17 @@ from .common import Scratch, by_batch, by_group, join_groups
 
 #: Rows and bytes of the sample that the top trees are fitted to.
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 1 << 25
-#: Sampled rows in a cell of the candidates' tree; rows of a piece and of a group of anchors, and of their leaves.
+#: Sampled rows in a cell of the candidates' tree at least; rows of a piece and of a group of anchors, and of their leaves.
 CELL, PIECE, GROUP, LEAF, ANCHOR_LEAF = 64, 2048, 128, 32, 8
 #: Cells whose first pieces tell how good a score must be, and groups that meet a piece in one task.
 SEEDS, TOGETHER = 4, 64
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 #: What is sought in a group: its window number, the anchor's place, the scores allowed, the k-th best so far, the positive.
-SOUGHT = np.dtype([("no", "<i4"), ("anchor", "<i4"), ("low", "<f8"), ("high", "<f8"), ("best", "<f8"), ("positive_id", "<i8"), ("positive_score", "<i8")])
+SOUGHT = np.dtype([("no", "<i4"), ("anchor", "<i4"), ("low", "<i8"), ("high", "<i8"), ("best", "<i8"), ("positive_id", "<i8"), ("positive_score", "<i8")])
 
 
 def halves(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
-    """A direction, a cut and which rows lie below it: about half of them; None if all rows are equal."""
+    """A direction, a cut and which rows lie below it: about half of them; None if nearly all rows are equal along it."""
     apart = x - x.mean(axis=0)
     far = apart[int((apart**2).sum(axis=1).argmax())]
     for _ in range(3):
@@ -49,7 +50,7 @@ def halves(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
     if not below.any():
         below = along <= cut
         cut = float(np.nextafter(cut, np.inf))
-    return None if below.all() else (way, cut, below)
+    return (way, cut, below) if len(x) <= 64 * min(below.sum(), (~below).sum()) else None
 
 
 @dataclass
@@ -75,21 +76,21 @@ class TopTree:
 def fit_tree(x: np.ndarray, rows: int) -> TopTree:
     """A tree over sampled rows whose cells have at most ``rows`` of them, unless these are equal."""
     ways, cuts, children, centres = [], [], [], []
-
-    def grow(part: np.ndarray) -> int:
+    # parts to be cut, and which side of which cut they are
+    parts: list[tuple[np.ndarray, list[int], int]] = [(x, [0], 0)]
+    while parts:
+        part, of, side = parts.pop()
         if len(part) > rows and (cut := halves(part)):
-            at = len(cuts)
+            of[side] = len(cuts)
             ways.append(cut[0])
             cuts.append(cut[1])
-            children.append([0, 0])
-            children[at] = [grow(part[cut[2]]), grow(part[~cut[2]])]
-            return at
+            children.append(own := [0, 0])
+            parts += [(part[~cut[2]], own, 1), (part[cut[2]], own, 0)]
+            continue
         centres.append(part.mean(axis=0))
-        return -len(centres)
-
-    grow(x)
+        of[side] = -len(centres)
     kids = np.array(children, dtype=np.int64).reshape(-1, 2)
-    return TopTree(np.array(ways).reshape(-1, x.shape[1]), np.array(cuts), kids[:, 0], kids[:, 1], np.array(centres))
+    return TopTree(np.array(ways).reshape(len(cuts), x.shape[1]), np.array(cuts), kids[:, 0], kids[:, 1], np.array(centres))
 
 
 def _leaves(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +113,8 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.ids, self.labels, self.nodes, self.starts = (np.frombuffer(row[c], dtype=np.int64) for c in ("ids", "labels", "nodes", "starts"))
-        self.x = np.frombuffer(row["vectors"], dtype=np.float64 if row["wide"] else np.float32).reshape(len(self.ids), -1)
+        self.x = np.frombuffer(row["vectors"], dtype=np.float64 if row["wide"] else np.float32)
+        self.x = self.x.reshape(len(self.ids), len(self.x) // len(self.ids))
         self.sought = np.frombuffer(row["sought"] or b"", dtype=SOUGHT)
         rows = self.x.astype(np.float64)
         sizes = np.diff(self.starts)
@@ -174,7 +176,7 @@ def _scores(x: np.ndarray, y: np.ndarray, largest: float) -> np.ndarray:
     if largest < 1 << 53:
         return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
     exact = np.array([[int(v) for v in r] for r in x.tolist()], dtype=object).reshape(x.shape) @ np.array([[int(v) for v in r] for r in y.tolist()], dtype=object).reshape(y.shape).T
-    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    return np.clip(exact, _LEAST, _MOST).astype(np.int64)
 
 
 def search(group: Block, piece: Block, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +203,7 @@ def search(group: Block, piece: Block, k: int, same: bool) -> tuple[np.ndarray,
         mine = sought["anchor"][own] - anchors[0]
         good = allowed[mine] & (score[mine] <= sought["high"][own, None]) & (score[mine] >= least[own, None])
         if len(rows) > k:
-            held = np.where(good, score[mine], np.iinfo(np.int64).min)
+            held = np.where(good, score[mine], _LEAST)
             good &= held >= np.partition(held, len(rows) - k, axis=1)[:, len(rows) - k, None]
         w, c = np.nonzero(good)
         found.append((own[w], rows[c], score[mine[w], c]))
@@ -380,7 +382,9 @@ def mine_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
 
 def _mine(rows: DataFrame, dim: int, positives: int, negatives: int, low: int, high: int, scratch: Scratch) -> DataFrame:
     tile = max(64, min(PIECE, (1 << 20) // (4 * max(dim, 1))))
-    tree = fit_tree(_sample(rows, dim), CELL)
+    sample = _sample(rows, dim)
+    # a cell holds a piece at least, since every piece answers for itself
+    tree = fit_tree(sample, max(CELL, tile * len(sample) // max(rows.count(), 1)))
     pieces = scratch(_blocks(_celled(rows, dim, tree, tile, scratch), dim, LEAF), "pieces")
     groups = _blocks(_celled(rows.where("anchor"), dim, fit_tree(_sample(rows.where("anchor"), dim), GROUP), GROUP, scratch), dim, ANCHOR_LEAF)
 
@@ -398,13 +402,13 @@ def _mine(rows: DataFrame, dim: int, positives: int, negatives: int, low: int, h
     def all_of(_: np.ndarray, nodes: np.ndarray, entries: list) -> np.ndarray:
         out = np.zeros(len(nodes), dtype=SOUGHT)
         out["no"] = out["anchor"] = np.arange(len(nodes))
-        out["low"], out["high"], out["best"] = -np.inf, np.inf, -np.inf
+        out["low"], out["high"], out["best"] = _LEAST, _MOST, _LEAST
         return out
 
     def between(_: np.ndarray, nodes: np.ndarray, entries: list) -> np.ndarray:
         out = np.zeros(len(entries), dtype=SOUGHT)
         for k, e in enumerate(sorted(entries, key=lambda e: (e["no"], e["rank"]))):
-            out[k] = (k, e["no"], -(-low * e["score"] // 100), high * e["score"] // 100, -np.inf, e["id"], e["score"])
+            out[k] = (k, e["no"], max(_LEAST, -(-low * e["score"] // 100)), high * e["score"] // 100, _LEAST, e["id"], e["score"])
         return out[out["low"] <= out["high"]]
 
     none = rows.sparkSession.createDataFrame([], "group long, entry long")
