@@ -200,6 +200,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, unit: str, many: i
     return met.where("_key IS NOT NULL").select(*rows.columns, *values).unionByName(rest.select(*rows.columns, *values))
 
 
+def join_partners(pairs: DataFrame, known: DataFrame, key: str, unit: str, scratch: Scratch, how: str = "inner") -> DataFrame:
+    """``pairs`` with what is ``known`` of their partner ``key``, which very many pairs may share; see :func:`join_groups`."""
+    sizes = pairs.groupBy(key).agg(F.count("*").alias("_n"))
+    return join_groups(pairs, scratch(sizes.join(known, key, how), "partners"), key, unit)
+
+
 def in_tiles(rows: DataFrame, keys: list[str], unit: str, tile: int) -> DataFrame:
     """``rows`` once for each pair of tiles (i <= j) of its group that its own tile ``t`` is part of.
 

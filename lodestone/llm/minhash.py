@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, by_batch, by_group, in_tiles, join_groups, materialize, merge, small
+from .common import Scratch, by_batch, by_group, in_tiles, join_groups, join_partners, materialize, merge, small
 from .components import components, named
 
 BANDS, ROWS, SKETCH_WORDS = 30, 5, 8
@@ -156,12 +156,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(small(wanted.select("id", "set_digest", "node")), ["id", "set_digest"]).dropDuplicates(["node"]).select("node", "members")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, pivot: str, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; ``pivot`` is the side that many pairs share."""
+    other = "b" if pivot == "a" else "a"
+    mine, theirs = (sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in (pivot, other))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    met = join_partners(pairs, mine, pivot, other, scratch).join(theirs, other)
+    return met.where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent).select("a", "b")
 
 
 def _likely(sa: Column, sb: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -200,26 +201,27 @@ def _judged(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataF
     nodes = scratch(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
 
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = scratch(rows.join(shared, "bucket").select("bucket", "node", "low", "high"), "minhash-buckets")
+    shared = scratch(rows.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"), "minhash-shared")
+    members = scratch(join_groups(rows, shared, "bucket", "node").select("bucket", "node", "low", "high"), "minhash-buckets")
     facts = scratch(nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), "minhash-facts")
     sets = scratch(_sets(docs, facts, size), "minhash-sets")
 
-    def with_facts(pairs: DataFrame) -> DataFrame:
-        left = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        return pairs.join(left, "a").join(right, "b").where(_likely(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    def with_facts(pairs: DataFrame, pivot: str) -> DataFrame:
+        other = "b" if pivot == "a" else "a"
+        mine, theirs = (facts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in (pivot, other))
+        met = join_partners(pairs, mine, pivot, other, scratch).join(theirs, other)
+        return met.where(_likely(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
     links, tested, labels = [], [], None
-    for pivot in ("low", "high"):
-        pairs = members.select(F.greatest("node", pivot).alias("a"), F.least("node", pivot).alias("b")).where("a <> b").distinct()
+    for end, pivot in (("low", "b"), ("high", "a")):
+        pairs = members.select(F.greatest("node", end).alias("a"), F.least("node", end).alias("b")).where("a <> b").distinct()
         if labels is not None:
-            pairs = _apart(pairs, labels).join(_all(tested), ["a", "b"], "left_anti")
+            pairs = _apart(pairs, labels, pivot, scratch).join(_all(tested), ["a", "b"], "left_anti")
         # one partner each: the others are only needed if this one fails
-        hopeful = with_facts(pairs)
-        one = hopeful.groupBy("a").agg(F.min("b").alias("b")) if pivot == "low" else hopeful.groupBy("b").agg(F.max("a").alias("a")).select("a", "b")
+        hopeful = with_facts(scratch(pairs, "minhash-pairs"), pivot)
+        one = hopeful.groupBy("a").agg(F.min("b").alias("b")) if end == "low" else hopeful.groupBy("b").agg(F.max("a").alias("a")).select("a", "b")
         tested.append(scratch(one, "minhash-tested"))
-        links.append(scratch(_confirm(tested[-1], sets, percent), "minhash-links"))
+        links.append(scratch(_confirm(tested[-1], sets, percent, pivot, scratch), "minhash-links"))
         labels = scratch(components(_all(links), scratch=scratch), "minhash-labels")
 
     # what is still apart: families of documents that sketches hold for similar, then their full sets
@@ -314,12 +316,12 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet in one component."""
-    left = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(left, "a", "left").join(right, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def _apart(pairs: DataFrame, labels: DataFrame, pivot: str, scratch: Scratch) -> DataFrame:
+    """The pairs whose ends are not yet in one component; ``pivot`` is the side that many pairs share."""
+    other = "b" if pivot == "a" else "a"
+    mine, theirs = (labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in (pivot, other))
+    met = join_partners(pairs, mine, pivot, other, scratch, "left").join(theirs, other, "left")
+    return met.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def _with_digest(docs: DataFrame, size: int) -> DataFrame:
