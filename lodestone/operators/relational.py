@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -167,6 +168,48 @@ def as_of(rows: DataFrame, at: str, bounds: DataFrame, starts: str, value: str,
     return filled.where("_row = 1").withColumn(value, F.col("_last")).drop("_t", "_v", "_row", "_last")
 
 
+#: A range reaches over at most so many bins of its level; each level's bins are so many times as wide.
+FANOUT, LEVELS = 64, 7
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], low: str, high: str, other_low: str, other_high: str, width: int = 16, many: int = 100_000) -> DataFrame:
+    """Pairs of rows with equal ``keys`` whose ranges [low, high] and [other_low, other_high] of whole numbers meet.
+
+    All columns of ``left``, then those of ``right`` but the keys. A point is a range of one number; ranges with
+    a null or the wrong way round meet nothing.
+
+    Ranges are cut into bins and pairs are found by equal bins, never by comparing all rows. A long range uses
+    wider bins, so each is listed a bounded number of times; a pair meets on the wider level of the two, in the
+    first bin that both have there, and so once. A bin with more than ``many`` left rows is dealt into parts, each
+    of which meets the right rows.
+    """
+
+    def binned(rows: DataFrame, start: str, stop: str, side: str) -> DataFrame:
+        size = F.col(stop) - F.col(start)
+        level = reduce(lambda rest, n: F.when(size < width * FANOUT**n, F.lit(n)).otherwise(rest), range(LEVELS - 2, -1, -1), F.lit(LEVELS - 1))
+        rows = rows.where(F.col(start) <= F.col(stop)).withColumn(f"_own_{side}", level)
+        rows = rows.withColumn(f"_level_{side}", F.explode(F.sequence(F.col(f"_own_{side}"), F.lit(LEVELS - 1))))
+        span = F.lit(width).cast("double") * F.pow(F.lit(float(FANOUT)), F.col(f"_level_{side}"))
+        first, last = (F.floor(F.col(c) / span) for c in (start, stop))
+        return rows.withColumn(f"_first_{side}", first).withColumn(f"_bin_{side}", F.explode(F.sequence(F.col(f"_first_{side}"), last)))
+
+    mine = binned(left, low, high, "l")
+    theirs = binned(right.withColumnsRenamed({k: f"_key_{k}" for k in keys}), other_low, other_high, "r")
+    place = [*keys, "_level_l", "_bin_l"]
+    crowded = mine.groupBy(*place).agg(F.count("*").alias("_n")).where(F.col("_n") > many).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(place)], F.ceil(F.col("_n") / many).cast("int").alias("_parts"))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_c{i}") for i, c in enumerate(place)])
+    parts = F.coalesce("_parts", F.lit(1))
+    mine = mine.join(crowded, same, "left").withColumn("_part_l", F.pmod(F.xxhash64(*[c for c in left.columns if not left.schema[c].dataType.simpleString().startswith("map")], F.lit("part")), parts))
+    there = [*[f"_key_{k}" for k in keys], "_level_r", "_bin_r"]
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_c{i}") for i, c in enumerate(there)])
+    theirs = theirs.join(crowded, same, "left").withColumn("_part_r", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))))
+    met = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in zip([*place, "_part_l"], [*there, "_part_r"], strict=True)])
+    once = (F.col("_level_l") == F.greatest("_own_l", "_own_r")) & (F.col("_bin_l") == F.greatest("_first_l", "_first_r"))
+    pairs = mine.drop(*[f"_c{i}" for i in range(len(place))], "_parts").join(theirs.drop(*[f"_c{i}" for i in range(len(place))], "_parts"), met)
+    pairs = pairs.where(once & (F.col(low) <= F.col(other_high)) & (F.col(other_low) <= F.col(high)))
+    return pairs.select(*left.columns, *[c for c in right.columns if c not in keys])
+
+
 def full_outer_buckets(left: DataFrame, right: DataFrame, key: str, flag: str) -> DataFrame:
     """Each id by whether both, one or none of two runs solved it."""
     both = left.select(key, F.col(flag).alias("_l")).join(right.select(key, F.col(flag).alias("_r")), key, "full_outer")

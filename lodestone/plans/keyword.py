@@ -1,46 +1,62 @@
-"""The stored keyword index: postings by term, kept up to date and read by the terms of a query.
+"""The stored keyword index: postings by term and block, kept up to date and read by the terms of a query.
 
-Postings are partitioned by a hash of the term and sorted by term inside, so a query reads the
-partitions of its terms and in them the row groups that can hold these. Document frequencies and
+Postings are partitioned by a hash of the term and sorted by term and block inside, so a query reads the
+partitions of its terms and in them the pages that can hold these. A block is a share of the documents,
+alike in length, and the same for all terms. A second table knows of each term and block how many postings
+there are and how much they can score at most. A bag of words is answered by the blocks that promise most:
+what they score is a bound, and only blocks that can reach it are read besides. Document frequencies and
 lengths are those of the whole index, whatever a search is restricted to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import options as O
-from ..operators.tables import TableStore, Transaction
 from ..operators.relational import new_only
-from ..session import shared_path, source_digest
+from ..operators.tables import TableStore, Transaction
+from ..session import discard, shared_path, source_digest, written
 from . import retrieval
 
-_POSTINGS = "term string, id string, dl int, tf long, positions array<int>, slot int"
+_POSTINGS = "term string, id string, dl int, tf long, positions array<int>, block int, slot int"
+_BLOCKS = "term string, block int, n long, impact double, slot int"
+_CONFIG = "slots int, spread int, built long, mean double"
+#: Documents that a block is meant for, terms that a slot is meant for, and how far a corpus may outgrow its layout.
+BLOCK_DOCS, SLOT_TERMS, OUTGROWN = 32, 1_000_000, 4
+#: Classes of length a corpus is taken to have, rows of a page, blocks read for a first bound, ranges of blocks in a filter.
+CLASSES, PAGE_ROWS, FIRST_BLOCKS, MOST_RANGES = 8, 512, 12, 400
+
+
+def layout(n: int, total: int) -> tuple[int, int]:
+    """Slots and parts of a class of length, for so many documents and terms; both grow with the corpus."""
+    slots = 1 << max(3, (total // SLOT_TERMS).bit_length())
+    return slots, max(1, n // (BLOCK_DOCS * CLASSES))
 
 
 class KeywordIndex:
     """Postings of (id, text) rows under one analyzer: words, porter or bag (see ``retrieval.ANALYZERS``)."""
 
-    def __init__(self, spark: SparkSession, folder: str, analyzer: str = "porter", slots: int = 64) -> None:
-        """Open an index; ``slots`` counts the partitions of a new one and grows with the corpus to come."""
-        self.store, self.analyzer = TableStore(spark, folder), analyzer
-        self.slots = self.store.read("config", "slots int").first()["slots"] if self.store.exists("config") else slots
+    def __init__(self, spark: SparkSession, folder: str, analyzer: str = "porter", slots: int | None = None) -> None:
+        """Open an index; ``slots`` fixes the partitions of a new one, which else follow from the corpus."""
+        self.store, self.analyzer, self.wanted = TableStore(spark, folder, PAGE_ROWS), analyzer, slots
 
     @property
     def exists(self) -> bool:
         return self.store.exists("postings")
 
-    def _tables(self, rows: DataFrame) -> dict[str, DataFrame]:
-        index = retrieval.postings(rows, "id", "text", self.analyzer)
-        slot = F.pmod(F.xxhash64("term"), F.lit(self.slots)).cast("int")
-        # a partition is one file where it is small, and a frequent term's postings are many files
-        laid = index.select("term", "id", "dl", "tf", "positions", slot.alias("slot")).hint("rebalance", "slot").sortWithinPartitions("slot", "term", "id")
-        lengths = retrieval.lengths(rows, "id", "text", self.analyzer, empty=True)
-        stats = lengths.agg(F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
-        return {"postings": laid, "docs": lengths.select("id", "dl"), "stats": stats}
+    @property
+    def slots(self) -> int | None:
+        return self._config(self.store.begin())["slots"] if self.exists else self.wanted
+
+    @staticmethod
+    def _config(tx: Transaction) -> Any:
+        return tx.read("config", _CONFIG).first()
 
     @staticmethod
     def usable(docs: DataFrame) -> DataFrame:
@@ -48,27 +64,86 @@ class KeywordIndex:
         rows = docs.select(F.col("id").cast("string").alias("id"), "text")
         return rows.where((F.trim("text") != "") & (F.col("id") != "")).dropDuplicates(["id"])
 
+    @staticmethod
+    def _laid(rows: DataFrame) -> DataFrame:
+        # a partition is one file where it is small, and a frequent term's postings are many files
+        return rows.select("term", "id", "dl", "tf", "positions", "block", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "term", "block", "id")
+
+    def _placed(self, rows: DataFrame, slots: int, spread: int) -> DataFrame:
+        """Postings with their slot, by the term, and block, by the document's length and id."""
+        kind = F.floor(2 * F.log2(F.col("dl") + 1)).cast("int")
+        block = kind * spread + F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
+        return rows.withColumns({"slot": F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int"), "block": block})
+
+    @staticmethod
+    def _blocks(rows: DataFrame, mean: float) -> DataFrame:
+        """How many postings each term has in a block, and their greatest impact in a corpus of this mean length."""
+        known = rows.groupBy("slot", "term", "block").agg(F.count("*").alias("n"), F.max(retrieval.impact(F.col("tf"), F.col("dl"), F.lit(mean))).alias("impact"))
+        return known.select("term", "block", "n", "impact", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "term", "block")
+
+    def _put(self, tx: Transaction, analysed: DataFrame, slots: int, spread: int, mean: float, replace: bool) -> None:
+        put = tx.replace if replace else tx.append
+        put("postings", self._laid(self._placed(retrieval.postings_of(analysed), slots, spread)), ["slot"])
+        put("blocks", self._blocks(tx.staged("postings", _POSTINGS), mean), ["slot"])
+        lengths = analysed.select("id", F.size("terms").alias("dl"))
+        put("docs", lengths)
+        put("stats", lengths.agg(F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")))
+
+    def _analysed(self, rows: DataFrame) -> DataFrame:
+        return written(retrieval._terms(rows, "id", "text", self.analyzer), "terms")
+
     def build(self, docs: DataFrame) -> KeywordIndex:
-        """Replace the index by one of these rows (id, text)."""
-        config = docs.sparkSession.createDataFrame([(self.slots,)], "slots int")
-        self.store.transaction(self._tables(self.usable(docs)) | {"config": config}, {"postings": ["slot"]})
+        """Replace the index by one of these rows (id, text). Texts are analysed once."""
+        analysed = self._analysed(self.usable(docs))
+        n, total = analysed.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+        slots, spread = layout(n, total)
+        slots, mean = self.wanted or slots, max(float(total), 1.0) / max(n, 1)
+
+        def change(tx: Transaction) -> None:
+            tx.replace("config", docs.sparkSession.createDataFrame([(slots, spread, n, mean)], _CONFIG))
+            self._put(tx, analysed, slots, spread, mean, True)
+
+        self.store.update(change)
+        discard(analysed)
         return self
 
     def add(self, docs: DataFrame) -> int:
-        """Index the rows (id, text) that are new; how many there were. Of writers at once each adds what the others have not."""
+        """Index the rows (id, text) that are new; how many there were. Of writers at once each adds what the others have not.
+
+        An index that has outgrown its layout is laid out anew, from its postings, not from texts.
+        """
         if not self.exists:
             self.build(docs)
             return self.store.read("docs").count()
         rows = self.usable(docs)
 
         def change(tx: Transaction) -> int:
-            fresh = new_only(rows, tx.read("docs", "id string, dl int"), "id").persist()
-            count = fresh.count()
-            for name, table in self._tables(fresh).items() if count else ():
-                tx.append(name, table, ["slot"] if name == "postings" else ())
-            fresh.unpersist()
+            config, known = self._config(tx), tx.read("docs", "id string, dl int")
+            analysed = self._analysed(new_only(rows, known, "id"))
+            if count := analysed.count():
+                self._put(tx, analysed, config["slots"], config["spread"], config["mean"], False)
+            discard(analysed)
             return count
 
+        count = self.store.update(change)
+        self.grow()
+        return count
+
+    def grow(self) -> bool:
+        """Lay the postings out anew if there are OUTGROWN times as many documents as they were laid out for."""
+
+        def change(tx: Transaction) -> bool:
+            config = self._config(tx)
+            n, total = tx.read("stats", "n long, total long").agg(F.sum("n"), F.sum("total")).first()
+            if (n or 0) <= OUTGROWN * max(config["built"], 1):
+                return False
+            slots, spread = layout(n, total)
+            slots, mean = max(slots, config["slots"]), max(float(total), 1.0) / n
+            tx.replace("config", self.store.spark.createDataFrame([(slots, spread, n, mean)], _CONFIG))
+            tx.replace("postings", self._laid(self._placed(tx.read("postings", _POSTINGS).drop("slot", "block"), slots, spread)), ["slot"])
+            tx.replace("blocks", self._blocks(tx.staged("postings", _POSTINGS), mean), ["slot"])
+            return True
+
         return self.store.update(change)
 
     def remove(self, ids: DataFrame) -> None:
@@ -85,10 +160,12 @@ class KeywordIndex:
         self.store.update(change)
 
     def compact(self) -> int:
-        """Rewrite the files that hold postings of deleted ids; how many these were."""
-        laid = lambda rows: rows.select("term", "id", "dl", "tf", "positions", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "term", "id")
+        """Rewrite the files that hold postings of deleted ids, and what is known of blocks; how many files these were."""
         self.store.compact("docs")
-        return self.store.compact("postings", laid)
+        count = self.store.compact("postings", self._laid)
+        if count:
+            self.store.update(lambda tx: tx.replace("blocks", self._blocks(tx.read("postings", _POSTINGS), self._config(tx)["mean"]), ["slot"]))
+        return count
 
     def count(self) -> int:
         return self.store.read("docs", "id string, dl int").count() if self.exists else 0
@@ -96,19 +173,16 @@ class KeywordIndex:
     def has(self, key: str) -> bool:
         return self.exists and not self.lookup([key]).isEmpty()
 
+    def _of(self, tx: Transaction, name: str, terms: Sequence[str], schema: str) -> DataFrame:
+        """A table's rows of some terms: a filter on partitions and on terms."""
+        slots = self._config(tx)["slots"]
+        # Spark's xxhash64 of a string
+        signed = [(h ^ 1 << 63) - (1 << 63) for h in (xxhash.xxh64_intdigest(t.encode(), 42) for t in terms)]
+        return tx.read(name, schema).where(F.col("slot").isin(sorted({h % slots for h in signed})) & F.col("term").isin(list(terms)))
+
     def postings(self, terms: Sequence[str]) -> DataFrame:
-        """(term, id, dl, tf, positions) of the terms: a filter on partitions and on terms."""
-        wanted = list(dict.fromkeys(terms))
-        slots = sorted({r[0] for r in self._slots_of(wanted)})
-        rows = self.store.read("postings", _POSTINGS)
-        return rows.where(F.col("slot").isin(slots) & F.col("term").isin(wanted)).select("term", "id", "dl", "tf", "positions")
-
-    def _slots_of(self, terms: list[str]) -> list[tuple[int]]:
-        if not terms:
-            return []
-        spark = self.store.spark
-        hashed = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.slots)).cast("int") for t in terms]))
-        return [tuple(r) for r in spark.range(1).select(hashed.alias("slot")).collect()]
+        """(term, id, dl, tf, positions) of the terms."""
+        return self._of(self.store.begin(), "postings", list(dict.fromkeys(terms)), _POSTINGS).select("term", "id", "dl", "tf", "positions")
 
     def stats(self) -> DataFrame:
         """One row: n, the number of documents with terms, and mean, their average length."""
@@ -117,8 +191,54 @@ class KeywordIndex:
     def find(self, query: str, k: int = retrieval.TOP, allowed: DataFrame | None = None, phrase: bool = True) -> DataFrame:
         """(id, score) of the best documents for a phrase, or for a bag of words; ``allowed`` (id) restricts, also if empty."""
         terms = retrieval.ANALYZERS[self.analyzer](query)
-        search = retrieval.bm25_phrase if phrase else retrieval.bm25_terms
-        return search(self.postings(terms), terms, k, "id", stats=self.stats(), allowed=allowed)
+        if not phrase:
+            return self.best(terms, k, allowed)
+        return retrieval.bm25_phrase(self._sharing(terms), terms, k, "id", stats=self.stats(), allowed=allowed)
+
+    def _sharing(self, terms: list[str]) -> DataFrame:
+        """The postings of the terms in the blocks that have all of them."""
+        tx, wanted = self.store.begin(), list(dict.fromkeys(terms))
+        hits = self._of(tx, "postings", wanted, _POSTINGS)
+        if len(wanted) > 1:
+            blocks = self._of(tx, "blocks", wanted, _BLOCKS).groupBy("block").agg(F.countDistinct("term").alias("terms"))
+            hits = hits.join(blocks.where(F.col("terms") == len(wanted)), "block", "left_semi")
+        return hits
+
+    def best(self, terms: Sequence[str], k: int = retrieval.TOP, allowed: DataFrame | None = None) -> DataFrame:
+        """The best documents for a bag of terms, the same as ``retrieval.bm25_terms`` finds, from few blocks.
+
+        While deleted postings are still in the files, all postings of the terms are read, since only they
+        tell how many documents a term is left in.
+        """
+        tx, wanted, k = self.store.begin(), list(dict.fromkeys(terms)), retrieval._top(k)
+        hits = self._of(tx, "postings", wanted, _POSTINGS)
+        if not wanted or tx.base["tables"]["postings"]["gone"]:
+            return retrieval.bm25_terms(hits, wanted, k, stats=self.stats(), allowed=allowed)
+        blocks = self._of(tx, "blocks", wanted, _BLOCKS)
+        # one row a term, and one of the corpus
+        sums = blocks.groupBy("term").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("total"))
+        sums = sums.unionByName(tx.read("stats", "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumn("term", F.lit(None).cast("string")))
+        known = {r["term"]: r for r in sums.collect()}
+        n, mean = known[None]["n"] or 0, (known[None]["total"] or 0) / max(known[None]["n"] or 0, 1)
+        often = {t: known[t]["n"] for t in wanted if t in known}
+        if not often:
+            return hits.select("id", F.lit(0.0).alias("score")).limit(0)
+        scored = lambda rows: retrieval._allowed(retrieval.bm25_known(rows, often, n, mean), "id", allowed)
+        df = reduce(lambda rest, t: F.when(F.col("term") == t, F.lit(often[t])).otherwise(rest), often, F.lit(0))
+        # an impact grows with the mean length, and no faster; rounded up, so that no rounding leaves a block out
+        most = F.sum(retrieval.idf(df, F.lit(n)) * F.col("impact")) * (max(1.0, mean / self._config(tx)["mean"]) * (1 + 1e-9))
+        promise = blocks.groupBy("block").agg(most.alias("most"))
+        # of one term, the k best are in the k blocks that promise most
+        first = promise.orderBy(F.desc("most"), "block").limit(max(FIRST_BLOCKS, k)).collect()
+        got = scored(hits.where(in_blocks([r["block"] for r in first]))).orderBy(F.desc("score"), "id").limit(k).collect()
+        if len(first) < FIRST_BLOCKS:
+            bound = None
+        else:
+            bound = got[-1]["score"] if len(got) == k else 0.0
+        able = promise if bound is None else promise.where(F.col("most") >= bound)
+        few = able.select("block").limit(MOST_RANGES + 1).collect()
+        chosen = hits.where(in_blocks([r["block"] for r in few])) if len(few) <= MOST_RANGES else hits.join(able, "block", "left_semi")
+        return scored(chosen).orderBy(F.desc("score"), "id").limit(k)
 
     def lookup(self, ids: Sequence[str]) -> DataFrame:
         """Which of these ids are indexed, with score 0: what a search without a query finds."""
@@ -126,6 +246,17 @@ class KeywordIndex:
         return rows.where(F.col("id").isin([str(i) for i in ids])).select("id", F.lit(0.0).alias("score"))
 
 
+def in_blocks(blocks: Sequence[int]) -> Column:
+    """A block is one of these: ranges, each of which a file's page statistics can rule out."""
+    ranges: list[list[int]] = []
+    for b in sorted(blocks):
+        if ranges and b == ranges[-1][1] + 1:
+            ranges[-1][1] = b
+        else:
+            ranges.append([b, b])
+    return reduce(lambda x, r: x | F.col("block").between(*r), ranges, F.lit(False))
+
+
 def find(index: KeywordIndex, q: O.Query) -> DataFrame:
     """(id, score) of what a query's options ask an index: its text and allow-list, else the ids of its conditions with score 0."""
     if not q.params.get("query"):
@@ -144,7 +275,7 @@ def find_vectors(vectors: DataFrame, q: O.Query, key: str = "id") -> DataFrame:
     return retrieval.exact_topk(rows, q.params["embedding"], retrieval._top(q.count), key, allowed=q.params.get("allowed"), least=q.params.get("least"), skip=q.skip)
 
 
-def shared_index(documents: DataFrame, key: str, text: str, analyzer: str, slots: int = 64, rebuild: bool = False) -> KeywordIndex:
+def shared_index(documents: DataFrame, key: str, text: str, analyzer: str, slots: int | None = None, rebuild: bool = False) -> KeywordIndex:
     """The index of a table that is stored in files, in the shared folder; built once for the files as they are."""
     made_by = source_digest(__name__, *(f"lodestone.{m}" for m in ("plans.retrieval", "functions.stemming", "functions.porter2")))
     where = shared_path(documents, f"keywords {made_by} {key} {text} {analyzer} {slots}")

@@ -25,7 +25,7 @@ from ..sources import git
 from ..sources.files import jsonapi_rows
 from ..streaming import queue
 from . import endpoints as N
-from . import sync
+from . import retrieval, sync
 from .catalogue import ORACLES, QUERIES
 
 _STATE = "CASE event_type WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'skipped' WHEN 'error' THEN 'failed' WHEN 'signup' THEN CASE WHEN event_id % 7 = 0 THEN 'started' ELSE 'completed' END ELSE 'completed' END"
@@ -208,11 +208,22 @@ def ep_filter_repositories(c):
     return N.candidates(c, O.Filters(languages=("de", "fr"), subtypes=("chunk",), source_repos=(3, 7, 11, 20, 60))).select("id")
 
 
-@endpoint(f"{_IDS} created_at >= TIMESTAMP '2024-02-01' AND id IN (SELECT a.enrichment_id FROM enrichment_associations a JOIN git_commits k ON k.commit_sha = a.entity_id WHERE a.entity_type = 'git_commits' AND k.author IN ('1-URGENT')) AND id IN (SELECT a.enrichment_id FROM enrichment_associations a JOIN git_commit_files f ON f.id = try_cast(a.entity_id AS BIGINT) WHERE a.entity_type = 'git_commit_files' AND regexp_matches(f.path, '^src/[^/]*/f[^/]*\\.py$'))")
+@endpoint(r"""WITH a AS MATERIALIZED (SELECT enrichment_id, entity_type, entity_id, CASE WHEN entity_type = 'git_commit_files' THEN try_cast(entity_id AS BIGINT) END AS file_id FROM enrichment_associations),
+w AS (SELECT DISTINCT a.enrichment_id AS id FROM a JOIN git_commits k ON k.commit_sha = a.entity_id WHERE a.entity_type = 'git_commits' AND k.author = '1-URGENT'),
+p AS (SELECT DISTINCT a.enrichment_id AS id FROM a JOIN git_commit_files f ON f.id = a.file_id WHERE regexp_matches(f.path, '^src/[^/]*/f[^/]*\.py$'))
+SELECT e.id FROM enrichments_v2 e JOIN w ON w.id = e.id JOIN p ON p.id = e.id WHERE e.created_at >= TIMESTAMP '2024-02-01'""")
 def ep_filter_authors_paths(c):
     return N.candidates(c, O.Filters(authors=("1-URGENT",), file_paths=("src/*/f*.py",), created_after=dt.datetime(2024, 2, 1))).select("id")
 
 
+@endpoint("SELECT h.enrichment_id, h.line, s.start_line, s.end_line FROM (SELECT id AS enrichment_id, generate_subscripts(string_split(content, chr(10)), 1) AS line, unnest(string_split(content, chr(10))) AS text FROM enrichments_v2) h JOIN source_locations s ON s.enrichment_id = h.enrichment_id AND h.line BETWEEN s.start_line AND s.end_line WHERE regexp_matches(h.text, 'tion|the')")
+def ep_hits_in_ranges(c):
+    """Lines that match a pattern, with the stored line ranges that hold them."""
+    found = retrieval.matching_lines(c["enrichments_v2"].select("id", "content"), "tion|the", path="id").select(F.col("id").alias("enrichment_id"), F.col("line").cast("int").alias("line"))
+    ranges = c["source_locations"].select("enrichment_id", "start_line", "end_line")
+    return R.interval_join(found, ranges, ["enrichment_id"], "line", "line", "start_line", "end_line").select("enrichment_id", "line", "start_line", "end_line")
+
+
 @endpoint(f"{_IDS} id IN (SELECT a.enrichment_id FROM enrichment_associations a JOIN git_commits k ON k.commit_sha = a.entity_id WHERE a.entity_type = 'git_commits' AND k.repo_id IN (7, 9))")
 def ep_scope(c):
     """A search asks for repositories 7, 8 and 9, but only 7, 9 and 30 are allowed."""

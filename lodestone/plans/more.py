@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,6 +134,54 @@ _stream(
     lambda e: e.select(X.dedup_key(F.col("event_type"), F.col("props")).alias("key")).dropDuplicates(["key"]),
     "append",
 )
+
+
+def _late_stream(name: str, sql: str, plan) -> None:
+    """Register a plan in append mode over ``events`` in three batches: most, a tenth, then another tenth with the second one again.
+
+    Rows are too late by the watermark that the batch before was given, so most of the third batch is.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{shared_folder(spark)}/lodestone-stream-{uuid.uuid4().hex}"
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+        for arrives in ("NOT IN (0, 5)", "= 5", "IN (0, 5)"):
+            # a batch of the stream is what arrived together
+            events.where(f"event_id % 10 {arrives}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            time.sleep(0.05)
+        stream = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        rows = plan(stream)
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+        rows.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(rows.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out").select(*rows.columns)
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+_ARRIVED = """a AS (SELECT * FROM events WHERE event_id % 10 <> 0), late AS (SELECT * FROM events WHERE event_id % 10 IN (0, 5)), m AS (SELECT date_trunc('millisecond', {first}) - INTERVAL 1 HOUR AS mark FROM a WHERE event_id % 10 <> 5)"""
+_late_stream(
+    "stream_windows_append",
+    f"""WITH {_ARRIVED.format(first="max(ts)")}, r AS (SELECT ts, event_type FROM a UNION ALL SELECT ts, event_type FROM late, m WHERE time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') + INTERVAL 6 HOUR > mark)
+SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01')::VARCHAR AS start, event_type, count(*) AS n FROM r GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 6 HOUR, any_value(ts), TIMESTAMP '2024-01-01') + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+    lambda stream: windows.tumbling(stream(), "ts", "6 hours", ["event_type"], {"n": F.count("*")}).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n"),
+)
+_late_stream(
+    "stream_dedupe_watermark",
+    f"WITH {_ARRIVED.format(first='max(ts)')} SELECT event_id FROM a UNION ALL SELECT event_id FROM late, m WHERE event_id % 10 = 0 AND ts > mark",
+    lambda stream: windows.deduplicated(stream(), "ts", ["event_id"]).select("event_id"),
+)
+_late_stream(
+    "stream_interval_join",
+    f"""WITH {_ARRIVED.format(first="least(max(ts) FILTER (event_type = 'view'), max(ts) FILTER (event_type = 'purchase'))")}, r AS (SELECT * FROM a UNION ALL SELECT late.* FROM late, m WHERE ts > mark)
+SELECT v.event_id AS viewed, p.event_id AS bought FROM r v JOIN r p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 2 HOUR""",
+    lambda stream: windows.within(
+        stream().where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("viewed")), stream().where("event_type = 'purchase'").select("user_id", F.col("ts").alias("paid"), F.col("event_id").alias("bought")), ["user_id"], "ts", "paid", "2 HOURS"
+    ).select("viewed", "bought"),
+)
 _EVENT = {"view": "start", "click": "progress", "purchase": "complete", "error": "fail", "signup": "skip"}
 _STATE_SQL = """WITH e AS (SELECT {0}, ts, event_id, CASE event_type WHEN 'view' THEN 'started' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' END AS state FROM events)
 SELECT {0}, coalesce(arg_min(state, (ts, event_id)) FILTER (state IN ('completed', 'failed', 'skipped')), arg_max(state, (ts, event_id)) FILTER (state IN ('started', 'in_progress')), 'started') AS state FROM e GROUP BY {0}"""

@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import cosine, glob_match
-from ..operators.tables import TableStore
 from ..operators.relational import group_by_file
-from ..session import shared_path, ship_package, source_digest
+from ..session import ship_package, written
 
 #: Results by default, how many times more each list of a fusion gets, and the constant of ranks.
 TOP, PER_LIST, RANK_CONSTANT = 10, 2, 60
@@ -77,8 +76,13 @@ def _terms(docs: DataFrame, key: str, text: str, analyzer: str) -> DataFrame:
 
 def postings(docs: DataFrame, key: str = "id", text: str = "text", analyzer: str = "words") -> DataFrame:
     """(key, term, dl, tf, positions): what each document holds of each term."""
+    return postings_of(_terms(docs, key, text, analyzer), key)
+
+
+def postings_of(analysed: DataFrame, key: str = "id") -> DataFrame:
+    """The postings of documents whose terms are known: (key, terms)."""
     placed = F.transform("terms", lambda t, i: F.struct(i.alias("position"), t.alias("term")))
-    rows = _terms(docs, key, text, analyzer).select(key, F.size("terms").alias("dl"), F.explode(placed).alias("p")).select(key, "dl", "p.position", "p.term")
+    rows = analysed.select(key, F.size("terms").alias("dl"), F.explode(placed).alias("p")).select(key, "dl", "p.position", "p.term")
     return rows.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
@@ -88,9 +92,23 @@ def lengths(docs: DataFrame, key: str = "id", text: str = "text", analyzer: str
     return rows if empty else rows.where("dl > 0")
 
 
+def idf(df: Column, n: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
+def impact(tf: Column, dl: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
+
 def _bm25(tf: Column, df: Column, n: Column, dl: Column, mean: Column) -> Column:
-    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+    return idf(df, n) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
+
+def bm25_known(hits: DataFrame, often: dict[str, int], n: int, mean: float, key: str = "id") -> DataFrame:
+    """(key, score) of postings whose terms' frequencies are known, in no order."""
+    df = reduce(lambda rest, t: F.when(F.col("term") == t, F.lit(often[t])).otherwise(rest), often, F.lit(0))
+    score = _bm25(F.col("tf"), df, F.lit(n), F.col("dl"), F.lit(mean))
+    return hits.groupBy(key).agg(F.sum(score).alias("score"))
 
 
 def _corpus(index: DataFrame, key: str) -> DataFrame:
@@ -152,45 +170,45 @@ def exact_topk(vectors: DataFrame, query: Sequence[float] | Column, k: int = TOP
     return (ordered.offset(skip) if skip else ordered).limit(k)
 
 
-#: Queries that go to the scan as one matrix.
-MOST_QUERIES = 4096
+#: Queries that go to a scan as one matrix, and how many bytes of scores a task holds.
+MOST_QUERIES, SCORE_BYTES = 4096, 1 << 25
 
 
 def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP, key: str = "id", query_key: str = "query_id", embedding: str = "embedding", most: int = MOST_QUERIES) -> DataFrame:
     """The k most similar vectors of each query: query_key, key, score, rank from 0.
 
-    Up to ``most`` queries go to the scan as one matrix, a batch of vectors at a time is multiplied with
-    it, and only the k best of each batch leave a task. More queries are taken in such blocks, one scan
-    each, so neither the driver nor a task ever holds more of them.
+    Up to ``most`` queries go to the scan as one matrix, some vectors at a time are multiplied with it, and
+    only the k best of them leave a task. More queries are taken in such blocks, each of which is scanned for
+    and written before the next one is fetched, so the driver and a task hold one block of queries.
     """
-    blocks, held, k = [], [], _top(k)
+    k = _top(k)
+    ship_package(queries.sparkSession)
+    done, held = [], []
     for row in queries.select(query_key, embedding).toLocalIterator():
-        held.append((row[0], row[1]))
         if len(held) == most:
-            blocks.append(_block_topk(vectors, held, queries, k, key, query_key, embedding))
+            done.append(written(_block_topk(vectors, held, queries, k, key, query_key, embedding), "batch-topk"))
             held = []
-    if held or not blocks:
-        blocks.append(_block_topk(vectors, held, queries, k, key, query_key, embedding))
-    return reduce(DataFrame.unionByName, blocks)
+        held.append((row[0], row[1]))
+    return reduce(DataFrame.unionByName, [*done, _block_topk(vectors, held, queries, k, key, query_key, embedding)])
 
 
 def _block_topk(vectors: DataFrame, held: list, queries: DataFrame, k: int, key: str, query_key: str, embedding: str) -> DataFrame:
     names = [name for name, _ in held]
     matrix = np.array([v for _, v in held], dtype=np.float64).reshape(len(held), -1 if held else 0)
-    norms = np.linalg.norm(matrix, axis=1)
+    norms, rows = np.linalg.norm(matrix, axis=1), max(1, SCORE_BYTES // (8 * max(len(held), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = pa.array(names, q_type)
         for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            ids = batch.column(0)
-            scale = np.linalg.norm(x, axis=1)[:, None] * norms[None, :]
-            score = np.divide(x @ matrix.T, scale, out=np.zeros((len(x), len(names))), where=scale > 0)
-            kept = np.argsort(-score, axis=0, kind="stable")[:k] if len(x) > k else np.tile(np.arange(len(x))[:, None], (1, len(names)))
-            for q, name in enumerate(names):
-                at = kept[:, q] if len(x) <= k else np.flatnonzero(score[:, q] >= score[kept[-1, q], q])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), q_type), ids.take(pa.array(at)), pa.array(score[at, q])], names=[query_key, key, "score"])
+            for at in range(0, batch.num_rows if names else 0, rows):
+                some = batch.slice(at, rows)
+                x = np.array(some.column(1).to_pylist(), dtype=np.float64)
+                scale = np.linalg.norm(x, axis=1)[:, None] * norms[None, :]
+                score = np.divide(x @ matrix.T, scale, out=np.zeros((len(x), len(names))), where=scale > 0)
+                # ties with the k-th best stay, for the order by key to decide
+                best = score >= np.partition(score, len(x) - k, axis=0)[len(x) - k] if len(x) > k else np.ones(score.shape, dtype=bool)
+                v, q = np.nonzero(best)
+                yield pa.RecordBatch.from_arrays([labels.take(pa.array(q)), some.column(0).take(pa.array(v)), pa.array(score[v, q])], names=[query_key, key, "score"])
 
     q_type = pa.int64() if dict(queries.dtypes)[query_key] in ("bigint", "int") else pa.string()
     kinds = f"{query_key} {'long' if q_type == pa.int64() else 'string'}, {key} {dict(vectors.dtypes)[key]}, score double"
@@ -204,99 +222,6 @@ def probe_count(rows: int) -> tuple[int, int]:
     return lists, max(math.isqrt(lists), 10)
 
 
-#: Vectors that centroids are trained on, and how many of them a centroid stands for at least.
-TRAINING_ROWS, ROWS_A_LIST = 20_000, 4
-
-
-def train_centroids(vectors: DataFrame, lists: int, key: str = "id", embedding: str = "embedding", most_rows: int = TRAINING_ROWS, rounds: int = 10, seed: int = 1) -> np.ndarray:
-    """Unit centroids by k-means on at most ``most_rows`` vectors, chosen by a hash of the id.
-
-    The sample bounds the lists as well: a centroid stands for ROWS_A_LIST of its vectors at least.
-    """
-    got = vectors.select(key, embedding).orderBy(F.xxhash64(key)).limit(most_rows).toPandas()
-    x = np.array(got[embedding].tolist(), dtype=np.float64)
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), size=max(1, min(lists, len(x) // ROWS_A_LIST)), replace=False)]
-    for _ in range(rounds):
-        nearest = (x @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, x)
-        filled = np.linalg.norm(sums, axis=1) > 0
-        centres[filled] = sums[filled] / np.linalg.norm(sums[filled], axis=1, keepdims=True)
-    return centres
-
-
-def assign_lists(vectors: DataFrame, centroids: np.ndarray, key: str = "id", embedding: str = "embedding") -> DataFrame:
-    """Every vector with the number of its list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            near = (x @ centroids.T).argmax(1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32))], names=[key, embedding, "list_id"])
-
-    kinds = dict(vectors.dtypes)
-    return vectors.select(key, embedding).mapInArrow(run, f"{key} {kinds[key]}, {embedding} {kinds[embedding]}, list_id int")
-
-
-class VectorIndex:
-    """An inverted file: vectors stored by list, and the centroids of the lists."""
-
-    def __init__(self, spark: SparkSession, folder: str, key: str = "id", embedding: str = "embedding") -> None:
-        self.store, self.key, self.embedding = TableStore(spark, folder), key, embedding
-
-    @property
-    def exists(self) -> bool:
-        return self.store.exists("lists")
-
-    def build(self, vectors: DataFrame) -> VectorIndex:
-        """Replace the index; a change of the vectors' length is such a rebuild too."""
-        lists, _ = probe_count(vectors.count())
-        centroids = train_centroids(vectors, lists, self.key, self.embedding)
-        listed = assign_lists(vectors, centroids, self.key, self.embedding).hint("rebalance", "list_id").sortWithinPartitions("list_id")
-        table = vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "list_id int, centroid array<double>")
-        self.store.transaction({"lists": listed, "centroids": table}, {"lists": ["list_id"]})
-        return self
-
-    def add(self, vectors: DataFrame) -> None:
-        """Add vectors to the lists that are there."""
-        listed = assign_lists(vectors, self.centroids(), self.key, self.embedding)
-        self.store.append("lists", listed.hint("rebalance", "list_id").sortWithinPartitions("list_id"), ["list_id"])
-
-    def count(self) -> int:
-        return self.store.read("lists").count() if self.exists else 0
-
-    def has(self, key: object) -> bool:
-        return self.exists and not self.store.read("lists").where(F.col(self.key) == key).isEmpty()
-
-    def remove(self, keys: DataFrame) -> None:
-        """Delete these keys; the vectors stay in their files until the store is compacted."""
-        self.store.delete("lists", keys.select(self.key))
-
-    def centroids(self) -> np.ndarray:
-        rows = self.store.read("centroids", "list_id int, centroid array<double>").orderBy("list_id").collect()
-        return np.array([r["centroid"] for r in rows], dtype=np.float64)
-
-    def find(self, query: Sequence[float], k: int = TOP, probes: int | None = None) -> DataFrame:
-        """The k most similar vectors of the nearest lists; the other partitions are not read."""
-        centroids = self.centroids()
-        probes = probes or max(math.isqrt(len(centroids)), 10)
-        return ivf_topk(self.store.read("lists"), centroids, query, probes, _top(k), self.key, self.embedding)
-
-
-def shared_vectors(vectors: DataFrame, key: str, embedding: str = "embedding") -> VectorIndex:
-    """The inverted file of a table that is stored in files, in the shared folder; built once for the files as they are."""
-    index = VectorIndex(vectors.sparkSession, shared_path(vectors, f"vectors {source_digest(__name__)} {key} {embedding}"), key, embedding)
-    return index if index.exists else index.build(vectors)
-
-
-def ivf_topk(lists: DataFrame, centroids: np.ndarray, query: Sequence[float], probes: int, k: int = TOP, key: str = "id", embedding: str = "embedding") -> DataFrame:
-    """The k most similar vectors of the ``probes`` nearest lists; the others are pruned."""
-    near = np.argsort(-(centroids @ np.asarray(query, dtype=np.float64)), kind="stable")[:probes]
-    return exact_topk(lists.where(F.col("list_id").isin([int(n) for n in near])), query, k, key, embedding)
-
-
 # --- fusion
 
 

@@ -28,3 +28,17 @@ def deduplicated(events: DataFrame, at: str, keys: list[str], late: str = "1 hou
     rows = watermarked(events, at, late)
     return rows.dropDuplicatesWithinWatermark(keys) if events.isStreaming else rows.dropDuplicates(keys)
 
+
+
+def within(left: DataFrame, right: DataFrame, keys: list[str], at: str, other_at: str, most: str, late: str = "1 hour") -> DataFrame:
+    """Pairs of equal ``keys`` where the right row comes at most ``most`` after the left one.
+
+    Over two streams each side waits under its watermark: late rows are left out, and rows that no row to come
+    can meet any more leave the state.
+    """
+    renamed = {k: f"_{k}" for k in keys}
+    mine, theirs = watermarked(left, at, late), watermarked(right.withColumnsRenamed(renamed), other_at, late)
+    met = (F.col(other_at) >= F.col(at)) & (F.col(other_at) <= F.col(at) + F.expr(f"INTERVAL {most}"))
+    for k in keys:
+        met = (F.col(k) == F.col(f"_{k}")) & met
+    return mine.join(theirs, met).drop(*renamed.values())
