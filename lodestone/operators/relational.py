@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 from functools import reduce
 
 import pyarrow as pa
@@ -46,6 +47,26 @@ def prefix_offsets(df: DataFrame, key: str, size: str, name: str = "first", tie:
     return rows.withColumn("_inside", inside).join(before, "_part").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_place", "_inside", "_before")
 
 
+def exact_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, str]) -> DataFrame:
+    """(key, one column a share): of each key the least value that at least that share of its values do not exceed.
+
+    ``shares`` gives names and shares as decimal text. Nulls do not count. Values are counted, sorted in ranges and
+    summed up range by range, so a key's values are never in one task.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_size"))
+    summed = prefix_offsets(counted, key, "_size", "_first", value)
+    totals = summed.groupBy(F.col(key).alias("_key")).agg(F.min("_first").alias("_start"), F.sum("_size").alias("_total"))
+    joined = summed.join(totals, F.col(key).eqNullSafe(F.col("_key")))
+    before = F.col("_first") - F.col("_start")
+
+    def at(share: str) -> Column:
+        part = Fraction(share)
+        place = F.greatest(F.ceil(F.col("_total").cast("decimal(30,0)") * part.numerator / part.denominator), F.lit(1))
+        return F.min(F.when((before < place) & (before + F.col("_size") >= place), F.col(value)))
+
+    return joined.groupBy(key).agg(*[at(share).alias(name) for name, share in shares.items()])
+
+
 def carried_batches(df: DataFrame, group: str, order: str, weight: str, most_weight: int, most_rows: int) -> DataFrame:
     """(group, order, batch): the rows of each group in order, in greedy batches numbered from 0.
 
