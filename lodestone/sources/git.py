@@ -80,14 +80,36 @@ def tree(targets: DataFrame) -> DataFrame:
 
 
 def contents(targets: DataFrame) -> DataFrame:
-    """Contents of files (repo_id, path, commit_sha, file) at their commits."""
+    """Contents of files (repo_id, path, commit_sha, file) at their commits, by one git process a repository and task."""
+    ship_package(targets.sparkSession)
 
-    def show(repo: int, path: str, sha: str, name: str):
-        done = subprocess.run(["git", "-C", path, "cat-file", "blob", f"{sha}:{name}"], capture_output=True)
-        if done.returncode == 0:
-            yield repo, sha, name, done.stdout
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .git_source import Blobs
 
-    return _per_repository(targets.select("repo_id", "path", "commit_sha", "file"), show, "repo_id long, commit_sha string, file string, content binary")
+        at, blobs = None, None
+        try:
+            for batch in batches:
+                for repo, path, sha, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if path != at:
+                        if blobs:
+                            blobs.__exit__()
+                        at, blobs = path, Blobs(path)
+                    # a name with a line feed is no request of the batch protocol
+                    content = blobs.get(f"{sha}:{name}") if "\n" not in name else _one(path, sha, name)
+                    if content is not None:
+                        yield pa.RecordBatch.from_pylist([{"repo_id": repo, "commit_sha": sha, "file": name, "content": content}], schema=kinds)
+        finally:
+            if blobs:
+                blobs.__exit__()
+
+    kinds = pa.schema([("repo_id", pa.int64()), ("commit_sha", pa.string()), ("file", pa.string()), ("content", pa.binary())])
+    rows = targets.select("repo_id", "path", "commit_sha", "file").sortWithinPartitions("path", "commit_sha", "file")
+    return rows.mapInArrow(run, "repo_id long, commit_sha string, file string, content binary")
+
+
+def _one(path: str, sha: str, name: str) -> bytes | None:
+    done = subprocess.run(["git", "-C", path, "cat-file", "blob", f"{sha}:{name}"], capture_output=True)
+    return done.stdout if done.returncode == 0 else None
 
 
 def diffs(targets: DataFrame) -> DataFrame:

@@ -49,8 +49,8 @@ def throttle(updates: DataFrame, interval_ms: int, key: str = "id", state: str =
         def _out(self, key: tuple, row: tuple) -> pd.DataFrame:
             return pd.DataFrame({"id": [key[0]], "state": [row[0]], "payload": [row[1]]})
 
-        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-            now = timers.getCurrentProcessingTimeInMs()
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+            now = timerValues.getCurrentProcessingTimeInMs()
             for pdf in rows:
                 for s, p in zip(pdf["state"], pdf["payload"], strict=True):
                     if s in TERMINAL:
@@ -68,11 +68,11 @@ def throttle(updates: DataFrame, interval_ms: int, key: str = "id", state: str =
                             self.handle.registerTimer(self.last.get()[0] + interval_ms)
                         self.held.update((s, p))
 
-        def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
             if self.held.exists():
                 row = self.held.get()
                 self.held.clear()
-                self.last.update((timers.getCurrentProcessingTimeInMs(),))
+                self.last.update((timerValues.getCurrentProcessingTimeInMs(),))
                 yield self._out(key, row)
 
         def close(self) -> None:

@@ -79,3 +79,21 @@ def test_throttle(spark, tmp_path):
     finally:
         q.stop()
     assert got == [("a", "in_progress", "1"), ("b", "completed", "2"), ("b", "in_progress", "1")]
+
+
+def test_throttle_timer(spark, tmp_path):
+    """What is held back comes out when the interval is over, the last update of it alone."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "id string, state string, payload string"
+    spark.createDataFrame([("a", "in_progress", str(k)) for k in range(1, 5)], schema).coalesce(1).write.parquet(f"{tmp_path}/u")
+    out = status.throttle(spark.readStream.schema(schema).parquet(f"{tmp_path}/u"), 2000)
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").start()
+    try:
+        end, got = time.time() + 90, []
+        while len(got) < 2 and time.time() < end:
+            time.sleep(0.5)
+            got = sorted(r["payload"] for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()) if (tmp_path / "out").exists() else []
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert got == ["1", "4"]
