@@ -45,6 +45,7 @@ class KeywordIndex:
     def __init__(self, spark: SparkSession, folder: str, analyzer: str = "porter", slots: int | None = None) -> None:
         """Open an index; ``slots`` fixes the partitions of a new one, which else follow from the corpus."""
         self.store, self.analyzer, self.wanted = TableStore(spark, folder, PAGE_ROWS), analyzer, slots
+        self._known: tuple[int, Any] = (-1, None)
 
     @property
     def exists(self) -> bool:
@@ -54,9 +55,12 @@ class KeywordIndex:
     def slots(self) -> int | None:
         return self._config(self.store.begin())["slots"] if self.exists else self.wanted
 
-    @staticmethod
-    def _config(tx: Transaction) -> Any:
-        return tx.read("config", _CONFIG).first()
+    def _config(self, tx: Transaction) -> Any:
+        """The layout at a transaction's start, read once for each commit that is looked at."""
+        tx.reads.add("config")
+        if self._known[0] != tx.base["number"]:
+            self._known = (tx.base["number"], tx.read("config", _CONFIG).first())
+        return self._known[1]
 
     @staticmethod
     def usable(docs: DataFrame) -> DataFrame:
