@@ -455,7 +455,7 @@ def repository_keys(c: Catalog, repo: int) -> dict[str, DataFrame]:
     c.check(repo)
     commits = c["git_commits"].where(F.col("repo_id") == repo)
     own = c["git_repos"].where(F.col("id") == repo).select("id")
-    tasks = c["tasks"].where(X.payload_number(F.col("payload"), "repository_id") == repo).select("id")
+    tasks = c["tasks"].where(X.payload_number(F.col("payload"), "repository_id") == repo).select("dedup_key")
     history = {name: own.select(F.col("id").alias("repo_id")) for name in ("git_commits", "git_branches", "git_tags")}
     return enrichment_keys(c, _of_commits(c, commits).select("id")) | {"git_commit_files": commits.select("commit_sha"), **history, "git_repos": own, "tasks": tasks}
 

@@ -348,6 +348,8 @@ class VectorIndex:
         """The cells that a query reads, and the inner product with the centroid of each list that it visits."""
         q = unit(np.asarray(query, dtype=np.float64)[None, :])
         config, top = self.store.read("config", "probes int, cells int").first(), self._cells()
+        if not len(top):
+            return [], {}
         cells = np.argsort(-(top @ q[0]), kind="stable")[: config["cells"]].tolist()
         lists = self.store.read("lists", "list_id long, centroid array<double>, cell int").where(F.col("cell").isin(cells))
         dot = F.aggregate(F.zip_with("centroid", F.array(*[F.lit(float(v)) for v in q[0]]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
