@@ -20,17 +20,21 @@ from pyspark.sql import functions as F
 
 from ..operators.relational import new_only
 from ..operators.tables import TableStore, Transaction
-from ..session import shared_path, ship_package, source_digest
+from ..session import shared_path, ship_package, source_digest, written
 from . import retrieval
 
 #: Strings that a part of a pattern may stand for before only their trigrams are kept; members of a class likewise.
 MOST_STRINGS, MOST_MEMBERS = 32, 8
 #: Trigrams of one AND whose postings are read, the rarest first, and files that a search may broadcast.
 RAREST, MOST_FILES = 4, 250_000
+#: Files of a piece, whose places are short integers; and the share of all files from which contents are matched before files are joined.
+PIECE_FILES, LARGE_SHARE = 8192, 0.25
 #: Bits of a trigram's number that choose its slot.
 SLOT_BITS = 6
 
-_POSTINGS = "gram int, file long, slot int"
+#: The files of a piece are its row of the trigram NAMES; other rows give the places in that list of the files that hold a trigram.
+_POSTINGS = "gram int, piece long, places array<short>, files array<long>, slot int"
+NAMES = -1
 
 
 @dataclass(frozen=True)
@@ -159,30 +163,45 @@ def number_of(gram: str) -> int:
 
 
 def _grams(files: DataFrame, key: str, content: str) -> DataFrame:
-    """(file, gram): the different ASCII trigrams of each content in lower case; a file is known by the hash of its key."""
+    """(gram, piece, places, files): which files of a piece hold a trigram, and a row of the piece's files, known by the hash of their keys.
+
+    Trigrams are the ASCII ones of each content in lower case.
+    """
     ship_package(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import xxhash
 
         fold = np.arange(256, dtype=np.int32)
         fold[65:91] += 32
         for batch in batches:
-            for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                codes = fold[np.frombuffer(text or b"", dtype=np.uint8)]
-                if len(codes) < 3:
-                    continue
-                plain = codes < 128
-                good = plain[:-2] & plain[1:-1] & plain[2:]
-                found = np.flatnonzero(np.bincount((codes[:-2] << 14 | codes[1:-1] << 7 | codes[2:])[good], minlength=1))
-                if len(found) and good.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column(0)[k].as_py())), pa.array(found.astype(np.int32))], names=["file", "gram"])
-
-    return files.select(F.xxhash64(F.col(key)).alias("file"), content).mapInArrow(run, "file long, gram int")
+            for at in range(0, batch.num_rows, PIECE_FILES):
+                some = batch.slice(at, PIECE_FILES)
+                names, held = some.column(0).to_numpy(), []
+                for k, text in enumerate(some.column(1).cast(pa.binary())):
+                    codes = fold[np.frombuffer(text.as_buffer() or b"", dtype=np.uint8)]
+                    if len(codes) < 3:
+                        continue
+                    plain = codes < 128
+                    found = np.unique((codes[:-2] << 14 | codes[1:-1] << 7 | codes[2:])[plain[:-2] & plain[1:-1] & plain[2:]])
+                    held.append(found.astype(np.int64) << 13 | k)
+                pairs = np.sort(np.concatenate([*held, np.empty(0, np.int64)]))
+                grams, places = (pairs >> 13).astype(np.int32), (pairs & PIECE_FILES - 1).astype(np.int16)
+                starts = np.flatnonzero(np.diff(grams, prepend=-1))
+                # pieces of one number are the same files in the same order
+                piece, rows = xxhash.xxh64_intdigest(names.tobytes()) - (1 << 63), len(starts) + 1
+                ends = np.concatenate([starts, [len(places)]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(places))
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.full(rows, len(names))]).astype(np.int32)), pa.array(names))
+                columns = [pa.array(np.concatenate([[NAMES], grams[starts]]).astype(np.int32)), pa.array(np.full(rows, piece)), lists, listed]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "piece", "places", "files"])
+
+    return files.select(F.xxhash64(F.col(key)).alias("file"), content).mapInArrow(run, "gram int, piece long, places array<short>, files array<long>")
 
 
 class GrepIndex:
-    """Trigrams of (key, content) files: postings by trigram, and how many files hold each."""
+    """Trigrams of (key, content) files: postings by trigram and piece of files, and how many files hold each."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.store = TableStore(spark, folder)
@@ -193,7 +212,7 @@ class GrepIndex:
 
     def _tables(self, files: DataFrame, key: str, content: str) -> dict[str, DataFrame]:
         grams = _grams(files, key, content).withColumn("slot", F.pmod(F.xxhash64("gram"), F.lit(1 << SLOT_BITS)).cast("int"))
-        return {"postings": grams.select("gram", "file", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "gram", "file"), "files": files.select(F.xxhash64(F.col(key)).alias("file"))}
+        return {"postings": grams.select("gram", "piece", "places", "files", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "gram", "piece"), "files": files.select(F.xxhash64(F.col(key)).alias("file"))}
 
     def _publish(self, tx: Transaction, tables: dict[str, DataFrame], put) -> None:
         for name, rows in tables.items():
@@ -224,13 +243,12 @@ class GrepIndex:
         return count
 
     def remove(self, files: DataFrame, key: str = "path") -> None:
-        """Forget files by their keys; the counts that choose trigrams may stay behind a little."""
-        gone = files.select(F.xxhash64(F.col(key)).alias("file"))
-        self.store.delete_from({"postings": "file", "files": "file"}, gone, "file")
+        """Forget files by their keys; their postings stay, and the counts that choose trigrams count them."""
+        self.store.delete("files", files.select(F.xxhash64(F.col(key)).alias("file")))
 
     def _count(self) -> None:
         def change(tx: Transaction) -> None:
-            tx.replace("counts", tx.read("postings", _POSTINGS).groupBy("gram").agg(F.count("*").alias("n")).coalesce(1))
+            tx.replace("counts", tx.read("postings", _POSTINGS).where(F.col("gram") != NAMES).groupBy("gram").agg(F.sum(F.size("places")).alias("n")).coalesce(1))
 
         self.store.update(change)
 
@@ -247,18 +265,28 @@ class GrepIndex:
             return None
         need = rarest(need, self._frequencies(need.grams()))
         grams = sorted(number_of(g) for g in need.grams())
-        slots = sorted({r[0] for r in self.store.spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(g).cast("int")), F.lit(1 << SLOT_BITS)).cast("int") for g in grams]))).collect()})
-        rows = self.store.read("postings", _POSTINGS).where(F.col("slot").isin(slots) & F.col("gram").isin(grams))
-        return rows.groupBy("file").agg(F.collect_set("gram").alias("grams")).where(holds(need, F.col("grams"))).select("file")
+        slots = sorted({r[0] for r in self.store.spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(g).cast("int")), F.lit(1 << SLOT_BITS)).cast("int") for g in [NAMES, *grams]]))).collect()})
+        state = self.store.state()
+        rows = self.store.rows_of(state, "postings", _POSTINGS).where(F.col("slot").isin(slots))
+        held = rows.where(F.col("gram").isin(grams)).select("gram", "piece", F.explode("places").alias("place"))
+        held = held.groupBy("piece", "place").agg(F.collect_set("gram").alias("grams")).where(holds(need, F.col("grams")))
+        # the same files may be added twice, as one piece
+        pieces = held.groupBy("piece").agg(F.collect_set("place").alias("places")).join(rows.where(F.col("gram") == NAMES).select("piece", "files").dropDuplicates(["piece"]), "piece")
+        found = pieces.select(F.explode(F.transform("places", lambda p: F.element_at("files", p.cast("int") + 1))).alias("file")).distinct()
+        return found.join(self.store.rows_of(state, "files"), "file", "left_semi") if state["tables"]["files"]["gone"] else found
 
     def matching_lines(self, files: DataFrame, pattern: str, pathspec: str | None = None, path: str = "path", content: str = "content", key: str | None = None) -> DataFrame:
         """As ``retrieval.matching_lines``, with the same result, reading the contents of candidates alone."""
         found = self.candidates(pattern)
         if found is None:
             return retrieval.matching_lines(files, pattern, pathspec, path, content)
-        few = F.broadcast(found) if found.count() <= MOST_FILES else found
-        kept = files.join(few, F.xxhash64(F.col(key or path)) == few["file"], "left_semi")
-        return retrieval.matching_lines(kept, pattern, pathspec, path, content)
+        found, hashed = written(found, "candidates"), F.xxhash64(F.col(key or path))
+        count = found.count()
+        few = F.broadcast(found) if count <= MOST_FILES else found
+        if count > MOST_FILES and count > LARGE_SHARE * self.store.read("files").count() and key in (None, path):
+            # so many files are matched where they lie, and only their matches travel
+            return retrieval.matching_lines(files, pattern, pathspec, path, content).join(few, hashed == few["file"], "left_semi")
+        return retrieval.matching_lines(files.join(few, hashed == few["file"], "left_semi"), pattern, pathspec, path, content)
 
     def grep(self, files: DataFrame, pattern: str, pathspec: str | None = None, most_files: int = 10, most_matches: int = 1000, path: str = "path", content: str = "content") -> DataFrame:
         """As ``retrieval.grep``, with the same result."""

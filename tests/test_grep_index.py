@@ -91,3 +91,21 @@ def test_need_holds(pattern, texts):
         if re.search(pattern, text):
             grams = {text.lower()[i : i + 3] for i in range(len(text) - 2)}
             assert satisfied(need, grams) and satisfied(G.rarest(need, often), grams)
+
+
+def test_postings_are_packed(spark, tmp_path, monkeypatch):
+    """A trigram is one row a piece of files, however many hold it; large pieces, many candidates and files added again change no result."""
+    files = spark.range(500, numPartitions=1).selectExpr("concat('f', id) AS path", "concat('common text ', id % 50, if(id % 7 = 0, '\\nrare one', ''), if(id % 100 = 3, NULL, '')) AS content")
+    monkeypatch.setattr(G, "PIECE_FILES", 64)
+    index = G.GrepIndex(spark, f"file://{tmp_path}").build(files)
+    rows = index.store.read("postings", G._POSTINGS).where(F.col("gram") == G.number_of("com"))
+    assert rows.count() == 8 and index._frequencies({"com", "rar", "zzz"}) == {"com": 495, "rar": 71, "zzz": 0}
+    lines = lambda rows: sorted(map(tuple, rows.collect()))
+    for most in (G.MOST_FILES, 10):
+        monkeypatch.setattr(G, "MOST_FILES", most)
+        for p in ("rare", "common", "text 1?3", "zebra"):
+            assert lines(index.matching_lines(files, p)) == lines(retrieval.matching_lines(files, p)), (most, p)
+    gone = files.where("path IN ('f0', 'f7')")
+    index.remove(gone)
+    assert lines(index.matching_lines(files, "rare")) == lines(retrieval.matching_lines(files.join(gone, "path", "left_anti"), "rare"))
+    assert index.add(files) == 2 and lines(index.matching_lines(files, "rare")) == lines(retrieval.matching_lines(files, "rare"))
