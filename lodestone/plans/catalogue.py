@@ -556,7 +556,7 @@ def _bm25_sql(k: int) -> str:
 def bm25_build(documents):
     """The stored index of all documents, built anew: what it holds."""
     index = shared_index(documents, "doc_id", "text", "words", rebuild=True)
-    rows = index.store.read("postings").agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
+    rows = index.store.read("postings").groupBy("term").agg(F.sum("n").alias("n")).agg(F.count("*").alias("terms"), F.sum("n").alias("postings"))
     return index.stats().select(F.col("n").alias("documents"), F.round("mean", 6).alias("mean")).join(rows)
 
 

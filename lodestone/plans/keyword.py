@@ -2,18 +2,21 @@
 
 Postings are partitioned by a hash of the term and sorted by term and block inside, so a query reads the
 partitions of its terms and in them the pages that can hold these. A block is a share of the documents,
-alike in length, and the same for all terms. A second table knows of each term and block how many postings
-there are and how much they can score at most. A bag of words is answered by the blocks that promise most:
+alike in length, and the same for all terms. A row holds what a block has of a term: all postings, packed
+by the task that read the documents, how many they are and how much they can score at most. So texts and
+single postings are never shuffled, rows are, once. A bag of words is answered by the blocks that promise most:
 what they score is a bound, and only blocks that can reach it are read besides. Document frequencies and
 lengths are those of the whole index, whatever a search is restricted to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +24,21 @@ from pyspark.sql import functions as F
 from ..operators import options as O
 from ..operators.relational import new_only
 from ..operators.tables import TableStore, Transaction
-from ..session import discard, shared_path, source_digest, written
+from ..session import discard, shared_path, ship_package, source_digest, written
 from . import retrieval
 
-_POSTINGS = "term string, id string, dl int, tf long, positions array<int>, block int, slot int"
-_BLOCKS = "term string, block int, n long, impact double, slot int"
+_POSTINGS = "term string, block int, n long, impact float, ids array<string>, dls array<int>, tfs array<int>, places array<int>, slot int"
 _CONFIG = "slots int, spread int, built long, mean double"
 #: Documents that a block is meant for, terms that a slot is meant for, and how far a corpus may outgrow its layout.
 BLOCK_DOCS, SLOT_TERMS, OUTGROWN = 32, 1_000_000, 4
 #: Classes of length a corpus is taken to have, rows of a page, blocks read for a first bound, ranges of blocks in a filter.
 CLASSES, PAGE_ROWS, FIRST_BLOCKS, MOST_RANGES = 8, 512, 12, 400
+#: Terms that a task packs at once, and numbers of blocks in a class of length at most.
+PACKED_TERMS, MOST_NUMBERS = 4_000_000, 1 << 25
+#: Slots whose rows travel together as one Parquet value, parcels at least, and how many times the average a part of one may hold.
+PARCEL_SLOTS, LEAST_PARCELS, LARGE_PARCEL = 2, 8, 4
+#: Steps of one in which impacts are rounded up, so that a byte holds one.
+IMPACT_STEPS = 64
 
 
 def layout(n: int, total: int) -> tuple[int, int]:
@@ -39,12 +47,21 @@ def layout(n: int, total: int) -> tuple[int, int]:
     return slots, max(1, n // (BLOCK_DOCS * CLASSES))
 
 
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def slot_of(term: str, slots: int) -> int:
+    """A term's slot, by Spark's xxhash64."""
+    return ((xxhash.xxh64_intdigest(term.encode(), 42) ^ 1 << 63) - (1 << 63)) % slots
+
+
 class KeywordIndex:
     """Postings of (id, text) rows under one analyzer: words, porter or bag (see ``retrieval.ANALYZERS``)."""
 
     def __init__(self, spark: SparkSession, folder: str, analyzer: str = "porter", slots: int | None = None) -> None:
         """Open an index; ``slots`` fixes the partitions of a new one, which else follow from the corpus."""
-        self.store, self.analyzer, self.wanted = TableStore(spark, folder, PAGE_ROWS), analyzer, slots
+        self.store, self.analyzer, self.wanted = TableStore(spark, folder, PAGE_ROWS, "zstd"), analyzer, slots
         self._known: tuple[int, Any] = (-1, None)
 
     @property
@@ -63,52 +80,96 @@ class KeywordIndex:
         return self._known[1]
 
     @staticmethod
-    def usable(docs: DataFrame) -> DataFrame:
+    def _repeated(docs: DataFrame) -> bool:
+        """Whether an id occurs twice: only ids are looked at and shuffled."""
+        return not docs.groupBy(F.col("id").cast("string")).count().where("count > 1").isEmpty()
+
+    @staticmethod
+    def usable(docs: DataFrame, repeated: bool = True) -> DataFrame:
         """Rows with an id and a text that is not blank, each id once."""
         rows = docs.select(F.col("id").cast("string").alias("id"), "text")
-        return rows.where((F.trim("text") != "") & (F.col("id") != "")).dropDuplicates(["id"])
+        rows = rows.where((F.trim("text") != "") & (F.col("id") != ""))
+        return rows.dropDuplicates(["id"]) if repeated else rows
 
     @staticmethod
     def _laid(rows: DataFrame) -> DataFrame:
         # a partition is one file where it is small, and a frequent term's postings are many files
-        return rows.select("term", "id", "dl", "tf", "positions", "block", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "term", "block", "id")
+        return rows.select(*_names(_POSTINGS)).hint("rebalance", "slot").sortWithinPartitions("slot", "term", "block")
+
+    @staticmethod
+    def _packed(analysed: DataFrame, slots: int, spread: int, mean: float) -> DataFrame:
+        """What each block has of each term, of documents (id, terms); blocks are cut from the documents of a task, by length."""
+        ship_package(analysed.sparkSession)
+        most, numbers, parcels = BLOCK_DOCS, min(spread * CLASSES, MOST_NUMBERS), max(min(slots, LEAST_PARCELS), slots // PARCEL_SLOTS)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows in packed(batch, most, numbers, mean, slots):
+                    yield from parcels_of(rows, parcels)
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some in batch.column(2):
+                    yield from pq.read_table(pa.BufferReader(some.as_buffer())).to_batches()
+
+        # parts of a parcel that a frequent term makes large go to other partitions
+        sent = analysed.select("id", "terms").mapInArrow(pack, "parcel int, part int, rows binary").repartition(parcels, "parcel", "part")
+        return sent.mapInArrow(unpack, _POSTINGS).sortWithinPartitions("slot", "term", "block")
+
+    @staticmethod
+    def unpacked(rows: DataFrame) -> DataFrame:
+        """(term, id, dl, tf, positions, block, slot) of packed rows, and what other columns they have."""
+        own = _names(_POSTINGS)
+        at, tf = F.col("_at"), F.element_at("tfs", F.col("_at"))
+        first = F.aggregate(F.slice("tfs", F.lit(1), at - 1), F.lit(1), lambda a, x: a + x)
+        single = [F.element_at("ids", at).alias("id"), F.element_at("dls", at).alias("dl"), tf.cast("long").alias("tf"), F.slice("places", first, tf).alias("positions")]
+        return rows.select("*", F.explode(F.sequence(F.lit(1), F.size("ids"))).alias("_at")).select("term", *single, "block", "slot", *[c for c in rows.columns if c not in own])
+
+    @staticmethod
+    def _repacked(postings: DataFrame, mean: float) -> DataFrame:
+        """Packed rows of postings that have their slot and block."""
+        most = (F.ceil(F.max(retrieval.impact(F.col("tf"), F.col("dl"), F.lit(mean))) * IMPACT_STEPS) / IMPACT_STEPS).cast("float").alias("impact")
+        rows = postings.groupBy("slot", "term", "block").agg(F.count("*").alias("n"), most, F.sort_array(F.collect_list(F.struct("id", "dl", F.col("tf").cast("int").alias("tf"), "positions"))).alias("p"))
+        return rows.select("term", "block", "n", "impact", F.col("p.id").alias("ids"), F.col("p.dl").alias("dls"), F.col("p.tf").alias("tfs"), F.flatten("p.positions").alias("places"), "slot")
 
     def _placed(self, rows: DataFrame, slots: int, spread: int) -> DataFrame:
         """Postings with their slot, by the term, and block, by the document's length and id."""
         kind = F.floor(2 * F.log2(F.col("dl") + 1)).cast("int")
-        block = kind * spread + F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
+        block = kind * min(spread * CLASSES, MOST_NUMBERS) + F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
         return rows.withColumns({"slot": F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int"), "block": block})
 
-    @staticmethod
-    def _blocks(rows: DataFrame, mean: float) -> DataFrame:
-        """How many postings each term has in a block, and their greatest impact in a corpus of this mean length."""
-        known = rows.groupBy("slot", "term", "block").agg(F.count("*").alias("n"), F.max(retrieval.impact(F.col("tf"), F.col("dl"), F.lit(mean))).alias("impact"))
-        return known.select("term", "block", "n", "impact", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "term", "block")
-
-    def _put(self, tx: Transaction, analysed: DataFrame, slots: int, spread: int, mean: float, replace: bool) -> None:
+    def _put_docs(self, tx: Transaction, analysed: DataFrame, replace: bool) -> Any:
+        """Write the documents' lengths and their sums; (documents, terms) of these."""
         put = tx.replace if replace else tx.append
-        put("postings", self._laid(self._placed(retrieval.postings_of(analysed), slots, spread)), ["slot"])
-        put("blocks", self._blocks(tx.staged("postings", _POSTINGS), mean), ["slot"])
-        lengths = analysed.select("id", F.size("terms").alias("dl"))
-        put("docs", lengths)
+        put("docs", analysed.select("id", F.size("terms").alias("dl")))
+        lengths = tx.staged("docs", "id string, dl int")
         put("stats", lengths.agg(F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")))
+        return lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
 
-    def _analysed(self, rows: DataFrame) -> DataFrame:
-        return written(retrieval._terms(rows, "id", "text", self.analyzer), "terms")
+    def _terms(self, rows: DataFrame) -> DataFrame:
+        return retrieval._terms(rows, "id", "text", self.analyzer)
 
     def build(self, docs: DataFrame) -> KeywordIndex:
-        """Replace the index by one of these rows (id, text). Texts are analysed once."""
-        analysed = self._analysed(self.usable(docs))
-        n, total = analysed.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-        slots, spread = layout(n, total)
-        slots, mean = self.wanted or slots, max(float(total), 1.0) / max(n, 1)
+        """Replace the index by one of these rows (id, text).
+
+        Texts that Spark's own functions split are read twice; what Python makes of them, or a choice among
+        texts of one id, is written in between.
+        """
+        kept = (repeated := self._repeated(docs)) or self.analyzer != "words"
+        analysed = self._terms(self.usable(docs, repeated))
+        if kept:
+            analysed = written(analysed, "terms", "zstd")
 
         def change(tx: Transaction) -> None:
+            n, total = self._put_docs(tx, analysed, True)
+            slots, spread = layout(n, total)
+            slots, mean = self.wanted or slots, max(float(total), 1.0) / max(n, 1)
             tx.replace("config", docs.sparkSession.createDataFrame([(slots, spread, n, mean)], _CONFIG))
-            self._put(tx, analysed, slots, spread, mean, True)
+            tx.replace("postings", self._packed(analysed, slots, spread, mean), ["slot"])
 
         self.store.update(change)
-        discard(analysed)
+        if kept:
+            discard(analysed)
         return self
 
     def add(self, docs: DataFrame) -> int:
@@ -123,9 +184,10 @@ class KeywordIndex:
 
         def change(tx: Transaction) -> int:
             config, known = self._config(tx), tx.read("docs", "id string, dl int")
-            analysed = self._analysed(new_only(rows, known, "id"))
+            analysed = written(self._terms(new_only(rows, known, "id")), "terms", "zstd")
             if count := analysed.count():
-                self._put(tx, analysed, config["slots"], config["spread"], config["mean"], False)
+                self._put_docs(tx, analysed, False)
+                tx.append("postings", self._packed(analysed, config["slots"], config["spread"], config["mean"]), ["slot"])
             discard(analysed)
             return count
 
@@ -144,8 +206,8 @@ class KeywordIndex:
             slots, spread = layout(n, total)
             slots, mean = max(slots, config["slots"]), max(float(total), 1.0) / n
             tx.replace("config", self.store.spark.createDataFrame([(slots, spread, n, mean)], _CONFIG))
-            tx.replace("postings", self._laid(self._placed(tx.read("postings", _POSTINGS).drop("slot", "block"), slots, spread)), ["slot"])
-            tx.replace("blocks", self._blocks(tx.staged("postings", _POSTINGS), mean), ["slot"])
+            rows = self._placed(tx.read("postings", _POSTINGS, self.unpacked).drop("slot", "block"), slots, spread)
+            tx.replace("postings", self._laid(self._repacked(rows, mean)), ["slot"])
             return True
 
         return self.store.update(change)
@@ -164,12 +226,10 @@ class KeywordIndex:
         self.store.update(change)
 
     def compact(self) -> int:
-        """Rewrite the files that hold postings of deleted ids, and what is known of blocks; how many files these were."""
+        """Rewrite the files that hold postings of deleted ids; how many files these were."""
         self.store.compact("docs")
-        count = self.store.compact("postings", self._laid)
-        if count:
-            self.store.update(lambda tx: tx.replace("blocks", self._blocks(tx.read("postings", _POSTINGS), self._config(tx)["mean"]), ["slot"]))
-        return count
+        mean = self._config(self.store.begin())["mean"]
+        return self.store.compact("postings", lambda rows: self._laid(self._repacked(rows, mean)), self.unpacked)
 
     def count(self) -> int:
         return self.store.read("docs", "id string, dl int").count() if self.exists else 0
@@ -177,16 +237,15 @@ class KeywordIndex:
     def has(self, key: str) -> bool:
         return self.exists and not self.lookup([key]).isEmpty()
 
-    def _of(self, tx: Transaction, name: str, terms: Sequence[str], schema: str) -> DataFrame:
-        """A table's rows of some terms: a filter on partitions and on terms."""
+    def _of(self, tx: Transaction, terms: Sequence[str], packed: bool = False) -> DataFrame:
+        """The postings of some terms: a filter on partitions and on terms. Packed rows hold deleted postings too."""
         slots = self._config(tx)["slots"]
-        # Spark's xxhash64 of a string
-        signed = [(h ^ 1 << 63) - (1 << 63) for h in (xxhash.xxh64_intdigest(t.encode(), 42) for t in terms)]
-        return tx.read(name, schema).where(F.col("slot").isin(sorted({h % slots for h in signed})) & F.col("term").isin(list(terms)))
+        rows = tx.read("postings", _POSTINGS, None if packed else self.unpacked, packed)
+        return rows.where(F.col("slot").isin(sorted({slot_of(t, slots) for t in terms})) & F.col("term").isin(list(terms)))
 
     def postings(self, terms: Sequence[str]) -> DataFrame:
         """(term, id, dl, tf, positions) of the terms."""
-        return self._of(self.store.begin(), "postings", list(dict.fromkeys(terms)), _POSTINGS).select("term", "id", "dl", "tf", "positions")
+        return self._of(self.store.begin(), list(dict.fromkeys(terms))).select("term", "id", "dl", "tf", "positions")
 
     def stats(self) -> DataFrame:
         """One row: n, the number of documents with terms, and mean, their average length."""
@@ -202,9 +261,9 @@ class KeywordIndex:
     def _sharing(self, terms: list[str]) -> DataFrame:
         """The postings of the terms in the blocks that have all of them."""
         tx, wanted = self.store.begin(), list(dict.fromkeys(terms))
-        hits = self._of(tx, "postings", wanted, _POSTINGS)
+        hits = self._of(tx, wanted)
         if len(wanted) > 1:
-            blocks = self._of(tx, "blocks", wanted, _BLOCKS).groupBy("block").agg(F.countDistinct("term").alias("terms"))
+            blocks = self._of(tx, wanted, True).groupBy("block").agg(F.countDistinct("term").alias("terms"))
             hits = hits.join(blocks.where(F.col("terms") == len(wanted)), "block", "left_semi")
         return hits
 
@@ -215,10 +274,10 @@ class KeywordIndex:
         tell how many documents a term is left in.
         """
         tx, wanted, k = self.store.begin(), list(dict.fromkeys(terms)), retrieval._top(k)
-        hits = self._of(tx, "postings", wanted, _POSTINGS)
+        hits = self._of(tx, wanted)
         if not wanted or tx.base["tables"]["postings"]["gone"]:
             return retrieval.bm25_terms(hits, wanted, k, stats=self.stats(), allowed=allowed)
-        blocks = self._of(tx, "blocks", wanted, _BLOCKS)
+        blocks = self._of(tx, wanted, True).select("term", "block", "n", "impact")
         # one row a term, and one of the corpus
         sums = blocks.groupBy("term").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("total"))
         sums = sums.unionByName(tx.read("stats", "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumn("term", F.lit(None).cast("string")))
@@ -228,9 +287,10 @@ class KeywordIndex:
         if not often:
             return hits.select("id", F.lit(0.0).alias("score")).limit(0)
         scored = lambda rows: retrieval._allowed(retrieval.bm25_known(rows, often, n, mean), "id", allowed)
-        df = reduce(lambda rest, t: F.when(F.col("term") == t, F.lit(often[t])).otherwise(rest), often, F.lit(0))
-        # an impact grows with the mean length, and no faster; rounded up, so that no rounding leaves a block out
-        most = F.sum(retrieval.idf(df, F.lit(n)) * F.col("impact")) * (max(1.0, mean / self._config(tx)["mean"]) * (1 + 1e-9))
+        # of a term's rows in a block the best one; an impact grows with the mean length, and no faster;
+        # rounded up, so that no rounding leaves a block out
+        each = [retrieval.idf(F.lit(often[t]), F.lit(n)) * F.coalesce(F.max(F.when(F.col("term") == t, F.col("impact"))).cast("double"), F.lit(0.0)) for t in often]
+        most = reduce(lambda a, b: a + b, each) * (max(1.0, mean / self._config(tx)["mean"]) * (1 + 1e-9))
         promise = blocks.groupBy("block").agg(most.alias("most"))
         # of one term, the k best are in the k blocks that promise most
         first = promise.orderBy(F.desc("most"), "block").limit(max(FIRST_BLOCKS, k)).collect()
@@ -250,6 +310,67 @@ class KeywordIndex:
         return rows.where(F.col("id").isin([str(i) for i in ids])).select("id", F.lit(0.0).alias("score"))
 
 
+def packed(batch: pa.RecordBatch, most: int, numbers: int, mean: float, slots: int) -> Iterator[pa.RecordBatch]:
+    """The packed rows of documents (id, terms), in blocks of at most so many documents alike in length."""
+    import numpy as np
+
+    all_offsets = batch.column(1).offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        # as many documents as have PACKED_TERMS, but one at least
+        end = max(at + 1, int(np.searchsorted(all_offsets, all_offsets[at] + PACKED_TERMS, "right")) - 1)
+        offsets, ids = all_offsets[at : end + 1].astype(np.int64), batch.column(0).slice(at, end - at)
+        terms = batch.column(1).values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        at, offsets = end, offsets - offsets[0]
+        if not len(terms):
+            continue
+        dl = np.diff(offsets)
+        kind = np.floor(2 * np.log2(dl + 1)).astype(np.int64)
+        order = np.argsort(dl, kind="stable")
+        # a block begins with a class of length, and after so many documents of it
+        starts = np.flatnonzero(np.diff(kind[order], prepend=-1))
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        begins = place % most == 0
+        run = np.empty(len(order), np.int64)
+        run[order] = np.cumsum(begins) - 1
+        heads = order[begins]
+        block = np.array([kind[d] * numbers + xxhash.xxh64_intdigest(ids[int(d)].as_py().encode()) % numbers for d in heads], np.int32)
+        # the terms by term and block, and in these as the documents have them
+        doc, code = np.repeat(np.arange(len(dl)), dl), terms.indices.to_numpy().astype(np.int64)
+        key = code * len(heads) + run[doc]
+        sort = np.argsort(key, kind="stable")
+        key, doc, code, position = key[sort], doc[sort], code[sort], (np.arange(len(sort)) - offsets[doc])[sort]
+        first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        tf, of = np.diff(np.append(first, len(key))), doc[first]
+        rows = np.flatnonzero(np.diff(key[first], prepend=-1))
+        n = np.diff(np.append(rows, len(first)))
+        best = np.maximum.reduceat(retrieval.impact(tf, dl[of], mean), rows)
+        slot = np.array([slot_of(t, slots) for t in terms.dictionary.to_pylist()], np.int32)
+        lists = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
+        postings, places = np.append(rows, len(first)), np.append(first[rows], len(key))
+        columns = [
+            terms.dictionary.take(pa.array(code[first[rows]])), pa.array(block[run[of[rows]]]), pa.array(n), pa.array((np.ceil(best * IMPACT_STEPS) / IMPACT_STEPS).astype(np.float32)), lists(postings, ids.take(pa.array(of))),
+            lists(postings, pa.array(dl[of].astype(np.int32))), lists(postings, pa.array(tf.astype(np.int32))), lists(places, pa.array(position.astype(np.int32))),
+            pa.array(slot[code[first[rows]]]),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=_names(_POSTINGS))
+
+
+def parcels_of(rows: pa.RecordBatch, parcels: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each parcel of slots, (parcel, part, rows): as Parquet, in parts of a bounded number of rows."""
+    import numpy as np
+
+    number, large = rows.column(rows.num_columns - 1).to_numpy() % parcels, max(1, LARGE_PARCEL * rows.num_rows // parcels)
+    order = np.argsort(number, kind="stable")
+    ends = np.searchsorted(number[order], np.arange(parcels + 1))
+    for parcel in np.flatnonzero(np.diff(ends)):
+        for part, at in enumerate(range(ends[parcel], ends[parcel + 1], large)):
+            out = pa.BufferOutputStream()
+            some = rows.take(pa.array(order[at : min(at + large, ends[parcel + 1])]))
+            pq.write_table(pa.Table.from_batches([some]), out, compression="zstd", write_statistics=False, store_schema=False)
+            yield pa.RecordBatch.from_arrays([pa.array([parcel], pa.int32()), pa.array([part], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["parcel", "part", "rows"])
+
+
 def in_blocks(blocks: Sequence[int]) -> Column:
     """A block is one of these: ranges, each of which a file's page statistics can rule out."""
     ranges: list[list[int]] = []

@@ -66,10 +66,10 @@ def source_digest(*modules: str) -> str:
     return hashlib.sha256("".join(inspect.getsource(importlib.import_module(m)) for m in modules).encode()).hexdigest()[:16]
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and a lost executor costs only its own tasks."""
     path = f"{shared_folder(df.sparkSession)}/lodestone-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -76,3 +76,36 @@ def test_ranges(spark):
     rows = spark.range(0, 40).select(F.col("id").cast("int").alias("block"))
     for chosen in ([], [3], [5, 4, 6, 20], list(range(40)), [0, 39]):
         assert sorted(r["block"] for r in rows.where(K.in_blocks(chosen)).collect()) == sorted(chosen)
+
+
+def test_postings_are_packed(spark, tmp_path, monkeypatch):
+    """A row holds all postings that a block has of a term; an index takes little more room than its texts, and texts are not shuffled."""
+    docs = docs_of(spark, 400, 5).coalesce(1)
+    index = K.KeywordIndex(spark, f"file://{tmp_path}", "words").build(docs)
+    rows, want = index.store.read("postings", K._POSTINGS), sorted(map(str, retrieval.postings(docs).selectExpr("term", "id", "dl", "tf", "positions").collect()))
+    assert rows.agg(F.sum("n")).first()[0] == len(want) > 5 * rows.count()
+    terms = [r["term"] for r in rows.select("term").distinct().collect()]
+    assert sorted(map(str, index.postings(terms).collect())) == want
+    size = docs.agg(F.sum(F.length("text"))).first()[0]
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 3 * size
+    # cut into small parts, laid out anew and compacted, the postings are the same
+    monkeypatch.setattr(K, "PACKED_TERMS", 50)
+    monkeypatch.setattr(K, "BLOCK_DOCS", 3)
+    small = K.KeywordIndex(spark, f"file://{tmp_path}/small", "words").build(docs.where("cast(id AS int) < 40"))
+    assert small.add(docs) == 360 and small._config(small.store.begin())["built"] == 400
+    assert sorted(map(str, small.postings(terms).collect())) == want
+    gone = docs.where("cast(id AS int) % 3 = 0").select("id")
+    small.remove(gone)
+    left = sorted(map(str, retrieval.postings(docs.join(gone, "id", "left_anti")).selectExpr("term", "id", "dl", "tf", "positions").collect()))
+    assert sorted(map(str, small.postings(terms).collect())) == left
+    assert small.compact() and sorted(map(str, small.postings(terms).collect())) == left
+    assert sorted(map(str, small.unpacked(small.store.read("postings", K._POSTINGS)).select("term", "id", "dl", "tf", "positions").collect())) == left
+
+
+def test_repeated_ids(spark, tmp_path):
+    """Of rows with one id one is indexed, and its terms and its length are of the same text."""
+    docs = spark.createDataFrame([("1", "a b"), ("1", "a b c"), ("2", "a"), ("2", " "), ("3", "--")], "id string, text string")
+    index = K.KeywordIndex(spark, f"file://{tmp_path}", "words").build(docs)
+    known = {r["id"]: r["dl"] for r in index.store.read("docs").collect()}
+    assert sorted(known) == ["1", "2", "3"] and known["2"] == 1 and known["3"] == 0
+    assert {(r["id"], r["dl"]) for r in index.postings(["a"]).collect()} == {("1", known["1"]), ("2", 1)} and index.stats().first()["n"] == 2
