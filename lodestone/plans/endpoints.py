@@ -327,11 +327,16 @@ def read_uris(c: Catalog, contents: DataFrame, uris: DataFrame) -> DataFrame:
     not there has no content.
     """
     parts = X.parse_file_uri(F.col("uri"))
-    asked = uris.select("uri", *[v.alias(n) for n, v in parts.items()])
+    # only the address travels beside the keys of a join; its other parts are read from it again
+    asked = uris.select("uri", parts["repo"].alias("repo"), parts["ref"].alias("ref"))
     if c.scope is not None:
         asked = asked.where(F.col("repo").isin(sorted(c.scope)) if c.scope else F.lit(False))
-    found = resolve(c, asked).join(contents.select("commit_sha", "path", F.col("content").alias("_text")), ["commit_sha", "path"], "left")
-    return found.select("uri", "commit_sha", "path", X.pick_lines_by(F.col("_text"), F.col("lines"), F.col("line_numbers")).alias("content"))
+    known = resolve(c, asked).select("uri", "commit_sha", parts["path"].alias("path"))
+    texts = contents.select("commit_sha", "path", F.col("content").alias("_text"))
+    found = known.where("commit_sha IS NOT NULL").join(texts, ["commit_sha", "path"], "left")
+    shown = X.pick_lines_by(F.col("_text"), parts["lines"], parts["line_numbers"]).alias("content")
+    # an address whose reference is not known meets no text
+    return found.select("uri", "commit_sha", "path", shown).unionByName(known.where("commit_sha IS NULL").select("uri", "commit_sha", "path", F.lit(None).cast("string").alias("content")))
 
 
 def read_page(pages: DataFrame, page: int | None = None, lines: str = "", numbered: bool = False) -> DataFrame:

@@ -93,3 +93,16 @@ def test_status(catalog):
     assert {r["operation"]: r["percent"] for r in rows} == {"sync": 100.0, "scan": 25.0} and [r["parent_operation"] for r in rows if r["id"] == "q"] == ["sync"]
     assert N.status_summary(catalog, 1).first()["status"] == "failed" and N.status_summary(catalog, 2).first()["status"] == "in_progress"
     assert {r["name"]: r["depends_on"] for r in N.pipeline_steps(catalog).collect()} == {"scan": None, "chunks": [1]}
+
+
+def test_unknown_references_meet_no_text(spark):
+    """Addresses whose reference is not known have no content, and are not dealt with the others to the texts, where one path would gather them."""
+    c = N.Catalog({"git_commits": spark.createDataFrame([(1, "a1")], "repo_id long, commit_sha string"), "git_tags": spark.createDataFrame([(1, "v1", "a1")], "repo_id long, name string, target_commit_sha string"), "git_branches": spark.createDataFrame([(1, "main", "b1")], "repo_id long, name string, head_commit_sha string")})
+    texts = spark.createDataFrame([("a1", "x.py", "p\nq"), ("b1", "x.py", "r")], "commit_sha string, path string, content string")
+    uris = ["file://1/a1/x.py", "file://1/v1/x.py?lines=L2&line_numbers=true", "file://1/main/x.py?lines=L9", "file://1/none/x.py", "file://2/a1/x.py?lines=L1", "file://1/a1/y.py", "nothing"]
+    out = N.read_uris(c, texts, spark.createDataFrame([(u,) for u in uris], "uri string"))
+    got = {r["uri"]: (r["commit_sha"], r["path"], r["content"]) for r in out.collect()}
+    assert out.count() == len(uris) and [got[u] for u in uris[:6]] == [("a1", "x.py", "p\nq"), ("a1", "x.py", "2\tq"), ("b1", "x.py", ""), (None, "x.py", None), (None, "x.py", None), ("a1", "y.py", None)]
+    assert got["nothing"][0] is None and got["nothing"][2] is None
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
