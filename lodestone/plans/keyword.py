@@ -113,7 +113,7 @@ class KeywordIndex:
                     yield from pq.read_table(pa.BufferReader(some.as_buffer())).to_batches()
 
         # parts of a parcel that a frequent term makes large go to other partitions
-        sent = analysed.select("id", "terms").mapInArrow(pack, "parcel int, part int, rows binary").repartition(parcels, "parcel", "part")
+        sent = analysed.select("id", "terms").mapInArrow(pack, "parcel int, part int, rows binary").repartition(4 * parcels, "parcel", "part")
         return sent.mapInArrow(unpack, _POSTINGS).sortWithinPartitions("slot", "term", "block")
 
     @staticmethod
